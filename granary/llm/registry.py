@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, packing, token_records
+from . import ngram_join, packing, quality_rules, secret_ledger, token_records
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_records": token_records.op3_token_records,
         "op4_harmonic_packing": packing.op4_harmonic_packing,
+        "op5_secret_ledger": secret_ledger.op5_secret_ledger,
+        "op7_quality_rules": quality_rules.op7_quality_rules,
         "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
     }
 
