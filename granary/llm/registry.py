@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, packing, quality_rules, secret_ledger, token_records
+from . import cotraining, hilbert_ann, ngram_join, packing, quality_rules, secret_ledger, token_records, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_records": token_records.op3_token_records,
         "op4_harmonic_packing": packing.op4_harmonic_packing,
         "op5_secret_ledger": secret_ledger.op5_secret_ledger,
+        "op6_hilbert_neighbours": hilbert_ann.op6_hilbert_neighbours,
         "op7_quality_rules": quality_rules.op7_quality_rules,
+        "op8_toxicity": toxicity.op8_toxicity,
+        "op9_cotraining": cotraining.op9_cotraining,
         "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
     }
 
