@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_folder, stored, table
-from .tokens import PieceEncoder, vocabulary
+from .tokens import encoder, slices
 
 #: Rows of the (worker, length) table up to which it is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -51,12 +51,12 @@ def cut_documents(df: DataFrame, tokenizer: str, space_prefixed: bool, end_id: i
     """Pieces with the worker that made them and their ordinal there among pieces of their length."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = PieceEncoder(vocabulary(tokenizer), space_prefixed), np.array([end_id], "<u4").tobytes()
+        encodes, tail = encoder(tokenizer, space_prefixed), np.array([end_id], "<u4").tobytes()
         worker, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for part in slices(batches):
             rows: list[tuple] = []
-            for doc_id, text in zip(batch[0].to_pylist(), batch[1].to_pylist()):
-                ids, at = encoder.encode(text) + tail, 0
+            for doc_id, ids in zip(part[0].to_pylist(), encodes.encode_many(part[1].to_pylist())):
+                ids, at = ids + tail, 0
                 for n in cuts(len(ids) // 4, capacity, grain):
                     rows.append((doc_id, at, n, ids[4 * at : 4 * (at + n)], len(ids) // 4, worker, int(seen[n])))
                     seen[n] += 1

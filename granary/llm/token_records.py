@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_folder, stored, table
-from .tokens import PieceEncoder, vocabulary
+from .tokens import encoder, slices
 
 _HEAD, _BODY, _CRC = struct.Struct("<Q"), struct.Struct("<Bq"), struct.Struct("<I")
 _NARROW, _NO_ID = 1, 2
@@ -70,10 +70,11 @@ def write_records(df: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.jso
     """Encode whole texts, append ``end_id`` and write the shards ``folder/part-*`` in ascending id order."""
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = PieceEncoder(vocabulary(tokenizer), space_prefixed), b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        narrow = max(encoder.size, (end_id or 0) + 1) <= 1 << 16
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([frame(i, encoder.encode(t) + tail, narrow) for i, t in zip(batch[0].to_pylist(), batch[1].to_pylist())], pa.binary())], ["frame"])
+        encodes, tail = encoder(tokenizer, space_prefixed), b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        narrow = max(encodes.size, (end_id or 0) + 1) <= 1 << 16
+        for part in slices(batches):
+            done = [frame(i, ids + tail, narrow) for i, ids in zip(part[0].to_pylist(), encodes.encode_many(part[1].to_pylist()))]
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.binary())], ["frame"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

@@ -1,17 +1,33 @@
 """Token ids as packed bytes, through the ``tokenizers`` library with a bounded cache of words.
 
-Whole texts are cut at places no pre-token of the vocabulary spans, each distinct piece is
-encoded by the library once, and the pieces' ids are joined. The result equals the
+Whole texts are cut at places that no pre-token of the vocabulary spans, each distinct piece is
+encoded by the library once, and the pieces' ids are joined. A piece of Latin letters is one pre-token, so it goes
+straight to the library's BPE model; all others take the library's whole chain. The result equals the
 library's on the whole text; ``tests/llm/test_tokens.py`` holds the two against each other.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import chain, islice
+
+import numpy as np
+import pyarrow as pa
 
 CACHE_ENTRIES = 400_000
-_BATCH = 4_096
+#: Characters of text encoded together.
+GROUP_CHARS = 1_000_000
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, others follow from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
 def vocabulary(name: str) -> str:
@@ -31,9 +47,10 @@ class PieceEncoder:
     space make pre-tokens of their own. Otherwise white space only separates words and is dropped.
     """
 
-    _beside = re.compile(r"\s | \s")
+    _beside = re.compile(r"(?:(?<=\s) | (?=\s))")
 
     def __init__(self, path: str, space_prefixed: bool, cache_entries: int = CACHE_ENTRIES):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use every core
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
@@ -44,34 +61,94 @@ class PieceEncoder:
         self._limit = cache_entries
         self._known: dict[str, bytes] = {}
         self.size = self._tok.get_vocab_size(with_added_tokens=True)
+        self._model, self._letters = self._tok.model, byte_letters()
+        self._ends = {c: self.whole(c) for c in ".,"}
+        self._line_end = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
-        return array("I", self._tok.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _encoded(self, words: list[str]) -> dict[str, bytes]:
-        lead, out = " " if self._spaced else "", {}
-        for i in range(0, len(words), _BATCH):
-            part = words[i : i + _BATCH]
-            for word, enc in zip(part, self._tok.encode_batch_fast([lead + w for w in part], add_special_tokens=False)):
-                out[word] = array("I", enc.ids).tobytes()
-        return out
-
-    def _joined(self, words: list[str]) -> bytes:
-        found = list(map(self._known.get, words))
-        if None in found:
-            fresh = self._encoded(list({w for w, ids in zip(words, found) if ids is None}))
-            found = [fresh[w] if ids is None else ids for w, ids in zip(words, found)]
+        return np.array(self._tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _letter_run(self, word: str, lead: bool) -> bytes:
+        """Ids of a word of Latin letters: the normaliser only lowers its case, and it is one pre-token."""
+        if not self._spaced:
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self._letters)
+        return array("I", [t.id for t in self._model.tokenize("\u0120" + word if lead else word)]).tobytes()
+
+    def _simple(self, word: str, lead: bool) -> bytes | None:
+        """Ids of Latin letters with or without a full stop or comma behind, which is a pre-token of its own."""
+        end = word[-1:]
+        stem = word[:-1] if end in self._ends else word
+        if not stem.isalpha() or not (stem.isascii() or (max(stem) < "\u0250" and "\u0130" not in stem)):
+            return None
+        key = stem if lead == self._spaced else "\n" + stem
+        ids = self._known.get(key)
+        if ids is None:
+            ids = self._known[key] = self._letter_run(stem, lead)
+        return ids if stem is word else ids + self._ends[end]
+
+    def _lines(self, word: str) -> bytes | None:
+        """A piece across line ends, each between two words: the line end is a pre-token of its own."""
+        parts = [self._simple(w, i == 0) for i, w in enumerate(word.split("\n"))]
+        return None if None in parts else self._line_end.join(parts)
+
+    def _learn(self, words: set[str]) -> None:
+        known, other, lines = self._known, [], self._spaced
+        for w in words:
+            ids = self._simple(w, self._spaced)
+            if ids is None and lines and "\n" in w:
+                ids = self._lines(w)
+            if ids is None:
+                other.append(w)
+            else:
+                known[w] = ids
+        lead = " " if self._spaced else ""
+        for word, enc in zip(other, self._tok.encode_batch_fast([lead + w for w in other], add_special_tokens=False)):
+            known[word] = array("I", enc.ids).tobytes()
+
+    def _joined(self, docs: list[list[str]]) -> list[bytes]:
+        words = set(chain.from_iterable(docs))
+        fresh = words.difference(self._known)
+        if fresh:
             if len(self._known) + len(fresh) > self._limit:
-                self._known.clear()
-            self._known.update(fresh)
-        return b"".join(found)
+                # frequent words come early, so the older half is worth keeping
+                self._known = dict(islice(self._known.items(), self._limit // 2))
+                fresh = words.difference(self._known)
+            self._learn(fresh)
+        return [b"".join(map(self._known.__getitem__, doc)) for doc in docs]
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
+    def _group(self, texts: list[str]) -> list[bytes]:
         if not self._spaced:
-            return self._joined(text.replace("\n", " ").split(" "))
-        if self._beside.search(text):
-            return self.whole(text)
-        head, *words = text.split(" ")
-        return self.whole(head) + self._joined(words)
+            return self._joined([t.replace("\n", " ").split(" ") if t else [] for t in texts])
+        whole = [any(x in t for x in ("  ", "\n ", " \n")) or (not t.replace("\n", "").isprintable() and self._beside.search(t) is not None) for t in texts]
+        docs = [[] if w or not t else t.split(" ") for t, w in zip(texts, whole)]
+        heads = self._tok.encode_batch_fast([d[0] if d else "" for d in docs], add_special_tokens=False)
+        tails = self._joined([d[1:] for d in docs])
+        return [self.whole(t) if w else np.array(h.ids, "<u4").tobytes() + b for t, w, h, b in zip(texts, whole, heads, tails)]
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        out, group, size = [], [], 0
+        for text in texts:
+            group.append(text or "")
+            size += len(group[-1])
+            if size >= GROUP_CHARS:
+                out += self._group(group)
+                group, size = [], 0
+        return out + (self._group(group) if group else [])
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_many([text])[0]
+
+
+@lru_cache(maxsize=2)
+def encoder(name: str, space_prefixed: bool) -> PieceEncoder:
+    """One encoder a worker process: later tasks find its words known."""
+    return PieceEncoder(vocabulary(name), space_prefixed)
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Smaller record batches: Spark's default of 10,000 long texts is much for a worker's memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
