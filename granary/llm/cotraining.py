@@ -190,6 +190,18 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return _documents(docs).mapInArrow(score, "doc_id long, content double, metadata double, score double")
 
 
+def filtered(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edge = np.log(least / (1 - least))
+        for part, a, b in _views(batches):
+            yield part.filter(pa.array(shared.value.odds(a, b)[2] >= edge))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op9_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = scored(docs, train(docs, table(spark, sf_dir, "labels")))

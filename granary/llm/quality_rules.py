@@ -133,13 +133,13 @@ def thresholds(counted: DataFrame, folder: str) -> DataFrame:
     return joined.select(*_KEYS, *[chosen(m).alias(f"max_{m}") for m in found])
 
 
-def judged(df: DataFrame, folder: str, text_col: str = "text") -> DataFrame:
+def judged(df: DataFrame, folder: str, text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """Every row of ``df`` with its counts, base_failed, reasons (array) and kept.
 
-    The counts are computed once and stored; the texts themselves are not, so ``df`` should
-    carry only the columns that are wanted.
+    The counts are computed once and stored with the other columns, the text only if it is to be kept.
     """
-    counted = stored(with_counts(df, text_col).drop(text_col), folder, "counts")
+    counted = with_counts(df, text_col)
+    counted = stored(counted if keep_text else counted.drop(text_col), folder, "counts")
     limits = thresholds(counted, folder).select(*[F.col(k).alias(f"_{k}") for k in _KEYS], *[f"max_{m}" for m in MEASURES])
     joined = counted.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     reasons = F.array_compact(F.array(*[F.when(c > F.col(f"max_{m}"), F.lit(m)) for m, c in measures().items()]))
@@ -147,6 +147,11 @@ def judged(df: DataFrame, folder: str, text_col: str = "text") -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0)).drop("_lang", "_source", *[f"max_{m}" for m in MEASURES])
 
 
+def filtered(df: DataFrame, folder: str, text_col: str = "text") -> DataFrame:
+    """The rows that the rules keep, with their own columns."""
+    return judged(df, folder, text_col, keep_text=True).where("kept").select(*df.columns)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return judged(docs, shared_folder(spark)).select("doc_id", *COUNTS, "base_failed", "kept", "reasons")

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cotraining, hilbert_ann, ngram_join, packing, quality_rules, secret_ledger, token_records, toxicity
+from . import cotraining, hilbert_ann, html_layout, ngram_join, packing, quality_rules, secret_ledger, sentencepieces, token_records, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sentencepiece": sentencepieces.op1_sentencepiece,
+        "op2_html_layout": html_layout.op2_html_layout,
         "op3_token_records": token_records.op3_token_records,
         "op4_harmonic_packing": packing.op4_harmonic_packing,
         "op5_secret_ledger": secret_ledger.op5_secret_ledger,

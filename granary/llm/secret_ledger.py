@@ -48,6 +48,8 @@ MORE_RULES = (
     Rule("pem", 1, "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*", 0, 1, r"eyJ[A-Za-z0-9_-]{8}"),
 )
+#: Spans up to which findings are broadcast to where the texts are (about 50 MB with their blobs).
+BROADCAST_SPANS = 500_000
 LEDGER = "blob binary, rule string, rule_version int, spans array<struct<start:int,end:int>>"
 
 
@@ -76,10 +78,11 @@ def addressed(versions: DataFrame, text_col: str = "text") -> DataFrame:
     return versions.withColumn("blob", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)))
 
 
-def scan(versions: DataFrame, folder: str, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Scan what the ledger lacks. Return every version without its text but with blob and findings, and the new ledger.
+def scan(versions: DataFrame, folder: str, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Scan what the ledger lacks. Return every version with blob and findings, and the new ledger.
 
-    ``findings`` is array<struct<start, rank, kind, end>> in order of start, then of the rules.
+    ``findings`` is array<struct<start, rank, kind, end>> in order of start, then of the rules. The text is
+    left out unless it is to be kept; then few findings are broadcast, so that texts stay where they are.
     """
     have = addressed(versions, text_col)
     wanted = [F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("rule_version")) for r in rules]
@@ -106,7 +109,10 @@ def scan(versions: DataFrame, folder: str, ledger: DataFrame | None = None, rule
     hits = grown.withColumn("rank", F.array_position(order, F.concat_ws("@", "rule", "rule_version")).cast("int")).where((F.size("spans") > 0) & (F.col("rank") > 0))
     hits = hits.select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("rank"), F.col("rule").alias("kind"), s["end"].alias("end"))).alias("f"))
     findings = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("f"))).alias("findings"))
-    out = have.drop(text_col).join(findings, "blob", "left")
+    if keep_text:
+        size = hits.agg(F.sum(F.size("f"))).first()[0] or 0
+        findings = F.broadcast(findings) if size <= BROADCAST_SPANS else findings
+    out = (have if keep_text else have.drop(text_col)).join(findings, "blob", "left")
     none = F.array().cast(findings.schema["findings"].dataType)
     return out.withColumn("findings", F.coalesce("findings", none)), grown
 
@@ -129,6 +135,15 @@ def redacted(text: Column, findings: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(findings) > 0, done).otherwise(text)
 
 
+def without_secrets(df: DataFrame, folder: str) -> DataFrame:
+    """All rows of ``df`` (doc_id, text, ...), secrets in the text replaced and n_chars, where there is one, recounted."""
+    found, _ = scan(df, folder, keep_text=True)
+    out = found.withColumn("text", redacted(F.col("text"), F.col("findings")))
+    if "n_chars" in df.columns:
+        out = out.withColumn("n_chars", F.when(F.size("findings") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(df.schema["n_chars"].dataType))
+    return out.select(*df.columns)
+
+
 def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), shared_folder(spark))
     base = F.filter("findings", lambda f: f["kind"].isin(*[r.kind for r in BASE_RULES]))
