@@ -13,8 +13,9 @@ counts of each block of shingles, summed, the ``FREQUENT`` largest kept.
 document of each of its signatures; links found contract documents into components. Then only
 signatures that still span two components are looked at again, and only pairs across components:
 small ones by a join, large ones cut into blocks of ``BLOCK`` documents that meet two at a time. A size
-bound and a 256-bit parity bitmap (documents differ in at least as many shingles as bitmaps differ in
-bits) drop pairs before shingle sets are fetched; what remains is verified exactly.
+bound and parity bitmaps (documents differ in at least as many shingles as bitmaps differ in bits) drop pairs
+before shingle sets are fetched; what remains is verified exactly. A bitmap has about as many bits as the
+document has shingles, 256 at least; folded in halves it is the bitmap of fewer bits.
 
 Shingles are compared by 64-bit hashes. Nulls: a null text is an empty text; a row with a null id gets the
 component of its copies, or null. Texts without words link with nothing. Rows with one id are one
@@ -43,8 +44,6 @@ COMBINE_FROM = 5
 JOINED, BLOCK = 48, 512
 #: Ids up to which the list of documents to fetch is broadcast (8 MB).
 BROADCAST_IDS = 1_000_000
-#: Distinct words whose hashes a worker keeps.
-WORDS = 400_000
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 BITMAP = ["b0", "b1", "b2", "b3"]
@@ -52,36 +51,28 @@ BITMAP = ["b0", "b1", "b2", "b3"]
 
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
-    x = x + _A * np.uint64(salt + 1)
+    x = x + np.uint64(int(_A) * (salt + 1) & 0xFFFFFFFFFFFFFFFF)
     x = (x ^ (x >> np.uint64(30))) * _B
     x = (x ^ (x >> np.uint64(27))) * _C
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 class Shingler:
     """Sorted distinct 64-bit shingle hashes of a text; A-Z is lower-cased, ASCII white space separates."""
 
     def __init__(self, n: int):
-        self._n, self._words = n, _Words()
+        self._n = n
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = text.encode().lower().split() if text else []
-        if len(self._words) > WORDS:
-            self._words.clear()
-        h = np.fromiter(map(self._words.__getitem__, words), np.uint64, len(words))
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         width = min(self._n, len(words))
         if not width:
             return h
         out = np.full(len(h) - width + 1, width, np.uint64)
         for i in range(width):
-            out = mixed(out * _B + h[i : i + len(out)])
-        return np.unique(out)
+            out = out * _B + h[i : i + len(out)]
+        return np.unique(mixed(out))
 
 
 def digest(h: np.ndarray) -> tuple[int, int]:
@@ -90,8 +81,14 @@ def digest(h: np.ndarray) -> tuple[int, int]:
 
 
 def bitmap(h: np.ndarray) -> np.ndarray:
-    bits = np.bincount((h >> np.uint64(7) & np.uint64(255)).astype(np.int64), minlength=256) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    """Parities of shingle counts in as many cells as the next power of two, as 64-bit words."""
+    cells = max(256, 1 << (len(h) - 1).bit_length()) if len(h) else 256
+    bits = np.bincount((h >> np.uint64(7) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def folded(bits: np.ndarray) -> np.ndarray:
+    return np.bitwise_xor.reduce(bits.reshape(-1, 4), axis=0)
 
 
 def needed(n: int, num: int, den: int) -> int:
@@ -134,7 +131,7 @@ def _longs(x: np.ndarray) -> pa.Array:
 class Sketch:
     """Per document: size, set digest and bitmap; and block counts of shingles (doc_id null, digest the shingle)."""
 
-    schema = "kind int, doc_id long, n_shingles long, h1 long, h2 long, b0 long, b1 long, b2 long, b3 long"
+    schema = "kind int, doc_id long, n_shingles long, h1 long, h2 long, b0 long, b1 long, b2 long, b3 long, bits array<long>"
 
     def __init__(self, n: int):
         self.n = n
@@ -145,14 +142,16 @@ class Sketch:
             rows = []
             for doc_id, text in zip(batch[0].to_pylist(), batch[1].to_pylist()):
                 h = shingles(text)
-                rows.append((0, doc_id, len(h), *digest(h), *bitmap(h).tolist()))
+                bits = bitmap(h)
+                rows.append((0, doc_id, len(h), *digest(h), *folded(bits).tolist(), bits))
                 held.append(h)
                 count += len(h)
                 if count >= COUNT_BLOCK:
                     yield self._counts(held)
                     held, count = [], 0
             if rows:
-                yield self._batch([pa.array(x, pa.int64()) for x in zip(*rows)])
+                *cols, bits = zip(*rows)
+                yield self._batch([*(pa.array(x, pa.int64()) for x in cols), pa.array(bits, pa.list_(pa.int64()))])
         if held:
             yield self._counts(held)
 
@@ -160,7 +159,7 @@ class Sketch:
         h, n = np.unique(np.concatenate(held), return_counts=True)
         h, n = h[n >= COUNT_FROM], n[n >= COUNT_FROM]
         none = pa.nulls(len(h), pa.int64())
-        return self._batch([pa.array(np.ones(len(h), np.int64)), none, pa.array(n.astype(np.int64)), _longs(h), *[none] * 5])
+        return self._batch([pa.array(np.ones(len(h), np.int64)), none, pa.array(n.astype(np.int64)), _longs(h), *[none] * 5, pa.nulls(len(h), pa.list_(pa.int64()))])
 
     def _batch(self, cols: list[pa.Array]) -> pa.RecordBatch:
         names = [x.split()[0] for x in self.schema.split(", ")]
@@ -212,22 +211,35 @@ class Sets:
                 yield pa.RecordBatch.from_arrays([part[0], pa.ListArray.from_arrays(pa.array(ends), _longs(np.concatenate(held)))], ["doc_id", "shingles"])
 
 
-def may_link(a: str, b: str, num: int, den: int) -> Column:
-    """Size bound and bitmap bound for the struct or alias names a and b."""
-    apart = " + ".join(f"bit_count({a}.{x} ^ {b}.{x})" for x in BITMAP)
-    least, most = f"least({a}.n_shingles, {b}.n_shingles)", f"greatest({a}.n_shingles, {b}.n_shingles)"
-    return F.expr(f"{den} * {least} >= {num} * {most} and {den + num} * ({apart}) <= {den - num} * ({a}.n_shingles + {b}.n_shingles)")
+def _sized(a: str, b: str, num: int, den: int) -> str:
+    return f"{den} * least({a}.n_shingles, {b}.n_shingles) >= {num} * greatest({a}.n_shingles, {b}.n_shingles)"
+
+
+def may_link(a: str, b: str, apart: str, num: int, den: int) -> Column:
+    """Size bound, then bitmap bound; ``apart`` counts differing bits of a and b."""
+    return F.expr(f"case when {_sized(a, b, num, den)} then {den + num} * ({apart}) <= {den - num} * ({a}.n_shingles + {b}.n_shingles) else false end")
+
 
+def short_bits(a: str, b: str) -> str:
+    return " + ".join(f"bit_count({a}.{x} ^ {b}.{x})" for x in BITMAP)
 
-class BlockPairs:
-    """Pairs of one block or two that may link and lie in different components."""
 
-    schema = "a long, b long"
+def all_bits(a: str, b: str) -> str:
+    """Sizes within the bound differ by one power of two at most, so the longer bitmap is folded once at most."""
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
+    def half(x: str) -> str:
+        return f"zip_with(slice({x}, 1, size({x}) div 2), slice({x}, size({x}) div 2 + 1, size({x}) div 2), (p, q) -> p ^ q)"
 
-    def __call__(self, pdf):  # noqa: ANN001, ANN204
+    def fitted(x: str, other: str) -> str:
+        return f"case when size({x}) > size({other}) then {half(x)} else {x} end"
+
+    return f"aggregate(zip_with({fitted(f'{a}.bits', f'{b}.bits')}, {fitted(f'{b}.bits', f'{a}.bits')}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + coalesce(v, 0))"
+
+
+def block_pairs(num: int, den: int):  # noqa: ANN201
+    """Pairs (a, b) of one block or two that may link and lie in different components."""
+
+    def pairs(pdf):  # noqa: ANN001, ANN202
         import pandas as pd
 
         ids, comp, n = (pdf[c].to_numpy(np.int64) for c in ("rep", "comp", "n_shingles"))
@@ -237,11 +249,13 @@ class BlockPairs:
             part = slice(i, i + 64)
             apart = np.bitwise_count(bits[part, None, :] ^ bits[None, :, :]).sum(-1, dtype=np.int64)
             least, most = np.minimum(n[part, None], n[None]), np.maximum(n[part, None], n[None])
-            ok = (ids[part, None] < ids[None]) & (comp[part, None] != comp[None]) & (self.den * least >= self.num * most) & ((self.den + self.num) * apart <= (self.den - self.num) * (least + most))
+            ok = (ids[part, None] < ids[None]) & (comp[part, None] != comp[None]) & (den * least >= num * most) & ((den + num) * apart <= (den - num) * (least + most))
             x, y = np.nonzero(ok)
             out.append(np.stack([ids[part][x], ids[y]], 1))
-        pairs = np.concatenate(out)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        found = np.concatenate(out)
+        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+    return pairs
 
 
 def connected(edges: DataFrame, folder: str, name: str) -> DataFrame:
@@ -296,9 +310,9 @@ def similarity_components(df: DataFrame, folder: str, n: int = 5, num: int = 80,
 
     rows = sketch.where("kind = 0").drop("kind")
     copies = rows.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    info = rows.join(copies, ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), *BITMAP)
+    info = rows.join(copies, ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), *BITMAP, "bits")
     info = stored(info, folder, "info")
-    nodes = info.where("doc_id = rep and n_shingles > 0").dropDuplicates(["doc_id"]).select("rep", "n_shingles", *BITMAP)
+    nodes = info.where("doc_id = rep and n_shingles > 0").dropDuplicates(["doc_id"]).select("rep", "n_shingles", *BITMAP, "bits")
     rep_of = info.where("doc_id is not null").select("doc_id", "rep").distinct()
 
     sigs = stored(docs.mapInArrow(Signatures(n, num, den, frequent), Signatures.schema), folder, "signatures")
@@ -306,9 +320,9 @@ def similarity_components(df: DataFrame, folder: str, n: int = 5, num: int = 80,
     live = stored(sigs.join(pivots, "sig"), folder, "live")
 
     def bounded(pairs: DataFrame) -> DataFrame:
-        x, y = F.struct("n_shingles", *BITMAP).alias("x"), F.struct("n_shingles", *BITMAP).alias("y")
+        x, y = F.struct("n_shingles", "bits").alias("x"), F.struct("n_shingles", "bits").alias("y")
         met = pairs.join(nodes.select(F.col("rep").alias("a"), x), "a").join(nodes.select(F.col("rep").alias("b"), y), "b")
-        return met.where(may_link("x", "y", num, den)).select("a", "b")
+        return met.where(may_link("x", "y", all_bits("x", "y"), num, den)).select("a", "b")
 
     stars = live.where("doc_id <> pivot").select("doc_id", "pivot").distinct()
     stars = stars.join(rep_of, "doc_id").select(F.col("rep").alias("y"), F.col("pivot").alias("doc_id")).join(rep_of, "doc_id")
@@ -319,14 +333,14 @@ def similarity_components(df: DataFrame, folder: str, n: int = 5, num: int = 80,
     comp = rep_of.join(first, rep_of["rep"] == first["node"], "left").select("doc_id", "rep", F.coalesce("label", "rep").alias("comp"))
     members = stored(live.select("sig", "doc_id").join(comp, "doc_id").select("sig", "rep", "comp"), folder, "members")
     split = members.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 < c1").select("sig", "m")
-    open_rows = stored(members.distinct().join(split, "sig").join(nodes, "rep"), folder, "open")
+    open_rows = stored(members.distinct().join(split, "sig").join(nodes.drop("bits"), "rep"), folder, "open")
     few = open_rows.where(F.col("m") <= JOINED)
-    crossing = few.alias("x").join(few.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & may_link("x", "y", num, den))
+    crossing = few.alias("x").join(few.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & may_link("x", "y", short_bits("x", "y"), num, den))
     crossing = crossing.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     many = open_rows.where(F.col("m") > JOINED).withColumn("blocks", F.expr(f"cast(ceil(m / {BLOCK}) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
     many = many.withColumn("meets", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("i", F.least("block", "meets")).withColumn("j", F.greatest("block", "meets"))
-    blocks = many.select("sig", "i", "j", "rep", "comp", "n_shingles", *BITMAP).groupBy("sig", "i", "j").applyInPandas(BlockPairs(num, den).__call__, BlockPairs.schema)
-    crossing = stored(crossing.union(blocks).distinct(), folder, "crossing")
+    blocks = many.select("sig", "i", "j", "rep", "comp", "n_shingles", *BITMAP).groupBy("sig", "i", "j").applyInPandas(block_pairs(num, den), "a long, b long")
+    crossing = stored(bounded(crossing.union(blocks).distinct()), folder, "crossing")
     more = _verified(crossing, docs, n, num, den, folder, "crossing")
     to = comp.where("doc_id = rep").select("rep", "comp")
     over = more.join(to.toDF("a", "ca"), "a").join(to.toDF("b", "cb"), "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
@@ -336,5 +350,13 @@ def similarity_components(df: DataFrame, folder: str, n: int = 5, num: int = 80,
     return info.join(final, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
 
 
+def one_of_each(df: DataFrame, folder: str, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``df`` (doc_id, text, ...) but for those whose component has a smaller doc_id."""
+    found = stored(similarity_components(df, folder, n, num, den), folder, "components")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return df.join(gone, "doc_id", "left_anti").select(*df.columns)
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(table(spark, sf_dir, "documents"), shared_folder(spark), n=3, num=90, den=100)
