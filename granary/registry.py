@@ -2,14 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .queries import national_selection as flagship
+from .queries import oracle_sql, queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["flagship", "oracle_sql", "queries"]
