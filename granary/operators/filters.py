@@ -10,6 +10,9 @@ from ..functions import facts, urls
 from ..functions import text as T
 from . import classify
 
+#: Names and aliases up to which the account filter is one expression.
+ACCOUNTS = 500
+
 
 def news_reject_reason(now: float, year: int, max_age_days: int = 15) -> Column:
     """After ``classify.assess``: content, future, stale, or a title of past years without a date."""
@@ -117,7 +120,11 @@ def auth_failure(words: tuple[str, ...] = L.AUTH_FAILURE) -> Column:
 def account_scope(df: DataFrame, accounts: DataFrame) -> DataFrame:
     """Rows whose source_name contains a name or alias of ``accounts`` (name, aliases array).
 
-    ``accounts`` is a small dimension: it becomes one literal array, so that the rows are only filtered.
+    Up to ``ACCOUNTS`` accounts become literals, so that the rows are only filtered; more are joined on containment.
     """
-    names = [x for r in accounts.select(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))).alias("n")).toLocalIterator() for x in r["n"] if x]
+    every = accounts.select(F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("_name")).where("_name <> ''").distinct()
+    if every.limit(ACCOUNTS + 1).count() > ACCOUNTS:
+        return df.join(every, (T.text("source_name") != "") & F.contains(T.text("source_name"), F.col("_name")), "left_semi")
+    names = [r["_name"] for r in every.collect()]
     return df.where((T.text("source_name") != "") & T.any_of(T.text("source_name"), names))
+

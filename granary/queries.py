@@ -328,7 +328,7 @@ def feedback_anti(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contains_semi(spark: SparkSession, d: str) -> DataFrame:
-    accounts = table(spark, d, "nation").select(F.lower(F.substring("n_name", 1, 2)).alias("name"), F.array().cast("array<string>").alias("aliases"))
+    accounts = table(spark, d, "nation").select(F.element_at(F.array(F.lit("ring"), F.lit("bolt"), F.lit("widget red")), (F.col("n_nationkey") % 3 + 1).cast("int")).alias("name"), F.array().cast("array<string>").alias("aliases"))
     return filters.account_scope(table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("source_name")), accounts)
 
 
@@ -474,7 +474,7 @@ _PAIRS = {
     "merged_index": (merged_index, MERGED_SQL),
     "scope_replace": (scope_replace, REPLACE_SQL),
     "feedback_anti": (feedback_anti, "select doc_id, cast(doc_id as varchar) as project_key from documents where doc_id not in (select doc_id from labels where quality = 0)"),
-    "contains_semi": (contains_semi, "select p_partkey, lower(p_name) as source_name from part where exists (select 1 from nation where contains(lower(p_name), lower(substr(n_name, 1, 2))))"),
+    "contains_semi": (contains_semi, "select p_partkey, lower(p_name) as source_name from part where exists (select 1 from nation where contains(lower(p_name), ['ring', 'bolt', 'widget red'][n_nationkey % 3 + 1]))"),
     "longitudinal": (longitudinal, LONG_SQL),
     "precision_recall": (precision_recall, PR_SQL),
     "miss_outcomes": (miss_outcomes, MISS_SQL),
