@@ -152,7 +152,7 @@ def nearest(df: DataFrame, queries: Column, folder: str, k: int = 20, curves: in
 
     members = places.withColumn("block", F.expr(f"rank div {BLOCK}")).join(vectors.select("vid", "v"), "vid").select("curve", "block", "vid", "v")
     ends = places.groupBy("curve").agg(F.max("rank").alias("last")).collect()  # one row an ordering
-    last = F.expr("case curve " + " ".join(f"when {r['curve']} then {r['last']}" for r in ends) + " else 0 end")
+    last = F.coalesce(*[F.when(F.col("curve") == r["curve"], F.lit(r["last"])) for r in ends], F.lit(0).cast("long"))
     spread = F.sequence(F.expr(f"greatest(rank - {window}, 0) div {BLOCK}"), F.floor(F.least(F.col("rank") + window, last) / BLOCK))
     probes = places.join(wanted, "vid").select("curve", F.explode(spread).alias("block"), "vid").join(vectors.select("vid", "v"), "vid").select("curve", "block", F.col("vid").alias("qid"), "v")
 

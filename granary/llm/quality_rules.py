@@ -117,7 +117,7 @@ def thresholds(counted: DataFrame, folder: str) -> DataFrame:
     def fences(df: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
         def fence(m: str) -> Column:
             q = F.kll_sketch_get_quantile_double(m, F.array(F.lit(0.25), F.lit(0.75)))
-            return F.greatest(F.lit(MEASURES[m]), F.get(q, 1) + FENCE * (F.get(q, 1) - F.get(q, 0)))
+            return F.when(F.col("n") > 0, F.greatest(F.lit(MEASURES[m]), F.get(q, 1) + FENCE * (F.get(q, 1) - F.get(q, 0))))
 
         return df.select(*keys, F.col("n").alias(f"{prefix}_n"), *[fence(m).alias(f"{prefix}_{m}") for m in found])
 
@@ -160,8 +160,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The columns that SQL states exactly; the adaptive verdict depends on sketches.
 BASE_SQL = """
 with w as (
-  select doc_id, text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') as ws,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_replace(x, '[\\x20\\x09-\\x0D]+', '', 'g') <> '') as ls
+  select doc_id, text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '[\\x20\\x09-\\x0D]+', '', 'g') <> '') as ls
   from documents),
 g as (select doc_id, unnest(range(1, len(ws) - 3)) as p, ws from w where len(ws) >= 5),
 h as (select doc_id, p, count(*) over (partition by doc_id, ws[p], ws[p+1], ws[p+2], ws[p+3], ws[p+4]) as c from g),
