@@ -149,3 +149,21 @@ def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("findings", lambda f: f["kind"].isin(*[r.kind for r in BASE_RULES]))
     counts = [F.expr(f"cast(size(filter(findings, f -> f.kind = '{r.kind}')) as long)").alias(f"n_{r.kind}") for r in BASE_RULES]
     return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"))
+
+
+def _spans_sql(rule: Rule, rank: int) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    return f"""select doc_id, unnest(range(1, len(m) + 1)) as i, {rank} as rank, '{rule.kind}' as kind, {rule.least} as least, m, v, p
+from (select doc_id, regexp_extract_all(t, '{pattern}', 0) as m, regexp_extract_all(t, '{pattern}', {rule.group}) as v, regexp_split_to_array(t, '{pattern}') as p from d)"""
+
+
+#: All spans in SQL: a match starts after the rests and matches before it.
+SQL = f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+k as ({" union all ".join(_spans_sql(r, i + 1) for i, r in enumerate(BASE_RULES + MORE_RULES))}),
+s as (select doc_id, rank, kind, length(array_to_string(p[1:i], '')) + length(array_to_string(m[1:i-1], '')) as st, length(m[i]) as n from k where length(v[i]) >= least),
+g as (select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+  coalesce(string_agg(kind || ':' || st || ':' || (st + n), ',' order by st, rank) filter (rank <= {len(BASE_RULES)}), '') as base, string_agg(kind || ':' || st || ':' || (st + n), ',' order by st, rank) as spans from s group by doc_id)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join g using (doc_id)
+"""
