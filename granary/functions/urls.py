@@ -58,3 +58,27 @@ def source_domain(url: Column | str, known: tuple[str, ...] = tuple(SOURCE_NAMES
 
 def uid(url: Column | str) -> Column:
     return F.substring(F.md5(text(url).cast("binary")), 1, 12)
+
+
+def _argument(url: Column | str, name: str) -> Column:
+    raw = F.regexp_extract(part(url, 4), f"(?:^|&){name}=([^&]*)", 1)
+    return F.coalesce(F.try_url_decode(raw), raw)
+
+
+def unwrapped(url: Column | str, wrapper: str = "bing.com") -> Column:
+    """Target of a search engine's redirect: a plain address, or ``a1`` and base64url; else the address itself."""
+    raw = F.trim(text(url))
+    value = F.coalesce(*[F.nullif(_argument(raw, k), F.lit("")) for k in ("u", "url", "target", "r", "redir")], F.lit(""))
+    body = F.translate(F.substring(value, 3, 100_000), "-_", "+/")
+    padded = F.rpad(body, (F.ceil(F.length(body) / 4) * 4).cast("int"), "=")
+    decoded = F.try_to_binary(padded, F.lit("base64")).cast("string")
+    link = lambda c: F.startswith(c, F.lit("http://")) | F.startswith(c, F.lit("https://"))
+    found = F.when(link(value), value).when(F.startswith(value, F.lit("a1")) & (F.length(value) > 3) & link(decoded), decoded).otherwise(raw)
+    return F.when(F.contains(part(raw, 2), F.lit(wrapper)), found).otherwise(raw)
+
+
+def account_article(url: Column | str, site: str = "mp.weixin.qq.com") -> Column:
+    """Lasting address of an account's article by account, message, index and signature; empty without the first two."""
+    keep = [F.when(_argument(url, k) != "", F.concat(F.lit(f"{k}="), F.url_encode(_argument(url, k)))) for k in ("__biz", "mid", "idx", "sn")]
+    fits = F.contains(part(url, 2), F.lit(site)) & F.startswith(part(url, 3), F.lit("/s")) & (_argument(url, "__biz") != "") & (_argument(url, "mid") != "")
+    return F.when(fits, F.concat(F.lit(f"https://{site}/s?"), F.concat_ws("&", *keep))).otherwise("")

@@ -65,15 +65,6 @@ def two_source_quota(df: DataFrame, count: int, first: str, second: str, source:
     return classed.withColumn("_tier", tier).orderBy("_tier", F.desc("score"), "_ord").limit(count).orderBy(F.desc("score"), "_ord").drop("_place", "_tier")
 
 
-def reserve_low(df: DataFrame, limit: int, least: float = 38.0) -> DataFrame:
-    """A third of the places are kept for rows below ``least``; free places go to whoever is next."""
-    low = (F.col("relevance_score") < least).cast("int")
-    place = F.row_number().over(Window.partitionBy(low).orderBy(F.desc("weight"), "_ord"))
-    few = df.withColumn("_low", low).withColumn("_place", place).where(F.col("_place") <= limit)
-    own = F.when(F.col("_low") == 1, limit // 3).otherwise(limit - limit // 3)
-    return few.withColumn("_extra", (F.col("_place") > own).cast("int")).orderBy("_extra", F.desc("weight"), "_ord").limit(limit).drop("_low", "_place", "_extra")
-
-
 def final_ranking(df: DataFrame, limit: int) -> DataFrame:
     """What needs a report first, then by score; rows past the limit get an overflow reason."""
     top = df.orderBy((~F.col("needs_report")).cast("int"), F.desc("final_score"), "_ord").limit(limit).select("_ord").withColumn("_in", F.lit(True))

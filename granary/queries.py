@@ -11,7 +11,7 @@ from . import lexicon as L
 from .adapters import ARTICLES_SQL, NOW, SIGNALS_SQL, VERSIONS_SQL, YEAR, articles, signals, table, versions
 from .functions import facts, urls
 from .functions import text as T
-from .operators import classify, dedup, diagnostics, evaluate, filters, history, score, select, verify
+from .operators import classify, dedup, diagnostics, evaluate, filters, history, research, score, select, verify
 from .plans import news, opportunities
 from .sources import landed, sinks
 from .streaming import states
@@ -207,14 +207,21 @@ e as (select *, case when placeholder then 3 when place <= case source_key when
 select _ord, source_key, score from e order by tier, score desc, _ord limit 21"""
 
 
-def reserve_low(spark: SparkSession, d: str) -> DataFrame:
-    a = articles(spark, d).select("_ord", (F.col("_ord") % 100).cast("double").alias("relevance_score"), ((F.col("_ord") * 13) % 97).alias("weight"))
-    return select.reserve_low(a, 30).select("_ord", "relevance_score", "weight")
+def _weighed(spark: SparkSession, d: str) -> DataFrame:
+    return articles(spark, d).select("_ord", (F.col("_ord") % 100).cast("double").alias("relevance_score"), ((F.col("_ord") * 13) % 97).alias("weight"), F.array("skill_name").alias("discovery_channels"))
 
 
-RESERVE_SQL = """with a as (select doc_id as _ord, cast(doc_id % 100 as double) as relevance_score, (doc_id * 13) % 97 as weight from documents),
-p as (select *, relevance_score < 38 as low, row_number() over (partition by relevance_score < 38 order by weight desc, _ord) as place from a)
-select _ord, relevance_score, weight from p order by (place > case when low then 10 else 20 end), weight desc, _ord limit 30"""
+def research_selection(spark: SparkSession, d: str) -> DataFrame:
+    return research.research_selection(_weighed(spark, d), 30).select("_ord", "relevance_score", "weight")
+
+
+def prefilter_cap(spark: SparkSession, d: str) -> DataFrame:
+    return research.prefilter_cap(_weighed(spark, d), 60).select("_ord", "relevance_score", "weight")
+
+
+_WEIGHED = "a as (select doc_id as _ord, cast(doc_id % 100 as double) as relevance_score, (doc_id * 13) % 97 as weight, source from documents), r as (select *, row_number() over (order by weight desc, _ord) as rk, row_number() over (partition by relevance_score < 38 order by weight desc, _ord) as lk, row_number() over (partition by source order by weight desc, _ord) as ck from a)"
+RESERVE_SQL = f"with {_WEIGHED}, t as (select *, case when rk <= 20 then 0 when relevance_score < 38 and lk <= 10 then 1 else 2 end as tier from r) select _ord, relevance_score, weight from t order by tier, rk limit 30"
+PREFILTER_SQL = f"with {_WEIGHED}, n as (select count(*) filter (ck = 1) as h from r), t as (select *, case when ck = 1 then 0 when rk <= greatest(0, 45 - h) then 1 when relevance_score < 38 and lk <= 15 then 2 else 3 end as tier from r, n) select _ord, relevance_score, weight from t order by tier, rk limit 60"
 
 
 def stages_and_types(spark: SparkSession, d: str) -> DataFrame:
@@ -464,7 +471,8 @@ _PAIRS = {
     "longest_contents": (longest_contents, LONGEST_SQL),
     "round_robin": (round_robin, ROBIN_SQL),
     "two_source_quota": (two_source_quota, QUOTA_SQL),
-    "reserve_low": (reserve_low, RESERVE_SQL),
+    "research_selection": (research_selection, RESERVE_SQL),
+    "prefilter_cap": (prefilter_cap, PREFILTER_SQL),
     "stages_and_types": (stages_and_types, STAGE_SQL),
     "facts_read": (facts_read, FACTS_SQL),
     "rule_scores": (rule_scores, SCORE_SQL),
