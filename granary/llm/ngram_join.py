@@ -11,8 +11,9 @@ counts of each block of shingles, summed, the ``FREQUENT`` largest kept.
 
 **Pairs.** No group is ever turned into all its pairs. First each document is held against the smallest
 document of each of its signatures; links found contract documents into components. Then only
-signatures that still span two components are looked at again, and only pairs across components:
-small ones by a join, large ones cut into blocks of ``BLOCK`` documents that meet two at a time. A size
+signatures that still span two components are looked at again, and only pairs across components: small
+ones by a join; large ones with much the same documents are merged, then parted by size and cut into
+blocks of ``BLOCK`` documents that meet two at a time. A size
 bound and parity bitmaps (documents differ in at least as many shingles as bitmaps differ in bits) drop pairs
 before shingle sets are fetched; what remains is verified exactly. A bitmap has about as many bits as the
 document has shingles, 256 at least; folded in halves it is the bitmap of fewer bits.
@@ -33,11 +34,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_folder, stored, table
+from .tokens import slices
 
 #: Shingles in the frequent class at most, and the count from which one is frequent.
 FREQUENT, FREQUENT_FROM = 1 << 17, 16
 #: Shingles counted exactly at a time, and the count in such a block from which one is passed on.
-COUNT_BLOCK, COUNT_FROM = 4_000_000, 4
+COUNT_BLOCK, COUNT_FROM = 1_500_000, 3
 #: Size classes below 2**COMBINE_FROM use single shingles only.
 COMBINE_FROM = 5
 #: Documents of a signature that meet in a join; more are cut into blocks of BLOCK documents.
@@ -138,7 +140,7 @@ class Sketch:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, held, count = Shingler(self.n), [], 0
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch[0].to_pylist(), batch[1].to_pylist()):
                 h = shingles(text)
@@ -177,7 +179,7 @@ class Signatures:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingler(self.n), set()
         known, place = self.frequent.value
-        for batch in batches:
+        for batch in slices(batches):
             sigs, ids = [], []
             for doc_id, text in zip(batch[0].to_pylist(), batch[1].to_pylist()):
                 h = shingles(text)
@@ -203,12 +205,10 @@ class Sets:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(self.n)
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
-                held = [shingles(t) for t in part[1].to_pylist()]
-                ends = np.concatenate([[0], np.cumsum([len(h) for h in held])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part[0], pa.ListArray.from_arrays(pa.array(ends), _longs(np.concatenate(held)))], ["doc_id", "shingles"])
+        for part in slices(batches):
+            held = [shingles(t) for t in part[1].to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(h) for h in held])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part[0], pa.ListArray.from_arrays(pa.array(ends), _longs(np.concatenate(held)))], ["doc_id", "shingles"])
 
 
 def _sized(a: str, b: str, num: int, den: int) -> str:
@@ -291,6 +291,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, fol
     return both.where(F.expr(f"{den} * shared >= {num} * (size(sa) + size(sb) - shared)")).select("a", "b")
 
 
+def _grouped(rows: DataFrame) -> DataFrame:
+    """(grp, rep) of members (sig, rep, m): signatures that mostly share their members become one group.
+
+    The shingles of one common passage make many signatures with much the same documents; each document should
+    meet the others once, not once a signature. A signature joins the one that most of its members have as
+    their largest, if at least half do. Documents that share a signature always share a group.
+    """
+    largest = rows.groupBy("rep").agg(F.max(F.struct("m", "sig")).alias("top")).select("rep", F.col("top.sig").alias("to"))
+    votes = rows.join(largest, "rep").groupBy("sig", "to").agg(F.count("*").alias("n"), F.max("m").alias("m"))
+    best = votes.groupBy("sig").agg(F.max(F.struct("n", "to", "m")).alias("v"))
+    group = best.select("sig", F.when(2 * F.col("v.n") >= F.col("v.m"), F.col("v.to")).otherwise(F.col("sig")).alias("grp"))
+    return rows.join(group, "sig").select("grp", "rep").distinct()
+
+
 def similarity_components(df: DataFrame, folder: str, n: int = 5, num: int = 80, den: int = 100, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles and component_id of each row, where sets of n-word shingles link at num/den Jaccard.
 
@@ -309,7 +323,9 @@ def similarity_components(df: DataFrame, folder: str, n: int = 5, num: int = 80,
     frequent = spark.sparkContext.broadcast((h[order], place[order]))
 
     rows = sketch.where("kind = 0").drop("kind")
-    copies = rows.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # only sets that occur again; written, so that the join below deals its own exchange and a large group of copies can be split
+    copies = rows.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")).where("m > 1").drop("m")
+    copies = stored(copies, folder, "copies")
     info = rows.join(copies, ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), *BITMAP, "bits")
     info = stored(info, folder, "info")
     nodes = info.where("doc_id = rep and n_shingles > 0").dropDuplicates(["doc_id"]).select("rep", "n_shingles", *BITMAP, "bits")
@@ -331,15 +347,21 @@ def similarity_components(df: DataFrame, folder: str, n: int = 5, num: int = 80,
     first = connected(links, folder, "first")
 
     comp = rep_of.join(first, rep_of["rep"] == first["node"], "left").select("doc_id", "rep", F.coalesce("label", "rep").alias("comp"))
-    members = stored(live.select("sig", "doc_id").join(comp, "doc_id").select("sig", "rep", "comp"), folder, "members")
+    members = stored(live.select("sig", "doc_id").join(comp, "doc_id").select("sig", "rep", "comp").distinct(), folder, "members")
     split = members.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 < c1").select("sig", "m")
-    open_rows = stored(members.distinct().join(split, "sig").join(nodes.drop("bits"), "rep"), folder, "open")
-    few = open_rows.where(F.col("m") <= JOINED)
+    open_rows = stored(members.join(split, "sig"), folder, "open")
+    at = nodes.drop("bits").join(comp.where("doc_id = rep").select("rep", "comp"), "rep")
+    few = open_rows.where(F.col("m") <= JOINED).select("sig", "rep").join(at, "rep")
     crossing = few.alias("x").join(few.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & may_link("x", "y", short_bits("x", "y"), num, den))
     crossing = crossing.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    many = open_rows.where(F.col("m") > JOINED).withColumn("blocks", F.expr(f"cast(ceil(m / {BLOCK}) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
+
+    # partners' sizes differ by one step of den/num at most: a document meets those of its step and of the two beside it
+    step = F.floor(F.log("n_shingles") / float(np.log(den / num) if num < den else 1.0) + 1e-9)
+    many = stored(_grouped(open_rows.where(F.col("m") > JOINED).select("sig", "rep", "m")).join(at, "rep").withColumn("step", F.explode(F.array(step, step + 1))), folder, "many")
+    sizes = many.groupBy("grp", "step").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("grp", "step", F.expr(f"cast(ceil(size / {BLOCK}) as int)").alias("blocks"))
+    many = many.join(sizes, ["grp", "step"]).withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
     many = many.withColumn("meets", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("i", F.least("block", "meets")).withColumn("j", F.greatest("block", "meets"))
-    blocks = many.select("sig", "i", "j", "rep", "comp", "n_shingles", *BITMAP).groupBy("sig", "i", "j").applyInPandas(block_pairs(num, den), "a long, b long")
+    blocks = many.select("grp", "step", "i", "j", "rep", "comp", "n_shingles", *BITMAP).groupBy("grp", "step", "i", "j").applyInPandas(block_pairs(num, den), "a long, b long")
     crossing = stored(bounded(crossing.union(blocks).distinct()), folder, "crossing")
     more = _verified(crossing, docs, n, num, den, folder, "crossing")
     to = comp.where("doc_id = rep").select("rep", "comp")
@@ -360,3 +382,15 @@ def one_of_each(df: DataFrame, folder: str, n: int = 5, num: int = 80, den: int
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(table(spark, sf_dir, "documents"), shared_folder(spark), n=3, num=90, den=100)
+
+
+#: The same components from all pairs that share a shingle.
+SQL = r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) >= 3 then list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as sh from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
+r as (select doc_id as a, doc_id as b from documents union select r.a, l.b from r join l on r.b = l.a)
+select doc_id, coalesce(n.n, 0) as n_shingles, m.c as component_id from (select a as doc_id, min(b) as c from r group by a) m left join n using (doc_id)
+"""
