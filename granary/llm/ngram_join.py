@@ -237,19 +237,22 @@ def all_bits(a: str, b: str) -> str:
 
 
 def block_pairs(num: int, den: int):  # noqa: ANN201
-    """Pairs (a, b) of one block or two that may link and lie in different components."""
+    """Pairs (a, b) of one block or two that may link and lie in different components.
+
+    Two documents that are both here as neighbours from the step before (not ``late``) have met there.
+    """
 
     def pairs(pdf):  # noqa: ANN001, ANN202
         import pandas as pd
 
         ids, comp, n = (pdf[c].to_numpy(np.int64) for c in ("rep", "comp", "n_shingles"))
-        bits = pdf[BITMAP].to_numpy(np.int64).view(np.uint64)
+        bits, late = pdf[BITMAP].to_numpy(np.int64).view(np.uint64), pdf["late"].to_numpy(bool)
         out = []
         for i in range(0, len(ids), 64):
             part = slice(i, i + 64)
             apart = np.bitwise_count(bits[part, None, :] ^ bits[None, :, :]).sum(-1, dtype=np.int64)
             least, most = np.minimum(n[part, None], n[None]), np.maximum(n[part, None], n[None])
-            ok = (ids[part, None] < ids[None]) & (comp[part, None] != comp[None]) & (den * least >= num * most) & ((den + num) * apart <= (den - num) * (least + most))
+            ok = (late[part, None] | late[None]) & (ids[part, None] < ids[None]) & (comp[part, None] != comp[None]) & (den * least >= num * most) & ((den + num) * apart <= (den - num) * (least + most))
             x, y = np.nonzero(ok)
             out.append(np.stack([ids[part][x], ids[y]], 1))
         found = np.concatenate(out)
@@ -357,11 +360,11 @@ def similarity_components(df: DataFrame, folder: str, n: int = 5, num: int = 80,
 
     # partners' sizes differ by one step of den/num at most: a document meets those of its step and of the two beside it
     step = F.floor(F.log("n_shingles") / float(np.log(den / num) if num < den else 1.0) + 1e-9)
-    many = stored(_grouped(open_rows.where(F.col("m") > JOINED).select("sig", "rep", "m")).join(at, "rep").withColumn("step", F.explode(F.array(step, step + 1))), folder, "many")
+    many = stored(_grouped(open_rows.where(F.col("m") > JOINED).select("sig", "rep", "m")).join(at, "rep").withColumn("own", step).withColumn("step", F.explode(F.array("own", F.col("own") + 1))).withColumn("late", F.col("own") == F.col("step")), folder, "many")
     sizes = many.groupBy("grp", "step").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("grp", "step", F.expr(f"cast(ceil(size / {BLOCK}) as int)").alias("blocks"))
     many = many.join(sizes, ["grp", "step"]).withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
     many = many.withColumn("meets", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("i", F.least("block", "meets")).withColumn("j", F.greatest("block", "meets"))
-    blocks = many.select("grp", "step", "i", "j", "rep", "comp", "n_shingles", *BITMAP).groupBy("grp", "step", "i", "j").applyInPandas(block_pairs(num, den), "a long, b long")
+    blocks = many.select("grp", "step", "i", "j", "late", "rep", "comp", "n_shingles", *BITMAP).groupBy("grp", "step", "i", "j").applyInPandas(block_pairs(num, den), "a long, b long")
     crossing = stored(bounded(crossing.union(blocks).distinct()), folder, "crossing")
     more = _verified(crossing, docs, n, num, den, folder, "crossing")
     to = comp.where("doc_id = rep").select("rep", "comp")
