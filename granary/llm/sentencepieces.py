@@ -123,6 +123,7 @@ class Model:
     unknown: int = 0
     unknown_score: float = 0.0
     crossing: bool = False
+    apart: str = ""
 
     @classmethod
     def parse(cls, data: bytes) -> Model:
@@ -147,6 +148,9 @@ class Model:
         at = {self.pieces[i]: i for i, k in enumerate(self.kinds) if k == BYTE}
         self.bytes_at = [at[f"<0x{b:02X}>"] for b in range(256)] if len(at) == 256 else []
         self.crossing = any(MARK in self.pieces[i].lstrip(MARK) for i in usable)
+        # marks that no piece holds behind a letter: a word and such a mark are best cut between them
+        behind = {b for i in usable for a, b in zip(self.pieces[i], self.pieces[i][1:]) if a.isalpha()}
+        self.apart = "".join(c for c in ".,!?;:" if c not in behind)
         return self
 
 
@@ -217,12 +221,20 @@ class Codec:
             words = [MARK + w for w in words]
         known = self._known
         for w in set(words).difference(known):
-            known[w] = array("i", self.viterbi(w)).tobytes()
+            known[w] = self._segment(w)
         out = b"".join(map(known.__getitem__, words))
         if len(known) > self._limit:  # frequent segments come early
             self._known = dict(islice(known.items(), self._limit // 2))
         return out
 
+    def _segment(self, w: str) -> bytes:
+        if w[-1] in self.model.apart and len(w) > 1 and w[-2].isalpha():
+            stem = self._known.get(w[:-1])
+            if stem is None:
+                stem = self._known[w[:-1]] = array("i", self.viterbi(w[:-1])).tobytes()
+            return stem + array("i", self.viterbi(w[-1])).tobytes()
+        return array("i", self.viterbi(w)).tobytes()
+
     def decode(self, ids: list[int]) -> str:
         parts = list(map(self._text.__getitem__, ids))
         lead = next((p for p in parts if p != ""), None)
@@ -277,8 +289,12 @@ def encoded(df: DataFrame, model: str = "piece_bpe_32k.model", decode: bool = Tr
         is_byte[c.model.bytes_at] = True
         for part in slices(batches, 256):
             texts = part[1].to_pylist()
-            ids = [None if t is None else np.frombuffer(c.encode(t), np.int32) for t in texts]
-            columns = [part[0], pa.array(ids, pa.list_(pa.int32())), pa.array([None if x is None else len(x) for x in ids], pa.int32()), pa.array([None if x is None else int(is_byte[x].sum()) for x in ids], pa.int32())]
+            packed = [None if t is None else c.encode(t) for t in texts]
+            ids = [None if x is None else np.frombuffer(x, np.int32) for x in packed]
+            ends = np.cumsum([0, *(len(x or b"") // 4 for x in packed)]).astype(np.int32)
+            offsets = pa.array(ends, mask=np.array([*(x is None for x in packed), False]))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(x for x in packed if x), np.int32)))
+            columns = [part[0], lists, pa.array([None if x is None else len(x) for x in ids], pa.int32()), pa.array([None if x is None else int(is_byte[x].sum()) for x in ids], pa.int32())]
             if decode:
                 columns.append(pa.array([None if x is None else c.decode(x.tolist()) for x in ids], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_ids", "n_bytes", "decoded"][: len(columns)])
