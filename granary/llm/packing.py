@@ -78,7 +78,7 @@ def pack_documents(df: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.js
         raise ValueError("capacity and grain must be powers of two, grain at most capacity")
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = stored(cut_documents(docs, tokenizer, space_prefixed, end_id, capacity, grain), folder, "pieces")
+    pieces = stored(cut_documents(docs, tokenizer, space_prefixed, end_id, capacity, grain), folder, "pieces", "snappy")
 
     counts = stored(pieces.groupBy("worker", "length").agg(F.count("*").alias("n")), folder, "counts")
     earlier = Window.partitionBy("length").orderBy("worker").rowsBetween(Window.unboundedPreceding, -1)

@@ -8,19 +8,17 @@ library's on the whole text; ``tests/llm/test_tokens.py`` holds the two against
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
-import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import islice
 
-import numpy as np
 import pyarrow as pa
 
-CACHE_ENTRIES = 400_000
-#: Characters of text encoded together.
-GROUP_CHARS = 1_000_000
+CACHE_ENTRIES = 250_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -39,6 +37,22 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Pieces(dict):
+    """Ids of pieces; a new piece is encoded when it is first looked up. Frequent pieces come early, so
+    the older half stays when the bound is reached."""
+
+    def __init__(self, encode: Callable[[str], bytes], most: int):
+        super().__init__()
+        self._encode, self._most = encode, most
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self._most:
+            for key in list(islice(self, self._most // 2, None)):
+                del self[key]
+        ids = self[piece] = self._encode(piece)
+        return ids
+
+
 class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
@@ -47,8 +61,6 @@ class PieceEncoder:
     space make pre-tokens of their own. Otherwise white space only separates words and is dropped.
     """
 
-    _beside = re.compile(r"(?:(?<=\s) | (?=\s))")
-
     def __init__(self, path: str, space_prefixed: bool, cache_entries: int = CACHE_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use every core
         from tokenizers import Tokenizer
@@ -57,88 +69,72 @@ class PieceEncoder:
         self._tok.no_padding()
         self._tok.no_truncation()
         self._tok.encode_special_tokens = True
-        self._spaced = space_prefixed
-        self._limit = cache_entries
-        self._known: dict[str, bytes] = {}
+        self._spaced, self._lead = space_prefixed, "\u0120" if space_prefixed else ""
         self.size = self._tok.get_vocab_size(with_added_tokens=True)
-        self._model, self._letters = self._tok.model, byte_letters()
+        self._tokenize, self._letters = self._tok.model.tokenize, byte_letters()
         self._ends = {c: self.whole(c) for c in ".,"}
         self._line_end = self.whole("\n")
+        self._inner = _Pieces(self._piece, cache_entries)  # pieces after a space
+        self._first = _Pieces(self._bare, cache_entries // 8)  # pieces at the start of a text or line
 
     def whole(self, text: str) -> bytes:
-        return np.array(self._tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _letter_run(self, word: str, lead: bool) -> bytes:
-        """Ids of a word of Latin letters: the normaliser only lowers its case, and it is one pre-token."""
-        if not self._spaced:
-            word = word.lower()
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self._letters)
-        return array("I", [t.id for t in self._model.tokenize("\u0120" + word if lead else word)]).tobytes()
+        return array("I", self._tok.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
-    def _simple(self, word: str, lead: bool) -> bytes | None:
-        """Ids of Latin letters with or without a full stop or comma behind, which is a pre-token of its own."""
+    def _simple(self, word: str, lead: str) -> bytes | None:
+        """Ids of Latin letters, one pre-token, with or without a full stop or comma behind, which is another."""
         end = word[-1:]
         stem = word[:-1] if end in self._ends else word
-        if not stem.isalpha() or not (stem.isascii() or (max(stem) < "\u0250" and "\u0130" not in stem)):
+        if not stem.isalpha():
             return None
-        key = stem if lead == self._spaced else "\n" + stem
-        ids = self._known.get(key)
+        if not self._spaced:
+            stem = stem.lower()
+        if not stem.isascii():
+            if max(word) >= "\u0250" or "\u0130" in word:
+                return None
+            stem = stem.encode().decode("latin-1").translate(self._letters)
+        ids = array("I", [t.id for t in self._tokenize(lead + stem)]).tobytes()
+        return ids + self._ends[end] if end in self._ends else ids
+
+    def _bare(self, word: str) -> bytes:
+        ids = self._simple(word, "")
+        return self.whole(word) if ids is None else ids
+
+    def _piece(self, word: str) -> bytes | None:
+        """A piece after a space; None where white space lies beside that space or the next.
+
+        Line ends between two words are pre-tokens of their own.
+        """
+        ids = self._simple(word, self._lead)
+        if ids is None and self._spaced:
+            if not word or word[0].isspace() or word[-1].isspace():
+                return None
+            head, *lines = word.split("\n")
+            if lines and all(lines) and not any(c.isspace() for c in word.replace("\n", "")):
+                return self._line_end.join((self._inner[head], *map(self._first.__getitem__, lines)))
         if ids is None:
-            ids = self._known[key] = self._letter_run(stem, lead)
-        return ids if stem is word else ids + self._ends[end]
-
-    def _lines(self, word: str) -> bytes | None:
-        """A piece across line ends, each between two words: the line end is a pre-token of its own."""
-        parts = [self._simple(w, i == 0) for i, w in enumerate(word.split("\n"))]
-        return None if None in parts else self._line_end.join(parts)
-
-    def _learn(self, words: set[str]) -> None:
-        known, other, lines = self._known, [], self._spaced
-        for w in words:
-            ids = self._simple(w, self._spaced)
-            if ids is None and lines and "\n" in w:
-                ids = self._lines(w)
-            if ids is None:
-                other.append(w)
-            else:
-                known[w] = ids
-        lead = " " if self._spaced else ""
-        for word, enc in zip(other, self._tok.encode_batch_fast([lead + w for w in other], add_special_tokens=False)):
-            known[word] = array("I", enc.ids).tobytes()
-
-    def _joined(self, docs: list[list[str]]) -> list[bytes]:
-        words = set(chain.from_iterable(docs))
-        fresh = words.difference(self._known)
-        if fresh:
-            if len(self._known) + len(fresh) > self._limit:
-                # frequent words come early, so the older half is worth keeping
-                self._known = dict(islice(self._known.items(), self._limit // 2))
-                fresh = words.difference(self._known)
-            self._learn(fresh)
-        return [b"".join(map(self._known.__getitem__, doc)) for doc in docs]
-
-    def _group(self, texts: list[str]) -> list[bytes]:
+            ids = self.whole(" " + word if self._spaced else word)
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
         if not self._spaced:
-            return self._joined([t.replace("\n", " ").split(" ") if t else [] for t in texts])
-        whole = [any(x in t for x in ("  ", "\n ", " \n")) or (not t.replace("\n", "").isprintable() and self._beside.search(t) is not None) for t in texts]
-        docs = [[] if w or not t else t.split(" ") for t, w in zip(texts, whole)]
-        heads = self._tok.encode_batch_fast([d[0] if d else "" for d in docs], add_special_tokens=False)
-        tails = self._joined([d[1:] for d in docs])
-        return [self.whole(t) if w else np.array(h.ids, "<u4").tobytes() + b for t, w, h, b in zip(texts, whole, heads, tails)]
+            return b"".join(map(self._inner.__getitem__, text.replace("\n", " ").split(" ")))
+        head, *words = text.split(" ")
+        if not head or head[-1].isspace():
+            return self.whole(text)
+        parts = [self._first[head] if "\n" not in head else self.whole(head)]
+        last = words.pop() if words and words[-1][-1:].isspace() and not words[-1][0].isspace() else None
+        parts += map(self._inner.__getitem__, words)
+        if last is not None:
+            parts.append(self.whole(" " + last))
+        try:
+            return b"".join(parts)
+        except TypeError:  # runs of white space are pre-tokens across pieces
+            return self.whole(text)
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        out, group, size = [], [], 0
-        for text in texts:
-            group.append(text or "")
-            size += len(group[-1])
-            if size >= GROUP_CHARS:
-                out += self._group(group)
-                group, size = [], 0
-        return out + (self._group(group) if group else [])
-
-    def encode(self, text: str | None) -> bytes:
-        return self.encode_many([text])[0]
+        return [self.encode(t) for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -148,7 +144,13 @@ def encoder(name: str, space_prefixed: bool) -> PieceEncoder:
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Smaller record batches: Spark's default of 10,000 long texts is much for a worker's memory."""
+    """Smaller record batches: Spark's default of 10,000 long texts is much for a worker's memory.
+
+    At the end of the task, memory that the worker has freed goes back to the system: workers stay for later tasks.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
