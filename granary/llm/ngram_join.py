@@ -11,9 +11,9 @@ counts of each block of shingles, summed, the ``FREQUENT`` largest kept.
 
 **Pairs.** No group is ever turned into all its pairs. First each document is held against the smallest
 document of each of its signatures; links found contract documents into components. Then only
-signatures that still span two components are looked at again, and only pairs across components: small
-ones by a join; large ones with much the same documents are merged, then parted by size and cut into
-blocks of ``BLOCK`` documents that meet two at a time. A size
+signatures that still span two components are looked at again, and only pairs across components: signatures
+with much the same documents are merged and parted by size; small groups meet in a join, large ones in
+blocks of ``BLOCK`` documents, two at a time. A size
 bound and parity bitmaps (documents differ in at least as many shingles as bitmaps differ in bits) drop pairs
 before shingle sets are fetched; what remains is verified exactly. A bitmap has about as many bits as the
 document has shingles, 256 at least; folded in halves it is the bitmap of fewer bits.
@@ -42,7 +42,7 @@ FREQUENT, FREQUENT_FROM = 1 << 17, 16
 COUNT_BLOCK, COUNT_FROM = 1_500_000, 3
 #: Size classes below 2**COMBINE_FROM use single shingles only.
 COMBINE_FROM = 5
-#: Documents of a signature that meet in a join; more are cut into blocks of BLOCK documents.
+#: Documents of a group that meet in a join; more are cut into blocks of BLOCK documents.
 JOINED, BLOCK = 48, 512
 #: Ids up to which the list of documents to fetch is broadcast (8 MB).
 BROADCAST_IDS = 1_000_000
@@ -354,15 +354,17 @@ def similarity_components(df: DataFrame, folder: str, n: int = 5, num: int = 80,
     split = members.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 < c1").select("sig", "m")
     open_rows = stored(members.join(split, "sig"), folder, "open")
     at = nodes.drop("bits").join(comp.where("doc_id = rep").select("rep", "comp"), "rep")
-    few = open_rows.where(F.col("m") <= JOINED).select("sig", "rep").join(at, "rep")
-    crossing = few.alias("x").join(few.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & may_link("x", "y", short_bits("x", "y"), num, den))
-    crossing = crossing.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
     # partners' sizes differ by one step of den/num at most: a document meets those of its step and of the two beside it
     step = F.floor(F.log("n_shingles") / float(np.log(den / num) if num < den else 1.0) + 1e-9)
-    many = stored(_grouped(open_rows.where(F.col("m") > JOINED).select("sig", "rep", "m")).join(at, "rep").withColumn("own", step).withColumn("step", F.explode(F.array("own", F.col("own") + 1))).withColumn("late", F.col("own") == F.col("step")), folder, "many")
-    sizes = many.groupBy("grp", "step").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("grp", "step", F.expr(f"cast(ceil(size / {BLOCK}) as int)").alias("blocks"))
-    many = many.join(sizes, ["grp", "step"]).withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
+    stepped = _grouped(open_rows.select("sig", "rep", "m")).join(at, "rep").withColumn("own", step)
+    met = stored(stepped.withColumn("step", F.explode(F.array("own", F.col("own") + 1))).withColumn("late", F.col("own") == F.col("step")), folder, "met")
+    sizes = met.groupBy("grp", "step").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("grp", "step", "size")
+    sized = stored(met.join(sizes, ["grp", "step"]), folder, "sized")
+    few = sized.where(F.col("size") <= JOINED)
+    crossing = few.alias("x").join(few.alias("y"), (F.col("x.grp") == F.col("y.grp")) & (F.col("x.step") == F.col("y.step")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.late") | F.col("y.late")) & may_link("x", "y", short_bits("x", "y"), num, den))
+    crossing = crossing.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    many = sized.where(F.col("size") > JOINED).withColumn("blocks", F.expr(f"cast(ceil(size / {BLOCK}) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
     many = many.withColumn("meets", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("i", F.least("block", "meets")).withColumn("j", F.greatest("block", "meets"))
     blocks = many.select("grp", "step", "i", "j", "late", "rep", "comp", "n_shingles", *BITMAP).groupBy("grp", "step", "i", "j").applyInPandas(block_pairs(num, den), "a long, b long")
     crossing = stored(bounded(crossing.union(blocks).distinct()), folder, "crossing")
