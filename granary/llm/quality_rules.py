@@ -4,12 +4,17 @@ Each text gets its counts; a KLL quantile sketch per (lang, source) and measure
 documents, partial sketches first, merged by key. The sketches of a language's sources are merged once more, and a
 group's threshold comes from its own sketch, or from the language's where the group holds fewer than
 ``MIN_GROUP`` documents, or from the whole corpus' where that does. A threshold is an outer fence: third quartile
-plus ``FENCE`` times the spread between quartiles, and no tighter than the measure's floor, so that groups
-with hardly any spread do not reject ordinary documents. The small threshold table is joined to the counts
-and each measure above its threshold rejects the document, with a reason.
+plus ``FENCE`` times the spread between quartiles. The small threshold table is joined to the counts
+and each measure above its threshold rejects the document, with a reason. There are no fixed cutoffs.
 
-A group of which junk is more than a quarter would carry its own fence away; a group's fence is
-therefore held to its language's fence, where that is the tighter one by ``HELD`` times.
+Most rates are zero in most documents, which leaves quartiles no spread. Measures are therefore logarithms of rates
+with one added above and below: a document without symbols then counts by its length, and quartiles spread as lengths do.
+
+A group of which junk is more than a quarter would carry its own fence away; a group's fence is therefore held to
+its language's fence, moved up as far as the group's median lies above the language's. A group that is
+different as a whole gets the looser fence it needs; junk short of half of a group does not move the median far.
+
+Repeated words have a base rule of their own and no fence.
 
 Words are runs of anything but ``[\\x20\\x09-\\x0D]``. Nulls: a null text has no words and fails the base rules; a
 null lang or source is a group of its own. Very long texts stay in one row. Repeated rows are judged each. An
@@ -27,9 +32,8 @@ from .common import shared_folder, stored, table
 SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: Adaptive measures with the floor below which none is a reason to reject.
-MEASURES = {"symbol_rate": 0.10, "dup_line_rate": 0.30, "repeat_rate": 0.20, "upper_rate": 0.40, "mean_word": 14.0}
-MIN_GROUP, FENCE, HELD, SKETCH_K = 200, 3.0, 1.0, 400
+MEASURES = ["symbol_rate", "dup_line_rate", "upper_rate", "mean_word"]
+MIN_GROUP, FENCE, SKETCH_K = 200, 3.0, 400
 _KEYS = ["lang", "source"]
 
 
@@ -90,13 +94,14 @@ def with_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def measures() -> dict[str, Column]:
+    """Logarithms of rates, one added to both counts."""
+
     def rate(x: str, of: str) -> Column:
-        return F.when(F.col(of) > 0, F.col(x) / F.col(of)).otherwise(F.lit(0.0))
+        return F.log((F.col(x) + 1) / (F.col(of) + 1))
 
     return {
         "symbol_rate": rate("n_symbols", "word_chars"),
-        "dup_line_rate": rate("n_dup_lines", "n_lines"),
-        "repeat_rate": rate("n_repeat_words", "n_words"),
+        "dup_line_rate": rate("n_dup_lines", "n_words"),
         "upper_rate": rate("n_upper", "word_chars"),
         "mean_word": rate("word_chars", "n_words"),
     }
@@ -108,18 +113,19 @@ def base_failed() -> Column:
 
 def thresholds(counted: DataFrame, folder: str) -> DataFrame:
     """One row per (lang, source) with ``max_<measure>``."""
-    found = list(MEASURES)
+    found = MEASURES
     valued = counted.select(*[F.col(k).cast("string").alias(k) for k in _KEYS], *[c.alias(m) for m, c in measures().items()])
     sketched = valued.groupBy(*_KEYS).agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in found])
     sketched = stored(sketched, folder, "sketches")
     merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in found]]
 
     def fences(df: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
-        def fence(m: str) -> Column:
-            q = F.kll_sketch_get_quantile_double(m, F.array(F.lit(0.25), F.lit(0.75)))
-            return F.when(F.col("n") > 0, F.greatest(F.lit(MEASURES[m]), F.get(q, 1) + FENCE * (F.get(q, 1) - F.get(q, 0))))
+        def read(m: str) -> list[Column]:
+            q = F.kll_sketch_get_quantile_double(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+            fence, middle = F.get(q, 2) + FENCE * (F.get(q, 2) - F.get(q, 0)), F.get(q, 1)
+            return [F.when(F.col("n") > 0, fence).alias(f"{prefix}_{m}"), F.when(F.col("n") > 0, middle).alias(f"{prefix}_mid_{m}")]
 
-        return df.select(*keys, F.col("n").alias(f"{prefix}_n"), *[fence(m).alias(f"{prefix}_{m}") for m in found])
+        return df.select(*keys, F.col("n").alias(f"{prefix}_n"), *[c for m in found for c in read(m)])
 
     groups = fences(sketched, "group", _KEYS)
     langs = fences(sketched.groupBy("lang").agg(*merged), "lang", ["lang"]).withColumnRenamed("lang", "of_lang")
@@ -127,8 +133,10 @@ def thresholds(counted: DataFrame, folder: str) -> DataFrame:
     joined = groups.join(langs, F.col("lang").eqNullSafe(F.col("of_lang")))
 
     def chosen(m: str) -> Column:
-        wide = F.when(F.col("lang_n") >= MIN_GROUP, F.col(f"lang_{m}")).otherwise(F.lit(whole[f"all_{m}"]))
-        return F.when(F.col("group_n") >= MIN_GROUP, F.least(F.col(f"group_{m}"), HELD * wide)).otherwise(wide)
+        own = F.col("lang_n") >= MIN_GROUP
+        wide, middle = (F.when(own, F.col(f"lang_{x}")).otherwise(F.lit(whole[f"all_{x}"])) for x in (m, f"mid_{m}"))
+        held = wide + F.greatest(F.col(f"group_mid_{m}") - middle, F.lit(0.0))
+        return F.when(F.col("group_n") >= MIN_GROUP, F.least(F.col(f"group_{m}"), held)).otherwise(wide)
 
     return joined.select(*_KEYS, *[chosen(m).alias(f"max_{m}") for m in found])
 

@@ -76,3 +76,20 @@ def test_awkward_rows(spark, docs, corpus, nothing):
     assert len(rows) == len(corpus) and not any(r.kept for r in rows if r.doc_id in (300, 301, 302))
     assert Q.judged(nothing, shared_folder(spark)).count() == 0
     assert Q.filtered(docs, shared_folder(spark)).columns == docs.columns
+
+
+def test_sketches_decide(spark):
+    """Symbols at a third of the letters are ordinary in one source; a twelfth is junk in another."""
+    rng = random.Random(10)
+    rows, junk = [], set()
+    for i in range(1250):
+        words = prose(rng, rng.randint(30, 90), 5000).split()
+        if i % 5 == 0:
+            words = [w + "#" * rng.randint(1, 2) for w in words]
+        elif i % 25 == 1:
+            junk.add(i)
+            words = [w + "##" if k % 5 == 0 else w for k, w in enumerate(words)]
+        rows.append((i, " ".join(words), "en", "code" if i % 5 == 0 else "plain"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = Q.judged(df, shared_folder(spark)).where("not kept").collect()
+    assert {r.doc_id for r in got} == junk and all("symbol_rate" in r.reasons for r in got)
