@@ -122,6 +122,11 @@ def dedup_url_first(spark: SparkSession, d: str) -> DataFrame:
 
 
 def national_selection(spark: SparkSession, d: str) -> DataFrame:
+    return news.national(articles(spark, d), NOW, YEAR, RULES, LIMITS).select("_ord", "url", "source_group", "news_category", "quality_score", "selected")
+
+
+def national_by_page(spark: SparkSession, d: str) -> DataFrame:
+    """The plan with copies told by page only, which SQL can hold: a test of scoring and caps, not the operator."""
     return news.national(articles(spark, d), NOW, YEAR, RULES, LIMITS, near=False).select("_ord", "url", "source_group", "news_category", "quality_score", "selected")
 
 
@@ -461,7 +466,8 @@ _PAIRS = {
     "summaries": (summaries, SUMMARY_SQL),
     "assess_category": (assess_category, ASSESS_SQL),
     "article_quality": (article_quality, QUALITY_SQL),
-    "national_selection": (national_selection, NATIONAL_SQL),
+    "national_selection": (national_selection, None),
+    "national_by_page": (national_by_page, NATIONAL_SQL),
     "near_leaders": (near_leaders, None),
     "overlap_leaders": (overlap_leaders, None),
     "dedup_url_first": (dedup_url_first, f"with a as ({ARTICLES_SQL}) select _ord, url, title from a qualify row_number() over (partition by url order by _ord) = 1"),
