@@ -149,11 +149,11 @@ select o._ord, o.url, o.source_group, o.news_category, o.quality_score, s2.selec
 
 def near_leaders(spark: SparkSession, d: str) -> DataFrame:
     a = classify.annotate(articles(spark, d), RULES).withColumn("quality_score", score.national_quality(NOW, RULES))
-    return dedup.leaders_national(a, ["skill_name"]).select("_ord", "_place")
+    return dedup.leaders_national(a).select("_ord", "_place")
 
 
 def overlap_leaders(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.leaders_overlap(articles(spark, d), ["skill_name"]).select("_ord", "title")
+    return dedup.leaders_overlap(articles(spark, d)).select("_ord", "title")
 
 
 def best_scores(spark: SparkSession, d: str) -> DataFrame:
