@@ -19,6 +19,8 @@ from .streaming import states
 #: Words that occur in the test tables' prose, in place of the default vocabulary.
 RULES = L.NewsRules(core=("from", "with", "dans", "von", "heing"), related=("this", "que", "der"), context=("ation", "ung"), hard_exclude=("###", "!!"), unrelated=("thble", "lich"), bid=("ering", "ción"), event=("at", "was", "des"), policy=("onre",), case=("and", "und"), ambiguous=("von",), listicle=("The",))
 LIMITS = L.Limits()
+#: The reference's local keywords.
+LOCAL_REGIONS = ("无锡", "无锡市", "新区", "新吴区", "锡山区", "惠山区", "滨湖区")
 
 
 def _any(c: str, words, bounded: bool = False) -> str:  # noqa: ANN001
@@ -453,8 +455,7 @@ def opportunity_day(spark: SparkSession, d: str) -> DataFrame:
 
 def other_scope_day(spark: SparkSession, d: str) -> DataFrame:
     a = articles(spark, d).withColumns({"region_scope": F.lit("discover"), "skill_name": F.when(F.col("_ord") % 2 == 0, "知乎发现").otherwise("B站发现")})
-    kept = filters.filter_relevant(a)
-    return kept.select("_ord", "news_category")
+    return news.other_scope(a, NOW, LIMITS.discover, LOCAL_REGIONS).select("_ord", "skill_name", "news_category", "demand_signal", "score")
 
 
 _PAIRS = {
