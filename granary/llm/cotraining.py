@@ -2,13 +2,15 @@
 
 The content view sees shares of word shapes (case, digits, marks), how many words and lines of the text are distinct, and
 word lengths; the metadata view sees source, language, size and line layout. Each view has its own logistic
-classifier. In each of ``ROUNDS`` rounds a view gives its ``GIVEN`` most confident unlabelled documents, in the
-classes' labelled proportion, with pseudo-labels to the other view, never to itself. Afterwards each view's
-log-odds are calibrated on labelled documents that no round trained on, a logistic of both is fitted there, and
-its output scores every document.
+classifier. In each of ``ROUNDS`` rounds a view scores every unlabelled document and gives the most confident ones, a
+``SHARE`` of all (``GIVEN`` at least) in the classes' labelled proportion, with pseudo-labels to the other view,
+never to itself. Afterwards each view's log-odds are calibrated on labelled documents that no round trained on, a
+logistic of both is fitted there, and its output scores every document.
 
-The fit takes at most ``LABELLED`` labelled and ``UNLABELLED`` other documents, the first by a hash of their ids. Scoring
-covers all rows and whole texts.
+Views are computed once, from whole texts, and stored as sparse rows. A round is a rule (a view's weights and the
+odds from which it is confident), so rows keep no state. Confidence is counted in bins of 0.01 of log-odds, and
+rows of one bin are given together. Only the matrix of a fit is bounded: at most ``LABELLED`` labelled rows and
+``FITTED`` pseudo-labelled ones, the first by a hash of their ids. Scoring covers all rows and whole texts.
 
 Nulls: a null text is an empty text; null language and source are values of their own; null labels do not train.
 Without both kinds of labels every score is the share of good labels, or 1 without labels. Repeated rows score
@@ -27,12 +29,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shared_folder, stored, table
 from .tokens import slices
 from .toxicity import calibrated
 
-LABELLED, UNLABELLED = 6_000, 6_000
-ROUNDS, GIVEN = 4, 400
+LABELLED, FITTED = 6_000, 12_000
+ROUNDS, GIVEN, SHARE = 4, 400, 1 / 15
+#: Log-odds are held within BOUND and counted in bins; the outer ones are confident (chance below 0.1 or above 0.9).
+BOUND, BIN = 30, 0.01
+BINS = round(2 * BOUND / BIN) + 1
+_LOW, _HIGH = int((BOUND - np.log(9)) / BIN) - 1, int((BOUND + np.log(9)) / BIN) + 1
 #: Width of the views; the content view's last places hold measures, the others shape shares.
 CONTENT, MEASURED, METADATA = 512, 16, 256
 _RUN = re.compile(r"(.)\1+")
@@ -110,35 +116,141 @@ class Model:
         return x, y, self.both[0] * x + self.both[1] * y + self.both[2]
 
 
-def cotrain(a: np.ndarray, b: np.ndarray, labels: np.ndarray) -> Model:
-    """``a`` and ``b``: the two views of the same rows; labels 0, 1, or -1 where unknown."""
-    known = np.flatnonzero(labels >= 0)
-    share = float(labels[known].mean()) if len(known) else 1.0
+@dataclass
+class Rule:
+    """What a view teaches the other in a round: 0 up to the bin ``low``, 1 from ``high`` on."""
+
+    view: int
+    weights: np.ndarray
+    low: int
+    high: int
+
+
+def _bins(odds: np.ndarray) -> np.ndarray:
+    return ((np.clip(odds, -BOUND, BOUND) + BOUND) / BIN).astype(np.int64)
+
+
+def taught(odds, n: int, rules: list[Rule]) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+    """Both views' pseudo-labels (-1: none) of ``n`` rows; ``odds(view, weights)`` gives log-odds. Earlier rules come first."""
+    out = np.full(n, -1), np.full(n, -1)
+    for rule in rules:
+        to, at = out[1 - rule.view], _bins(odds(rule.view, rule.weights))
+        free = to < 0
+        to[free & (at <= rule.low)], to[free & (at >= rule.high)] = 0, 1
+    return out
+
+
+def confidence(odds, n: int, rules: list[Rule], weights: list[np.ndarray]) -> np.ndarray:  # noqa: ANN001
+    """(view, bin): how many rows that a view has not yet taught the other fall into a bin."""
+    labels = taught(odds, n, rules)
+    return np.stack([np.bincount(_bins(odds(v, weights[v]))[labels[1 - v] < 0], minlength=BINS) for v in (0, 1)])
+
+
+class _Held:
+    """Unlabelled rows held in memory."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.views = a, b
+
+    def _odds(self, view: int, weights: np.ndarray) -> np.ndarray:
+        return self.views[view] @ weights
+
+    def confidence(self, rules: list[Rule], weights: list[np.ndarray]) -> np.ndarray:
+        return confidence(self._odds, len(self.views[0]), rules, weights)
+
+    def sample(self, rules: list[Rule]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        labels = taught(self._odds, len(self.views[0]), rules)
+        rows = np.flatnonzero((labels[0] >= 0) | (labels[1] >= 0))[:FITTED]
+        return self.views[0][rows], self.views[1][rows], labels[0][rows], labels[1][rows]
+
+
+class _Stored:
+    """Unlabelled rows in a table of sparse views (doc_id, at, value)."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def confidence(self, rules: list[Rule], weights: list[np.ndarray]) -> np.ndarray:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, BINS), np.int64)
+            for part in batches:
+                total += confidence(_sparse_odds(part), part.num_rows, rules, weights)
+            view, at = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(view, pa.int32()), pa.array(at, pa.int32()), pa.array(total[view, at], pa.int64())], ["view", "bin", "n"])
+
+        found = self.rows.mapInArrow(count, "view int, bin int, n long").groupBy("view", "bin").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros((2, BINS), np.int64)
+        out[found["view"].to_numpy(), found["bin"].to_numpy()] = found["n"].to_numpy()
+        return out
+
+    def sample(self, rules: list[Rule]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                y = taught(_sparse_odds(part), part.num_rows, rules)
+                out = pa.RecordBatch.from_arrays([part["doc_id"], part["at"], part["value"], *(pa.array(x.astype(np.int32)) for x in y)], ["doc_id", "at", "value", "y0", "y1"])
+                yield out.filter(pa.array((y[0] >= 0) | (y[1] >= 0)))
+
+        found = self.rows.mapInArrow(teach, "doc_id long, at array<int>, value array<float>, y0 int, y1 int")
+        found = found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FITTED).toArrow().sort_by("doc_id")
+        return *_dense(found), found["y0"].to_numpy().astype(np.int64), found["y1"].to_numpy().astype(np.int64)
+
+
+def _sparse_odds(part: pa.RecordBatch):  # noqa: ANN202
+    at, value, n = part["at"].flatten().to_numpy(), part["value"].flatten().to_numpy(), part.num_rows
+    row = np.repeat(np.arange(n), part["at"].value_lengths().to_numpy())
+
+    def odds(view: int, weights: np.ndarray) -> np.ndarray:
+        whole = np.concatenate([weights, np.zeros(METADATA)] if view == 0 else [np.zeros(CONTENT), weights])
+        return np.bincount(row, whole[at] * value, n)
+
+    return odds
+
+
+def _dense(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    out = np.zeros((found.num_rows, CONTENT + METADATA), np.float32)
+    for i, (at, value) in enumerate(zip(found["at"].to_pylist(), found["value"].to_pylist())):
+        out[i, at] = value
+    return out[:, :CONTENT], out[:, CONTENT:]
+
+
+def cotrain(a: np.ndarray, b: np.ndarray, labels: np.ndarray, pool: _Held | _Stored | None = None) -> Model:
+    """``a`` and ``b``: the two views of the same rows; labels 0, 1, or -1 where unknown. ``pool``: the unlabelled rows, if not these."""
+    pool = pool or _Held(a[labels < 0], b[labels < 0])
+    a, b, labels = a[labels >= 0], b[labels >= 0], labels[labels >= 0]
+    known = np.arange(len(labels))
+    share = float(labels.mean()) if len(known) else 1.0
     if not 0 < share < 1:
         odds = float(np.log(np.clip(share, 1e-6, 1 - 1e-6) / np.clip(1 - share, 1e-6, 1)))
         return Model(np.zeros(a.shape[1]), np.zeros(b.shape[1]), ((1.0, 0.0), (1.0, 0.0)), np.array([0, 0, odds]))
     held, first = known[::3], np.setdiff1d(known, known[::3])
     if len(np.unique(labels[held])) < 2 or len(np.unique(labels[first])) < 2:
         held = first = known
-    views, taught = (a, b), [labels.copy(), labels.copy()]
-    for t in taught:
-        t[np.setdiff1d(held, first)] = -1
-    unknown = labels < 0
+    views = (a, b)
+    rules: list[Rule] = []
+    more = None
     weights = [np.zeros(a.shape[1]), np.zeros(b.shape[1])]
     for turn in range(ROUNDS + 1):
         for v in (0, 1):
-            rows = np.flatnonzero(taught[v] >= 0)
-            weights[v] = logistic(views[v][rows], taught[v][rows], np.where(unknown[rows], 0.5, 1.0))
+            x, y, weight = views[v][first], labels[first], np.ones(len(first))
+            if more is not None:
+                given = more[2 + v] >= 0
+                x, y = np.concatenate([x, more[v][given]]), np.concatenate([y, more[2 + v][given]])
+                weight = np.concatenate([weight, np.full(given.sum(), 0.5)])
+            weights[v] = logistic(x, y, weight)
         if turn == ROUNDS:
             break
+        counts = pool.confidence(rules, weights)
+        if not turn:
+            give = max(GIVEN, round(SHARE * int(counts[0].sum())))
         for v in (0, 1):
-            free = np.flatnonzero(unknown & (taught[1 - v] < 0))
-            order = free[np.argsort(views[v][free] @ weights[v], kind="stable")]
-            bad = min(round(GIVEN * (1 - share)), len(order) // 2)
-            good = min(GIVEN - bad, len(order) - bad)
-            sure = 1 / (1 + np.exp(-np.clip(views[v][order] @ weights[v], -30, 30)))
-            low, high = order[:bad][sure[:bad] < 0.1], order[len(order) - good :][sure[len(order) - good :] > 0.9]
-            taught[1 - v][low], taught[1 - v][high] = 0, 1
+            n = int(counts[v].sum())
+            bad = min(round(give * (1 - share)), n // 2)
+            good = min(give - bad, n - bad)
+            up, down = np.cumsum(counts[v]), np.cumsum(counts[v][::-1])
+            low = min(int(np.searchsorted(up, bad)), _LOW) if bad else -1
+            high = max(BINS - 1 - int(np.searchsorted(down, good)), _HIGH) if good else BINS
+            rules.append(Rule(v, weights[v].copy(), low, high))
+        more = pool.sample(rules)
     y, even = labels[held].astype(float), np.ones(len(held))
     odds = [np.clip(views[v][held] @ weights[v], -30, 30) for v in (0, 1)]
     fitted = tuple(calibrated(o, y, even) for o in odds)
@@ -160,22 +272,22 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model:
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
     known = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("quality")).dropDuplicates(["doc_id"])
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    chosen = ids.join(known, "doc_id").orderBy(*order).limit(labelled)
-    others = ids.join(known, "doc_id", "left_anti").orderBy(*order).limit(unlabelled).withColumn("quality", F.lit(-1))
-    rows = _documents(docs).join(F.broadcast(chosen.unionByName(others)), "doc_id")
 
     def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, a, b in _views(batches):
-            yield pa.RecordBatch.from_arrays([part["doc_id"], part["quality"], pa.array([x.tobytes() for x in a], pa.binary()), pa.array([x.tobytes() for x in b], pa.binary())], ["doc_id", "quality", "a", "b"])
-
-    found = rows.mapInArrow(views, "doc_id long, quality int, a binary, b binary").toArrow().sort_by("doc_id")
-    n = found.num_rows
-    a, b = (np.frombuffer(b"".join(found[c].to_pylist()), np.float32).reshape(n, -1 if n else w) for c, w in (("a", CONTENT), ("b", METADATA)))
-    return cotrain(a, b, found["quality"].to_numpy().astype(np.int64))
+            whole = np.concatenate([a, b], 1)
+            row, at = np.nonzero(whole)
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(whole)))]), pa.int32())
+            lists = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in (at.astype(np.int32), whole[row, at]))
+            yield pa.RecordBatch.from_arrays([part["doc_id"], *lists], ["doc_id", "at", "value"])
+
+    sparse = _documents(docs).where("doc_id is not null").mapInArrow(views, "doc_id long, at array<int>, value array<float>")
+    rows = stored(sparse.join(known, "doc_id", "left"), shared_folder(docs.sparkSession), "views")
+    chosen = rows.where("quality is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).toArrow().sort_by("doc_id")
+    pool = _Stored(rows.where("quality is null").select("doc_id", "at", "value"))
+    return cotrain(*_dense(chosen), chosen["quality"].to_numpy().astype(np.int64), pool)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -62,3 +62,28 @@ def test_one_kind_of_label_or_none(spark, docs, corpus, labels, score):
 def test_nothing(spark, nothing):
     model = C.train(nothing, spark.createDataFrame([(0, 1)], "doc_id long, quality int"))
     assert C.scored(nothing, model).count() == 0 and C.filtered(nothing, model).count() == 0
+
+
+def test_rounds_reach_every_unlabelled_row(spark, monkeypatch):
+    """What is given grows with the corpus, comes from all of it, and is the same in Spark as in memory."""
+    seen = []
+    sample = C._Stored.sample
+
+    def watched(self, rules):
+        ids = {r.doc_id for r in self.rows.select("doc_id").collect()}
+        found = sample(self, rules)
+        mine = C._Held(*C._dense(self.rows.orderBy("doc_id").toArrow())).sample(rules)
+        seen.append((len(ids), len(found[0]), all(np.array_equal(x, y) for x, y in zip(found, mine))))
+        return found
+
+    monkeypatch.setattr(C._Stored, "sample", watched)
+    rng = random.Random(7)
+    rows = []
+    for i in range(9000):
+        bad = i % 5 == 0
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(10, 30))]
+        rows.append((i, " ".join(w.upper() + "!!" if bad else w for w in words), "en", "spam" if bad else f"s{i % 4}", int(not bad)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, quality int")
+    model = C.train(df.drop("quality"), df.where("doc_id < 300").select("doc_id", "quality"))
+    assert len(seen) == C.ROUNDS and all(n == 8700 and same for n, _, same in seen)
+    assert seen[-1][1] > 1600 and model.content.any()
