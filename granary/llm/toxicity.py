@@ -9,8 +9,8 @@ settle on the words that set toxic sentences apart. Only document labels are see
 sentences that raise a score are named (``offending_sentences``).
 
 Training takes at most ``TRAIN_TOXIC`` toxic and ``TRAIN_CLEAN`` other labelled documents, the first by a
-hash of their ids, and of each at most ``TRAIN_WORDS`` words: bounds of the fit only. Scoring covers all rows and
-whole texts. The score is calibrated on the training bags by a logistic of the log-odds, with the sampling
+hash of their ids: a bound of the fit only. Their texts are read whole, twice: once to count features in Spark, once for
+the instances that hold a telling one, which alone reach the driver. Scoring covers all rows and whole texts. The score is calibrated on the training bags by a logistic of the log-odds, with the sampling
 weighed back.
 
 Nulls: a null or empty text has no sentence with a feature and gets the lowest score there is; a null
@@ -34,7 +34,7 @@ from .common import table
 from .tokens import slices
 
 BUCKETS = 1 << 20
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_WORDS = 2_000, 4_000, 3_000
+TRAIN_TOXIC, TRAIN_CLEAN = 2_000, 4_000
 #: Features kept at most, standard deviations from chance and documents that each needs.
 FEATURES, LEAST_Z, LEAST_DOCS = 4_000, 5.0, 5
 EPOCHS, RATE, DECAY = 150, 0.1, 1e-5
@@ -71,17 +71,18 @@ class _Features(dict):
         return value
 
 
-def bag(text: str | None, known: dict[str, list[int]], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features of a text's words and the number of the instance each lies in."""
-    ids, owner, n, words = [], [], 0, 0
-    for _, found in instances(text):
+def bag(text: str | None, known: dict[str, list[int]], used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Features of a text's words, those in ``used`` if given, and the number of the instance each lies in."""
+    ids, owner = [], []
+    for n, (_, found) in enumerate(instances(text)):
         for word in found:
             ids += known[word]
         owner += [n] * (len(ids) - len(owner))
-        n, words = n + 1, words + len(found)
-        if words >= most:
-            break
-    return np.array(ids, "<i4"), np.array(owner, "<i4")
+    ids, owner = np.array(ids, "<i4"), np.array(owner, "<i4")
+    if used is None:
+        return ids, owner
+    kept = np.isin(ids, used)
+    return ids[kept], owner[kept]
 
 
 @dataclass
@@ -141,29 +142,21 @@ def _bag_odds(p: np.ndarray) -> float:
     return float(_odds(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
 
 
-def telling(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> np.ndarray:
-    """Features whose share of toxic documents is furthest from chance."""
-    docs, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for (ids, _), y in zip(bags, labels):
-        distinct = np.unique(ids)
-        docs[distinct] += 1
-        if y:
-            toxic[distinct] += 1
-    share = labels.mean()
-    z = (toxic - docs * share) / np.sqrt(docs * share * (1 - share) + 1)
-    top = np.argsort(-np.abs(z), kind="stable")[:FEATURES]
-    return np.sort(top[(np.abs(z[top]) >= LEAST_Z) & (docs[top] >= LEAST_DOCS)])
+def telling(counted: DataFrame, n: int, share: float) -> np.ndarray:
+    """Features (feature, docs, toxic) whose share of toxic documents is furthest from chance, of ``n`` documents."""
+    docs = F.col("docs")
+    z = F.abs((F.col("toxic") - docs * share) / F.sqrt(docs * (share * (1 - share)) + 1))
+    found = counted.withColumn("z", z).where((F.col("z") >= LEAST_Z) & (docs >= LEAST_DOCS))
+    return np.sort(np.array([r["feature"] for r in found.orderBy(F.desc("z"), "feature").limit(FEATURES).select("feature").collect()], np.int64))
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, toxic_share: float) -> Model:
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, toxic_share: float, used: np.ndarray) -> Model:
     """Gradient descent with per-weight step sizes on the noisy-or log-loss."""
     if not len(labels) or labels.min() == labels.max():
         share = np.clip(toxic_share, 1e-9, 1 - 1e-9) if len(labels) else 1e-9
         return Model({}, 0.0, 0.0, float(np.log(share / (1 - share))))
-    used = telling(bags, labels)
-    kept = [np.isin(ids, used) for ids, _ in bags]
-    word = np.searchsorted(used, np.concatenate([ids[k] for (ids, _), k in zip(bags, kept)]))
-    place = np.concatenate([(d << 32) + owner[k] for d, ((_, owner), k) in enumerate(zip(bags, kept))])
+    word = np.searchsorted(used, np.concatenate([ids for ids, _ in bags]))
+    place = np.concatenate([(d << 32) + owner for d, (_, owner) in enumerate(bags)])
     places, sent = np.unique(place, return_inverse=True)  # sentences that hold a feature
     doc = places >> 32
     y = labels.astype(float)
@@ -210,16 +203,31 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: i
     chosen = known.where("toxic = 1").orderBy(*order).limit(toxic).union(known.where("toxic = 0").orderBy(*order).limit(clean))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total = _Features(), np.zeros((2, BUCKETS), np.int32)
+        for part in slices(batches):
+            for text, y in zip(part[1].to_pylist(), part[2].to_pylist()):
+                distinct = np.unique(bag(text, known)[0])
+                total[0, distinct] += 1
+                total[1, distinct] += y
+        at = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(x[at], pa.int64()) for x in total)], ["feature", "docs", "toxic"])
+
+    sizes = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n = sum(sizes.values())
+    counted = texts.mapInArrow(count, "feature long, docs long, toxic long").groupBy("feature").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
+    used = telling(counted, n, sizes.get(1, 0) / n) if len(sizes) == 2 else np.zeros(0, np.int64)
+
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Features()
         for part in slices(batches):
-            found = [bag(t, known, TRAIN_WORDS) for t in part[1].to_pylist()]
+            found = [bag(t, known, used) for t in part[1].to_pylist()]
             yield pa.RecordBatch.from_arrays([part[0], part[2], *(pa.array([x[i].tobytes() for x in found], pa.binary()) for i in (0, 1))], ["doc_id", "toxic", "words", "owner"])
 
     rows = texts.mapInArrow(bags, "doc_id long, toxic int, words binary, owner binary").orderBy("doc_id").toArrow().to_pylist()
     held = [(np.frombuffer(r["words"], "<i4"), np.frombuffer(r["owner"], "<i4").astype(np.int64)) for r in rows]
     total = sum(counts.values())
-    return fit(held, np.array([r["toxic"] for r in rows]), counts.get(1, 0) / total if total else 0.0)
+    return fit(held, np.array([r["toxic"] for r in rows]), counts.get(1, 0) / total if total else 0.0, used)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

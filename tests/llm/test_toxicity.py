@@ -64,3 +64,17 @@ def test_one_kind_of_label_or_none(spark, docs, labels):
     model = X.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
     scores = {round(r.score, 6) for r in X.scored(docs, model).collect()}
     assert len(scores) == 1 and (scores.pop() > 0.99) == bool(labels and labels[0][1])
+
+
+def test_training_reads_whole_texts(spark):
+    """Every toxic sentence lies past 3,000 words of its document."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(240):
+        text = [sentence(rng) for _ in range(520)]
+        rows.append((i, " ".join([*text, sentence(rng, True)] if i % 3 == 0 else text), int(i % 3 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = X.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert {f for b in BAD for f in X.features(b)[1:2]} & set(model.weights)
+    got = {r.doc_id: r for r in X.scored(df, model).collect()}
+    assert np.mean([got[i].worst_sentence == 520 for i, _, y in rows if y]) >= 0.9
