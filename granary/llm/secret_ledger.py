@@ -43,9 +43,11 @@ BASE_RULES = (
     Rule("access", 1, "AKIA[A-Z0-9]+", 0, 16, "AKIA[A-Z0-9]{12}", "AKIA[A-Z0-9]{12,}"),
     Rule("hex", 1, "[0-9a-f]+", 0, 32, "[0-9a-f]{32}", "[0-9a-f]{32,}"),
 )
+#: A key block: header fields, base64 and the END line; without an END line, as far as whole lines of base64 go.
+_KEY = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\x20\t\r]*\n(?:Proc-Type|DEK-Info):[^\n]*)*(?:[A-Za-z0-9+/=\x20\t\r\n]*-----END [A-Z ]*PRIVATE KEY-----|(?:[\x20\t\r]*\n+[A-Za-z0-9+/=]{16,})*)"
 #: What the method adds: key blocks and signed web tokens.
 MORE_RULES = (
-    Rule("pem", 1, "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", 2, _KEY, 0, 1, "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*", 0, 1, r"eyJ[A-Za-z0-9_-]{8}"),
 )
 #: Spans up to which findings are broadcast to where the texts are (about 50 MB with their blobs).

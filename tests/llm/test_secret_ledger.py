@@ -73,3 +73,11 @@ def test_redaction_keeps_the_rest(spark, versions):
 def test_nothing(spark, versions):
     found, ledger = S.scan(versions.limit(0), shared_folder(spark))
     assert found.count() == 0 and ledger.count() == 0
+
+
+def test_key_blocks_go_whole(spark):
+    body = "\n".join(["MIIEowIBAAKCAQEA+/" * 3] * 40)
+    whole = f"a\n-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{body}\n-----END RSA PRIVATE KEY-----\nz."
+    rows = [(1, whole), (2, f"-----BEGIN PRIVATE KEY-----\n{body}"), (3, "-----BEGIN PRIVATE KEY----- begins it\nso.")]
+    got = {r.doc_id: r.text for r in S.without_secrets(spark.createDataFrame(rows, "doc_id long, text string"), shared_folder(spark)).collect()}
+    assert got == {1: "a\n[SECRET]\nz.", 2: "[SECRET]", 3: "[SECRET] begins it\nso."}
