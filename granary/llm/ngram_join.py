@@ -12,15 +12,18 @@ counts of each block of shingles, summed, the ``FREQUENT`` largest kept.
 **Pairs.** No group is ever turned into all its pairs. First each document is held against the smallest
 document of each of its signatures; links found contract documents into components. Then only
 signatures that still span two components are looked at again, and only pairs across components: signatures
-with much the same documents are merged and parted by size; small groups meet in a join, large ones in
-blocks of ``BLOCK`` documents, two at a time. A size
-bound and parity bitmaps (documents differ in at least as many shingles as bitmaps differ in bits) drop pairs
-before shingle sets are fetched; what remains is verified exactly. A bitmap has about as many bits as the
-document has shingles, 256 at least; folded in halves it is the bitmap of fewer bits.
+with much the same documents are merged and parted by size. Small groups meet in a join. Large ones meet one more
+document of theirs a round, which joins families of copies, and then in blocks of ``BLOCK`` documents, two at a
+time; the documents of a group's largest component meet the others only. A block verifies its pairs itself and
+gives the links that join components, fewer than it has documents. A size bound and parity bitmaps (documents
+differ in at least as many shingles as bitmaps differ in bits) drop pairs before shingle sets are looked at; what
+remains is verified exactly. A bitmap has about as many bits as the document has shingles, 256 at least; folded in
+halves it is the bitmap of fewer bits.
 
 Shingles are compared by 64-bit hashes. Nulls: a null text is an empty text; a row with a null id gets the
 component of its copies, or null. Texts without words link with nothing. Rows with one id are one
-node. An empty table gives no rows. Other columns are ignored.
+node. Long texts are taken whole, in slices of a batch, and their blocks hold fewer documents. An empty table gives
+no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,8 +45,10 @@ FREQUENT, FREQUENT_FROM = 1 << 17, 16
 COUNT_BLOCK, COUNT_FROM = 4_000_000, 4
 #: Size classes below 2**COMBINE_FROM use single shingles only.
 COMBINE_FROM = 5
-#: Documents of a group that meet in a join; more are cut into blocks of BLOCK documents.
-JOINED, BLOCK = 48, 512
+#: Documents of a group that meet in a join; more are cut into blocks of BLOCK documents, or of fewer with HELD shingles.
+JOINED, BLOCK, HELD = 48, 512, 1 << 19
+#: Times that a large group meets one of its documents before it is cut into blocks.
+ROUNDS = 3
 #: Ids up to which the list of documents to fetch is broadcast (8 MB).
 BROADCAST_IDS = 1_000_000
 
@@ -236,29 +241,43 @@ def all_bits(a: str, b: str) -> str:
     return f"aggregate(zip_with({fitted(f'{a}.bits', f'{b}.bits')}, {fitted(f'{b}.bits', f'{a}.bits')}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + coalesce(v, 0))"
 
 
-def block_pairs(num: int, den: int):  # noqa: ANN201
-    """Pairs (a, b) of one block or two that may link and lie in different components.
+def block_links(num: int, den: int):  # noqa: ANN201
+    """Links (a, b) of one block or of two that join components; at most one less than the components here.
 
-    Two documents that are both here as neighbours from the step before (not ``late``) have met there.
+    Candidates pass the size and bitmap bounds and lie in different components; each is verified by its shingles,
+    unless links found before have joined its components. Two documents that are both here as neighbours from the
+    step before (not ``late``) have met there; those of one block of two meet in a block of its own.
     """
 
-    def pairs(pdf):  # noqa: ANN001, ANN202
+    def links(pdf):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        ids, comp, n = (pdf[c].to_numpy(np.int64) for c in ("rep", "comp", "n_shingles"))
-        bits, late = pdf[BITMAP].to_numpy(np.int64).view(np.uint64), pdf["late"].to_numpy(bool)
-        out = []
-        for i in range(0, len(ids), 64):
-            part = slice(i, i + 64)
-            apart = np.bitwise_count(bits[part, None, :] ^ bits[None, :, :]).sum(-1, dtype=np.int64)
+        ids, n, block = (pdf[c].to_numpy(np.int64) for c in ("rep", "n_shingles", "block"))
+        late, comp = pdf["late"].to_numpy(bool), np.unique(pdf["comp"].to_numpy(np.int64), return_inverse=True)[1]
+        alone, sets = bool((block == block[0]).all()), [np.asarray(x, np.int64) for x in pdf["shingles"]]
+        words = min(map(len, pdf["bits"]))
+        bits = np.stack([np.bitwise_xor.reduce(np.asarray(x, np.int64).reshape(-1, words), axis=0) for x in pdf["bits"]]).view(np.uint64)
+        out, rows = [], max(1, (1 << 21) // (len(ids) * words))
+        for i in range(0, len(ids), rows):
+            part = slice(i, i + rows)
             least, most = np.minimum(n[part, None], n[None]), np.maximum(n[part, None], n[None])
-            ok = (late[part, None] | late[None]) & (ids[part, None] < ids[None]) & (comp[part, None] != comp[None]) & (den * least >= num * most) & ((den + num) * apart <= (den - num) * (least + most))
-            x, y = np.nonzero(ok)
-            out.append(np.stack([ids[part][x], ids[y]], 1))
-        found = np.concatenate(out)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+            ok = (late[part, None] | late[None]) & (ids[part, None] < ids[None]) & (comp[part, None] != comp[None]) & (den * least >= num * most)
+            if not alone:
+                ok &= block[part, None] != block[None]
+            if not ok.any():
+                continue
+            apart = np.bitwise_count(bits[part, None, :] ^ bits[None, :, :]).sum(-1, dtype=np.int64)
+            ok &= (den + num) * apart <= (den - num) * (least + most)
+            for x, y in zip(*(k.tolist() for k in np.nonzero(ok))):
+                x += i
+                if comp[x] != comp[y]:
+                    shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if den * shared >= num * (len(sets[x]) + len(sets[y]) - shared):
+                        out.append((ids[x], ids[y]))
+                        comp[comp == comp[y]] = comp[x]
+        return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
 
-    return pairs
+    return links
 
 
 def connected(edges: DataFrame, folder: str, name: str) -> DataFrame:
@@ -294,7 +313,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, fol
     return both.where(F.expr(f"{den} * shared >= {num} * (size(sa) + size(sb) - shared)")).select("a", "b")
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
+def _grouped(rows: DataFrame, folder: str) -> DataFrame:
     """(grp, rep) of members (sig, rep, m): signatures that mostly share their members become one group.
 
     The shingles of one common passage make many signatures with much the same documents; each document should
@@ -305,7 +324,50 @@ def _grouped(rows: DataFrame) -> DataFrame:
     votes = rows.join(largest, "rep").groupBy("sig", "to").agg(F.count("*").alias("n"), F.max("m").alias("m"))
     best = votes.groupBy("sig").agg(F.max(F.struct("n", "to", "m")).alias("v"))
     group = best.select("sig", F.when(2 * F.col("v.n") >= F.col("v.m"), F.col("v.to")).otherwise(F.col("sig")).alias("grp"))
-    return rows.join(group, "sig").select("grp", "rep").distinct()
+    return rows.join(stored(group, folder, "groups"), "sig").select("grp", "rep").distinct()
+
+
+def _large_links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int, folder: str) -> DataFrame:
+    """Links (a, b) that join the components of large groups (grp, step, late, rep, comp), as far as they can be joined.
+
+    First, up to ``ROUNDS`` times, all of a group meet one document of it, as long as one meeting in 100 links; this
+    contracts families of copies. What is left meets in blocks; those of a group's largest component meet the others only.
+    """
+    spark = docs.sparkSession
+    wanted = stored(rows.select(F.col("rep").alias("doc_id")).distinct(), folder, "large-wanted")
+    near = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    sets = docs.join(near, "doc_id", "left_semi").mapInArrow(Sets(n), Sets.schema).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
+    sets = stored(sets.join(nodes.select("rep", "n_shingles", "bits"), "rep"), folder, "large-sets")
+    at, rows = stored(rows.select("rep", "comp").distinct(), folder, "large-at"), rows.drop("comp")
+    found = spark.createDataFrame([], "a long, b long")
+    for k in range(ROUNDS):
+        now = rows.join(at, "rep")
+        pivots = now.groupBy("grp", "step").agg(F.max(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep", "comp")).alias("p"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+        pivots = stored(pivots.where("c0 < c1").select("grp", "step", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("to")), folder, f"large-pivots-{k}")
+        pairs = now.join(pivots, ["grp", "step"]).where("comp <> to").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"), F.least("comp", "to").alias("ca"), F.greatest("comp", "to").alias("cb"))
+        pairs = stored(pairs.distinct(), folder, f"large-pairs-{k}")
+        x, y = (sets.select(F.col("rep").alias(i), F.struct("n_shingles", "bits", "shingles").alias(j)) for i, j in ("ax", "by"))
+        met = pairs.join(x, "a").join(y, "b").where(may_link("x", "y", all_bits("x", "y"), num, den))
+        met = met.withColumn("shared", F.size(F.array_intersect("x.shingles", "y.shingles"))).where(f"{den} * shared >= {num} * (x.n_shingles + y.n_shingles - shared)")
+        links = stored(met.select("a", "b", "ca", "cb"), folder, f"large-links-{k}")
+        if not (joining := links.count()):
+            break
+        found = found.union(links.select("a", "b"))
+        to = connected(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")), folder, f"large-{k}")
+        at = stored(at.join(to, at["comp"] == to["node"], "left").select("rep", F.coalesce("label", "comp").alias("comp")), folder, f"large-at-{k}")
+        if 100 * joining < pairs.count():  # what is left seldom links: blocks are cheaper
+            break
+    sized = rows.join(at, "rep").join(sets.select("rep", "n_shingles"), "rep")
+    tally = sized.groupBy("grp", "step", "comp").agg(F.count("*").alias("m"), F.max("n_shingles").alias("longest"))
+    tops = tally.groupBy("grp", "step").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("size"), F.max("longest").alias("longest")).where("top.m < size")
+    per = F.greatest(F.lit(8), F.least(F.lit(BLOCK), F.floor(F.lit(HELD) / F.col("longest"))))
+    tops = tops.select("grp", "step", F.col("top.comp").alias("main"), F.ceil((F.col("size") - F.col("top.m")) / per).alias("others"), F.ceil(F.col("top.m") / per).alias("mains"))
+    left = sized.drop("n_shingles").join(stored(tops, folder, "large-tops"), ["grp", "step"])
+    left = left.withColumn("block", F.expr("case when comp = main then others + pmod(xxhash64(rep), mains) else pmod(xxhash64(rep), others) end"))
+    left = left.withColumn("meets", F.explode(F.expr("sequence(0L, others - 1 + case when comp = main then 0 else mains end)")))
+    left = left.select("grp", "step", F.least("block", "meets").alias("i"), F.greatest("block", "meets").alias("j"), "block", "late", "rep", "comp")
+    met = stored(left, folder, "large-meetings").join(sets, "rep").groupBy("grp", "step", "i", "j").applyInPandas(block_links(num, den), "a long, b long")
+    return found.union(stored(met.distinct(), folder, "large-block-links"))
 
 
 def similarity_components(df: DataFrame, folder: str, n: int = 5, num: int = 80, den: int = 100, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -335,8 +397,9 @@ def similarity_components(df: DataFrame, folder: str, n: int = 5, num: int = 80,
     rep_of = info.where("doc_id is not null").select("doc_id", "rep").distinct()
 
     sigs = stored(docs.mapInArrow(Signatures(n, num, den, frequent), Signatures.schema), folder, "signatures")
+    # what joins a table back is written first, so that each side of the join has an exchange of its own and hot keys can be split
     pivots = sigs.groupBy("sig").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("other")).where("pivot < other").drop("other")
-    live = stored(sigs.join(pivots, "sig"), folder, "live")
+    live = stored(sigs.join(stored(pivots, folder, "pivots"), "sig"), folder, "live")
 
     def bounded(pairs: DataFrame) -> DataFrame:
         x, y = F.struct("n_shingles", "bits").alias("x"), F.struct("n_shingles", "bits").alias("y")
@@ -352,23 +415,22 @@ def similarity_components(df: DataFrame, folder: str, n: int = 5, num: int = 80,
     comp = rep_of.join(first, rep_of["rep"] == first["node"], "left").select("doc_id", "rep", F.coalesce("label", "rep").alias("comp"))
     members = stored(live.select("sig", "doc_id").join(comp, "doc_id").select("sig", "rep", "comp").distinct(), folder, "members")
     split = members.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 < c1").select("sig", "m")
-    open_rows = stored(members.join(split, "sig"), folder, "open")
+    open_rows = stored(members.join(stored(split, folder, "split"), "sig"), folder, "open")
     at = nodes.drop("bits").join(comp.where("doc_id = rep").select("rep", "comp"), "rep")
 
     # partners' sizes differ by one step of den/num at most: a document meets those of its step and of the two beside it
     step = F.floor(F.log("n_shingles") / float(np.log(den / num) if num < den else 1.0) + 1e-9)
-    stepped = _grouped(open_rows.select("sig", "rep", "m")).join(at, "rep").withColumn("own", step)
+    stepped = _grouped(open_rows.select("sig", "rep", "m"), folder).join(at, "rep").withColumn("own", step)
     met = stored(stepped.withColumn("step", F.explode(F.array("own", F.col("own") + 1))).withColumn("late", F.col("own") == F.col("step")), folder, "met")
     sizes = met.groupBy("grp", "step").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("grp", "step", "size")
-    sized = stored(met.join(sizes, ["grp", "step"]), folder, "sized")
+    sized = stored(met.join(stored(sizes, folder, "sizes"), ["grp", "step"]), folder, "sized")
     few = sized.where(F.col("size") <= JOINED)
     crossing = few.alias("x").join(few.alias("y"), (F.col("x.grp") == F.col("y.grp")) & (F.col("x.step") == F.col("y.step")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.late") | F.col("y.late")) & may_link("x", "y", short_bits("x", "y"), num, den))
     crossing = crossing.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    many = sized.where(F.col("size") > JOINED).withColumn("blocks", F.expr(f"cast(ceil(size / {BLOCK}) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
-    many = many.withColumn("meets", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("i", F.least("block", "meets")).withColumn("j", F.greatest("block", "meets"))
-    blocks = many.select("grp", "step", "i", "j", "late", "rep", "comp", "n_shingles", *BITMAP).groupBy("grp", "step", "i", "j").applyInPandas(block_pairs(num, den), "a long, b long")
-    crossing = stored(bounded(crossing.union(blocks).distinct()), folder, "crossing")
-    more = _verified(crossing, docs, n, num, den, folder, "crossing")
+    more = _verified(stored(bounded(crossing), folder, "crossing"), docs, n, num, den, folder, "crossing")
+    large = sized.where(F.col("size") > JOINED).select("grp", "step", "late", "rep", "comp")
+    if large.take(1):
+        more = more.union(_large_links(large, nodes, docs, n, num, den, folder))
     to = comp.where("doc_id = rep").select("rep", "comp")
     over = more.join(to.toDF("a", "ca"), "a").join(to.toDF("b", "cb"), "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
     second = connected(over, folder, "second")

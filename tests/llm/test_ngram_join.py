@@ -35,9 +35,11 @@ def components(sets, num, den):
     return {i: root(i) for i in ids}
 
 
-@pytest.mark.parametrize(("n", "num", "den", "joined", "frequent"), [(3, 90, 100, 48, 16), (5, 80, 100, 48, 16), (3, 90, 100, 1, 2), (3, 60, 100, 3, 4)])
-def test_equals_all_pairs(spark, docs, corpus, monkeypatch, n, num, den, joined, frequent):
+@pytest.mark.parametrize(("n", "num", "den", "joined", "frequent", "rounds", "held"), [(3, 90, 100, 48, 16, 3, 1 << 19), (5, 80, 100, 1, 16, 3, 1 << 19), (3, 90, 100, 1, 2, 0, 400), (3, 60, 100, 3, 4, 1, 4000)])
+def test_equals_all_pairs(spark, docs, corpus, monkeypatch, n, num, den, joined, frequent, rounds, held):
     monkeypatch.setattr(J, "JOINED", joined)
+    monkeypatch.setattr(J, "ROUNDS", rounds)
+    monkeypatch.setattr(J, "HELD", held)
     monkeypatch.setattr(J, "FREQUENT_FROM", frequent)
     monkeypatch.setattr(J, "BLOCK", 16)
     sets = sets_of(corpus, n)
@@ -68,6 +70,30 @@ def test_linked_sets_share_a_signature(seed):
         assert np.bitwise_count((longer ^ shorter).view(np.uint64)).sum() <= len(x) + len(y) - 2 * both
 
 
+def test_blocks_give_few_links_and_all_components():
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    base, rows = rng.integers(0, 2**62, 300), []
+    for i in range(90):
+        x = np.concatenate([rng.permutation(base)[: int(rng.integers(230, 300))], rng.integers(0, 2**62, int(rng.integers(0, 20)))]) if i % 3 else rng.integers(0, 2**62, 250)
+        rows.append((i, i, len(x), bool(i % 5), i % 2, J.bitmap(np.unique(x).astype(np.uint64)), np.unique(x).astype(np.int64)))
+    pdf = pd.DataFrame(rows, columns=["rep", "comp", "n_shingles", "late", "block", "bits", "shingles"])
+    got = J.block_links(80, 100)(pdf)
+
+    def parts(pairs):
+        label = list(range(90))
+        for _ in range(90):
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    sets = [set(r[6].tolist()) for r in rows]
+    want = [(a, b) for a in range(90) for b in range(a + 1, 90) if rows[a][4] != rows[b][4] and (rows[a][3] or rows[b][3]) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(want) > 150 and len(got) == 90 - len(set(parts(want)))
+    assert parts(got.to_numpy().tolist()) == parts(want)
+
+
 def test_connected(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 140)] + [(rng.randint(200, 240), rng.randint(200, 240)) for _ in range(25)] + [(5, 5)]
