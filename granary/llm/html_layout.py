@@ -8,15 +8,19 @@ under ``visibility:hidden`` neither, unless a descendant turns it visible again.
 White space collapses outside ``pre``. Paragraph-like blocks are set off by an empty line, others by a line end.
 List items are marked and indented by depth; ordered lists count from ``start`` and take ``value``. Table
 cells become columns padded to the widest cell, over as many lines as the highest cell of a row has; column and row
-spans are honoured. Columns are parted by `` | ``.
+spans are honoured. Columns are parted by `` | ``. Lines longer than ``WIDE`` are whole but widen no column, so that
+padding stays in proportion to the page.
 
-Nulls: a null page gives null text, an empty one an empty text. Elements nested deeper than ``DEPTH`` are
-transparent: their text stays. Repeated rows are rendered each. Other columns are ignored.
+Nulls: a null page gives null text, an empty one an empty text. Elements nested deeper than ``DEPTH`` hide what they
+hide and break lines where they would, but are not indented or aligned. A page is scanned once from front to end, whatever
+it holds: unclosed tags and quotes cost no second look. Very long pages are rendered whole. Repeated rows are rendered
+each. An empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
@@ -27,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import table
 from .tokens import slices
 
-DEPTH = 200
+#: Depth of the tree, and the longest line that a table column is widened to.
+DEPTH, WIDE = 200, 400
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -54,7 +59,17 @@ ENDS = {
     "optgroup": ({"optgroup", "option"}, {"select"}),
 }
 _LISTS = ("ul", "ol", "menu")
-_WALLS = frozenset({"table", "td", "th", "caption", "button", "html"})
+_WALLS = frozenset({"table", "td", "th", "caption", "button", "html", "template", "object", "marquee"})
+
+
+def _next_tag(html: str, at: int, last: int) -> re.Match | None:
+    """The next tag or declaration from ``at`` on. After the last ``>`` only declarations can begin, so no tag is tried there."""
+    at = html.find("<", at)
+    while at >= 0:
+        if (at < last or html.startswith(("<!", "<?"), at)) and (found := _TAG.match(html, at)):
+            return found
+        at = html.find("<", at + 1)
+    return None
 
 
 class Element:
@@ -75,6 +90,18 @@ def parse(html: str) -> Element:
     """The element tree: children are elements and strings."""
     root = Element("html")
     stack = [root]
+    deep: list[tuple[str, bool]] = []  # open elements beyond DEPTH: tag, and whether they hide their content
+    hiding = 0
+
+    def leave(tag: str) -> None:
+        nonlocal hiding
+        while deep:
+            name, hides = deep.pop()
+            hiding -= hides
+            if name in BLOCK and not hiding:
+                stack[-1].children.append(Element("div"))
+            if name == tag:
+                break
 
     def close(tags: set[str] | frozenset[str], walls: set[str] | frozenset[str]) -> bool:
         """End the nearest open element of ``tags`` that lies above every wall."""
@@ -86,11 +113,11 @@ def parse(html: str) -> Element:
                 return False
         return False
 
-    at, lower, n = 0, None, len(html)
+    at, lower, n, last = 0, None, len(html), html.rfind(">")
     while at < n:
-        found = _TAG.search(html, at)
+        found = _next_tag(html, at, last)
         text = html[at : found.start()] if found else html[at:]
-        if text:
+        if text and not hiding:
             if stack[-1].tag == "head" and not text.isspace():
                 stack.pop()
             stack[-1].children.append(unescape(text) if "&" in text else text)
@@ -99,13 +126,20 @@ def parse(html: str) -> Element:
         at = found.end()
         tag = found[2]
         if tag is None:
-            if found[0].startswith("<![CDATA["):
+            if found[0].startswith("<![CDATA[") and not hiding:
                 stack[-1].children.append(found[0][9:].removesuffix("]]>"))
             continue
         tag = tag.lower()
         if found[1]:
             if tag in ("html", "body"):
                 continue
+            if deep:
+                if any(name == tag for name, _ in reversed(deep)):
+                    leave(tag)
+                    continue
+                if hiding or not any(e.tag == tag for e in stack):
+                    continue
+                leave("")
             if tag == "p" and not any(e.tag == "p" for e in stack):
                 stack[-1].children.append(Element("p"))
             elif tag == "br":
@@ -119,15 +153,23 @@ def parse(html: str) -> Element:
             continue
         if stack[-1].tag == "head" and tag not in HEAD:
             stack.pop()
-        if tag in CLOSES_P:
+        element = Element(tag, found[3])
+        if deep and tag not in RAW and tag not in VOID:
+            hides = not _seen(element, True)[0]
+            if tag in BLOCK and not hiding:
+                stack[-1].children.append(Element("div"))
+            deep.append((tag, hides))
+            hiding += hides
+            continue
+        if not deep and tag in CLOSES_P:
             close({"p"}, _WALLS)
-        if tag in ENDS:
+        if not deep and tag in ENDS:
             while close(*ENDS[tag]) and tag not in ("li", "dt", "dd", "option"):
                 pass
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             stack.pop()
-        element = Element(tag, found[3])
-        stack[-1].children.append(element)
+        if not hiding:
+            stack[-1].children.append(element)
         if tag in RAW:
             lower = lower or html.lower()
             end = lower.find(f"</{tag}", at)
@@ -140,7 +182,9 @@ def parse(html: str) -> Element:
             if len(stack) < DEPTH:
                 stack.append(element)
             else:
-                stack[-1].children.pop()
+                stack[-1].children[-1] = Element("div" if tag in BLOCK else "wbr")
+                deep.append((tag, not _seen(element, True)[0]))
+                hiding += deep[-1][1]
     return root
 
 
@@ -330,51 +374,56 @@ def _wrapped(children: list) -> Element:
 
 def _table(node: Element, visible: bool, pre: bool) -> list[str]:
     grid: list[dict[int, tuple[list[str], int]]] = []
-    taken: dict[int, int] = {}
+    taken: list[tuple[int, int, int]] = []  # first column, end and rows left of cells that reach down
     for row, row_visible in _rows(node, visible):
-        cells, column, blocked = {}, 0, {c for c, left in taken.items() if left > 0}
-        taken = {c: left - 1 for c, left in taken.items() if left > 1}
+        cells, column, blocked = {}, 0, sorted(taken)
+        taken = [(a, b, left - 1) for a, b, left in taken if left > 1]
         groups = [x if isinstance(x, Element) and x.tag in ("td", "th") else _cell(x) for x in row.children if not (isinstance(x, str) and not x.strip())]
         for cell in groups:
             shown, seen = _seen(cell, row_visible)
             if not shown:
                 continue
-            while column in blocked:
-                column += 1
+            while blocked and blocked[0][0] <= column:
+                column = max(column, blocked.pop(0)[1])
             width = max(1, _number(cell.attribute("colspan"), 1, 1000))
             height = max(1, _number(cell.attribute("rowspan"), 1, 65534))
             cells[column] = (_rendered(cell, seen, pre), width)
             if height > 1:
-                for c in range(column, column + width):
-                    taken[c] = max(taken.get(c, 0), height - 1)
+                taken.append((column, column + width, height - 1))
             column += width
         if cells:
             grid.append(cells)
+
+    def widest(lines: list[str]) -> int:
+        return max((n for n in map(len, lines) if n <= WIDE), default=0)
+
     widths: dict[int, int] = {}
     for cells in grid:
         for c, (lines, span) in cells.items():
             if span == 1:
-                widths[c] = max(widths.get(c, 0), *map(len, lines), 0) if lines else widths.get(c, 0)
+                widths[c] = max(widths.get(c, 0), widest(lines))
     for cells in grid:  # what a spanning cell needs beyond its columns goes to the last of them
         for c, (lines, span) in cells.items():
             if span > 1 and lines:
                 have = sum(widths.get(x, 0) for x in range(c, c + span)) + 3 * (span - 1)
-                widths[c + span - 1] = widths.get(c + span - 1, 0) + max(0, max(map(len, lines)) - have)
-    last = max((c + s for cells in grid for c, (_, s) in cells.items()), default=0)
-    used = [c for c in range(last) if widths.get(c, 0) or any(c in cells for cells in grid)]
+                widths[c + span - 1] = widths.get(c + span - 1, 0) + max(0, widest(lines) - have)
+    used = sorted({c for cells in grid for c in cells} | {c for c, n in widths.items() if n})
     out = []
     for cells in grid:
-        for i in range(max(len(lines) for lines, _ in cells.values())):
-            parts, skip = [], -1
-            for c in used:
-                if c < skip:
-                    continue
-                lines, span = cells.get(c, ([], 1))
-                covered = [x for x in used if c <= x < c + span]
-                skip = c + span
-                width = sum(widths.get(x, 0) for x in covered) + 3 * (len(covered) - 1)
-                parts.append((lines[i] if i < len(lines) else "").ljust(width))
-            out.append(" | ".join(parts).rstrip().removesuffix(" |").rstrip() if any(p.strip() for p in parts) else "")
+        row, end = [], -1  # (lines, width) of each column or run of columns, up to the row's last cell
+        filled = max(cells)
+        for k, c in enumerate(used):
+            if c > filled:
+                break
+            if c < end:
+                continue
+            lines, span = cells.get(c, ([], 1))
+            end = c + span
+            covered = used[k : bisect_left(used, end)]
+            row.append((lines, sum(widths.get(x, 0) for x in covered) + 3 * (len(covered) - 1)))
+        for i in range(max(len(lines) for lines, _ in row)):
+            text = " | ".join((lines[i] if i < len(lines) else "").ljust(width) for lines, width in row)
+            out.append(text.rstrip().removesuffix(" |").rstrip() if text.strip(" |") else "")
     return [x for x in out if x.strip(" |")]
 
 

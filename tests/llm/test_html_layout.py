@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+import time
+
 import pytest
 
-from granary.llm.html_layout import extracted, layout
+from granary.llm.html_layout import DEPTH, extracted, layout
 
 CASES = [
     ("<p>One<p>Two <b>bold</b>  x<br>y", "One\n\nTwo bold x\ny"),
@@ -44,6 +47,99 @@ def test_deep_long_and_broken_pages_keep_their_text():
     assert layout("<p>unclosed <a href='x").startswith("unclosed")
 
 
+def test_beyond_the_depth_hidden_stays_hidden_and_blocks_break():
+    deep = "<i>" * (DEPTH + 50)
+    page = f"{deep}a<div hidden>no<p>no</div>b<div>c</div>d<b style='display:none'>no<script>x</script></b>e<p>f"
+    assert layout(page) == "a\nb\nc\nde\nf"
+    assert layout(f"<div>{deep}a</div>b") == "a\nb"
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, '<a href="' * 120_000, "<a href='" * 120_000 + ">", "<" * 1_000_000, "<!--" * 250_000, '<a "><b \'>' * 100_000, "</p" * 300_000])
+def test_hostile_pages_take_no_second_look(page):
+    began = time.perf_counter()
+    layout(page)
+    assert time.perf_counter() - began < 3
+
+
+def test_padding_stays_in_proportion():
+    page = "<table>" + "<tr><td>a<td>b" * 3000 + "<tr><td>" + "x" * 30_000 + "<td>c</table>"
+    assert len(layout(page)) < 2 * len(page) and "x" * 30_000 in layout(page)
+    wide = "<table>" + "<tr><td colspan=1000 rowspan=60000>a<td>b" * 800 + "</table>"
+    began = time.perf_counter()
+    assert layout(wide).count("a") == 800 and time.perf_counter() - began < 5
+
+
+class Plain:
+    """A plain reference: random pages, written beside the text that they must give, without parsing anything."""
+
+    def __init__(self, seed):
+        self.rng = random.Random(seed)
+
+    def words(self):
+        return [self.rng.choice(["wide", "a", "Ünï", "x<y", "R&D", "12"]) for _ in range(self.rng.randint(1, 5))]
+
+    def inline(self):
+        words, out = self.words(), []
+        for w in words:
+            w = w.replace("&", "&amp;").replace("<", "&lt;")
+            kind = self.rng.randrange(6)
+            out.append([w, f"<b>{w}</b>", f"<i class='a>b'>{w}</i>", f"<!-- no -->{w}<span hidden>no</span>", f"{w}<script>no</script>", f"<span style='display:none'>no</span>{w}"][kind])
+        return self.rng.choice([" ", "\n ", " \t "]).join(out), " ".join(words)
+
+    def items(self, depth, ordered):
+        html, lines, number = "", [], self.rng.randint(1, 9)
+        html += f"<ol start={number}>" if ordered else "<ul>"
+        for _ in range(self.rng.randint(1, 3)):
+            inner, text = self.inline()
+            mark = f"{number}. " if ordered else "- "
+            number += 1
+            lines.append(mark + text)
+            html += f"<li>{inner}"
+            if depth and self.rng.random() < 0.4:
+                below, under = self.items(depth - 1, self.rng.random() < 0.5)
+                html, lines = html + below, lines + [" " * len(mark) + x for x in under]
+            html += self.rng.choice(["</li>", "", "\n"])
+        return html + ("</ol>" if ordered else "</ul>"), lines
+
+    def table(self):
+        rows = [[self.inline() for _ in range(self.rng.randint(2, 4))] for _ in range(self.rng.randint(1, 4))]
+        n = max(map(len, rows))
+        widths = [max(len(r[c][1]) for r in rows if len(r) > c) for c in range(n)]
+        html = "<table>" + "".join(self.rng.choice(["<tr>", "<tbody><tr>"]) + "".join(self.rng.choice(["<td>", "<th>"]) + cell[0] for cell in r) for r in rows) + "</table>"
+        return html, [" | ".join(cell[1].ljust(widths[c]) for c, cell in enumerate(r)).rstrip() for r in rows]
+
+    def page(self):
+        html, blocks = "", []
+        for _ in range(self.rng.randint(1, 8)):
+            kind = self.rng.randrange(6)
+            if kind == 0:
+                inner, text = self.inline()
+                html, blocks = html + f"<p>{inner}" + self.rng.choice(["</p>", ""]), [*blocks, text]
+            elif kind == 1:
+                inner, lines = self.items(2, self.rng.random() < 0.5)
+                html, blocks = html + inner, [*blocks, "\n".join(lines)]
+            elif kind == 2:
+                inner, lines = self.table()
+                html, blocks = html + inner, [*blocks, "\n".join(lines)]
+            elif kind == 3:
+                html += self.rng.choice(["<p hidden>no</p>", "<div style='display: none'><p>no<table><tr><td>no</table></div>", "<style>no</style>", "<template><p>no</template>"])
+            elif kind == 4:
+                lines = [" ".join(self.words()) for _ in range(2)]
+                raw = "\n".join(x.replace("&", "&amp;").replace("<", "&lt;").replace(" ", "  ") for x in lines)
+                html, blocks = html + f"<pre>{raw}</pre>", [*blocks, "\n".join(x.replace(" ", "  ") for x in lines)]
+            else:
+                parts = [self.inline() for _ in range(2)]
+                html += "<h2>" + "<br>".join(x for x, _ in parts) + "</h2>"
+                blocks.append("\n".join(x for _, x in parts))
+        return html, "\n\n".join(blocks)
+
+
+def test_equals_the_plain_reference():
+    for seed in range(800):
+        html, text = Plain(seed).page()
+        assert layout(html) == text, html
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, "<p>a", 5), (2, None, 5), (None, "b", 5), (2, None, 5)], "page_id long, html string, n_chars int")
     rows = sorted(((r.page_id or 0), r.text, r.n_chars) for r in extracted(df).na.fill("", ["text"]).na.fill(0).collect())
