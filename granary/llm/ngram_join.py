@@ -4,14 +4,14 @@
 of n shingles may miss at most d = n - ceil(t n) of them in a partner, so its prefix is extended
 until any d missing shingles still leave a signature. A rare shingle is a signature by itself. Frequent
 shingles are hashed into sub-classes, and each 2-combination inside a sub-class is a signature, so a
-sub-class with f shingles in the prefix stands f - 1 losses. Signatures carry the size class (a power
-of two) of the smaller partner. Any pair at or above the threshold shares a signature; the frequency
+sub-class with f shingles in the prefix stands f - 1 losses. Signatures carry the size class of the smaller partner,
+so that documents of other sizes don't meet by chance. Any pair at or above the threshold shares a signature; the frequency
 classes only decide how many other pairs do. They come from lossy counting over all documents: exact
 counts of each block of shingles, summed, the ``FREQUENT`` largest kept.
 
 **Pairs.** No group is ever turned into all its pairs. First each document is held against the smallest
 document of each of its signatures; links found contract documents into components. Then only
-signatures that still span two components are looked at again, and only pairs across components: signatures
+signatures whose other documents still span two components are looked at again, and only pairs across components: signatures
 with much the same documents are merged and parted by size. Small groups meet in a join. Large ones meet one more
 document of theirs a round, which joins families of copies, and then in blocks of ``BLOCK`` documents, two at a
 time; the documents of a group's largest component meet the others only. A block verifies its pairs itself and
@@ -28,6 +28,7 @@ no rows. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +44,8 @@ from .tokens import slices
 FREQUENT, FREQUENT_FROM = 1 << 17, 16
 #: Shingles counted exactly at a time, and the count in such a block from which one is passed on.
 COUNT_BLOCK, COUNT_FROM = 4_000_000, 4
-#: Size classes below 2**COMBINE_FROM use single shingles only.
-COMBINE_FROM = 5
+#: Classes of sizes below COMBINE_FROM use single shingles only; salt of combinations.
+COMBINE_FROM, COMBINED = 32, 1 << 20
 #: Documents of a group that meet in a join; more are cut into blocks of BLOCK documents, or of fewer with HELD shingles.
 JOINED, BLOCK, HELD = 48, 512, 1 << 19
 #: Times that a large group meets one of its documents before it is cut into blocks.
@@ -52,6 +53,9 @@ ROUNDS = 3
 #: Ids up to which the list of documents to fetch is broadcast (8 MB).
 BROADCAST_IDS = 1_000_000
 
+#: Shingles up to which the short bitmap tells documents apart.
+SHORT = 256
+
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 BITMAP = ["b0", "b1", "b2", "b3"]
 
@@ -103,6 +107,15 @@ def needed(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
 
+def size_class(n: int, num: int, den: int) -> int:
+    """Sizes that differ by the square of the threshold at most fall into one class or two; a monotone function of the size alone."""
+    return int(math.log(n) / class_width(num, den) + 1e-9)
+
+
+def class_width(num: int, den: int) -> float:
+    return 2 * math.log(den / num) if num < den else math.log(2)
+
+
 def signatures(h: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndarray:
     """Signature hashes of a set. rank: 0 for rare shingles, else the place in the frequent class plus one."""
     n = len(h)
@@ -111,11 +124,12 @@ def signatures(h: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndarra
     order = np.argsort(rank, kind="stable")
     h, rare = h[order], int((rank == 0).sum())
     out = []
-    for c in range(least.bit_length() - 1, n.bit_length()):
-        if rare > losses or c < COMBINE_FROM:
+    for c in range(size_class(least, num, den), size_class(n, num, den) + 1):
+        size = int(math.exp(c * class_width(num, den)))
+        if rare > losses or size < COMBINE_FROM:
             out.append(mixed(h[: losses + 1], 8 + c))
             continue
-        classes = np.uint64(max(1, (1 << c) // 4))
+        classes = np.uint64(max(1, size // 4))
         left, members, pairs = losses + 1 - rare, {}, []
         for x, k in zip(h[rare:].tolist(), (mixed(h[rare:], 3) % classes).tolist()):
             group = members.setdefault(k, [])
@@ -127,7 +141,7 @@ def signatures(h: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndarra
         out.append(mixed(h[:rare], 8 + c))
         if pairs:
             p = np.array(pairs, np.uint64)
-            out.append(mixed(mixed(p[:, 0], 4) * _B + p[:, 1], 80 + c))
+            out.append(mixed(mixed(p[:, 0], 4) * _B + p[:, 1], COMBINED + c))
     return np.concatenate(out)
 
 
@@ -229,12 +243,14 @@ def short_bits(a: str, b: str) -> str:
     return " + ".join(f"bit_count({a}.{x} ^ {b}.{x})" for x in BITMAP)
 
 
+def half(x: str) -> str:
+    """A bitmap folded in halves."""
+    return f"zip_with(slice({x}, 1, size({x}) div 2), slice({x}, size({x}) div 2 + 1, size({x}) div 2), (p, q) -> p ^ q)"
+
+
 def all_bits(a: str, b: str) -> str:
     """Sizes within the bound differ by one power of two at most, so the longer bitmap is folded once at most."""
 
-    def half(x: str) -> str:
-        return f"zip_with(slice({x}, 1, size({x}) div 2), slice({x}, size({x}) div 2 + 1, size({x}) div 2), (p, q) -> p ^ q)"
-
     def fitted(x: str, other: str) -> str:
         return f"case when size({x}) > size({other}) then {half(x)} else {x} end"
 
@@ -413,7 +429,8 @@ def similarity_components(df: DataFrame, folder: str, n: int = 5, num: int = 80,
     first = connected(links, folder, "first")
 
     comp = rep_of.join(first, rep_of["rep"] == first["node"], "left").select("doc_id", "rep", F.coalesce("label", "rep").alias("comp"))
-    members = stored(live.select("sig", "doc_id").join(comp, "doc_id").select("sig", "rep", "comp").distinct(), folder, "members")
+    # a signature's smallest document has met all others: what is left are pairs among these, none where two documents share it
+    members = stored(live.where("doc_id <> pivot").select("sig", "doc_id").join(comp, "doc_id").select("sig", "rep", "comp").distinct(), folder, "members")
     split = members.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 < c1").select("sig", "m")
     open_rows = stored(members.join(stored(split, folder, "split"), "sig"), folder, "open")
     at = nodes.drop("bits").join(comp.where("doc_id = rep").select("rep", "comp"), "rep")
@@ -424,10 +441,13 @@ def similarity_components(df: DataFrame, folder: str, n: int = 5, num: int = 80,
     met = stored(stepped.withColumn("step", F.explode(F.array("own", F.col("own") + 1))).withColumn("late", F.col("own") == F.col("step")), folder, "met")
     sizes = met.groupBy("grp", "step").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("grp", "step", "size")
     sized = stored(met.join(stored(sizes, folder, "sizes"), ["grp", "step"]), folder, "sized")
-    few = sized.where(F.col("size") <= JOINED)
-    crossing = few.alias("x").join(few.alias("y"), (F.col("x.grp") == F.col("y.grp")) & (F.col("x.step") == F.col("y.step")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.late") | F.col("y.late")) & may_link("x", "y", short_bits("x", "y"), num, den))
+    # long documents need more than the short bitmap: half of theirs, or a quarter where few shingles may differ; compared inside the join, pairs that cannot link are never written
+    enough = half(half("bits")) if 19 * (den - num) < 2 * den else half("bits")
+    few = sized.where(F.col("size") <= JOINED).join(nodes.select("rep", F.when(F.col("n_shingles") > SHORT, F.expr(enough)).alias("bits")), "rep")
+    wide = F.when(F.col("x.bits").isNotNull() & F.col("y.bits").isNotNull(), may_link("x", "y", all_bits("x", "y"), num, den)).otherwise(True)
+    crossing = few.alias("x").join(few.alias("y"), (F.col("x.grp") == F.col("y.grp")) & (F.col("x.step") == F.col("y.step")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.late") | F.col("y.late")) & may_link("x", "y", short_bits("x", "y"), num, den) & wide)
     crossing = crossing.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    more = _verified(stored(bounded(crossing), folder, "crossing"), docs, n, num, den, folder, "crossing")
+    more = _verified(stored(crossing, folder, "crossing"), docs, n, num, den, folder, "crossing")
     large = sized.where(F.col("size") > JOINED).select("grp", "step", "late", "rep", "comp")
     if large.take(1):
         more = more.union(_large_links(large, nodes, docs, n, num, den, folder))
