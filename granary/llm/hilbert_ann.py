@@ -13,7 +13,7 @@ against brute force.
 Equal vectors are indexed once, with their k + 1 smallest ids, which is all that a result can hold of them, and
 searched for once. Vectors that are null or zero, hold null or non-finite components or have another
 length than most take no part; rows with a null id neither. Ties go to the smaller id. Rows repeated under one
-id are one. With fewer than k candidates all are returned; an empty table gives no rows. Other columns are
+id are one, with the least of their vectors. With fewer than k candidates all are returned; an empty table gives no rows. Other columns are
 ignored.
 """
 
@@ -73,7 +73,7 @@ def _taking_part(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     finite = F.forall(v, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)) & ~F.isnan(x))
     rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & v.isNotNull() & finite & F.exists("v", lambda x: x != 0))
     widths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (widths["n"] if widths else 0)).dropDuplicates(["id"])
+    return rows.where(F.size("v") == (widths["n"] if widths else 0)).groupBy("id").agg(F.min("v").alias("v"))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -112,9 +112,18 @@ def ranked(vectors: DataFrame, folder: str, curves: int, dims: int, bits: int) -
 
 
 def _best(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, vids: np.ndarray, k: int) -> pd.DataFrame:
-    scores = queries @ vectors.T
+    """The k largest inner products of each query; ties, up to rounding, go to the smaller vid."""
+    part, power = np.frexp(queries @ vectors.T)
+    scores = np.ldexp(np.round(np.ldexp(part, 40)), power - 40)
     n = min(k, len(vids))
-    top = np.argpartition(-scores, n - 1, axis=1)[:, :n] if n < len(vids) else np.tile(np.arange(n), (len(ids), 1))
+    if n < len(vids):
+        top = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+        least = np.take_along_axis(scores, top, 1).min(axis=1)
+        for i in np.flatnonzero((scores >= least[:, None]).sum(axis=1) > n):
+            tied = np.flatnonzero(scores[i] >= least[i])
+            top[i] = tied[np.lexsort((vids[tied], -scores[i, tied]))[:n]]
+    else:
+        top = np.tile(np.arange(n), (len(ids), 1))
     return pd.DataFrame({"qid": np.repeat(ids, n), "vid": vids[top.ravel()], "near": np.take_along_axis(scores, top, 1).ravel()})
 
 

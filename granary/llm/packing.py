@@ -2,15 +2,17 @@
 
 A document's ids are cut into whole sequences, then into powers of two down to ``grain``, and a rest
 shorter than ``grain``. A piece of length l belongs to the reciprocal-capacity class
-floor(capacity / l): a bin of the class takes exactly that many pieces. Pieces of one class and
-one length fill bins of their own, so a piece's bin and place follow from its ordinal alone. Workers
+floor(capacity / l): a bin of the class takes exactly that many pieces. Because documents may be cut freely, the cuts
+are chosen so that every class above the rests holds one length and wastes nothing; only the rests' classes hold lengths
+that their bins' count does not fill to the end. Pieces of one class and one length fill bins of their own, so a piece's bin and place follow from its ordinal alone. Workers
 number their own pieces; a prefix sum over (worker, length) counts turns these into global
 ordinals, and no piece is moved. What is left in the last, unfull bin of each length is fewer than
 ``capacity / l`` pieces a length whatever the input's size; these are joined, cut again at sequence
 ends, and end in sequences whose lengths are powers of two, which need no padding.
 
-Nulls: a null text is an empty text, which still has its end id; a null doc_id is kept. Repeated rows are
-packed each. An empty table gives no pieces. Other columns are ignored.
+Nulls: a null text is an empty text, which still has its end id; a null doc_id is kept. Literals of the vocabulary's
+added tokens become those tokens, as the library has it. Very long texts are cut like others, none is shortened. Repeated
+rows are packed each. An empty table gives no pieces. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -101,10 +103,10 @@ def pack_documents(df: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.js
     columns = ["doc_id", "start", "length", "ids", "doc_tokens"]
     placed = numbered.where("rank < whole").select(*columns, F.expr("first + rank div per_bin").alias("sequence_id"), F.expr("(rank % per_bin) * length").alias("offset"))
 
-    def rejoin(pdf):  # noqa: ANN001, ANN202
-        pdf, rows = pdf.sort_values(["length", "rank"], ascending=[False, True]), []
-        room, sequence, offset = binary_cuts(int(pdf["length"].sum()), capacity), 0, 0
-        for doc_id, start, ids, doc_tokens in zip(pdf["doc_id"], pdf["start"], pdf["ids"], pdf["doc_tokens"]):
+    def rejoin(rest: pa.Table) -> pa.Table:
+        rest, rows = rest.sort_by([("length", "descending"), ("rank", "ascending")]), []
+        room, sequence, offset = binary_cuts(sum(rest["length"].to_pylist()), capacity), 0, 0
+        for doc_id, start, ids, doc_tokens in zip(*(rest[c].to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens"))):
             at = 0
             while at < len(ids):
                 n = min(len(ids) - at, 4 * (room[sequence] - offset))
@@ -112,11 +114,11 @@ def pack_documents(df: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.js
                 at, offset = at + n, offset + n // 4
                 if offset == room[sequence]:
                     sequence, offset = sequence + 1, 0
-        return pd.DataFrame(rows, columns=[*columns, "sequence_id", "offset"]).astype({"doc_id": "Int64"})
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        cols = list(zip(*rows)) or [[]] * 7
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=[*columns, "sequence_id", "offset"])
 
-    import pandas as pd
-
-    tail = numbered.where("rank >= whole").select(*columns, "rank", F.lit(0).alias("tail")).groupBy("tail").applyInPandas(rejoin, f"{_PIECE}, sequence_id long, offset long")
+    tail = numbered.where("rank >= whole").select(*columns, "rank", F.lit(0).alias("tail")).groupBy("tail").applyInArrow(rejoin, f"{_PIECE}, sequence_id long, offset long")
     return placed.unionByName(tail)
 
 

@@ -18,8 +18,8 @@ Repeated words have a base rule of their own and no fence.
 
 Words are runs of anything but ``[\\x20\\x09-\\x0D]``. Nulls: a null text has no words and fails the base rules; a
 null lang or source is a group of its own. Very long texts stay in one row. Repeated rows are judged each. An
-empty table gives no rows. Columns of other names pass through ``filtered``; the columns in ``COUNTS`` and the verdict
-columns replace columns of the same name.
+empty table gives no rows. ``filtered`` returns the columns of its input, whatever their names; in ``judged`` the counts
+and verdicts replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -141,23 +141,27 @@ def thresholds(counted: DataFrame, folder: str) -> DataFrame:
     return joined.select(*_KEYS, *[chosen(m).alias(f"max_{m}") for m in found])
 
 
-def judged(df: DataFrame, folder: str, text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """Every row of ``df`` with its counts, base_failed, reasons (array) and kept.
-
-    The counts are computed once and stored with the other columns, the text only if it is to be kept.
-    """
-    counted = with_counts(df, text_col)
-    counted = stored(counted if keep_text else counted.drop(text_col), folder, "counts")
-    limits = thresholds(counted, folder).select(*[F.col(k).alias(f"_{k}") for k in _KEYS], *[f"max_{m}" for m in MEASURES])
-    joined = counted.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+def _verdicts(df: DataFrame, folder: str, text_col: str, own: list[str]) -> DataFrame:
+    """Counts, base_failed, reasons and kept of every row, beside its columns ``own`` in the struct ``row``."""
+    held = df.select(F.struct(F.lit(0), *[F.col(f"`{c}`") for c in own]).alias("row"), F.col(f"`{text_col}`").alias("text"), *_KEYS)
+    counted = stored(with_counts(held).drop("text"), folder, "counts")
+    limits = thresholds(counted, folder).select(*[F.col(k).alias(f"of_{k}") for k in _KEYS], *[f"max_{m}" for m in MEASURES])
+    joined = counted.join(limits, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
     reasons = F.array_compact(F.array(*[F.when(c > F.col(f"max_{m}"), F.lit(m)) for m, c in measures().items()]))
     out = joined.withColumn("base_failed", base_failed()).withColumn("reasons", reasons)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0)).drop("_lang", "_source", *[f"max_{m}" for m in MEASURES])
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0))
+
+
+def judged(df: DataFrame, folder: str, text_col: str = "text") -> DataFrame:
+    """Every row of ``df``, without its text, with its counts, base_failed, reasons (array) and kept."""
+    found = [*COUNTS, "n_lines", "n_upper", "base_failed", "reasons", "kept"]
+    own = [c for c in df.columns if c not in (text_col, *found)]
+    return _verdicts(df, folder, text_col, own).select(*[F.col(f"row.`{c}`").alias(c) for c in own], *found)
 
 
 def filtered(df: DataFrame, folder: str, text_col: str = "text") -> DataFrame:
     """The rows that the rules keep, with their own columns."""
-    return judged(df, folder, text_col, keep_text=True).where("kept").select(*df.columns)
+    return _verdicts(df, folder, text_col, df.columns).where("kept").select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

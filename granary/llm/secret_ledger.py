@@ -9,8 +9,8 @@ Spans are code points, end exclusive. Java's ``split`` and ``regexp_extract_all`
 into alternating rests and matches, so a match's place is the length of what lies before it.
 
 Nulls: a null text is an empty text and has no findings; null ids are kept. Copies and repeated rows share a
-blob and each get its findings. An empty table gives an empty result and ledger. Columns named
-``blob`` or ``spans`` are replaced; others pass through.
+blob and each get its findings. Very long texts are scanned whole. An empty table gives an empty result and ledger.
+``scan`` replaces columns named ``blob`` or ``findings``; others pass through. ``without_secrets`` keeps all columns.
 """
 
 from __future__ import annotations
@@ -86,7 +86,7 @@ def scan(versions: DataFrame, folder: str, ledger: DataFrame | None = None, rule
     ``findings`` is array<struct<start, rank, kind, end>> in order of start, then of the rules. The text is
     left out unless it is to be kept; then few findings are broadcast, so that texts stay where they are.
     """
-    have = addressed(versions, text_col)
+    have = addressed(versions.drop("findings"), text_col)
     wanted = [F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("rule_version")) for r in rules]
     one = have.groupBy("blob").agg(F.min(id_col).alias("_id"))
     if ledger is not None:
@@ -139,11 +139,13 @@ def redacted(text: Column, findings: Column, mark: str = "[SECRET]") -> Column:
 
 def without_secrets(df: DataFrame, folder: str) -> DataFrame:
     """All rows of ``df`` (doc_id, text, ...), secrets in the text replaced and n_chars, where there is one, recounted."""
-    found, _ = scan(df, folder, keep_text=True)
+    rest = [c for c in df.columns if c not in ("doc_id", "text")]
+    found, _ = scan(df.select("doc_id", "text", F.struct(F.lit(0), *[F.col(f"`{c}`") for c in rest]).alias("rest")), folder, keep_text=True)
     out = found.withColumn("text", redacted(F.col("text"), F.col("findings")))
-    if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.when(F.size("findings") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(df.schema["n_chars"].dataType))
-    return out.select(*df.columns)
+    own = {c: F.col(f"rest.`{c}`") for c in rest} | {c: F.col(c) for c in ("doc_id", "text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.size("findings") > 0, F.length("text")).otherwise(own["n_chars"]).cast(df.schema["n_chars"].dataType)
+    return out.select(*[own[c].alias(c) for c in df.columns])
 
 
 def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

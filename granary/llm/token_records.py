@@ -14,8 +14,12 @@ Shards are range-partitioned: their names in order hold ascending doc_ids. The i
 table (path, offset, length, doc_id, n_tokens, local_start, ids_crc32) and is built from the
 shards themselves, every checksum verified.
 
-Nulls: a null text is an empty text; a null doc_id is kept, first. Rows with one doc_id keep the order
-of their texts. An empty table gives no records. Other columns are ignored.
+A shard holds ``RECORDS`` records at most, whatever the size of the table, so that a reader can hold it; very long texts
+are encoded whole, each as one record.
+
+Nulls: a null text is an empty text; a null doc_id is kept, first. Literals of the vocabulary's added tokens become those
+tokens, as the library has it. Rows with one doc_id keep the order of their texts. An empty table gives no records. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ from .tokens import encoder, slices
 
 _HEAD, _BODY, _CRC = struct.Struct("<Q"), struct.Struct("<Bq"), struct.Struct("<I")
 _NARROW, _NO_ID = 1, 2
+#: Records in a shard at most: 64 KB a record on average would fill the 2 GB that Spark reads as one binary value.
+RECORDS = 32_768
 _INDEX = "path string, offset long, length long, doc_id long, n_tokens long, local_start long, ids_crc32 long"
 
 
@@ -78,7 +84,7 @@ def write_records(df: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.jso
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(folder)
+    rows.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").option("maxRecordsPerFile", RECORDS).text(folder)
 
 
 def scan_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,7 +129,8 @@ def read_records(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFra
 def with_starts(index: DataFrame) -> DataFrame:
     """Add ``start``: the ids of all records before. One row per shard passes through one task."""
     shards = index.groupBy("path").agg(F.sum("n_tokens").alias("n"))
-    order = Window.orderBy(F.length(F.regexp_extract("path", r"part-(\d+)", 1)), "path").rowsBetween(Window.unboundedPreceding, -1)
+    part, cut = (F.regexp_extract("path", p, 1).cast("long") for p in (r"part-(\d+)", r"-c(\d+)\.[^/]*$"))
+    order = Window.orderBy(part, cut).rowsBetween(Window.unboundedPreceding, -1)
     before = shards.select("path", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("shard_start"))
     return index.join(before, "path").withColumn("start", F.col("shard_start") + F.col("local_start")).drop("shard_start")
 

@@ -2,8 +2,9 @@
 
 Whole texts are cut at places that no pre-token of the vocabulary spans, each distinct piece is
 encoded by the library once, and the pieces' ids are joined. A piece of Latin letters is one pre-token, so it goes
-straight to the library's BPE model; all others take the library's whole chain. The result equals the
-library's on the whole text; ``tests/llm/test_tokens.py`` holds the two against each other.
+straight to the library's BPE model; all others take the library's whole chain. A text that holds the literal of an
+added token (``<|endoftext|>``) is encoded whole: the library gives such a literal the token's own id. The result
+equals the library's on the whole text; ``tests/llm/test_tokens.py`` holds it against a tokenizer loaded afresh.
 """
 
 from __future__ import annotations
@@ -68,9 +69,9 @@ class PieceEncoder:
         self._tok = Tokenizer.from_file(path)
         self._tok.no_padding()
         self._tok.no_truncation()
-        self._tok.encode_special_tokens = True
         self._spaced, self._lead = space_prefixed, "\u0120" if space_prefixed else ""
         self.size = self._tok.get_vocab_size(with_added_tokens=True)
+        self._added = [t.content for t in self._tok.get_added_tokens_decoder().values()]
         self._tokenize, self._letters = self._tok.model.tokenize, byte_letters()
         self._ends = {c: self.whole(c) for c in ".,"}
         self._line_end = self.whole("\n")
@@ -118,6 +119,8 @@ class PieceEncoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if any(t in text for t in self._added):
+            return self.whole(text)
         if not self._spaced:
             return b"".join(map(self._inner.__getitem__, text.replace("\n", " ").split(" ")))
         head, *words = text.split(" ")

@@ -197,7 +197,7 @@ def calibrated(odds: np.ndarray, y: np.ndarray, weigh: np.ndarray, steps: int =
 
 def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> Model:
     """Fit on bounded samples of ``labels`` (doc_id, toxic), which the caller has restricted to training rows."""
-    known = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    known = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = known.where("toxic = 1").orderBy(*order).limit(toxic).union(known.where("toxic = 0").orderBy(*order).limit(clean))

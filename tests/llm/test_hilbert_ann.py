@@ -55,6 +55,15 @@ def test_copies_ties_and_invalid_vectors(spark):
     assert got == {q: [i for i, _ in x] for q, x in brute(vectors, range(0, 300, 20), 20).items()}
 
 
+def test_ties_of_different_vectors_go_to_the_smaller_id():
+    rng = np.random.default_rng(9)
+    m = rng.standard_normal((2000, 6))
+    m[:, 0] = np.where(np.arange(2000) % 2, 5.0, m[:, 0].clip(-1, 1))  # odd ones tie at the first axis, ahead of all others
+    ids = rng.permutation(2000)
+    got = H._best(np.eye(6)[:1], np.array([7]), m, ids, 24)
+    assert sorted(got["vid"]) == sorted(ids[1::2])[:24]
+
+
 def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 0, 0), (1, [0.5, 1.0], 0, 0)], SCHEMA)
     rows = H.nearest(df, F.col("vec_id") % 20 == 0, shared_folder(spark)).collect()
