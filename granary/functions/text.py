@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..lexicon import ANNOUNCEMENT_WORDS, NEGATIONS
+from ..lexicon import ANNOUNCEMENT_WORDS, NEGATIONS, NOTICE_TERMS
 
 #: Entities that occur in feeds; ``&amp;`` is decoded last so that nothing is decoded twice.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\u00a0", "&middot;": "·", "&copy;": "©", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&ldquo;": "“", "&rdquo;": "”", "&lsquo;": "‘", "&rsquo;": "’", "&amp;": "&"}
@@ -76,32 +76,60 @@ def has(c: Column, word: str) -> Column:
     return F.contains(c, F.lit(word))
 
 
+#: Lists up to this length become a chain of comparisons; longer ones an array that is walked, which keeps plans small.
+CHAIN = 6
+
+
+def _let(c: Column, use) -> Column:  # noqa: ANN001
+    """``use`` of a value that is computed once, however often it is looked at."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
+def _found(c: Column, words: Iterable[str]) -> Column:
+    """array<string> of the words that ``c`` contains, in list order."""
+    every = F.array(*map(F.lit, words))
+    return _let(c, lambda t: F.filter(every, lambda w: F.contains(t, w)))
+
+
 def any_of(c: Column, words: Iterable[str], bounded: bool = False) -> Column:
-    return reduce(lambda a, b: a | b, [has(c, w) if bounded else F.contains(c, F.lit(w)) for w in words], F.lit(False))
+    words = tuple(dict.fromkeys(words))
+    if bounded:
+        ascii_words = [re.escape(w) for w in words if w.isascii()]
+        rest = any_of(c, [w for w in words if not w.isascii()])
+        return rest | c.rlike(f"(^|[^a-z])({'|'.join(ascii_words)})([^a-z]|$)") if ascii_words else rest
+    if len(words) > CHAIN:
+        every = F.array(*map(F.lit, words))
+        return _let(c, lambda t: F.exists(every, lambda w: F.contains(t, w)))
+    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words], F.lit(False))
 
 
 def count_of(c: Column, words: Iterable[str], bounded: bool = False) -> Column:
     """How many distinct words occur."""
-    return reduce(lambda a, b: a + b, [(has(c, w) if bounded else F.contains(c, F.lit(w))).cast("int") for w in dict.fromkeys(words)], F.lit(0))
+    words = tuple(dict.fromkeys(words))
+    alone = [w for w in words if bounded and w.isascii()]
+    rest = [w for w in words if w not in alone]
+    total = F.size(_found(c, rest)) if len(rest) > CHAIN else reduce(lambda a, b: a + b, [F.contains(c, F.lit(w)).cast("int") for w in rest], F.lit(0))
+    return reduce(lambda a, b: a + b, [has(c, w).cast("int") for w in alone], total)
 
 
 def matches(c: Column, words: Iterable[str]) -> Column:
     """The words that occur, in list order."""
-    return F.array_compact(F.array(*[F.when(F.contains(c, F.lit(w)), F.lit(w)) for w in words]))
+    return _found(c, tuple(words))
 
 
 def first_of(c: Column, words: Iterable[str]) -> Column:
-    return F.coalesce(*[F.when(F.contains(c, F.lit(w)), F.lit(w)) for w in words], F.lit(""))
+    return F.coalesce(F.get(_found(c, tuple(words)), F.lit(0)), F.lit(""))
 
 
 def unnegated(c: Column, words: Iterable[str]) -> Column:
     """The words with an occurrence that no negation precedes within 12 characters."""
 
-    def free(w: str) -> Column:  # the word is found first, then what stands before it is looked at
+    def pattern(w: str) -> str:  # the word is found first, then what stands before it is looked at
         before = "|".join(f"{n}\\s{{0,{12 - len(n)}}}" for n in NEGATIONS)
-        return F.contains(c, F.lit(w)) & c.rlike(f"(?U){re.escape(w)}(?<!(?:{before}){re.escape(w)})")
+        return f"(?U){re.escape(w)}(?<!(?:{before}){re.escape(w)})"
 
-    return F.array_compact(F.array(*[F.when(free(w), F.lit(w)) for w in words]))
+    every = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(pattern(w)).alias("p")) for w in words])
+    return _let(c, lambda t: F.transform(F.filter(F.filter(every, lambda e: F.contains(t, e["w"])), lambda e: F.rlike(t, e["p"])), lambda e: e["w"]))
 
 
 def plain(c: Column | str, most: int) -> Column:
@@ -110,6 +138,18 @@ def plain(c: Column | str, most: int) -> Column:
     return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most - 1), F.lit("…"))).otherwise(flat)
 
 
+def marked(c: Column | str, most: int) -> Column:
+    """One line without markdown characters, ``most`` characters and an ellipsis if there were more."""
+    flat = F.regexp_replace(F.regexp_replace(text(c), "[\\r\\n]+", " "), "[\\\\`*_\\[\\]()<>#]", "")
+    return F.concat(F.substring(flat, 1, most), F.when(F.length(flat) > most, "…").otherwise(""))
+
+
+def notice_version(title: Column | str, published: Column | str, url: Column) -> Column:
+    """What tells a re-tender or clarification from the notice before it; empty for first notices. ``url`` is the address to fetch."""
+    told = any_of(text(title), NOTICE_TERMS)
+    return F.when(told, F.substring(signature(F.concat_ws("|", text(title), text(published), text(url))), 1, 24)).otherwise("")
+
+
 def redacted(c: Column | str) -> Column:
     """Values of key-like query parameters masked."""
     return F.regexp_replace(text(c), "(?i)\\b(api[_-]?key|key|access_token|token|secret|sign)=([^&\\s\"']+)", "$1=***")

@@ -89,7 +89,7 @@ FIT_PENALTIES = ((_w("机场 行李系统 港口 EPC"), 25), (_w("教学 实训
 ANNOUNCEMENT_WORDS = _w("中标候选人 重新招标 变更公告 二次 澄清 招标 采购 中标 成交 公告 公示 项目 工程")
 VERSION_TERMS = _w("二次 重新招标 变更 澄清 延期 重启")
 NOTICE_TERMS = _w("二次 重新招标 澄清 变更 重新启动 重启")
-AUTH_FAILURE = _w("登录失效 重新登录 登录过期 扫码登录 token失效 cookie失效 授权失效 授权过期 请登录 账号异常")
+AUTH_FAILURE = _w("扫码登录 扫码授权 请扫码 重新扫码 登录过期 登录已过期 请重新登录 重新登录 重新授权 验证码")
 # --- end of fixed values ---------------------------------------------------------------------------
 
 

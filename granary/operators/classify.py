@@ -81,7 +81,8 @@ def stage(c: Column, stages: dict[str, tuple[str, ...]] = L.STAGES) -> Column:
 def candidate_stage(title: Column | str, whole: Column | str) -> Column:
     """The title's stage, softer words of the title, then the whole text's stage."""
     t = T.text(title)
-    return F.when(stage(t) != "UNKNOWN", stage(t)).when(T.any_of(t, L.TITLE_EARLY), "EARLY_SIGNAL").when(T.any_of(t, L.TITLE_TENDER), "PROCUREMENT").otherwise(stage(T.text(whole)))
+    own = F.nullif(stage(t), F.lit("UNKNOWN"))
+    return F.coalesce(own, F.when(T.any_of(t, L.TITLE_EARLY), "EARLY_SIGNAL").when(T.any_of(t, L.TITLE_TENDER), "PROCUREMENT"), stage(T.text(whole)))
 
 
 def project_type(c: Column, types=L.TYPES) -> Column:  # noqa: ANN001
@@ -91,25 +92,27 @@ def project_type(c: Column, types=L.TYPES) -> Column:  # noqa: ANN001
 
 def relevance(df: DataFrame, terms: dict[str, int] = L.WAREHOUSE_TERMS, intents: dict[str, int] = L.INTENT_TERMS) -> DataFrame:
     """Add relevance_score (0-100), matched_terms and risk_flags from title, summary and content."""
-    whole = F.trim(F.concat_ws(" ", T.text("title"), T.text("summary"), T.text("content")))
-    upper = F.upper(whole)
+    text = F.trim(F.concat_ws(" ", T.text("title"), T.text("summary"), T.text("content")))
+    df = df.withColumn("_whole", text).withColumn("_upper", F.upper("_whole"))
+    whole, upper = F.col("_whole"), F.col("_upper")
     risks = F.concat(
         F.transform(T.unnegated(whole, L.OPPORTUNITY_EXCLUDES), lambda t: F.concat(F.lit("excluded:"), t)),
         F.transform(T.unnegated(whole, L.EDITORIAL_EXCLUDES), lambda t: F.concat(F.lit("editorial:"), t)),
     )
-    hits = [(F.contains(upper, F.lit(t.upper())), w, t) for t, w in (terms | intents).items()]
+    every = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(t.upper()).alias("u"), F.lit(w).alias("w"), F.lit(t in terms).alias("domain"), F.lit(t in intents).alias("intent")) for t, w in (terms | intents).items()])
+    df = df.withColumn("_hits", F.filter(every, lambda e: F.contains(upper, e["u"]))).withColumn("_risks", risks)
     generic = F.contains(whole, F.lit("仓储")) & ~T.any_of(upper, ("智能仓储", "仓储自动化", "立体库", "WMS", "WCS"))
-    domain, intent = T.any_of(upper, [t.upper() for t in terms]), T.any_of(whole, intents)
-    total = reduce(lambda a, b: a + b, [F.when(p, w).otherwise(0) for p, w, _ in hits]) + F.when(generic, 6).otherwise(0) + F.when(domain & intent, 15).otherwise(0)
-    matched = F.array_compact(F.array(*[F.when(p, F.lit(t)) for p, _, t in hits], F.when(generic, F.lit("仓储"))))
-    out = df.withColumn("_risks", risks)
-    bad = F.size("_risks") > 0
+    domain = F.exists("_hits", lambda e: e["domain"])
+    intent = F.exists("_hits", lambda e: e["intent"] & F.contains(whole, e["t"]))
+    total = F.aggregate("_hits", F.lit(0), lambda n, e: n + e["w"]) + F.when(generic, 6).otherwise(0) + F.when(domain & intent, 15).otherwise(0)
     none = F.array().cast("array<string>")
-    return out.withColumns({
+    matched = F.concat(F.transform("_hits", lambda e: e["t"]), F.when(generic, F.array(F.lit("仓储"))).otherwise(none))
+    bad = F.size("_risks") > 0
+    return df.withColumns({
         "relevance_score": F.when(bad, 0.0).otherwise(F.least(total, F.lit(100)).cast("double")),
         "matched_terms": F.when(bad, none).otherwise(matched),
         "risk_flags": F.when(bad, F.col("_risks")).when(~domain, F.array(F.lit("weak_warehouse_fit"))).otherwise(none),
-    }).drop("_risks")
+    }).drop("_risks", "_hits", "_whole", "_upper")
 
 
 def source_tier(url: Column | str, official: tuple[str, ...], authoritative: tuple[str, ...]) -> Column:

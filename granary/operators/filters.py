@@ -114,17 +114,50 @@ def needs_report() -> Column:
 
 def auth_failure(words: tuple[str, ...] = L.AUTH_FAILURE) -> Column:
     """The first word of a failed login in title and summary; empty if none."""
-    return T.first_of(F.concat_ws(" ", T.text("title"), T.text("summary")), words)
+    return T.first_of(F.lower(F.concat_ws(" ", T.text("title"), T.text("summary"))), words)
+
+
+def unverified() -> Column:
+    """Opportunities that rest on a search excerpt or were never verified."""
+    flags = ("search_excerpt_only", "search_excerpt_supports_some_fields", "original_page_unavailable")
+    return T.text("verification_status").isin("preview", "unverified") | (T.text("research_mode") == "preview") | F.arrays_overlap(F.coalesce("risk_flags", F.array().cast("array<string>")), F.array(*map(F.lit, flags)))
+
+
+def can_rule_fallback() -> Column:
+    """Candidates that the rules may judge alone: not found by a search, or read in the original, which has their title."""
+    read = (T.text("verified_url") != "") & F.contains(T.compact("content"), T.compact("title"))
+    return (T.text("discovery_method") != "ai_search") | read
+
+
+def research_accepted(least: float = 60.0) -> Column:
+    return F.coalesce(F.col("is_real_project") & (F.col("warehouse_relevance") >= least), F.lit(False))
+
+
+def publishable(df: DataFrame, receipts: DataFrame, now: float, limit: int = 5) -> DataFrame:
+    """The first ``limit`` rows, in order of ``_ord``, that are verified, need a report, were not delivered as they are, and have not expired.
+
+    ``receipts`` (project_key, digest_hash) are acknowledged deliveries.
+    """
+    sent = receipts.select("project_key", F.col("digest_hash").alias("_sent")).distinct()
+    open_ = df.where(~unverified() & needs_report() & ~facts.expired("deadline", now))
+    unsent = open_.join(sent, (open_["project_key"] == sent["project_key"]) & (open_["digest_hash"] == sent["_sent"]), "left_anti")
+    return unsent.orderBy("_ord").limit(limit)
 
 
 def account_scope(df: DataFrame, accounts: DataFrame) -> DataFrame:
     """Rows whose source_name contains a name or alias of ``accounts`` (name, aliases array).
 
-    Up to ``ACCOUNTS`` accounts become literals, so that the rows are only filtered; more are joined on containment.
+    Up to ``ACCOUNTS`` accounts become literals, so that the rows are only filtered. Of more, each row's substrings of a name's
+    length are looked up by an equi-join; their number is bounded by the source_name, which is short. Case is ignored.
     """
-    every = accounts.select(F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("_name")).where("_name <> ''").distinct()
+    df = df.withColumn("_name_of_source", F.lower(F.trim(T.text("source_name"))))
+    every = accounts.select(F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("_name")).select(F.lower("_name").alias("_name")).where("_name <> ''").distinct()
     if every.limit(ACCOUNTS + 1).count() > ACCOUNTS:
-        return df.join(every, (T.text("source_name") != "") & F.contains(T.text("source_name"), F.col("_name")), "left_semi")
+        lengths = sorted(r[0] for r in every.select(F.length("_name")).distinct().collect())  # as many as names have lengths
+        places = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_name_of_source") - n + 1, F.lit(1))), lambda i: F.substr("_name_of_source", i, F.lit(n)))
+        parts = F.array_distinct(F.flatten(F.array(*[F.when(F.length("_name_of_source") >= n, places(n)).otherwise(F.array().cast("array<string>")) for n in lengths])))
+        hits = df.select("_name_of_source").distinct().select("_name_of_source", F.explode(parts).alias("_name")).join(every, "_name", "left_semi").select("_name_of_source").distinct()
+        return df.join(hits, "_name_of_source", "left_semi").drop("_name_of_source")
     names = [r["_name"] for r in every.collect()]
-    return df.where((T.text("source_name") != "") & T.any_of(T.text("source_name"), names))
+    return df.where(T.any_of(F.col("_name_of_source"), names)).drop("_name_of_source")
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import facts
+from ..functions import facts, urls
 from ..functions import text as T
 from ..functions.urls import host
 
@@ -137,17 +137,40 @@ def cautious(df: DataFrame, fields: tuple[str, ...] = ("summary", "opportunity_r
         m = date.search(text or "")
         return tuple(map(int, m.groups())) if m else None
 
+    def told(text: str | None, budget: str | None, published: str | None, deadline: str | None, *names: str | None) -> str:
+        known, days = amount(budget), {d for d in (day(published), day(deadline)) if d}
+        text = money.sub(lambda m: m[0] if budget and amount(m[0]) == known else "金额待核实", text or "")
+        text = date.sub(lambda m: m[0] if day(m[0]) in days else "日期待核实", text)
+        for claimed, proven in zip(names[::2], names[1::2]):
+            if claimed and not proven:
+                text = text.replace(claimed, "待核实")
+        return text
+
+    facts_ = ["budget", "published", "deadline", *(c for n in ("owner", "province", "city") for c in (f"claimed_{n}", n))]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i, r in pdf.iterrows():
-                budget, days = amount(r["budget"]), {d for d in (day(r["published"]), day(r["deadline"])) if d}
-                for f in fields:
-                    text = money.sub(lambda m: m[0] if r["budget"] and amount(m[0]) == budget else "金额待核实", r[f] or "")
-                    text = date.sub(lambda m: m[0] if day(m[0]) in days else "日期待核实", text)
-                    for name in ("owner", "province", "city"):
-                        if r[f"claimed_{name}"] and not r[name]:
-                            text = text.replace(r[f"claimed_{name}"], "待核实")
-                    pdf.at[i, f] = text
-            yield pdf
+            values = [pdf[c] for c in facts_]
+            yield pdf.assign(**{f: [told(*row) for row in zip(pdf[f], *values)] for f in fields})
 
     return df.mapInPandas(run, df.schema)
+
+
+def lookup_query(title: Column | str) -> Column:
+    """The search that looks for a candidate's own sources. Its words."""
+    return F.concat(F.lit('"'), T.text(title), F.lit('" 官方 招标 采购 公告 企业采购平台 企业官网 最新公告'))
+
+
+def found_sources(results: DataFrame, most: int = 5) -> DataFrame:
+    """The first ``most`` results of each candidate's search (project_key, position, url, ...), one an address but for a closing slash."""
+    page = F.regexp_replace(F.trim(T.text("url")), "/+$", "")
+    first = Window.partitionBy("project_key", "_page").orderBy("position")
+    rows = results.withColumn("_page", page).where("_page <> ''").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_page")
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("project_key").orderBy("position"))).where(F.col("_n") <= most).drop("_n")
+
+
+def with_tool_sources(candidates: DataFrame, sources: DataFrame) -> DataFrame:
+    """Candidates that an answer lists, and what its search tool returned besides: sources (url, title, snippet) at no candidate's address."""
+    mine = candidates.select(urls.fetch_url("url").alias("_page")).distinct()
+    more = sources.withColumn("_page", urls.fetch_url("url")).where("_page <> ''").join(mine, "_page", "left_anti").dropDuplicates(["_page"])
+    return candidates.unionByName(more.select(T.text("title").alias("title"), "url", F.col("snippet").alias("summary"), F.lit("ai_search").alias("discovery_method")), allowMissingColumns=True)

@@ -9,6 +9,7 @@ from .. import lexicon as L
 from ..functions import text as T
 from ..functions import urls
 from ..operators import classify, dedup, filters, score, select
+from ..sources import discovery
 
 
 def national(articles: DataFrame, now: float, year: int, rules: L.NewsRules = L.NewsRules(), limits: L.Limits = L.Limits(), near: bool = True, scope: list[str] | None = None) -> DataFrame:
@@ -25,14 +26,60 @@ def national(articles: DataFrame, now: float, year: int, rules: L.NewsRules = L.
     return select.capacity(unique, limits, order, scope)
 
 
-def other_scope(articles: DataFrame, now: float, count: int, regions: tuple[str, ...] = ()) -> DataFrame:
-    """Filter, drop near titles, score with the demand signal, and take turns between sources."""
-    kept = dedup.leaders_overlap(filters.filter_relevant(articles, regions))
+def _scored(kept: DataFrame, now: float, regions: tuple[str, ...]) -> DataFrame:
+    """Rows outside the national scope with vendor_hit, uid, demand_signal (tenths), the flag of 0.8 and more, and score."""
     both = F.concat_ws(" ", T.text("title"), T.text("summary"))
     vendor, bidding = T.any_of(F.concat_ws(" ", both, T.text("source_name")), L.VENDORS), T.any_of(both, L.BIDDING) | (T.text("skill_name") == "招投标")
     marked = kept.withColumns({"vendor_hit": vendor, "uid": urls.uid("url"), "demand_signal": classify.demand_signal(both, regions)})
-    scored = marked.withColumn("score", score.article_score(now, F.col("demand_signal"), F.col("vendor_hit"), bidding, T.any_of(T.text("source_name"), L.TRUSTED)))
-    return select.round_robin(scored, count, now)
+    marked = marked.withColumn("is_potential_warehouse_demand", F.col("demand_signal") >= 8)
+    return marked.withColumn("score", score.article_score(now, F.col("demand_signal"), F.col("vendor_hit"), bidding, T.any_of(T.text("source_name"), L.TRUSTED)))
+
+
+def other_scope(articles: DataFrame, now: float, count: int, regions: tuple[str, ...] = ()) -> DataFrame:
+    """Filter, drop near titles, score with the demand signal, and take turns between sources."""
+    kept = dedup.leaders_overlap(filters.filter_relevant(articles, regions))
+    return select.round_robin(_scored(kept, now, regions), count, now)
+
+
+def pool(df: DataFrame, scope: str) -> DataFrame:
+    """Rows that a scope's page draws on. Accounts' rows of the local kind, or from local accounts, belong to the local page."""
+    region, kind = T.text("region_scope"), F.lower(F.trim(T.text("wechat_category") if "wechat_category" in df.columns else F.lit("industry")))
+    ours = (region == "wechat") & ((kind == "local") | T.any_of(T.text("source_name"), L.LOCAL_ACCOUNTS))
+    if scope == "local":
+        return df.where((region == "local") | ours)
+    if scope == "wechat":
+        return df.where((region == "wechat") & ~ours)
+    return by_scope(df, scope)
+
+
+def _selected(scored: DataFrame, scope: str, now: float, limits: L.Limits, fallback: bool) -> DataFrame:
+    rows = pool(scored, scope)
+    if scope == "discover":
+        keyed = rows.withColumns({"source_key": discovery.source_key(), "placeholder": discovery.placeholder()})
+        unique = dedup.first_by(keyed, ["uid"], F.col("placeholder").cast("int").asc(), F.desc("score"))
+        return select.two_source_quota(unique, limits.discover, "zhihu", "bilibili").drop("source_key", "placeholder")
+    chosen = select.round_robin(rows, limits.local if scope == "local" else limits.account, now)
+    return select.scope_fallback(chosen, rows, limits.local) if fallback and scope == "local" else chosen
+
+
+def whole_day(articles: DataFrame, now: float, year: int, regions: tuple[str, ...] = (), rules: L.NewsRules = L.NewsRules(), limits: L.Limits = L.Limits()) -> DataFrame:
+    """The day's four selections together, newest first: national, local, discover and accounts. Column ``page`` tells which."""
+    first = national(by_scope(articles, "national"), now, year, rules, limits)
+    kept = dedup.leaders_overlap(filters.filter_relevant(articles.where(~classify.is_national("region_scope")), regions))
+    scored = _scored(kept, now, regions)
+    parts = [first.withColumn("page", F.lit("national"))] + [_selected(scored, s, now, limits, False).withColumn("page", F.lit(s)) for s in ("local", "discover", "wechat")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.orderBy(F.desc("published_ts"), "_ord")
+
+
+def scope_day(articles: DataFrame, scope: str, now: float, year: int, regions: tuple[str, ...] = (), rules: L.NewsRules = L.NewsRules(), limits: L.Limits = L.Limits()) -> DataFrame:
+    """A partial refresh: one scope's selection. An empty local page shows the best three rows of its pool."""
+    if scope == "national":
+        return national(by_scope(articles, scope), now, year, rules, limits)
+    kept = dedup.leaders_overlap(filters.filter_relevant(articles.where(~classify.is_national("region_scope")), regions))
+    return _selected(_scored(kept, now, regions), scope, now, limits, True)
 
 
 def by_scope(df: DataFrame, scope: str) -> DataFrame:

@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicon as L
 from ..functions import facts
 from ..functions import text as T
-from ..operators import classify, filters, history, score, select
+from ..operators import budgets, classify, filters, history, research, score, select, verify
+from ..operators.budgets import Settings
 
 
 def build(candidates: DataFrame, now: float, include_inactive: bool = False) -> DataFrame:
     """Candidate rows (title, url, summary, content, source_name, published_ts, _ord) to opportunity rows."""
-    whole = F.trim(F.concat_ws(" ", T.text("title"), T.text("summary"), T.text("content")))
-    rated = classify.relevance(candidates)
+    rated = classify.relevance(candidates).withColumn("_whole", F.trim(F.concat_ws(" ", T.text("title"), T.text("summary"), T.text("content"))))
+    whole = F.col("_whole")
     out = rated.withColumns({
         "stage": classify.candidate_stage("title", whole), "project_type": classify.project_type(whole), "province": facts.province(whole), "city": facts.city(whole),
         "budget": facts.budget(whole), "deadline": facts.deadline(whole), "owner": facts.owner(whole), "source_score": score.source_score("source_name", "url"), "technical_scope": F.col("matched_terms"),
-    })
+    }).drop("_whole")
     out = out.withColumns({"budget_amount": facts.amount("budget"), "urgency_score": score.urgency(now), "project_key": T.project_key("title", "owner", "city")})
     out = out.withColumn("final_score", score.rule_score())
     return out if include_inactive else out.where(filters.should_keep() & ~filters.too_old(now))
@@ -35,9 +36,62 @@ def rescored(items: DataFrame, now: float, profile: L.CompanyProfile = L.Company
 
 
 def ranked(items: DataFrame, index: DataFrame, now: float, year: int, day: str, limit: int = 5, profile: L.CompanyProfile = L.CompanyProfile()) -> DataFrame:
-    """History, scores, drop reasons and the final order; every row comes back with its drop_reason."""
+    """History, scores, drop reasons and the final order; every row comes back with its drop_reason.
+
+    The items are persisted, because history and ranking look at them several times.
+    """
+    items = items.persist()
     remembered = history.apply_history(items, index, day)
     scored = rescored(remembered, now, profile).withColumn("research_mode", F.lit("rules")).withColumn("digest_hash", F.col("material_hash"))
     judged = scored.withColumn("needs_report", filters.needs_report()).withColumn("reason", filters.ranking_reason(now, year))
     shown = select.final_ranking(judged.where("reason = ''"), limit)
     return shown.drop("reason").unionByName(judged.where("reason <> ''").withColumnRenamed("reason", "drop_reason"))
+
+
+def rules_run(candidates: DataFrame, index: DataFrame, now: float, year: int, day: str, limit: int = 5, profile: L.CompanyProfile = L.CompanyProfile()) -> DataFrame:
+    """A run without research: every candidate built by the rules, those inactive too, remembered and ranked."""
+    return ranked(build(candidates, now, include_inactive=True), index, now, year, day, limit, profile)
+
+
+def outcomes(results: DataFrame) -> DataFrame:
+    """Research results (project_key, is_real_project, warehouse_relevance, title, available) with ``outcome``.
+
+    ``unavailable`` where no answer or no source came, so that the rules may stand in; ``rejected`` where the answer says that it is no
+    project for us, which nothing may overrule; else ``item``.
+    """
+    known = F.coalesce("available", F.lit(False))
+    return results.withColumn("outcome", F.when(~known, "unavailable").when(~filters.research_accepted() | (T.text("title") == ""), "rejected").otherwise("item"))
+
+
+def research_run(candidates: DataFrame, decisions: DataFrame, results: DataFrame, index: DataFrame, now: float, year: int, day: str, settings: Settings = Settings(), limit: int = 5, profile: L.CompanyProfile = L.CompanyProfile()) -> DataFrame:
+    """One research run over landed answers: prefilter, triage, waves of research, rules for what could not be researched, ranking.
+
+    ``candidates``: as for ``build``, with discovery_channels and id (the text of ``_ord``). ``decisions``: id, worth_research, score.
+    ``results``: _ord, available and the columns of ``verify.verified_projects``. An invalid batch of decisions counts as none: then
+    the research selection decides. Every candidate comes back, with its pipeline_stage and drop_reason.
+    """
+    reason = filters.prefilter_reason(now, year)
+    rated = classify.relevance(candidates).withColumn("drop_reason", reason)
+    weighed = rated.where("drop_reason = ''").withColumn("weight", score.candidate_weight(now, classify.source_tier("url", verify.OFFICIAL, ())))
+    pool = research.prefilter_cap(weighed, settings.pool)
+    accepted = research.triage(pool, decisions).where("worth_research").withColumnRenamed("score", "triage_score")
+    chosen = accepted if accepted.take(1) else research.research_selection(pool, settings.soft).withColumn("triage_score", F.col("weight").cast("double"))
+    order = chosen.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("triage_score"), "_ord")))
+    told = outcomes(results)
+    flagged = order.join(told.select("_ord", "outcome", F.col("priority").alias("_priority") if "priority" in results.columns else F.lit("").alias("_priority")), "_ord", "left")
+    waved = budgets.waves(flagged.withColumns({"verified": F.col("outcome") == "item", "priority": F.col("_priority")}), settings)
+    researched = waved.where("researched").select("_ord", F.coalesce("outcome", F.lit("unavailable")).alias("outcome"))
+    built = build(candidates.join(pool.select("_ord"), "_ord", "left_semi"), now, include_inactive=True)
+    facts_of = results.select("_ord", *[F.col(c).alias(f"_{c}") for c in ("title", "owner", "province", "city", "budget", "deadline", "stage") if c in results.columns])
+    joined = built.join(researched, "_ord", "left").join(facts_of, "_ord", "left")
+    item = F.col("outcome") == "item"
+    joined = joined.withColumns({c[1:]: F.when(item, F.col(c)).otherwise(F.col(c[1:])) for c in facts_of.columns if c != "_ord"}).drop(*[c for c in facts_of.columns if c != "_ord"])
+    gone = F.coalesce(F.col("outcome") == "rejected", F.lit(False)) | (F.col("outcome").isNull() & ~filters.can_rule_fallback())
+    kept = ranked(joined.where(~gone).drop("outcome"), index, now, year, day, limit, profile)
+    stage = lambda name: F.lit(name).alias("pipeline_stage")
+    return (
+        rated.where("drop_reason <> ''").select("_ord", stage("prefilter"), "drop_reason")
+        .union(weighed.join(pool.select("_ord"), "_ord", "left_anti").select("_ord", stage("prefilter"), F.lit("pool_limit")))
+        .union(joined.where(gone).select("_ord", stage("research"), F.when(F.col("outcome") == "rejected", "not_a_project").otherwise("not_researched")))
+        .union(kept.select("_ord", F.when(F.col("drop_reason") == "", "retained").otherwise("ranking"), "drop_reason"))
+    )

@@ -13,7 +13,7 @@ from .functions import facts, urls
 from .functions import text as T
 from .operators import classify, dedup, diagnostics, evaluate, filters, history, research, score, select, verify
 from .plans import news, opportunities
-from .sources import landed, sinks
+from .sources import sinks
 from .streaming import states
 
 #: Words that occur in the test tables' prose, in place of the default vocabulary.
@@ -412,15 +412,6 @@ def marker_changes(spark: SparkSession, d: str) -> DataFrame:
 MARKER_SQL = f"with e as ({SIGNALS_SQL}), l as (select *, lag(marker) over (partition by key order by us, seq) as prev from e) select key, seq, marker from l where prev is null or prev <> marker"
 
 
-def alert_cooldown(spark: SparkSession, d: str) -> DataFrame:
-    return states.alert_cooldown(signals(spark, d).select(F.col("key").cast("string"), "seq", "ts"))
-
-
-def source_guard(spark: SparkSession, d: str) -> DataFrame:
-    s = signals(spark, d)
-    return states.source_guard(s.select("key", "seq", "ts", (F.col("marker") != "error").alias("ok"), (F.col("seq") % 4).cast("int").alias("rows")))
-
-
 def signal_windows(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", F.round(F.col("value") * 100).cast("long").alias("value"))
     return states.signal_windows(e).select(F.unix_timestamp("start").alias("start"), "event_type", "n", "total")
@@ -429,10 +420,6 @@ def signal_windows(spark: SparkSession, d: str) -> DataFrame:
 WINDOW_SQL = "select cast(epoch(date_trunc('hour', ts)) as bigint) as start, event_type, count(*) as n, cast(sum(cast(round(value * 100) as bigint)) as bigint) as total from events group by 1, 2"
 
 
-def html_links(spark: SparkSession, d: str) -> DataFrame:
-    return landed.page_links(table(spark, d, "pages"))
-
-
 def evidence(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("https://d.example.com/"), F.col("doc_id")).alias("url"), "text")
     claims = docs.select("doc_id", F.col("doc_id").cast("string").alias("project_key"), F.substring("text", 1, 12).alias("title"), F.lit("owner").alias("field"), F.substring("text", 5, 6).alias("value"), F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 30)).when(F.col("doc_id") % 3 == 1, F.reverse(F.substring("text", 1, 30))).otherwise(F.substring("text", 20, 30)).alias("quote"), F.col("url").alias("source_url"))
@@ -445,7 +432,7 @@ select doc_id, quote from k where length(q) >= 4 and contains(b, q) and tid <> '
 
 
 def picture_buckets(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", sinks.bucket("url", 7).alias("bucket"))
+    return table(spark, d, "pages").select("page_id", sinks.bucket("html", "url").alias("bucket"))
 
 
 def opportunity_day(spark: SparkSession, d: str) -> DataFrame:
@@ -458,7 +445,7 @@ def other_scope_day(spark: SparkSession, d: str) -> DataFrame:
     return news.other_scope(a, NOW, LIMITS.discover, LOCAL_REGIONS).select("_ord", "skill_name", "news_category", "demand_signal", "score")
 
 
-_PAIRS = {
+PAIRS = {
     "lexicon_hits": (lexicon_hits, LEXICON_SQL),
     "compact_signature": (compact_signature, r"select doc_id, sha256(lower(regexp_replace(text, '\s+', '', 'g'))) as signature, length(lower(regexp_replace(text, '\s+', '', 'g'))) as n from documents"),
     "project_keys": (project_keys, f"select p_partkey, {_IDENTITY.format('p_name')} as identity, substr(sha1({_IDENTITY.format(chr(34) + 'p_name' + chr(34) + ' || p_brand || p_type')}), 1, 20) as project_key from part"),
@@ -498,20 +485,10 @@ _PAIRS = {
     "usage_ledger": (usage_ledger, USAGE_SQL),
     "persistent_signals": (persistent_signals, PERSISTENT_SQL),
     "marker_changes": (marker_changes, MARKER_SQL),
-    "alert_cooldown": (alert_cooldown, None),
-    "source_guard": (source_guard, None),
     "signal_windows": (signal_windows, WINDOW_SQL),
-    "html_links": (html_links, None),
     "evidence": (evidence, EVIDENCE_SQL),
-    "picture_buckets": (picture_buckets, "select page_id, cast(('0x' || substr(md5(url), 1, 8))::bigint % 7 as bigint) as bucket from pages"),
+    "picture_buckets": (picture_buckets, "select page_id, cast((length(html) * 3 + length(url)) % 4 as int) as bucket from pages"),
     "opportunity_day": (opportunity_day, None),
     "other_scope_day": (other_scope_day, None),
 }
 
-
-def queries() -> dict:
-    return {name: query for name, (query, _) in _PAIRS.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _PAIRS.items() if sql}

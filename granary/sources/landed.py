@@ -8,21 +8,19 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
 from functools import reduce
 from html import unescape
-from html.parser import HTMLParser
-from urllib.parse import urljoin, urlsplit
 
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import dates, facts, urls
 from ..functions import text as T
-from ..functions import urls
+from ..operators import classify, score
+from . import pages
 
 ARTICLE = "title string, url string, summary string, source_name string, source_kind string, source_group string, skill_name string, region_scope string, published string, published_ts double, image_url string"
-_ENTRY = "title string, url string, summary string, published string, image_url string"
 _RESULT = "struct<data:array<struct<title:string,share_url:string,source_url:string,abstract:string,media_name:string,large_image_url:string,image_url:string,datetime:string,publish_time:string>>>"
 
 
@@ -66,107 +64,186 @@ def feed_entries(payload: str, most: int = 120) -> list[dict]:
         body = "".join(next((children[k].itertext() for k in ("description", "summary", "encoded", "content") if k in children and _text(children[k])), ()))
         media = next((n.get("url") for n in item if n.tag in ("thumbnail", "enclosure") and n.get("url")), None) or (re.search(r"<img[^>]+src=[\"']([^\"']+)", body) or ["", ""])[1]
         date = next((_text(children[k]) for k in ("pubdate", "published", "date", "issued") if k in children), "")
-        out.append({"title": unescape(_text(children.get("title"))), "url": link.strip(), "summary": body, "published": date, "image_url": media})
+        out.append({"title": unescape(_text(children.get("title"))), "url": link.strip(), "summary": body, "published": date, "updated": next((_text(children[k]) for k in ("updated", "modified") if k in children), ""), "image_url": media})
     return out
 
 
-class _Listing(HTMLParser):
-    """Links with a title, and the text and date of the card around each."""
-
-    skip = frozenset(("script", "style", "nav", "footer", "noscript"))
-    cards = frozenset(("li", "article", "tr", "dl", "section"))
-
-    def __init__(self, base: str):
-        super().__init__(convert_charrefs=True)
-        self.base, self.hidden, self.link, self.entries, self.card = base, 0, None, [], None
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = dict(attrs)
-        self.hidden += tag in self.skip
-        if tag in self.cards:
-            self.card = {"text": [], "links": []}
-        elif tag == "a" and a.get("href") and not self.hidden:
-            self.link = {"url": urljoin(self.base, a["href"].strip()), "label": a.get("title") or "", "text": [], "card": self.card}
-        elif tag == "img" and a.get("src") and self.link is not None:
-            self.link["image"] = urljoin(self.base, a["src"])
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in self.skip:
-            self.hidden = max(0, self.hidden - 1)
-        elif tag == "a" and self.link is not None:
-            self.entries.append(self.link)
-            self.link = None
-        elif tag in self.cards:
-            self.card = None
-
-    def handle_data(self, data: str) -> None:
-        if self.hidden or not data.strip():
-            return
-        if self.link is not None:
-            self.link["text"].append(data.strip())
-        elif self.card is not None:
-            self.card["text"].append(data.strip())
-
-
-def listing_entries(base: str, page: str, pattern: str = "", most: int = 120) -> list[dict]:
-    """Entries of a listing page: titles of 8 to 180 characters, one per address, paths matching ``pattern``."""
-    parser = _Listing(base)
-    parser.feed(page or "")
-    seen: set[str] = set()
-    out: list[dict] = []
-    for e in parser.entries:
-        title = " ".join((e["label"] or " ".join(e["text"])).split())
-        parts = urlsplit(e["url"])
-        if parts.scheme not in ("http", "https") or not 8 <= len(title) <= 180 or e["url"] in seen or (pattern and not re.search(pattern, parts.path)):
-            continue
-        seen.add(e["url"])
-        around = " ".join((e["card"] or {"text": []})["text"])
-        dates = list(dict.fromkeys(re.findall(r"20\d{2}[-/.年]\d{1,2}[-/.月]\d{1,2}日?", around)))
-        out.append({"title": title, "url": e["url"], "summary": " ".join(re.sub(r"20\d{2}[-/.年]\d{1,2}[-/.月]\d{1,2}日?", " ", around).split()), "published": dates[0] if len(dates) == 1 else "", "image_url": e.get("image", "")})
-        if len(out) == most:
-            break
-    return out
+def feeds(landed: DataFrame, pattern: str = "") -> DataFrame:
+    """(source, url, payload) to entries: as a feed, else as a listing page. Adds source, feed_url, position, published_ts and label.
 
+    ``pattern`` holds for all listings, unless the landing has a column ``pattern`` of its own.
+    """
 
-def feeds(landed: DataFrame, pattern: str = "") -> DataFrame:
-    """(source, url, payload) to entries: as a feed, else as a listing page. Adds source, feed_url and position."""
+    def read(url: str | None, payload: str | None, own: str | None) -> list[tuple]:
+        found = [e | {"dates": [e["published"]]} for e in feed_entries(payload or "")] or pages.listing(url or "", payload, own or "")
+        return [(i, e["title"], pages.joined(url or "", e["url"]) or e["url"], e["summary"], e["dates"], e["image_url"], e.get("updated", "")) for i, e in enumerate(found)]
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for source, url, payload in zip(pdf["source"], pdf["url"], pdf["payload"]):
-                found = feed_entries(payload or "") or listing_entries(url or "", payload or "", pattern)
-                rows += [{"source": source, "feed_url": url, "position": i, **e} for i, e in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["source", "feed_url", "position", "title", "url", "summary", "published", "image_url"])
+    raw = landed.select(F.to_json(F.struct("source", "url")).alias("_key"), "url", "payload", F.col("pattern") if "pattern" in landed.columns else F.lit(pattern).alias("pattern"))
+    rows = pages._read(raw, ["_key", "url", "payload", "pattern"], read, f"position int, {pages.ENTRY}, updated string")
+    key = F.from_json("_key", "struct<source:string,url:string>")
+    dated = dates.unique_date(F.transform("dates", _plain_date))
+    out = rows.withColumn("_d", dated)
+    return out.select(key["source"].alias("source"), key["url"].alias("feed_url"), "position", T.clean_text(T.clean_title("title")).alias("title"), "url", T.summary("summary").alias("summary"), F.col("_d.label").alias("published"), "image_url", F.col("_d.ts").alias("published_ts"), dates.news_date(_plain_date(F.col("updated")))["ts"].alias("updated_ts"))
 
-    raw = landed.select("source", "url", "payload").mapInPandas(read, f"source string, feed_url string, position int, {_ENTRY}")
-    return raw.withColumn("summary", T.summary("summary")).withColumn("title", T.clean_title("title"))
 
+def _plain_date(c: Column) -> Column:
+    """Dates of mail headers brought into the form that ``dates`` reads."""
+    part = lambda n: F.regexp_extract(c, "(\\d{1,2}) ([A-Za-z]{3})[a-z]* (\\d{4})(?: (\\d{2}:\\d{2}(?::\\d{2})?))?(?: (GMT|UTC|Z|[+-]\\d{4}))?", n)
+    month = F.array_position(F.array(*map(F.lit, dates.MONTHS)), F.lower(part(2))).cast("string")
+    zone = F.when(part(5).isin("GMT", "UTC", "Z"), "Z").otherwise(part(5))
+    return F.when(part(3) == "", c).otherwise(F.concat_ws("", part(3), F.lit("-"), month, F.lit("-"), part(1), F.when(part(4) != "", F.concat(F.lit("T"), part(4), zone))))
 
-def feed_articles(entries: DataFrame, specs: DataFrame, count: int = 12) -> DataFrame:
-    """Entries to articles by source specs (source, kind, group, include, exclude): word filters, then the best of each feed.
 
-    Kind and group hold only for entries under the feed's own domain.
-    """
-    joined = entries.join(specs, "source")
-    both = F.concat_ws(" ", "title", "summary")
-    hits = lambda words: F.exists(F.coalesce(words, F.array().cast("array<string>")), lambda w: F.contains(both, w))
-    kept = joined.where(F.col("url").rlike("^https?://") & ~hits(F.col("exclude")) & ((F.size("include") == 0) | hits(F.col("include"))))
-    own = urls.source_domain("url") == urls.source_domain("feed_url")
-    out = kept.withColumns({"source_kind": F.when(own, F.col("kind")).otherwise(""), "source_group": F.when(own, F.col("group")).otherwise("")})
-    best = Window.partitionBy("feed_url").orderBy(F.desc(F.length("summary") > 60), "position")
-    return out.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= count).drop("_n", "include", "exclude", "kind", "group")
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
 
+def feed_articles(entries: DataFrame, specs: DataFrame, now: float, count: int | None = None) -> DataFrame:
+    """Entries to articles by feed specs (``specs.feed_table``): word filters, then the best of each feed by quality.
+
+    Words match without regard to case. Publisher, kind and group hold only for entries under the feed's own domain; others carry
+    their domain as name. ``count`` bounds each feed's rows further.
+    """
+    joined = entries.join(specs.drop("position"), ["source", "feed_url"])
+    both = F.lower(F.concat_ws(" ", "title", "summary"))
+    hits = lambda words: F.exists(F.coalesce(words, _none()), lambda w: F.contains(both, F.lower(w)))
+    kept = joined.where((F.col("title") != "") & F.col("url").rlike("^https?://") & ~hits(F.col("exclude")) & ((F.size(F.coalesce("include", _none())) == 0) | hits(F.col("include"))))
+    domain = urls.source_domain("url")
+    own = domain == urls.source_domain("feed_url")
+    out = kept.withColumns({
+        "source_kind": F.when(own, F.col("kind")).otherwise(""), "source_group": F.when(own, F.col("group")).otherwise(""), "source_name": F.when(own, F.col("publisher")).otherwise(domain),
+        "skill_name": F.col("source"), "collection_url": F.col("feed_url"),
+    })
+    rated = classify.annotate(out).withColumn("quality_score", score.national_quality(now))
+    best = Window.partitionBy("source", "feed_url").orderBy(F.desc("quality_score"), "position")
+    most = F.col("per_feed") if count is None else F.least(F.col("per_feed"), F.lit(count))
+    return rated.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= most).drop("_n", "include", "exclude", "kind", "group", "per_feed", "pattern", "publisher")
+
+
+def enriched(articles: DataFrame, details: DataFrame, most: int = 4) -> DataFrame:
+    """Articles with date, summary and picture taken from their own page, for at most ``most`` relevant rows of each listing that lack a date or a summary.
+
+    ``details`` is ``pages.page_metadata`` of landed article pages, with their url.
+    """
+    lacking = (F.col("relevance_score") >= 0.38) & ((F.col("published_ts") == 0) | (T.text("summary") == ""))
+    turn = Window.partitionBy("collection_url").orderBy(F.desc("quality_score"), "position")
+    marked = articles.withColumn("_lacks", lacking)
+    chosen = marked.where("_lacks").withColumn("_n", F.row_number().over(turn)).where(F.col("_n") <= most).select("collection_url", "position", F.lit(True).alias("_chosen"))
+    d = details.select("url", F.col("summary").alias("_summary"), F.col("published_ts").alias("_ts"), F.col("published").alias("_published"), F.col("image_url").alias("_image")).dropDuplicates(["url"])
+    out = marked.join(chosen, ["collection_url", "position"], "left").join(d, "url", "left")
+    use = F.coalesce("_chosen", F.lit(False))
+    undated = use & (F.col("published_ts") == 0) & (F.coalesce("_ts", F.lit(0.0)) != 0)
+    return out.withColumns({
+        "published": F.when(undated, F.col("_published")).otherwise(F.col("published")), "summary": F.when(use & (T.text("summary") == ""), T.summary("_summary")).otherwise(F.col("summary")),
+        "image_url": F.when(use & (T.text("image_url") == ""), T.text("_image")).otherwise(F.col("image_url")), "published_ts": F.when(undated, F.col("_ts")).otherwise(F.col("published_ts")),
+    }).drop("_lacks", "_chosen", "_summary", "_ts", "_published", "_image")
+
+
+def feed_reports(landed: DataFrame, entries: DataFrame, articles: DataFrame) -> DataFrame:
+    """One row a feed of the landing (source, url, payload, status): parsed, returned and a status that tells why nothing came."""
+    parsed = entries.groupBy("source", "feed_url").agg(F.count("*").alias("parsed"))
+    returned = articles.groupBy(F.col("skill_name").alias("source"), F.col("collection_url").alias("feed_url")).agg(F.count("*").alias("returned"))
+    rows = landed.select("source", F.col("url").alias("feed_url"), "status", T.any_of(T.text("payload"), ("v-for", "{{")).alias("_dynamic"))
+    rows = rows.join(parsed, ["source", "feed_url"], "left").join(returned, ["source", "feed_url"], "left").withColumns({"parsed": F.coalesce("parsed", F.lit(0)), "returned": F.coalesce("returned", F.lit(0))})
+    told = F.when(F.col("status").isNull(), "timeout").when(F.col("status") != 200, F.concat(F.lit("http_"), F.col("status").cast("string"))).when((F.col("parsed") == 0) & F.col("_dynamic"), "dynamic_page_unparsed").when(F.col("parsed") == 0, "no_article_links").when(F.col("returned") == 0, "keyword_filtered_empty").otherwise("ok")
+    return rows.select("source", "feed_url", "parsed", "returned", told.alias("status"))
+
+
+def keyword_search(landed: DataFrame, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), prefix: str = "", kind: str = "aggregator") -> DataFrame:
+    """``search_results`` within a source: rows with an excluded word go, then rows without an included one; sources get a prefix."""
+    rows = search_results(landed)
+    both = F.lower(F.concat_ws(" ", "title", "summary"))
+    words = lambda ws: T.any_of(both, [w.lower() for w in ws])
+    kept = rows.where(~words(exclude) & (words(include) if include else F.lit(True)))
+    named = F.regexp_replace(F.concat(F.lit(f"{prefix}/"), F.col("source_name")), "^/+|/+$", "") if prefix else F.col("source_name")
+    return kept.withColumns({"source_name": named, "source_kind": F.lit(kind)})
+
+
+def first_wins(parts: list[DataFrame], skill: str, scope: str = "national") -> DataFrame:
+    """Layers of one source together, earlier layers first: one row an address, with the source's name and scope. Each layer has ``_ord``."""
+    every = union([p.withColumn("_layer", F.lit(i)) for i, p in enumerate(parts)]).where(T.text("url") != "")
+    first = Window.partitionBy("url").orderBy("_layer", "_ord")
+    return every.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").withColumns({"skill_name": F.lit(skill), "region_scope": F.lit(scope)})
+
+
+def organizer_news(landed: DataFrame, now: float | None = None, most: int = 12) -> DataFrame:
+    """The organizer's endpoint (key, payload): rows of valid answers with a numeric id that are relevant news."""
+    row = "struct<id:string,wzmc:string,addtime:string,wznr:string>"
+    answer = F.from_json("payload", f"struct<code:string,data:struct<zslist:array<{row}>>>")
+    rows = landed.withColumn("_a", answer).where("_a.code = '001'").select("key", F.posexplode(F.slice("_a.data.zslist", 1, most)).alias("position", "_r"))
+    when = dates.news_date(F.col("_r.addtime"))
+    image = F.when(T.text("_r.wznr").rlike("^https?://"), F.col("_r.wznr")).when(T.text("_r.wznr") != "", F.concat(F.lit("https://www.chinalet.cn/"), F.regexp_replace("_r.wznr", "^/+", ""))).otherwise("")
+    out = rows.where(F.col("_r.id").rlike("^[0-9]+$")).select(
+        "key", "position", T.clean_text("_r.wzmc").alias("title"), F.concat(F.lit("https://www.chinalet.cn/home/news_x.html?id="), F.col("_r.id")).alias("url"), F.lit("").alias("summary"), F.lit("LET展会官网").alias("source_name"),
+        F.lit("organizer").alias("source_kind"), F.lit("").alias("source_group"), F.lit("展会主办方").alias("skill_name"), F.lit("national").alias("region_scope"), when["ts"].alias("published_ts"), when["label"].alias("published"), image.alias("image_url"),
+    )
+    return classify.annotate(out.where("title <> ''")).where("assess_reason = ''")
 
-def page_links(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
-    """Listing entries of each page: key, position, title, url."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(k, i, e["title"], e["url"]) for k, u, h in zip(pdf[key], pdf[url], pdf[html]) for i, e in enumerate(listing_entries(u or "", h or ""))]
-            yield pd.DataFrame(rows, columns=[key, "position", "title", "url"])
+def account_feed(entries: DataFrame, accounts: DataFrame, words: tuple[str, ...], most: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(articles, failed) of account feeds: the first ``most`` entries of each account (name, scopes, rss_url), one account a name and address.
 
-    return pages.select(key, url, html).mapInPandas(read, f"{key} long, position int, title string, url string")
+    Accounts of the local scope give local rows. Entries that tell of a failed login are no articles. An entry without a time of
+    publication has that of its change, which other feeds refuse: ``updated_ts`` if the entries have it.
+    """
+    known = accounts.where(T.text("rss_url") != "").groupBy("name", "rss_url").agg(F.flatten(F.collect_set("scopes")).alias("scopes"))
+    rows = entries.where(F.col("position") < most).join(known, (entries["source"] == known["name"]) & (entries["feed_url"] == known["rss_url"])).drop("name", "rss_url")
+    local = F.array_contains("scopes", "local")
+    hit = T.first_of(F.lower(F.concat_ws(" ", T.text("title"), T.text("summary"))), words)
+    rows = rows.where("title <> '' and url <> ''").withColumns({"source_name": F.col("source"), "skill_name": F.lit("公众号RSS"), "region_scope": F.when(local, "local").otherwise("wechat"), "wechat_category": F.when(local, "local").otherwise("industry"), "_hit": hit}).drop("scopes")
+    if "updated_ts" in entries.columns:
+        rows = rows.withColumn("published_ts", F.when(F.col("published_ts") != 0, F.col("published_ts")).otherwise(F.coalesce("updated_ts", F.lit(0.0))))
+    return rows.where("_hit = ''").drop("_hit"), rows.where("_hit <> ''").select("source", "title", F.col("_hit").alias("keyword"))
+
+
+def recent_candidates(snapshots: DataFrame, days: int = 3) -> DataFrame:
+    """Rows of the last ``days`` stored days as candidates of opportunities, with the fields that candidates know."""
+    last = snapshots.select("day").distinct().orderBy(F.desc("day")).limit(days)
+    rows = snapshots.join(F.broadcast(last), "day", "left_semi").where((T.text("title") != "") & (T.text("url") != ""))
+    return rows.select("day", *[T.text(c).alias(c) for c in ("title", "url", "summary", "source_name", "published")], F.coalesce("published_ts", F.lit(0.0)).alias("published_ts"), F.lit("existing").alias("discovery_method"), F.array(F.lit("existing_source")).alias("discovery_channels"))
+
+
+def search_candidates(landed: DataFrame, engine: DataFrame | None = None, most: int = 15, official: tuple[str, ...] = ("gov.cn", "ggzy.gov.cn", "cebpubservice.com")) -> DataFrame:
+    """Candidates of landed news searches (query, payload), ``most`` a query, and of an engine's rows (query, position, title, url, summary) under official hosts, ten a query."""
+    news = search_results(landed).where(F.col("_i") < most).select("query", F.col("_i").alias("position"), "title", "url", "summary", "source_name", "published_ts", F.lit("search").alias("origin"))
+    if engine is None:
+        return news
+    h = urls.host("url")
+    under = reduce(lambda a, b: a | b, [(h == d) | F.endswith(h, F.lit("." + d)) for d in official])
+    more = engine.where(under & (F.col("position") < 10)).select("query", "position", "title", "url", "summary", F.lit("").alias("source_name"), F.lit(0.0).alias("published_ts"), F.lit("engine").alias("origin"))
+    return news.unionByName(more)
+
+
+def enriched_candidates(candidates: DataFrame, documents: DataFrame, most: int = 60, least: float = 25.0) -> DataFrame:
+    """Candidates (_ord, title, url, summary, published, ...) with the text of their page, for the first ``most`` that are relevant enough.
+
+    ``documents`` is ``pages.page_documents``, with failures. A read page gives content (8,000 characters), verified_url, the date that
+    its body or metadata states, a content hash unless it has attachments or flags, and a summary where there was none.
+    """
+    rated = classify.relevance(candidates)
+    chosen = rated.where(F.col("relevance_score") >= least).orderBy("_ord").limit(most).select("_ord", F.lit(True).alias("_chosen"))
+    docs = documents.where(F.col("text").isNotNull()).select(urls.fetch_url("url").alias("_page"), F.col("text").alias("_text"), (F.size("attachment_urls") + F.size("risk_flags")).alias("_odd")).where("_page <> ''")
+    docs = docs.groupBy("_page").agg(F.min(F.struct("_text", "_odd")).alias("_doc"))
+    rows = candidates.join(F.broadcast(chosen), "_ord", "left").withColumn("_page", F.when(F.col("_chosen"), urls.fetch_url("url"))).join(docs, "_page", "left")
+    body = F.col("_doc._text")
+    stated = dates.body_publication(body)
+    meta = F.when(F.contains(T.text(body), F.lit("[网页发布元数据]")), F.regexp_extract(F.substring(body, 1, 600), "(20\\d{2}[-/.]\\d{1,2}[-/.]\\d{1,2})", 1)).otherwise("")
+    published = F.when(stated != "", stated).otherwise(meta)
+    read = body.isNotNull()
+    old = lambda c, v: F.col(c) if c in candidates.columns else F.lit(v)
+    return rows.withColumns({
+        "content": F.when(read, F.substring(body, 1, 8000)).otherwise(old("content", "")), "verified_url": F.when(read, F.col("_page")).otherwise(old("verified_url", "")),
+        "content_hash": F.when(read & (F.col("_doc._odd") == 0), T.signature(body)).when(read, "").otherwise(old("content_hash", "")),
+        "published": F.when(read & (published != "") & (facts.date_ts(published) != 0), published).otherwise(F.col("published")),
+        "published_ts": F.when(read & (published != "") & (facts.date_ts(published) != 0), facts.date_ts(published)).otherwise(F.col("published_ts")),
+        "summary": F.when(read & (T.text("summary") == ""), F.concat(F.substring(body, 1, 260), F.when(F.length(body) > 260, "…").otherwise(""))).otherwise(F.col("summary")),
+    }).drop("_chosen", "_page", "_doc")
+
+
+def page_links(html_pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id", pattern: str = "") -> DataFrame:
+    """Listing entries of each page: key, position, title, url, summary, image_url, published_ts and published."""
+    rows = pages._read(html_pages, [key, url, html], lambda u, h: [(i, e["title"], e["url"], e["summary"], e["dates"], e["image_url"]) for i, e in enumerate(pages.listing(u or "", h, pattern))], f"position int, {pages.ENTRY}")
+    return rows.withColumn("_d", dates.unique_date(F.col("dates"))).select(key, "position", "title", "url", "summary", "image_url", F.col("_d.ts").alias("published_ts"), F.col("_d.label").alias("published"))
 
 
 def union(sources: list[DataFrame]) -> DataFrame:
@@ -176,12 +253,28 @@ def union(sources: list[DataFrame]) -> DataFrame:
 
 def account_health(entries: DataFrame, words: tuple[str, ...], least: int = 5) -> DataFrame:
     """Per source: good rows, rows that tell of a failed login, and whether to alert."""
-    failed = T.first_of(F.concat_ws(" ", T.text("title"), T.text("summary")), words) != ""
+    failed = T.first_of(F.lower(F.concat_ws(" ", T.text("title"), T.text("summary"))), words) != ""
     out = entries.groupBy("source").agg(F.count_if(~failed).alias("n_good"), F.count_if(failed).alias("n_failed"), F.max(F.when(F.col("published_ts") > 0, F.col("published_ts"))).alias("newest_ts"))
     return out.withColumn("alert", (F.col("n_failed") > 0) & (F.col("n_good") < least)).withColumn("newest_ts", F.coalesce("newest_ts", F.lit(0.0)))
 
 
-def snapshot(spark: SparkSession, path: str, day: str | None = None) -> DataFrame:
-    """A stored day, or all; missing columns of older days are null."""
-    df = spark.read.option("mergeSchema", "true").parquet(path)
+def strict_day(day: str) -> str:
+    """The day, if it is one written yyyy-MM-dd; raises ValueError."""
+    from datetime import date
+
+    if len(day) != 10 or date.fromisoformat(day).isoformat() != day:
+        raise ValueError("a day is written yyyy-MM-dd")
+    return day
+
+
+def snapshot(spark: SparkSession, path: str, day: str | None = None, schema: str = f"{ARTICLE}, day date") -> DataFrame:
+    """A stored day, or all; missing columns of older days are null. Where nothing has been stored, no rows of ``schema``."""
+    if day:
+        strict_day(day)
+    try:
+        df = spark.read.option("mergeSchema", "true").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], schema)
     return df.where(F.col("day") == day) if day else df
