@@ -41,9 +41,9 @@ from .common import shared_folder, stored, table
 from .tokens import slices
 
 #: Shingles in the frequent class at most, and the count from which one is frequent.
-FREQUENT, FREQUENT_FROM = 1 << 17, 16
+FREQUENT, FREQUENT_FROM = 1 << 18, 16
 #: Shingles counted exactly at a time, and the count in such a block from which one is passed on.
-COUNT_BLOCK, COUNT_FROM = 4_000_000, 4
+COUNT_BLOCK, COUNT_FROM = 4_000_000, 2
 #: Classes of sizes below COMBINE_FROM use single shingles only; salt of combinations.
 COMBINE_FROM, COMBINED = 32, 1 << 20
 #: Documents of a group that meet in a join; more are cut into blocks of BLOCK documents, or of fewer with HELD shingles.
