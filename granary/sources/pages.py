@@ -304,7 +304,7 @@ def bounded_pdf(read: Column, most_pages: int = 80, most_chars: int = 120_000) -
     kept = F.aggregate(F.slice(given, 1, most_pages), F.struct(F.lit(most_chars).alias("left"), none.alias("pages")), step, lambda acc: acc["pages"])
     chars = F.aggregate(F.slice(given, 1, most_pages), F.lit(0), lambda n, p: n + F.length(T.text(p["text"])))
     flag = lambda when, name: F.when(when, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
-    flags = F.concat(flag(F.size(given) > most_pages, "pdf_page_limit"), flag(chars > most_chars, "pdf_text_limit"), flag(chars == 0, "pdf_text_unavailable"))
+    flags = F.concat(flag(F.size(given) > most_pages, "pdf_pages_truncated"), flag(chars > most_chars, "pdf_text_truncated"), flag(chars < LEAST_CHARS, "pdf_text_unavailable"))
     return F.struct(kept.alias("pages"), flags.alias("risk_flags"))
 
 
