@@ -1,9 +1,10 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
 Each text gets its counts; a KLL quantile sketch per (lang, source) and measure is built from all
-documents, partial sketches first, merged by key. The sketches of a language's sources are merged once more, and a
-group's threshold comes from its own sketch, or from the language's where the group holds fewer than
-``MIN_GROUP`` documents, or from the whole corpus' where that does. A threshold is an outer fence: third quartile
+documents, partial sketches first, merged by key. The sketches of a language's sources are merged once more, and so
+are those of all languages. A group's threshold comes from its own sketch, drawn toward its language's: half-way with
+``PRIOR`` documents, with more by the square of their number less. A language's is drawn toward the whole corpus' in the
+same way. Large groups stand for themselves, small ones lean on more, without a switch. A threshold is an outer fence: third quartile
 plus ``FENCE`` times the spread between quartiles. The small threshold table is joined to the counts
 and each measure above its threshold rejects the document, with a reason. There are no fixed cutoffs.
 
@@ -33,7 +34,7 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MEASURES = ["symbol_rate", "dup_line_rate", "upper_rate", "mean_word"]
-MIN_GROUP, FENCE, SKETCH_K = 200, 3.0, 400
+PRIOR, FENCE, SKETCH_K = 20, 3.0, 400
 _KEYS = ["lang", "source"]
 
 
@@ -133,10 +134,13 @@ def thresholds(counted: DataFrame, folder: str) -> DataFrame:
     joined = groups.join(langs, F.col("lang").eqNullSafe(F.col("of_lang")))
 
     def chosen(m: str) -> Column:
-        own = F.col("lang_n") >= MIN_GROUP
-        wide, middle = (F.when(own, F.col(f"lang_{x}")).otherwise(F.lit(whole[f"all_{x}"])) for x in (m, f"mid_{m}"))
-        held = wide + F.greatest(F.col(f"group_mid_{m}") - middle, F.lit(0.0))
-        return F.when(F.col("group_n") >= MIN_GROUP, F.least(F.col(f"group_{m}"), held)).otherwise(wide)
+        def drawn(own: str, n: str, toward: Column) -> Column:
+            size = F.col(n).cast("double") * F.col(n)
+            return (size * F.col(own) + PRIOR**2 * toward) / (size + PRIOR**2)
+
+        wide, middle = (drawn(f"lang_{x}", "lang_n", F.lit(whole[f"all_{x}"])) for x in (m, f"mid_{m}"))
+        own, own_middle = drawn(f"group_{m}", "group_n", wide), drawn(f"group_mid_{m}", "group_n", middle)
+        return F.least(own, wide + F.greatest(own_middle - middle, F.lit(0.0)))
 
     return joined.select(*_KEYS, *[chosen(m).alias(f"max_{m}") for m in found])
 

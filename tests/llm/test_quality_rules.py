@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 
 from granary.llm import quality_rules as Q
@@ -93,3 +94,52 @@ def test_sketches_decide(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = Q.judged(df, shared_folder(spark)).where("not kept").collect()
     assert {r.doc_id for r in got} == junk and all("symbol_rate" in r.reasons for r in got)
+
+
+def test_verdicts_follow_exact_quantiles(spark):
+    """Thresholds from sketches lie between those that exact quantiles a few ranks off would give."""
+    rng = random.Random(17)
+    rows = []
+    for i in range(2400):
+        lang, source = ("en", "fr")[i % 2], f"s{i % 6}" if i % 50 else "rare"
+        words = [("w" if i % 6 else "longerword") + str(rng.randint(0, 900)) for _ in range(rng.randint(20, 120))]
+        for _ in range(rng.choice([0] * 12 + [1, 2, 5, 20, 60])):
+            words[rng.randrange(len(words))] += "#"
+        rows.append((i, " ".join(words).upper() if rng.random() < 0.02 else " ".join(words), lang, source))
+    got = {r.doc_id: r for r in Q.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), shared_folder(spark)).collect()}
+
+    def rates(r):
+        log = lambda a, b: np.log((a + 1) / (b + 1))
+        return {"symbol_rate": log(r.n_symbols, r.word_chars), "dup_line_rate": log(r.n_dup_lines, r.n_words), "upper_rate": log(r.n_upper, r.word_chars), "mean_word": log(r.word_chars, r.n_words)}
+
+    values = {i: rates(r) for i, r in got.items()}
+    off, decided = 0.03, 0
+
+    def spread(ids, m):
+        """(lowest, highest) fence and middle that ranks ``off`` the true ones allow."""
+        x = np.sort([values[i][m] for i in ids])
+        q = lambda p: x[int(np.clip(round(p * (len(x) - 1)), 0, len(x) - 1))]
+        low, high = q(0.75 - off) + Q.FENCE * (q(0.75 - off) - q(0.25 + off)), q(0.75 + off) + Q.FENCE * (q(0.75 + off) - q(0.25 - off))
+        return len(x), np.array([low, high]), np.array([q(0.5 - off), q(0.5 + off)])
+
+    for lang, source in {r[2:] for r in rows}:
+        mine = [i for i, _, *key in rows if key == [lang, source]]
+        every, ours = [i for i, *_ in rows], [i for i, _, x, _ in rows if x == lang]
+        limits = {}
+        for m in Q.MEASURES:
+            (_, af, am), (ln, lf, lm), (gn, gf, gm) = (spread(ids, m) for ids in (every, ours, mine))
+            drawn = lambda n, own, toward: (n**2 * own + Q.PRIOR**2 * toward) / (n**2 + Q.PRIOR**2)
+            wide, middle = drawn(ln, lf, af), drawn(ln, lm, am)
+            own, own_middle = drawn(gn, gf, wide), drawn(gn, gm, middle)
+            moved = np.maximum(own_middle - middle[::-1], 0)
+            limits[m] = np.minimum(own, wide + moved)
+        for i in mine:
+            if got[i].base_failed:
+                assert not got[i].kept
+            elif all(values[i][m] < limits[m][0] for m in Q.MEASURES):
+                assert got[i].kept
+                decided += 1
+            elif any(values[i][m] > limits[m][1] for m in Q.MEASURES):
+                assert not got[i].kept and got[i].reasons
+                decided += 1
+    assert decided > 2300 and sum(not r.kept for r in got.values()) > 50
