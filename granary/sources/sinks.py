@@ -22,11 +22,11 @@ STAGE_LABELS = {"EARLY_SIGNAL": "采购前期", "PROCUREMENT": "采购/招标",
 SNAPSHOT = ("title", "url", "summary", "source_name", "image_url", "published", "published_ts", "fetched_at", "content_quality", "skill_name", "source_domain", "source_group", "source_kind", "collection_url", "news_category", "relevance_score", "region_scope", "demand_signal_score", "is_potential_warehouse_demand")
 
 
-def snapshot_columns(df: DataFrame) -> DataFrame:
-    """The 19 columns of a news snapshot, defaults where the rows lack one."""
+def snapshot_columns(df: DataFrame, *more: str) -> DataFrame:
+    """The 19 columns of a news snapshot, defaults where the rows lack one, and ``more``."""
     numbers, flags = ("published_ts", "fetched_at", "content_quality", "relevance_score", "demand_signal_score"), ("is_potential_warehouse_demand",)
     default = lambda c: F.lit(0.0) if c in numbers else F.lit(False) if c in flags else F.lit("national" if c == "region_scope" else "")
-    return df.select(*[F.coalesce(F.col(c), default(c)).alias(c) if c in df.columns else default(c).alias(c) for c in SNAPSHOT])
+    return df.select(*[F.coalesce(F.col(c), default(c)).alias(c) if c in df.columns else default(c).alias(c) for c in SNAPSHOT], *more)
 
 
 def cut_bytes(c: Column, most: Column) -> Column:

@@ -54,3 +54,19 @@ def test_drops_name_the_limit(spark):
     assert got == want
 
 
+
+
+def test_refresh_stores_a_day_and_replaces_one_scope(spark, tmp_path):
+    from granary import api
+
+    base, df = str(tmp_path), spark.createDataFrame(day_rows(), SCHEMA)
+    assert api.news(spark, base, "2024-03-01").count() == 0 and api.status(spark, base).count() == 0
+    first = api.refresh(spark, df, base, "2024-03-01", NOW, regions=LOCAL_REGIONS)
+    pages = Counter(r.page for r in first.collect())
+    assert {s: api.news(spark, base, "2024-03-01", s).count() for s in pages} == pages
+    api.refresh(spark, df.where("_ord >= 40"), base, "2024-03-01", NOW + 60, "discover", LOCAL_REGIONS)
+    assert api.news(spark, base, "2024-03-01", "discover").agg({"fetched_at": "min"}).first()[0] == NOW + 60
+    assert api.news(spark, base, "2024-03-01", "local").count() == pages["local"]
+    assert [(str(r.day), r.fetched_at) for r in api.status(spark, base).collect()] == [("2024-03-01", NOW + 60)] and api.days(spark, base).count() == 1
+    api.views(spark, base, "2024-03-01")
+    assert spark.sql("select count(*) from news_wechat").first()[0] == pages["wechat"] and spark.sql("select * from opportunities").count() == 0
