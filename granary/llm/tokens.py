@@ -72,6 +72,7 @@ class PieceEncoder:
         self._spaced, self._lead = space_prefixed, "\u0120" if space_prefixed else ""
         self.size = self._tok.get_vocab_size(with_added_tokens=True)
         self._added = [t.content for t in self._tok.get_added_tokens_decoder().values()]
+        self._mark = os.path.commonprefix(self._added)  # one search rules all of them out
         self._tokenize, self._letters = self._tok.model.tokenize, byte_letters()
         self._ends = {c: self.whole(c) for c in ".,"}
         self._line_end = self.whole("\n")
@@ -119,7 +120,7 @@ class PieceEncoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if any(t in text for t in self._added):
+        if self._mark in text and any(t in text for t in self._added):
             return self.whole(text)
         if not self._spaced:
             return b"".join(map(self._inner.__getitem__, text.replace("\n", " ").split(" ")))
