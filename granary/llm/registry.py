@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cotraining, hilbert_ann, html_layout, ngram_join, packing, quality_rules, secret_ledger, sentencepieces, token_records, toxicity
+from . import cotraining, fill_middle, hilbert_ann, html_layout, line_dedup, ngram_join, packing, periodic_runs, quality_rules, secret_ledger, sentencepieces, token_records, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_cotraining": cotraining.op9_cotraining,
         "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
+        "op11_line_dedup": line_dedup.op11_line_dedup,
+        "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+        "op13_fill_middle": fill_middle.op13_fill_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Tokenizers, trained models, sketches and searches with a recall are beyond SQL; tests hold those against brute force."""
-    return {"op5_secret_ledger": secret_ledger.SQL, "op10_ngram_jaccard": ngram_join.SQL}
+    return {
+        "op5_secret_ledger": secret_ledger.SQL,
+        "op10_ngram_jaccard": ngram_join.SQL,
+        "op11_line_dedup": line_dedup.SQL,
+        "op12_periodic_runs": periodic_runs.SQL,
+        "op13_fill_middle": fill_middle.SQL,
+    }
