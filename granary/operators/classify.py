@@ -68,8 +68,9 @@ def is_national(scope: Column | str) -> Column:
 
 
 def demand_signal(c: Column, regions: tuple[str, ...] = ()) -> Column:
-    """Demand score in tenths, 12 at most: strong words 7, medium 3, warehouse context 3, region 2."""
-    parts = [(T.any_of(c, L.DEMAND_STRONG), 7), (T.any_of(c, L.DEMAND_MEDIUM), 3), (T.any_of(F.lower(c), L.WAREHOUSE_CONTEXT), 3), (T.any_of(c, regions), 2)]
+    """Demand score in tenths, 12 at most: strong words 7, medium 3, warehouse context 3, region 2. Case does not matter."""
+    low = F.lower(c)
+    parts = [(T.any_of(low, L.DEMAND_STRONG), 7), (T.any_of(low, L.DEMAND_MEDIUM), 3), (T.any_of(low, L.WAREHOUSE_CONTEXT), 3), (T.any_of(low, [w.lower() for w in regions if w]), 2)]
     return F.least(F.lit(12), reduce(lambda a, b: a + b, [F.when(p, w).otherwise(0) for p, w in parts]))
 
 

@@ -26,39 +26,54 @@ def news_reject_reason(now: float, year: int, max_age_days: int = 15) -> Column:
     )
 
 
-def pure_robot(c: Column) -> Column:
-    return T.any_of(c, L.ROBOT) & ~T.any_of(F.lower(c), L.WAREHOUSE_CONTEXT)
+def _lower(words: tuple[str, ...]) -> tuple[str, ...]:
+    return tuple(w.lower() for w in words if w)
 
 
-def local_admitted(c: Column, skill: Column, source: Column, accounts: tuple[str, ...] = L.LOCAL_ACCOUNTS) -> Column:
-    """Intent and industry words, fewer of them from known accounts and the local source."""
-    intent, industry = T.count_of(c, L.LOCAL_INTENT), T.count_of(c, L.LOCAL_INDUSTRY)
+def told() -> tuple[Column, Column]:
+    """Title and summary, and both with the source's name, in lower case: the texts in which rules of other scopes look."""
+    both = F.lower(F.concat_ws(" ", T.text("title"), T.text("summary")))
+    return both, F.concat_ws(" ", both, F.lower(T.text("source_name")))
+
+
+def pure_robot(both: Column) -> Column:
+    return T.any_of(both, _lower(L.ROBOT)) & ~T.any_of(both, _lower(L.WAREHOUSE_CONTEXT))
+
+
+def vendor_hit() -> Column:
+    return T.any_of(told()[1], _lower(L.VENDORS))
+
+
+def bidding_hit() -> Column:
+    return T.any_of(told()[1], _lower(L.BIDDING)) | (T.text("skill_name") == "招投标")
+
+
+def local_admitted(skill: Column, source: Column, accounts: tuple[str, ...] = L.LOCAL_ACCOUNTS) -> Column:
+    """Intent and industry words in title and summary, fewer of them from known accounts and the local source."""
+    both, _ = told()
+    intent, industry = T.count_of(both, _lower(L.LOCAL_INTENT)), T.count_of(both, _lower(L.LOCAL_INDUSTRY))
     known = T.any_of(source, accounts)
     strict = (intent >= 1) & (industry >= 2)
     fallback = known & (intent >= 1) & (industry >= 1)
-    prefiltered = ((skill == "本地项目") & ((intent >= 1) | (industry >= 1))) | (known & ((intent >= 1) | (industry >= 2) | (T.any_of(c, L.VENDORS) & (industry >= 1))))
+    prefiltered = ((skill == "本地项目") & ((intent >= 1) | (industry >= 1))) | (known & (skill != "本地项目") & ((intent >= 1) | (industry >= 2) | (vendor_hit() & (industry >= 1))))
     return strict | fallback | prefiltered
 
 
 def scope_drop_reason(regions: tuple[str, ...] = (), local_exclude: tuple[str, ...] = ()) -> Column:
-    """For rows that are not national: excluded word, robots without warehouse, locality, required words."""
-    whole = F.concat_ws(" ", T.text("title"), T.text("summary"), T.text("source_name"))
+    """For rows that are not national: excluded word, robots without warehouse, locality, required words. Case does not matter."""
+    both, whole = told()
     scope = T.text("region_scope")
-    local = T.any_of(whole, regions) & ~T.any_of(whole, local_exclude) & classify_local(whole)
+    local = T.any_of(whole, _lower(regions)) & ~T.any_of(whole, _lower(local_exclude)) & local_admitted(T.text("skill_name"), T.text("source_name"))
     return (
-        F.when(T.any_of(whole, L.EXCLUDE), "excluded")
-        .when(pure_robot(whole) & (scope != "discover"), "pure_robot")
+        F.when(T.any_of(whole, _lower(L.EXCLUDE)), "excluded")
+        .when(pure_robot(both) & (scope != "discover"), "pure_robot")
         .when((scope == "local") & ~local, "not_local")
         .when(T.text("skill_name").isin(*L.PREFILTERED), "")
-        .when(~T.any_of(F.concat(T.text("title"), T.text("summary")), L.REQUIRED), "no_required_word")
+        .when(~T.any_of(F.lower(F.concat(T.text("title"), T.text("summary"))), _lower(L.REQUIRED)), "no_required_word")
         .otherwise("")
     )
 
 
-def classify_local(whole: Column) -> Column:
-    return local_admitted(whole, T.text("skill_name"), T.text("source_name"))
-
-
 def filter_relevant(df: DataFrame, regions: tuple[str, ...] = (), local_exclude: tuple[str, ...] = ()) -> DataFrame:
     """National rows by ``assess``, others by scope rules; drop_reason is kept out of the result."""
     judged = classify.assess(df).withColumn("drop_reason", F.when(classify.is_national("region_scope"), F.col("assess_reason")).otherwise(scope_drop_reason(regions, local_exclude)))

@@ -28,11 +28,10 @@ def national(articles: DataFrame, now: float, year: int, rules: L.NewsRules = L.
 
 def _scored(kept: DataFrame, now: float, regions: tuple[str, ...]) -> DataFrame:
     """Rows outside the national scope with vendor_hit, uid, demand_signal (tenths), the flag of 0.8 and more, and score."""
-    both = F.concat_ws(" ", T.text("title"), T.text("summary"))
-    vendor, bidding = T.any_of(F.concat_ws(" ", both, T.text("source_name")), L.VENDORS), T.any_of(both, L.BIDDING) | (T.text("skill_name") == "招投标")
-    marked = kept.withColumns({"vendor_hit": vendor, "uid": urls.uid("url"), "demand_signal": classify.demand_signal(both, regions)})
+    signal = classify.demand_signal(filters.told()[0], regions)
+    marked = kept.withColumns({"vendor_hit": filters.vendor_hit(), "bidding_hit": filters.bidding_hit(), "uid": urls.uid("url"), "demand_signal": signal})
     marked = marked.withColumn("is_potential_warehouse_demand", F.col("demand_signal") >= 8)
-    return marked.withColumn("score", score.article_score(now, F.col("demand_signal"), F.col("vendor_hit"), bidding, T.any_of(T.text("source_name"), L.TRUSTED)))
+    return marked.withColumn("score", score.article_score(now, F.col("demand_signal"), F.col("vendor_hit"), F.col("bidding_hit"), T.any_of(T.text("source_name"), L.TRUSTED))).drop("bidding_hit")
 
 
 def other_scope(articles: DataFrame, now: float, count: int, regions: tuple[str, ...] = ()) -> DataFrame:

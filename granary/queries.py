@@ -158,6 +158,65 @@ def overlap_leaders(spark: SparkSession, d: str) -> DataFrame:
     return dedup.leaders_overlap(articles(spark, d)).select("_ord", "title")
 
 
+#: The pass row by row: what stayed before, as a list. Titles of one text are reduced to their first, which the pass does too.
+OVERLAP_SQL = f"""with recursive a as ({ARTICLES_SQL}),
+t as (select _ord, title, regexp_replace(lower(coalesce(title, '')), '[，。、！？：；“”‘’（）【】\\s]+', '', 'g') as t from a),
+d as (select t, min(_ord) as _ord, row_number() over (order by min(_ord)) as n from t where t <> '' group by t),
+walk as (
+  select cast(0 as bigint) as n, cast([] as varchar[]) as kept, false as stays
+  union all
+  select d.n, case when x.goes then w.kept else list_append(w.kept, d.t) end, not x.goes
+  from walk w join d on d.n = w.n + 1,
+  lateral (select len(list_filter(w.kept, lambda k: 5 * least(length(k), length(d.t)) > 0 and 5 * length(d.t) > 3 * length(k) and 5 * len(list_filter(string_split(d.t, ''), lambda c: contains(k, c))) > 3 * greatest(length(k), length(d.t)))) > 0 as goes) x),
+s as (select d._ord from walk join d on d.n = walk.n and walk.stays union all select _ord from t where t = '')
+select _ord, title from t where _ord in (select _ord from s)"""
+
+
+def scope_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Why rows of the other scopes go, over texts in mixed case from sources whose names hold rule words."""
+    a = _mixed_case(articles(spark, d))
+    return a.select("_ord", "region_scope", filters.scope_drop_reason(LOCAL_REGIONS, ("景区",)).alias("drop_reason"), filters.vendor_hit().alias("vendor_hit"), filters.bidding_hit().alias("bidding_hit"), classify.demand_signal(filters.told()[0], LOCAL_REGIONS).cast("int").alias("demand_signal"))
+
+
+_PLACED = {  # what a row's title ends with, its source and its skill, by the rest of its number
+    "tail": ("", " AGV 项目", " Agv 机器人 仓储", " 机器人", " 招商引资 wms 产线", " 项目落地 Wcs 仓储 物流", " 无锡 扩建 工厂", " 景区 物流园 仓储 供应链", " A股 涨停", " epc 总包", " 人形", " 兰剑 招标"),
+    "name": ("src", "无锡 智能制造 物流园", "无锡日报", "机器人 周刊", "WMS 研究", "智能仓储 无锡发布"),
+    "skill": ("", "本地项目", "公众号RSS", "招投标", "行业"),
+    "scope": ("local", "discover", "wechat"),
+}
+
+
+def _mixed_case(a: DataFrame) -> DataFrame:
+    at = lambda key, step: F.element_at(F.array(*map(F.lit, _PLACED[key])), (F.floor(F.col("_ord") / step) % len(_PLACED[key]) + 1).cast("int"))
+    return a.select("_ord", F.concat(F.coalesce("title", F.lit("")), at("tail", 1)).alias("title"), "summary", at("name", 5).alias("source_name"), at("skill", 3).alias("skill_name"), at("scope", 2).alias("region_scope"))
+
+
+def _any_sql(column: str, words: tuple[str, ...]) -> str:
+    return "(" + " or ".join(f"contains({column}, '{w.lower()}')" for w in dict.fromkeys(words)) + ")"
+
+
+def _count_sql(column: str, words: tuple[str, ...]) -> str:
+    return "(" + " + ".join(f"contains({column}, '{w.lower()}')::int" for w in dict.fromkeys(words)) + ")"
+
+
+def _at_sql(key: str, step: int) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in _PLACED[key]) + f"][_ord // {step} % {len(_PLACED[key])} + 1]"
+
+
+SCOPE_SQL = f"""with a as ({ARTICLES_SQL}),
+m as (select _ord, coalesce(title, '') || {_at_sql('tail', 1)} as title, coalesce(summary, '') as summary, {_at_sql('name', 5)} as source, {_at_sql('skill', 3)} as skill, {_at_sql('scope', 2)} as region_scope from a),
+b as (select *, lower(title || ' ' || summary) as both_, lower(title || ' ' || summary || ' ' || source) as whole, lower(title || summary) as joined from m),
+h as (select *, {_count_sql('both_', L.LOCAL_INTENT)} as intent, {_count_sql('both_', L.LOCAL_INDUSTRY)} as industry, {_any_sql('source', L.LOCAL_ACCOUNTS)} as known, {_any_sql('whole', L.VENDORS)} as vendor_hit,
+  {_any_sql('whole', L.BIDDING)} or skill = '招投标' as bidding_hit, {_any_sql('both_', L.ROBOT)} and not {_any_sql('both_', L.WAREHOUSE_CONTEXT)} as robot from b)
+select _ord, region_scope, vendor_hit, bidding_hit,
+  least(12, 7 * {_any_sql('both_', L.DEMAND_STRONG)}::int + 3 * {_any_sql('both_', L.DEMAND_MEDIUM)}::int + 3 * {_any_sql('both_', L.WAREHOUSE_CONTEXT)}::int + 2 * {_any_sql('both_', LOCAL_REGIONS)}::int) as demand_signal,
+  case when {_any_sql('whole', L.EXCLUDE)} then 'excluded' when robot and region_scope <> 'discover' then 'pure_robot'
+    when region_scope = 'local' and not ({_any_sql('whole', LOCAL_REGIONS)} and not contains(whole, '景区') and ((intent >= 1 and industry >= 2) or (known and intent >= 1 and industry >= 1)
+      or (skill = '本地项目' and intent + industry >= 1) or (skill <> '本地项目' and known and (intent >= 1 or industry >= 2 or (vendor_hit and industry >= 1))))) then 'not_local'
+    when skill in ({', '.join(f"'{x}'" for x in L.PREFILTERED)}) then '' when not {_any_sql('joined', L.REQUIRED)} then 'no_required_word' else '' end as drop_reason
+from h"""
+
+
 def best_scores(spark: SparkSession, d: str) -> DataFrame:
     return dedup.best_score(versions(spark, d)).select("_ord", "project_key", "stage", "final_score")
 
@@ -457,7 +516,8 @@ PAIRS = {
     "national_selection": (national_selection, None),
     "national_by_page": (national_by_page, NATIONAL_SQL),
     "near_leaders": (near_leaders, None),
-    "overlap_leaders": (overlap_leaders, None),
+    "overlap_leaders": (overlap_leaders, OVERLAP_SQL),
+    "scope_reasons": (scope_reasons, SCOPE_SQL),
     "dedup_url_first": (dedup_url_first, f"with a as ({ARTICLES_SQL}) select _ord, url, title from a qualify row_number() over (partition by url order by _ord) = 1"),
     "best_scores": (best_scores, BEST_SQL),
     "latest_versions": (latest_versions, LATEST_SQL),
