@@ -31,6 +31,7 @@ SOURCE_NAMES = {
     "chinalet.cn": "LET展会官网", "ndrc.gov.cn": "国家发展改革委", "miit.gov.cn": "工业和信息化部", "gov.cn": "中国政府网",
     "ccgp.gov.cn": "中国政府采购网", "ggzy.gov.cn": "全国公共资源交易平台", "cebpubservice.com": "中国招标投标公共服务平台",
 }
+NEWS_DOMAINS = ("xinhuanet.com", "xinhua.cn")
 GENERIC_SOURCES = ("", "行业媒体", "展会协会", "政策标准", "招投标公告")
 EVENT_REGIONS = _w("波兰 德国 江苏 广东 上海 北京 辽宁 河北 唐山 西安 长春 苏州 广州 深圳")
 EVENT_VERSIONS = _w("二次 重新 变更 澄清 取消")

@@ -51,7 +51,7 @@ def assess(df: DataFrame, rules: L.NewsRules = L.NewsRules()) -> DataFrame:
 
 def annotate(df: DataFrame, rules: L.NewsRules = L.NewsRules(), groups: dict[str, str] = L.GROUPS, names: dict[str, str] = L.SOURCE_NAMES) -> DataFrame:
     """``assess``, and source_domain, source_group and a name for generic sources."""
-    domain = source_domain("url", tuple(names))
+    domain = source_domain("url", (*names, *L.NEWS_DOMAINS))
     out = df.withColumn("source_domain", domain)
 
     def looked_up(table: dict[str, str]) -> Column:

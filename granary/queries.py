@@ -58,20 +58,37 @@ def project_keys(spark: SparkSession, d: str) -> DataFrame:
 _IDENTITY = "regexp_replace(regexp_replace(lower({}), '" + "|".join(L.ANNOUNCEMENT_WORDS) + "', '', 'g'), '[^0-9a-z一-鿿]+', '', 'g')"
 
 
+#: What is put behind, or for, a page's address, by its number.
+_VARIANTS = ("", "?123", "?456", "?b=2&a=%E4%B8%AD&&utm_source=x&from=y&source=z", "#part?q=1", ":8080/x", ":443/x?a=b=c&A=1", "/", "?q=a+b&t=~*&fbclid=1")
+_HOSTS = ("www.m.a.example.cn", "M.b.example.cn", "100.64.1.2", "100.128.1.2", "198.18.0.9", "192.0.2.1", "8.8.4.4", "news.xinhuanet.com", "ggzy.gov.cn", "u:p@c.example.cn", "intern.local", "172.15.0.1")
+
+
 def normal_urls(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", urls.page_key("url").alias("page_key"), urls.fetch_url("url").alias("fetch_url"), urls.source_domain("url").alias("domain"), urls.uid("url").alias("uid"))
-
-
-URL_SQL = r"""
-with p as (select page_id, url, regexp_extract(url, '^([a-z]+)://', 1) as scheme, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) as host,
-  regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) as path,
-  list_filter(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda x: contains(x, '=') and not starts_with(lower(x), 'utm_') and not regexp_matches(lower(x), '^(spm|from)=')) as q from pages),
-k as (select *, list_sort(list_filter(q, lambda x: not starts_with(lower(x), 'source='))) as q1, list_filter(q, lambda x: not starts_with(lower(x), 'fbclid=')) as q2 from p)
-select page_id,
-  regexp_replace(host, '^www[.]', '') || regexp_replace(path, '/+$', '') || case when len(q1) > 0 then '?' || array_to_string(q1, '&') else '' end as page_key,
-  scheme || '://' || host || case when path = '' then '/' else path end || case when len(q2) > 0 then '?' || array_to_string(q2, '&') else '' end as fetch_url,
-  regexp_replace(host, '^(www|m)[.]', '') as domain, substr(md5(url), 1, 12) as uid
-from k"""
+    """The pages' own addresses, and the same under other hosts with other queries, ports and ends."""
+    p = table(spark, d, "pages").select("page_id", "url")
+    k = F.col("page_id")
+    other = F.concat(F.lit("HTTP://"), F.element_at(F.array(*map(F.lit, _HOSTS)), (k % len(_HOSTS) + 1).cast("int")), F.element_at(F.array(*map(F.lit, _VARIANTS)), (k % len(_VARIANTS) + 1).cast("int")))
+    both = p.withColumn("form", F.lit("own")).unionByName(p.withColumn("url", other).withColumn("form", F.lit("other")))
+    return both.select("page_id", "form", urls.page_key("url").alias("page_key"), urls.fetch_url("url").alias("fetch_url"), urls.source_domain("url").alias("domain"), urls.uid("url").alias("uid"))
+
+
+def _coded_sql(c: str) -> str:
+    return f"replace(replace(url_encode(url_decode(replace({c}, '+', '%20'))), '%20', '+'), '*', '%2A')"
+
+
+URL_SQL = rf"""
+with a as (select page_id, 'own' as form, url from pages union all select page_id, 'other', 'HTTP://' || {list(_HOSTS)}[page_id % {len(_HOSTS)} + 1] || {list(_VARIANTS)}[page_id % {len(_VARIANTS)} + 1] from pages),
+p as (select *, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) as scheme, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)) as netloc, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) as path,
+  list_transform(list_filter(string_split(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '&'), lambda x: x <> ''), lambda x: case when contains(x, '=') then x else x || '=' end) as parts from a),
+h as (select *, regexp_replace(regexp_replace(netloc, '^.*@', ''), ':[^:]*$', '') as host, regexp_extract(netloc, ':([0-9]*)$', 1) as port,
+  list_filter(list_transform(parts, lambda x: {{'k': {_coded_sql("string_split(x, '=')[1]")}, 'v': {_coded_sql("regexp_replace(x, '^[^=]*=', '')")}}}), lambda y: not starts_with(lower(y.k), 'utm_') and lower(y.k) not in ('spm', 'from')) as q from p),
+n as (select *, case when regexp_full_match(host, '[0-9.]+') then list_reduce([cast(o as bigint) for o in string_split(host, '.')], lambda x, y: x * 256 + y) end as ip,
+  [y.k || '=' || y.v for y in list_sort(list_filter(q, lambda y: lower(y.k) <> 'source'))] as q1, [y.k || '=' || y.v for y in list_filter(q, lambda y: lower(y.k) <> 'fbclid')] as q2 from h),
+r as (select *, coalesce({" or ".join(f"ip between {sum(int(x) << (24 - 8 * i) for i, x in enumerate(lo.split('.')))} and {sum(int(x) << (24 - 8 * i) for i, x in enumerate(hi.split('.')))}" for lo, hi in urls.RESERVED)}, false) as reserved from n)
+select page_id, form, regexp_replace(host, '^www[.]', '') || regexp_replace(path, '/+$', '') || case when len(q1) > 0 then '?' || array_to_string(q1, '&') else '' end as page_key,
+  case when contains(netloc, '@') or reserved or host like '%.local' or port not in ('', '80', '443') then '' else scheme || '://' || netloc || case when path = '' then '/' else path end || case when len(q2) > 0 then '?' || array_to_string(q2, '&') else '' end end as fetch_url,
+  case when host like '%.xinhuanet.com' then 'xinhuanet.com' when host like '%.gov.cn' then 'gov.cn' else regexp_replace(host, '^(www[.])?(m[.])?', '') end as domain, substr(md5(url), 1, 12) as uid
+from r"""
 
 
 def source_domains(spark: SparkSession, d: str) -> DataFrame:

@@ -54,7 +54,7 @@ def test_deadline_lasts_through_its_day(spark):
 
 @pytest.mark.parametrize(("url", "key", "fetch"), [
     ("https://www.A.com/x/?utm_source=1&b=2&a=1#t", "a.com/x?a=1&b=2", "https://www.a.com/x/?b=2&a=1"),
-    ("http://u:p@a.com/", "a.com", ""), ("http://127.0.0.1/x", "127.0.0.1/x", ""), ("http://a.com:8080/", "a.com", ""), ("ftp://a.com/", "a.com", ""), ("nonsense", "", ""), (None, "", ""),
+    ("http://u:p@a.com/", "a.com", ""), ("http://127.0.0.1/x", "127.0.0.1/x", ""), ("http://a.com:8080/", "a.com", ""), ("ftp://a.com/", "a.com", ""), ("nonsense", "nonsense", ""), (None, "", ""),
 ])
 def test_urls(spark, url, key, fetch):
     assert (one(spark, url, urls.page_key("x")), one(spark, url, urls.fetch_url("x"))) == (key, fetch)
