@@ -123,9 +123,10 @@ def source_tier(url: Column | str, official: tuple[str, ...], authoritative: tup
     return F.when(under(("gov.cn", *official)), 1).when(under(authoritative), 2).otherwise(3)
 
 
-def stale_title(title: Column | str, published_ts: Column, deadline_ts: Column, now: float, year: int) -> Column:
-    """A year of the past in the title, unless published within 90 days or with a deadline to come."""
-    from ..functions.facts import last_year
+def stale_title(title: Column | str, published_ts: Column, deadline: Column, now: float, year: int) -> Column:
+    """A year of the past in the title, unless published within 90 days (or tomorrow), or with a deadline that has not passed."""
+    from ..functions.facts import date_ts, expired, last_year
 
-    recent = (published_ts > 0) & (now - published_ts).between(-86400, 90 * 86400)
-    return F.coalesce(last_year(title) < year, F.lit(False)) & ~recent & ~((deadline_ts > 0) & (deadline_ts > now))
+    recent = (published_ts != 0) & (now - published_ts).between(-86400, 90 * 86400)
+    live = (date_ts(deadline) > 0) & ~expired(deadline, now)
+    return F.coalesce(last_year(title) < year, F.lit(False)) & ~recent & ~live

@@ -84,40 +84,39 @@ def should_keep() -> Column:
     return (F.col("relevance_score") >= L.KEEP_SCORE) & F.col("stage").isin(*L.KEEP_STAGES)
 
 
-def too_old(now: float) -> Column:
-    limit = F.coalesce(*[F.when(F.col("stage") == s, F.lit(d)) for s, d in L.AGE_LIMITS.items()], F.lit(L.AGE_LIMIT_ELSE))
+def too_old(now: float, stage: Column | None = None) -> Column:
+    """Older than its stage's limit; undated rows are not."""
+    stage = F.col("stage") if stage is None else stage
+    limit = F.coalesce(*[F.when(stage == s, F.lit(d)) for s, d in L.AGE_LIMITS.items()], F.lit(L.AGE_LIMIT_ELSE))
     return (F.col("published_ts") != 0) & (F.greatest((now - F.col("published_ts")) / 86400, F.lit(0.0)) > limit)
 
 
 def prefilter_reason(now: float, year: int) -> Column:
-    """Candidates before research: address, exclusions, past titles, age, stale calls without a live deadline."""
+    """Candidates before research: addresses and exclusions, titles of past years, publications of past years, stale calls without a live deadline."""
     whole = F.trim(F.concat_ws(" ", T.text("title"), T.text("summary"), T.text("content")))
     ts, due = F.coalesce(F.col("published_ts"), F.lit(0.0)), facts.deadline(whole)
-    live = (facts.date_ts(due) > 0) & ~facts.expired(due, now)
-    old = F.coalesce(facts.last_year("title") < year, F.lit(False)) & ~T.any_of(T.text("title"), L.VERSION_TERMS) & ~((ts > 0) & (now - ts <= 90 * 86400))
+    told = facts.deadline(F.concat_ws(" ", T.text("summary"), T.text("content")))
+    old = classify.stale_title("title", ts, told, now, year) & ~T.any_of(T.text("title"), L.VERSION_TERMS)
     stage = classify.candidate_stage("title", whole)
     return (
-        F.when(urls.fetch_url("url") == "", "invalid_url")
-        .when(F.size(T.unnegated(whole, L.OPPORTUNITY_EXCLUDES + L.EDITORIAL_EXCLUDES)) > 0, "excluded")
-        .when(old & ~live, "historical_title")
-        .when((ts > 0) & (now - ts > 365 * 86400), "older_than_a_year")
-        .when(stage.isin("PROCUREMENT", "EARLY_SIGNAL") & (ts > 0) & (now - ts > 15 * 86400) & ~live, "stale_without_deadline")
+        F.when((urls.fetch_url("url") == "") | (F.size(T.unnegated(whole, L.OPPORTUNITY_EXCLUDES + L.EDITORIAL_EXCLUDES)) > 0), "hard_exclusion")
+        .when(old, "historical_title_year")
+        .when((ts != 0) & (now - ts > 365 * 86400), "old_publication")
+        .when(stage.isin("PROCUREMENT", "EARLY_SIGNAL") & too_old(now, stage) & ((due == "") | facts.expired(due, now)), "stale_publication")
         .otherwise("")
     )
 
 
 def ranking_reason(now: float, year: int) -> Column:
-    """Why a scored opportunity is not shown; the first reason counts."""
-    ts, due = F.col("published_ts"), F.col("deadline")
-    live = (facts.date_ts(due) > 0) & ~facts.expired(due, now)
+    """Why a project's latest version is not shown, before it is scored; the first reason counts."""
+    ts, due = F.col("published_ts"), T.text("deadline")
+    live = (due != "") & ~facts.expired(due, now)
     return (
-        F.when(classify.stale_title("title", ts, facts.date_ts(due), now, year), "stale_title")
+        F.when(classify.stale_title("title", ts, due, now, year), "freshness_reject")
         .when(ts > now + 86400, "future_publication")
-        .when(too_old(now) & ~((F.col("stage") == "PROCUREMENT") & live), "too_old")
-        .when(F.col("stage").isin("CLOSED", "AWARD") | facts.expired(due, now), "inactive")
-        .when((ts > 0) & (now - ts > 15 * 86400) & (T.text("deadline") == "") & (F.col("stage") != "EARLY_SIGNAL"), "stale_without_deadline")
+        .when(F.col("stage").isin("CLOSED", "AWARD") | facts.expired(due, now) | (too_old(now) & ~((F.col("stage") == "PROCUREMENT") & live)), "freshness_or_inactive_reject")
+        .when((F.col("stage") != "EARLY_SIGNAL") & (ts != 0) & (now - ts > 15 * 86400) & (due == ""), "old_without_deadline")
         .when(F.col("relevance_score") < L.KEEP_SCORE, "low_relevance")
-        .when((F.col("priority") == "DROP") & (F.col("research_mode") != "preview"), "low_score")
         .otherwise("")
     )
 
@@ -139,9 +138,13 @@ def unverified() -> Column:
 
 
 def can_rule_fallback() -> Column:
-    """Candidates that the rules may judge alone: not found by a search, or read in the original, which has their title."""
-    read = (T.text("verified_url") != "") & F.contains(T.compact("content"), T.compact("title"))
-    return (T.text("discovery_method") != "ai_search") | read
+    """Candidates that the rules may judge alone: not found by a search, or read in the original, which has their title.
+
+    Fixed value: how sources of searches are called.
+    """
+    found = (T.text("discovery_method") == "ai_search") | (T.text("snippet_origin") != "") | F.startswith(T.text("source_name"), F.lit("搜索发现"))
+    read = (T.text("verified_url") != "") & (T.text("content") != "") & F.contains(T.compact("content"), T.compact("title"))
+    return ~found | read
 
 
 def research_accepted(least: float = 60.0) -> Column:

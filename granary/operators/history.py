@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls
+from . import filters
 
 CARRIED = ("stage", "budget", "deadline", "technical_scope", "notice_version", "source_content_hash")
 REPORTED = ("last_reported_at", "last_reported_stage", "last_digest_hash")
@@ -84,14 +85,19 @@ def merged_index(index: DataFrame, observed: DataFrame, stages: tuple[str, ...]
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 
-def reusable(items: DataFrame, index: DataFrame, now_ts: float) -> tuple[DataFrame, DataFrame]:
-    """Items whose verified research of the last day still holds, and the rest."""
-    x = index.select("index_ord", *[F.col(c).alias(f"x_{c}") for c in ("source_content_hash", "verified_url", "research_mode", "verification_status", "verified_ts", "notice_version")])
-    joined = items.join(match(items, index), "_ord", "left").join(x, "index_ord", "left")
-    age = now_ts - F.col("x_verified_ts")
-    good = (T.text("content_hash") != "") & (F.col("content_hash") == F.col("x_source_content_hash")) & (T.text("x_verified_url") != "") & (F.col("x_research_mode") == "ai") & (F.col("x_verification_status") == "verified") & (age >= 0) & (age < 86400) & (T.text("notice_version") == T.text("x_notice_version"))
-    flagged = joined.withColumn("_good", F.coalesce(good, F.lit(False)))
-    return tuple(flagged.where(F.col("_good") == v).select(*items.columns) for v in (True, False))
+def reusable(candidates: DataFrame, index: DataFrame, now_ts: float, hours: float = 24) -> DataFrame:
+    """(_ord, index_ord) of candidates whose project was verified lately from the very text that they have now.
+
+    ``candidates``: _ord, title, url, published, content_hash, verified_url. The index row is matched by title and page alone, and must be research
+    of the last ``hours`` over a page that was read, of the same notice version.
+    """
+    mine = candidates.select("_ord", T.project_key("title", F.lit(""), F.lit("")).alias("project_key"), "title", F.lit("").alias("owner"), F.lit("").alias("city"), page_set("url").alias("pages"))
+    told = candidates.select("_ord", "content_hash", "verified_url", T.notice_version("title", "published", urls.fetch_url("url")).alias("_version"))
+    x = index.where((F.col("research_mode") == "ai") & (F.col("verification_status") == "verified") & ~filters.unverified()).select("index_ord", "source_content_hash", "last_researched_ts", "notice_version")
+    found = match(mine, index).join(x, "index_ord").join(told, "_ord")
+    age = now_ts - F.coalesce(F.col("last_researched_ts"), F.lit(0.0))
+    good = (T.text("content_hash") != "") & (T.text("verified_url") != "") & (F.col("content_hash") == F.col("source_content_hash")) & (age >= 0) & (age < hours * 3600) & (T.text("notice_version") == F.col("_version"))
+    return found.where(good).select("_ord", "index_ord")
 
 
 def without_rejected(items: DataFrame, feedback: DataFrame) -> DataFrame:

@@ -79,18 +79,33 @@ def research_selection(df: DataFrame, limit: int, least: float = 38.0) -> DataFr
 
 
 def prefilter_cap(df: DataFrame, limit: int, least: float = 38.0) -> DataFrame:
-    """The best of each discovery channel, then the best, then rows below ``least`` (a quarter at most), then whoever is next."""
+    """The best of each discovery channel, then the best, then rows below ``least`` (a quarter at most), then whoever is next.
+
+    ``pool_place`` is the order in which they were taken; by weight where all rows fit.
+    """
     most = max(1, limit // 4)
     low = _ranks(df.where(F.col("relevance_score") < least), most).select("_ord", F.col("_rank").alias("_low"))
     first = F.struct((-F.col("weight")).alias("w"), "_ord")
     heads = df.select("_ord", "weight", F.explode("discovery_channels").alias("channel")).groupBy("channel").agg(F.min(first).alias("f")).select(F.col("f._ord").alias("_ord"), (-F.col("f.w")).alias("weight")).distinct()
+    fits = df.limit(limit + 1).count() <= limit
     quota = min(low.count(), most)
-    heads = heads.orderBy(F.desc("weight"), "_ord").limit(limit - quota).select("_ord", F.lit(True).alias("_head"))
+    heads = heads.orderBy(F.desc("weight"), "_ord").limit(limit - quota).select("_ord", F.lit(not fits).alias("_head"))
     n = heads.count()
-    both = _ranks(df, limit).select("_ord", "_rank").join(low, "_ord", "full").join(heads, "_ord", "full")
-    tier = F.when(F.col("_head"), 0).when(F.col("_rank") <= max(0, limit - quota - n), 1).when(F.col("_low") <= quota, 2).otherwise(3)
-    chosen = both.withColumn("_tier", tier).orderBy("_tier", F.coalesce("_rank", F.lit(limit) + F.coalesce("_low", F.lit(0))), "_ord").limit(limit)
-    return df.join(F.broadcast(chosen.select("_ord")), "_ord")
+    both = _ranks(df, limit).select("_ord", "_rank").join(low, "_ord", "full").join(heads, "_ord", "full").join(df.select("_ord", "weight"), "_ord")
+    tier = F.lit(0) if fits else F.when(F.col("_head"), 0).when(F.col("_rank") <= max(0, limit - quota - n), 1).when(F.col("_low") <= quota, 2).otherwise(3)
+    chosen = both.withColumn("_tier", tier).orderBy("_tier", F.desc("weight"), "_ord").limit(limit)
+    chosen = chosen.select("_ord", F.row_number().over(Window.orderBy("_tier", F.desc("weight"), "_ord")).alias("pool_place"))
+    return df.join(F.broadcast(chosen), "_ord")
+
+
+def reading_order(df: DataFrame, least: float = 38.0) -> DataFrame:
+    """A pool (relevance_score, pool_place) with ``rank``: two thirds in its own order, then up to a third of rows below ``least``, then the rest."""
+    everywhere, low = Window.partitionBy(), F.col("relevance_score") < least
+    n, broad = F.count("*").over(everywhere), F.sum(low.cast("int")).over(everywhere)
+    nth = F.sum(low.cast("int")).over(Window.orderBy("pool_place"))
+    counted = df.withColumns({"_n": n, "_quota": F.least(broad, F.greatest(F.lit(1), F.floor(n / 3))), "_nth": nth})
+    tier = F.when(F.col("pool_place") <= F.col("_n") - F.col("_quota"), 0).when(low & (F.col("_nth") <= F.col("_quota")), 1).otherwise(2)
+    return counted.withColumn("rank", F.row_number().over(Window.orderBy(tier, "pool_place"))).drop("_n", "_quota", "_nth")
 
 
 def history_titles(targets: DataFrame, history: DataFrame, least: float = 0.62) -> DataFrame:

@@ -65,10 +65,15 @@ def two_source_quota(df: DataFrame, count: int, first: str, second: str, source:
     return classed.withColumn("_tier", tier).orderBy("_tier", F.desc("score"), "_ord").limit(count).orderBy(F.desc("score"), "_ord").drop("_place", "_tier")
 
 
-def final_ranking(df: DataFrame, limit: int) -> DataFrame:
-    """What needs a report first, then by score; rows past the limit get an overflow reason."""
-    top = df.orderBy((~F.col("needs_report")).cast("int"), F.desc("final_score"), "_ord").limit(limit).select("_ord").withColumn("_in", F.lit(True))
-    return df.join(F.broadcast(top), "_ord", "left").withColumn("drop_reason", F.when(F.col("_in"), "").otherwise("limit_overflow")).drop("_in")
+def final_ranking(df: DataFrame, limit: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """What needs a report first, then by score, then in order of ``_turn``; rows past the limit, of each ``by``, get a reason.
+
+    Only the first ``limit`` rows of each part go through the ranking, which Spark prunes before the shuffle.
+    """
+    order = [(~F.col("needs_report")).cast("int"), F.desc("final_score"), F.col("_turn")]
+    place = F.row_number().over(Window.partitionBy(*(by or (F.lit(0),))).orderBy(*order))
+    top = df.withColumn("_n", place).where(F.col("_n") <= limit).select(*by, "_ord", F.col("_n").alias("place"))
+    return df.join(F.broadcast(top), [*by, "_ord"], "left").withColumn("drop_reason", F.when(F.col("place").isNotNull(), "").otherwise("ranking_limit"))
 
 
 def scope_fallback(pool: DataFrame, everything: DataFrame, limit: int, local_skill: str = "本地项目") -> DataFrame:

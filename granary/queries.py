@@ -512,7 +512,7 @@ def picture_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def opportunity_day(spark: SparkSession, d: str) -> DataFrame:
-    built = opportunities.build(articles(spark, d), NOW, include_inactive=True)
+    built = opportunities.build(articles(spark, d), NOW, every=True)
     return opportunities.rescored(built, NOW).select("_ord", "stage", "project_type", "relevance_score", "final_score", "priority")
 
 

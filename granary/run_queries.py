@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import lexicon as L
 from .adapters import ARTICLES_SQL, NOW, SIGNALS_SQL, YEAR, articles, signals, table
 from .functions import text as T
 from .functions import urls
@@ -398,12 +399,134 @@ def selection_drops(spark: SparkSession, d: str) -> DataFrame:
 
 
 def opportunity_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """Rules' run of the day against an empty memory: every candidate with its place or its reason."""
-    a = articles(spark, d).withColumns({"title": F.concat(_pick(F.col("_ord"), "立体库 招标公告 ", "AGV 拟建 ", "中标 堆垛机 ", ""), "title"), "published": F.lit("")})
-    index = spark.createDataFrame([], "index_ord long, project_key string, title string, owner string, city string, pages array<string>, stage string, budget string, deadline string, technical_scope array<string>, notice_version string, source_content_hash string, published string, published_ts double, first_seen string, last_reported_at string, last_reported_stage string, last_digest_hash string")
-    extra = {"pages": F.array(F.lit("")), "notice_version": F.lit(""), "source_content_hash": F.lit(""), "first_seen": F.lit("2024-03-01"), "last_reported_at": F.lit(""), "last_reported_stage": F.lit(""), "last_digest_hash": F.lit("")}
-    built = opportunities.build(a, NOW, include_inactive=True).withColumns(extra)
-    return opportunities.ranked(built, index, NOW, YEAR, "2024-03-01", 30).select("_ord", "stage", "final_score", "priority", "drop_reason")
+    """Versions of projects ranked: one row a project, with its place or the reason why it has none."""
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    mode = _pick(F.floor(k / 3), "fallback", "ai", "preview", "rules", "ai")
+    items = o.select(
+        k.alias("_ord"), F.concat(F.lit("p"), _s("o_custkey")).alias("project_key"), F.concat(_pick(F.floor(k / 7), "", "2022年 ", "2024年 ", ""), _pick(k, "立体库 项目 ", "老库 改造 ", "制造 仓库 ", "机场 行李系统 "), _s(k)).alias("title"),
+        F.concat(_pick(k, "https://www.x.gov.cn/", "https://a.media.cn/", "https://c.example.com/"), _s(k)).alias("source_url"), F.when(k % 8 == 3, 0.0).when(k % 50 == 9, F.lit(NOW + 200_000.0)).otherwise(NOW - (k % 60) * 86400.0).alias("published_ts"),
+        _pick(k, "", "2024-03-20", "", "2024-02-10", "2024年3月1日").alias("deadline"), _pick(k, "300万元", "", "800万元", "2亿元").alias("budget"), _pick(F.floor(k / 2), "PROCUREMENT", "EARLY_SIGNAL", "PROCUREMENT", "UNKNOWN", "AWARD", "PROCUREMENT", "CLOSED").alias("stage"),
+        F.lit("").alias("owner"), F.lit("").alias("province"), F.lit("").alias("city"), F.array().cast("array<string>").alias("technical_scope"), F.lit("UNKNOWN").alias("project_type"), (F.col("o_orderkey") % 71 + 30).cast("double").alias("relevance_score"),
+        F.lit(50.0).alias("source_score"), (k % 45 + 40).cast("double").alias("final_score"), _pick(k, "A", "B", "WATCH", "DROP").alias("priority"), mode.alias("research_mode"), F.when(k % 13 == 5, "unverified").when(mode == "ai", "verified").otherwise("").alias("verification_status"),
+        F.when(k % 17 == 2, F.array(F.lit("search_excerpt_only"))).otherwise(F.array().cast("array<string>")).alias("risk_flags"), F.when(k % 4 == 1, "2024-02-28").otherwise("").alias("last_reported_at"), F.when(k % 8 == 1, "h").otherwise("old").alias("last_digest_hash"), F.lit("h").alias("digest_hash"),
+    )
+    out = opportunities.ranked(items, NOW, YEAR, 30, L.CompanyProfile(regions=("无锡",)), authoritative=("media.cn",))
+    return out.select("_ord", "project_key", "research_mode", "final_score", "priority", F.array_join("risk_flags", ",").alias("flags"), "place", "drop_reason")
+
+
+RANKING_SQL = """
+with o as (select o_orderkey as k, o_custkey as c, k // 7 % 4 as y, ['fallback', 'ai', 'preview', 'rules', 'ai'][k // 3 % 5 + 1] as m0, case when k % 8 = 3 then 0.0 when k % 50 = 9 then 1709251200.0 + 200000 else 1709251200.0 - (k % 60) * 86400 end as ts,
+  ['', '2024-03-20', '', '2024-02-10', '2024年3月1日'][k % 5 + 1] as due, ['PROCUREMENT', 'EARLY_SIGNAL', 'PROCUREMENT', 'UNKNOWN', 'AWARD', 'PROCUREMENT', 'CLOSED'][k // 2 % 7 + 1] as stage, cast(k % 71 + 30 as double) as rel from orders),
+v as (select *, min(k) over (partition by c) as turn from o qualify row_number() over (partition by c order by ts desc, list_position(['UNKNOWN', 'EARLY_SIGNAL', 'PROCUREMENT', 'AWARD', 'CLOSED'], stage) desc, k) = 1),
+a as (select *, 1709251200.0 - ts as late, due in ('2024-03-20', '2024年3月1日') as live, due = '2024-02-10' as gone, m0 = 'preview' or k % 13 = 5 or k % 17 = 2 as pre from v),
+r as (select *, case when pre then 'preview' else m0 end as mode, case when y = 1 and not (ts <> 0 and late between -86400 and 90 * 86400) and not live then 'freshness_reject' when ts > 1709251200.0 + 86400 then 'future_publication'
+  when stage in ('CLOSED', 'AWARD') or gone or (ts <> 0 and late > case stage when 'PROCUREMENT' then 45 when 'EARLY_SIGNAL' then 90 else 30 end * 86400 and not (stage = 'PROCUREMENT' and live)) then 'freshness_or_inactive_reject'
+  when stage <> 'EARLY_SIGNAL' and ts <> 0 and late > 15 * 86400 and due = '' then 'old_without_deadline' when rel < 38 then 'low_relevance' else '' end as why0 from a),
+t as (select *, mode = 'ai' as own, case when pre then 3 else k % 3 + 1 end as tier from r),
+f as (select *, case when ts = 0 then 30 when late <= 86400 then 100 when late <= 3 * 86400 then 90 when late <= 7 * 86400 then 75 when late <= 15 * 86400 then 50 when stage = 'EARLY_SIGNAL' and late <= 90 * 86400 then 35 else 10 end as fresh,
+  case stage when 'PROCUREMENT' then 100 when 'EARLY_SIGNAL' then 85 when 'AWARD' then 25 when 'CLOSED' then 0 else 30 end as urg, case tier when 1 then 100 when 2 then 75 else 40 end as src,
+  greatest(0, 10 + case when k % 4 = 2 then 20 else 0 end + case k % 4 when 0 then 15 when 2 then 10 when 3 then -20 else 0 end + case when k % 4 = 1 then 15 else 0 end - case when k % 4 = 3 then 25 else 0 end - case when stage = 'AWARD' then 25 else 0 end) as fit from t),
+s as (select *, case when own then cast(k % 45 + 40 as double) else round((rel * 30 + urg * 20 + fresh * 15 + src * 10 + fit * 25) / 100, 1) end as s0, ts = 0 and due = '' as undated from f),
+p as (select *, case when pre then 'WATCH' when own then ['A', 'B', 'WATCH', 'DROP'][k % 4 + 1] when s0 >= 80 then 'A' when s0 >= 65 then 'B' when s0 >= 55 then 'WATCH' else 'DROP' end as p0 from s),
+w as (select *, case when why0 <> '' then why0 when p0 = 'DROP' then 'low_priority' else '' end as why, case when pre or undated then least(s0, 64.0) else s0 end as fin from p),
+n as (select *, case when undated and why = '' then 'WATCH' else p0 end as pri from w),
+q as (select *, stage not in ('AWARD', 'CLOSED') and pri <> 'DROP' and (k % 4 <> 1 or k % 8 <> 1) as report from n),
+z as (select k, row_number() over (order by not report, fin desc, turn) as place from q where why = '')
+select q.k as _ord, 'p' || c as project_key, mode as research_mode, fin as final_score, pri as priority,
+  concat_ws(',', case when k % 17 = 2 then 'search_excerpt_only' end, case when not own and (tier <> 1 or pre) then 'official_source_not_found' end, case when undated then 'published_date_not_verified' end) as flags,
+  case when z.place <= 30 then z.place end as place, case when why <> '' then why when z.place > 30 then 'ranking_limit' else '' end as drop_reason
+from q left join z using (k)"""
+
+_DAY = budgets.Settings(pool=400, hard=200, wave=40, target=25)
+
+
+def research_day(spark: SparkSession, d: str) -> DataFrame:
+    """A day's research over notices made of orders: every page's last stage and reason.
+
+    Two orders of seven share a page. Kinds of titles, dates, addresses, decisions, answers, documents, evidence and memory follow the page's number.
+    """
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k")).withColumn("q", F.when(F.col("k") % 7 == 3, F.col("k") - 1).otherwise(F.col("k")))
+    k, q = F.col("k"), F.col("q")
+    title = F.concat(_pick(q, "立体库 招标公告 ", "AGV 拟建 ", "堆垛机 采购公告 ", "仓库租赁 招标公告 ", "2022年 立体库 招标公告 ", "立体库 招标公告 ", "立体库 招标公告 ", "立体库 招标公告 ", "立体库 招标公告 ", "AGV 拟建 ", "堆垛机 采购公告 ", "WMS 中标 "), _s(q + 100_000), F.lit("号"))
+    page = F.when(q % 12 == 7, F.concat(F.lit("http://10.0.0.1/"), _s(q))).otherwise(F.concat(F.when(q % 3 == 0, "https://www.x.gov.cn/n/").otherwise("https://c.example.com/n/"), _s(q)))
+    days = F.when(q % 12 == 5, 400).when(q % 12 == 6, 60).when(q % 24 == 4, 100).when(q % 12 == 4, 20).otherwise(q % 20)
+    ts = F.when((q % 9 == 0) & ~(q % 12).isin(5, 6), 0.0).otherwise(NOW - days * 86400.0)
+    candidates = o.select(
+        k.alias("_ord"), title.alias("title"), F.concat(page, F.lit("?utm_source="), _s(k)).alias("url"), F.lit("").alias("summary"), F.concat(title, F.when(q % 24 == 6, " 截止时间：2024-03-20").otherwise(""), F.repeat(F.lit("长"), (k % 5).cast("int"))).alias("content"),
+        F.lit("来源").alias("source_name"), F.lit("").alias("published"), ts.alias("published_ts"), F.when(k % 4 == 1, "ai_search").otherwise("existing").alias("discovery_method"), F.when(k % 6 == 0, page).otherwise("").alias("verified_url"), F.lit("").alias("snippet_origin"),
+        F.concat(F.lit("h"), _s(q)).alias("content_hash"), F.array(_pick(k, "direct", "early", "packaging")).alias("discovery_channels"),
+    )
+    own = o.where("k = q")
+    index = own.where(q % 23 == 5).select(
+        k.alias("index_ord"), F.concat(F.lit("p"), _s(q)).alias("project_key"), F.concat(F.lit("旧 "), _s(q)).alias("title"), page.alias("source_url"), F.array(page).alias("pages"), F.lit("").alias("owner"), F.lit("").alias("city"), F.lit("PROCUREMENT").alias("stage"), F.lit("").alias("budget"), F.lit("").alias("deadline"),
+        F.array().cast("array<string>").alias("technical_scope"), F.array().cast("array<string>").alias("risk_flags"), F.lit("").alias("notice_version"), F.concat(F.lit("h"), _s(q)).alias("source_content_hash"), F.lit("ai").alias("research_mode"), F.lit("verified").alias("verification_status"),
+        (NOW - 3600.0 - (q % 2) * 100_000).alias("last_researched_ts"), F.lit("").alias("published"), F.lit(NOW - 5 * 86400).alias("published_ts"), F.lit(90.0).alias("relevance_score"), F.lit(100.0).alias("source_score"), F.lit("2024-02-01").alias("first_seen"),
+        F.lit("").alias("last_reported_at"), F.lit("").alias("last_reported_stage"), F.lit("").alias("last_digest_hash"),
+    )
+    number = F.regexp_extract("url", "/([0-9]+)$", 1).cast("long")
+    decide = lambda pool: pool.select(F.col("url").alias("page"), (number % 5 != 0).alias("worth_research"), (number % 90).cast("double").alias("score"))
+    answers = own.select(
+        page.alias("page"), F.when(q % 11 == 2, "timeout").otherwise("").alias("error"), (q % 13 != 4).alias("is_real_project"), F.when(q % 29 == 7, 50.0).otherwise(60.0 + q % 40).alias("warehouse_relevance"), title.alias("title"), F.lit("甲公司").alias("owner"), F.lit("").alias("province"), F.lit("").alias("city"),
+        F.lit("2024-02-20").alias("published"), F.lit("").alias("budget"), F.lit("2024-03-20").alias("deadline"), F.lit("PROCUREMENT").alias("stage"), F.array().cast("array<string>").alias("technical_scope"), F.lit("UNKNOWN").alias("project_type"),
+    )
+    documents = own.where(q % 17 != 6).select(page.alias("project_key"), page.alias("url"), F.concat(title, F.lit(" 招标公告 采购人：甲公司 发布 2024-02-20 截止时间 2024-03-20")).alias("text"), F.when(q % 8 == 1, "search_excerpt").otherwise("html").alias("retrieval_method"))
+    claim = lambda f, v, quote: F.struct(F.lit(f).alias("field"), v.alias("value"), quote.alias("quote"))
+    claims = F.array_compact(F.array(
+        claim("title", title, F.concat(F.when(q % 19 == 9, "不在").otherwise(""), title, F.lit(" 招标公告"))), claim("owner", F.lit("甲公司"), F.lit("采购人：甲公司")), claim("published", F.lit("2024-02-20"), F.lit("发布 2024-02-20")),
+        F.when(q % 2 == 0, claim("deadline", F.lit("2024-03-20"), F.lit("截止时间 2024-03-20"))), F.when(q % 31 != 3, claim("stage", F.lit("PROCUREMENT"), F.lit("招标公告"))),
+    ))
+    evidence = own.select(page.alias("project_key"), page.alias("source_url"), F.inline(claims))
+    feedback = own.where(q % 46 == 28).select(F.concat(F.lit("p"), _s(q)).alias("project_key"), F.lit("reject").alias("decision"))
+    trace, _, _ = opportunities.research_day(candidates, index, decide, answers, evidence, documents, feedback, NOW, YEAR, "2024-03-01", _DAY, 40)
+    return trace.select("page", "pipeline_stage", "drop_reason")
+
+
+RESEARCH_SQL = """
+with o as (select o_orderkey as k, case when o_orderkey % 7 = 3 then o_orderkey - 1 else o_orderkey end as q from orders),
+c as (select *, q % 12 as kind, case when q % 9 = 0 and q % 12 not in (5, 6) then 0.0 else 1709251200.0 - case when q % 12 = 5 then 400 when q % 12 = 6 then 60 when q % 24 = 4 then 100 when q % 12 = 4 then 20 else q % 20 end * 86400 end as ts from o where q % 12 <> 7),
+g as (select *, case when kind = 3 then 'hard_exclusion' when kind = 4 and (ts = 0 or q % 24 = 4) then 'historical_title_year' when kind = 5 then 'old_publication' when kind = 6 and q % 24 <> 6 then 'stale_publication' else '' end as why from c),
+pages as (select q, max(why) as why from g group by q),
+pool0 as (select q, kind, ts, min(k) over (partition by q) as place, k, k % 4 = 1 as ai, k % 6 = 0 as ver from g where why = '' qualify row_number() over (partition by q order by k % 5 desc, k) = 1),
+ch as (select distinct q, k % 3 as ch from g where why = ''),
+pool as (select *, case when kind in (1, 9) then 18 when kind in (2, 10) then 68 when kind = 11 then 45 else 61 end as rel from pool0),
+wt as (select *, rel + ai::int * 10 + (ts <> 0 and 1709251200.0 - ts <= 15 * 86400)::int * 15 + (q % 3 = 0)::int * 25 + ver::int * 10 as weight from pool),
+reused as (select q from wt where q % 23 = 5 and q % 7 <> 3 and q % 2 = 0 and ver),
+pend as (select *, row_number() over (order by weight desc, place) as rk, row_number() over (partition by rel < 38 order by weight desc, place) as lk from wt where q not in (select q from reused)),
+cnt as (select count(*) as n, least(100, count(*) filter (rel < 38)) as quota from pend),
+heads as (select distinct q from (select p.q, row_number() over (partition by ch order by weight desc, place) as n from pend p join ch on ch.q = p.q) where n = 1),
+hn as (select count(*) as h from heads),
+tiered as (select pend.*, case when n <= 400 then 0 when pend.q in (select q from heads) then 0 when rk <= greatest(0, 400 - quota - h) then 1 when rel < 38 and lk <= quota then 2 else 3 end as tier from pend, cnt, hn),
+filt as (select *, row_number() over (order by tier, rk) as pp from tiered qualify pp <= 400),
+queue as (select *, case when q % 5 <> 0 then row_number() over (order by (q % 5 <> 0) desc, q % 90 desc, pp) end as rank from filt),
+res as (select *, (rank - 1) // 40 as wave, case when q % 11 = 2 then 'research_error' when q % 17 = 6 then 'source_unavailable' when q % 13 = 4 or q % 29 = 7 then 'semantic_reject' when q % 19 = 9 then 'verifier_reject' else '' end as why from queue where q % 5 <> 0),
+itm as (select *, q % 8 = 1 as pre, case when q % 31 = 3 then 'UNKNOWN' else 'PROCUREMENT' end as stage, case when q % 2 = 0 then '2024-03-20' else '' end as due, 60 + q % 40 as irel, 1708358400.0 as its from res where why = '' and rank <= 200),
+sc as (select *, case when pre then 3 when q % 3 = 0 then 1 else 3 end as tier, round((irel * 30 + case stage when 'PROCUREMENT' then 100 else 30 end * 20 + 50 * 15 + case when not pre and q % 3 = 0 then 100 else 40 end * 10 + 10 * 25) / 100, 1) as s from itm),
+good as (select w, count(*) as n from sc, (select unnest(range(1, 6)) as w) where wave < w and not pre and s >= 65 group by w),
+stop as (select min(w) as stop from good where n >= 25),
+wv as (select res.*, case when rank > 200 then 'research_hard_limit' when wave >= stop then 'verified_target_met' else '' end as stopped from res, stop),
+ai as (select sc.q, sc.place, 'ai' as kind_, pre, sc.s, sc.stage, sc.due, sc.its as ts, sc.irel as rel from sc join wv on wv.q = sc.q and wv.stopped = ''),
+fb as (select wv.q, place, case when kind = 11 then 'AWARD' else 'PROCUREMENT' end as stage, case when kind = 6 then '2024-03-20' else '' end as due, ts, rel from wv where stopped = '' and why in ('research_error', 'source_unavailable') and (not ai or ver) and rel >= 38),
+ru as (select wt.q, wt.place from wt join reused using (q)),
+obs as (select q, place, 'ai' as mode, pre, s, stage, due, ts, rel::double as rel from ai union all select q, place, 'fallback', false, 0.0, stage, due, ts, rel from fb union all select q, place, 'ai', false, 70.8, 'PROCUREMENT', '', 1709251200.0 - 5 * 86400, 90 from ru),
+hist as (select *, q % 23 = 5 and q % 7 <> 3 as known from obs),
+hs as (select q, place, mode, pre, s, rel, known, case when known and ts <> 0 and 1709251200.0 - 5 * 86400 > ts then 'PROCUREMENT' else stage end as stage, case when known and ts <> 0 and 1709251200.0 - 5 * 86400 > ts then '' else due end as due, ts from hist),
+rr as (select *, 1709251200.0 - ts as late from hs),
+rk as (select *, case when stage = 'AWARD' or (ts <> 0 and late > case stage when 'PROCUREMENT' then 45 else 30 end * 86400 and not (stage = 'PROCUREMENT' and due <> '')) then 'freshness_or_inactive_reject' when ts <> 0 and late > 15 * 86400 and due = '' then 'old_without_deadline' when rel < 38 then 'low_relevance' else '' end as w0,
+  case when ts = 0 then 30 when late <= 86400 then 100 when late <= 3 * 86400 then 90 when late <= 7 * 86400 then 75 when late <= 15 * 86400 then 50 else 10 end as fresh from rr),
+fs as (select *, case when mode = 'ai' then case when pre then least(s, 64.0) else s end else round((rel * 30 + 100 * 20 + fresh * 15 + case when q % 3 = 0 then 100 else 40 end * 10 + 10 * 25) / 100, 1) end as s1 from rk),
+hy as (select *, case when q % 12 = 4 and ts <> 0 and late > 90 * 86400 and due = '' then 'freshness_reject' else w0 end as w1 from fs),
+pv as (select *, case when mode = 'ai' and pre then 64.0 else 999.0 end as cap from hy),
+vs as (select *, case when pre then round((rel * 30 + case stage when 'PROCUREMENT' then 100 else 30 end * 20 + fresh * 15 + 40 * 10 + 250) / 100, 1) else s1 end as s2 from pv),
+dr as (select *, case when w1 <> '' then w1 when not pre and s2 < 55 then 'low_priority' else '' end as w2, case when pre or (ts = 0 and due = '') then least(s2, 64.0) else s2 end as fin from vs),
+pl as (select q, row_number() over (order by fin desc, place) as place from dr where w2 = ''),
+fin as (select dr.q, case when dr.known and dr.q % 46 = 28 then 'feedback_reject' when w2 <> '' then w2 when pl.place > 40 then 'ranking_limit' else '' end as why from dr left join pl on pl.q = dr.q),
+marks as (
+  select wv.q, case when fin.why = '' then 'retained' else 'ranking' end as st, fin.why as why from wv join fin on fin.q = wv.q where stopped = '' and wv.why = ''
+  union all select q, case when why in ('semantic_reject', 'research_error') then 'research' else 'verifier' end, why from wv where stopped = '' and why <> ''
+  union all select q, 'research_queue', stopped from wv where stopped <> '' union all select q, 'triage', 'triage_reject' from queue where q % 5 = 0
+  union all select q, 'candidate_pool', 'candidate_pool_limit' from pend where q not in (select q from filt) union all select q, 'memory', 'reused_verified_snapshot' from reused)
+select case when p.q % 3 = 0 then 'https://www.x.gov.cn/n/' else 'https://c.example.com/n/' end || p.q as page, coalesce(m.st, 'prefilter') as pipeline_stage, coalesce(m.why, p.why) as drop_reason from pages p left join marks m on m.q = p.q"""
 
 
 PAIRS = {
@@ -436,5 +559,6 @@ PAIRS = {
     "local_day": (local_day, None),
     "local_fallback": (local_fallback, FALLBACK_SQL),
     "selection_drops": (selection_drops, None),
-    "opportunity_ranking": (opportunity_ranking, None),
+    "opportunity_ranking": (opportunity_ranking, RANKING_SQL),
+    "research_day": (research_day, RESEARCH_SQL),
 }

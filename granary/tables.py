@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +27,22 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     path = f"{folder}/{name}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Stages:
+    """Tables of a run in one folder. A stage that is there whole is read; any other is computed and written."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._spark, self._folder, self.computed = spark, folder, []
+
+    def _whole(self, path: str) -> bool:
+        jvm = self._spark._jvm
+        marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        return marker.getFileSystem(self._spark._jsparkSession.sessionState().newHadoopConf()).exists(marker)
+
+    def __call__(self, name: str, compute: Callable[[], DataFrame]) -> DataFrame:
+        path = f"{self._folder}/{name}"
+        if not self._whole(path):
+            compute().write.mode("overwrite").parquet(path)
+            self.computed.append(name)
+        return self._spark.read.parquet(path)
