@@ -6,7 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..lexicon import Limits
+from ..tables import scratch, stored
 
 
 def _walk(pdf: pd.DataFrame, total: int, per_group: int, per_category: int, unknown: int) -> pd.DataFrame:
@@ -41,18 +43,55 @@ def capacity(df: DataFrame, limits: Limits = Limits(), order: list | None = None
     return df.join(F.broadcast(chosen) if not scope else chosen, "_ord")
 
 
+def _turns(queues: dict, order: list, taken: set, picked: list, count: int, turn: int) -> list:
+    """One turn: each group in order gives its first row whose uid nobody has given. Returns the groups that gave one."""
+    gave = []
+    for name in order:
+        if len(picked) == count:
+            break
+        row = next((r for r in queues[name] if r[0] not in taken), None)
+        if row is not None:
+            taken.add(row[0])
+            picked.append((row[1], turn, name))
+            gave.append(name)
+    return gave
+
+
 def round_robin(df: DataFrame, count: int, now: float, group: str = "skill_name", max_age_days: int = 15) -> DataFrame:
-    """Groups in order of appearance take turns with their best eligible row; the result is newest first.
+    """Groups in order of appearance take turns with their best row that is not too old and whose uid no group has given yet; newest first.
 
-    Rows are one per uid. Only the first ``count`` rows of each group can be taken.
+    Rows without a group are one group. A uid may stand in several groups; who comes first gives it. The turns are few and small: no group needs more than its
+    first ``2 * count`` uids, since ``count`` rows are given in all; and groups are looked at ``count`` at a time, in order of appearance,
+    those apart whose uids have all been given. Each look gives one row at least, mostly all of them.
     """
-    eligible = df.where((F.col("published_ts") <= 0) | (now - F.col("published_ts") <= max_age_days * 86400))
-    unique = eligible.withColumn("_n", F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("vendor_hit"), F.desc("score"), "_ord"))).where("_n = 1").drop("_n")
-    turn = Window.partitionBy(group).orderBy(F.desc("vendor_hit"), F.desc("score"), "_ord")
-    turns = unique.withColumn("_turn", F.row_number().over(turn)).where(F.col("_turn") <= count)
-    first = df.groupBy(group).agg(F.min("_ord").alias("_first"))
-    taken = turns.join(first, group).orderBy("_turn", "_first").limit(count)
-    return taken.orderBy(F.desc("published_ts"), "_turn", "_first").drop("_turn", "_first")
+    spark, folder = df.sparkSession, scratch(df.sparkSession)
+    name = F.when(T.text(group) == "", "default").otherwise(F.col(group))
+    own = df.select(name.alias("_group"), "uid", "_ord", "vendor_hit", "score", "published_ts")
+    first = own.groupBy("_group").agg(F.min("_ord").alias("_first"))
+    eligible = own.where((F.col("published_ts") <= 0) | (now - F.col("published_ts") <= max_age_days * 86400))
+    best = [F.desc("vendor_hit"), F.desc("score"), F.asc("_ord")]
+    unique = eligible.withColumn("_n", F.row_number().over(Window.partitionBy("_group", "uid").orderBy(*best))).where("_n = 1")
+    short = unique.withColumn("_n", F.row_number().over(Window.partitionBy("_group").orderBy(*best))).where(F.col("_n") <= 2 * count)
+    short = stored(short.join(first, "_group").select("_first", "_n", "uid", "_ord"), folder, "queues")
+    taken, picked, queues, active, last = set(), [], {}, [], None
+    while len(picked) < count:  # the first turn; no more than ``count`` groups' rows at a time
+        rest = short if last is None else short.where(F.col("_first") > last)
+        rest = rest.where(~F.col("uid").isin(list(taken))) if taken else rest
+        heads = rest.select("_first").distinct().orderBy("_first").limit(count)
+        rows = rest.join(F.broadcast(heads), "_first").orderBy("_first", "_n").collect()
+        if not rows:
+            break
+        last, block = rows[-1]["_first"], {}
+        for r in rows:
+            block.setdefault(r["_first"], []).append((r["uid"], r["_ord"]))
+        active += _turns(block, sorted(block), taken, picked, count, 1)
+        queues |= block
+    turn = 2
+    while active and len(picked) < count:
+        active = _turns(queues, active, taken, picked, count, turn)
+        turn += 1
+    chosen = spark.createDataFrame([(o, i) for i, (o, _, _) in enumerate(picked)], "_ord long, _pick int")
+    return df.join(F.broadcast(chosen), "_ord").orderBy(F.desc("published_ts"), "_pick").drop("_pick")
 
 
 def two_source_quota(df: DataFrame, count: int, first: str, second: str, source: str = "source_key") -> DataFrame:

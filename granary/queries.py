@@ -268,15 +268,28 @@ def longest_contents(spark: SparkSession, d: str) -> DataFrame:
 LONGEST_SQL = f"with a as ({ARTICLES_SQL}) select min(_ord) as _ord, url, max(length(content)) as n, min(skill_name) as channels from a group by url"
 
 
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    """Articles of which some have no group, and of which many share a uid across groups."""
+    k = F.col("_ord")
+    skill = F.when(k % 7 == 2, F.lit(None)).when(k % 7 == 5, F.lit("")).otherwise(F.col("skill_name"))
+    return articles(spark, d).withColumns({"skill_name": skill, "uid": F.when(k % 3 == 0, F.concat(F.lit("u"), (F.floor(k / 3) % 25).cast("string"))).otherwise(k.cast("string")), "vendor_hit": F.contains("title", F.lit("ing")), "score": (k % 11) / 10})
+
+
 def round_robin(spark: SparkSession, d: str) -> DataFrame:
-    a = articles(spark, d).withColumns({"uid": F.col("_ord").cast("string"), "vendor_hit": F.contains("title", F.lit("ing")), "score": (F.col("_ord") % 11) / 10})
-    return select.round_robin(a, 30, NOW).select("_ord", "skill_name", "published_ts")
+    return select.round_robin(_groups(spark, d), 30, NOW).select("_ord", "uid", "published_ts", F.coalesce("skill_name", F.lit("")).alias("skill_name"))
 
 
-ROBIN_SQL = f"""with a as ({ARTICLES_SQL}), e as (select *, contains(title, 'ing') as vh, cast(_ord % 11 as double) / 10 as sc, min(_ord) over (partition by skill_name) as fo from a),
-f as (select * from e where published_ts <= 0 or 1709251200.0 - published_ts <= 15 * 86400),
-t as (select *, row_number() over (partition by skill_name order by vh desc, sc desc, _ord) as turn from f)
-select _ord, skill_name, published_ts from t order by turn, fo limit 30"""
+#: The turns one by one: a step is a group's turn, which gives its first row whose uid nobody has given.
+ROBIN_SQL = f"""with recursive a as ({ARTICLES_SQL}),
+e as (select _ord, published_ts, case _ord % 7 when 2 then '' when 5 then '' else skill_name end as sk, case when _ord % 3 = 0 then 'u' || (_ord // 3 % 25) else '' || _ord end as uid, contains(title, 'ing') as vh, cast(_ord % 11 as double) / 10 as sc from a),
+g as (select sk, row_number() over (order by min(_ord)) - 1 as g from e group by sk), n as (select count(*) as n from g),
+q as (select e.*, g.g, row_number() over (partition by e.sk order by vh desc, sc desc, _ord) as pos from e join g on g.sk = e.sk where published_ts <= 0 or 1709251200.0 - published_ts <= 15 * 86400),
+walk as (select cast(-1 as bigint) as s, cast([] as varchar[]) as taken, cast([] as bigint[]) as picked
+  union all
+  select w.s + 1, case when min(q.pos) is null then w.taken else list_append(w.taken, arg_min(q.uid, q.pos)) end, case when min(q.pos) is null then w.picked else list_append(w.picked, arg_min(q._ord, q.pos)) end
+  from walk w cross join n left join q on q.g = (w.s + 1) % n.n and not list_contains(w.taken, q.uid) where len(w.picked) < 30 and w.s < 60 * n.n group by w.s, w.taken, w.picked),
+l as (select picked from walk order by s desc limit 1)
+select _ord, uid, published_ts, sk as skill_name from e where _ord in (select unnest(picked) from l)"""
 
 
 def two_source_quota(spark: SparkSession, d: str) -> DataFrame:
