@@ -441,10 +441,10 @@ from q left join z using (k)"""
 _DAY = budgets.Settings(pool=400, hard=200, wave=40, target=25)
 
 
-def research_day(spark: SparkSession, d: str) -> DataFrame:
-    """A day's research over notices made of orders: every page's last stage and reason.
+def notice_day(spark: SparkSession, d: str) -> tuple:
+    """Inputs of a research run over notices made of orders, of which two of seven share a page.
 
-    Two orders of seven share a page. Kinds of titles, dates, addresses, decisions, answers, documents, evidence and memory follow the page's number.
+    Kinds of titles, dates, addresses, decisions, answers, documents, evidence and memory follow the page's number.
     """
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k")).withColumn("q", F.when(F.col("k") % 7 == 3, F.col("k") - 1).otherwise(F.col("k")))
     k, q = F.col("k"), F.col("q")
@@ -478,7 +478,12 @@ def research_day(spark: SparkSession, d: str) -> DataFrame:
     ))
     evidence = own.select(page.alias("project_key"), page.alias("source_url"), F.inline(claims))
     feedback = own.where(q % 46 == 28).select(F.concat(F.lit("p"), _s(q)).alias("project_key"), F.lit("reject").alias("decision"))
-    trace, _, _ = opportunities.research_day(candidates, index, decide, answers, evidence, documents, feedback, NOW, YEAR, "2024-03-01", _DAY, 40)
+    return candidates, index, decide, answers, evidence, documents, feedback
+
+
+def research_day(spark: SparkSession, d: str) -> DataFrame:
+    """A day's research: every page's last stage and reason."""
+    trace, _, _ = opportunities.research_day(*notice_day(spark, d), NOW, YEAR, "2024-03-01", _DAY, 40)
     return trace.select("page", "pipeline_stage", "drop_reason")
 
 
