@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from .adapters import NOW, table
 from .functions import dates
 from .lexicon import AUTH_FAILURE
 from .operators import filters
-from .sources import discovery, landed, pages, specs
+from .sources import discovery, landed, pages, queries_reader, specs
+from .tables import scratch
 
 
 def _s(x: str | Column) -> Column:
@@ -357,7 +360,59 @@ def cover_images(spark: SparkSession, d: str) -> DataFrame:
 
 COVER_SQL = "select event_id, case event_id % 3 when 0 then 'https://i/' || event_id when 1 then '' else 'https://c/' || event_id end as image_url from events"
 
+def _registry_searches(spark: SparkSession) -> str:
+    return queries_reader.search_list(specs.query_table(spark, specs.registry("无锡", True)))
+
+
+def _land_rounds(spark: SparkSession, d: str, path: str, n: int, *rounds: int) -> None:
+    """Rounds of a zone in which documents answer ``n`` searches."""
+    k = F.col("doc_id")
+    entry = F.struct(
+        F.when(k % 13 == 0, F.lit(" ")).otherwise(F.concat(F.lit("Title&nbsp;"), _s(k))).alias("title"), F.concat(F.lit("https://l.example.com/"), _s(k)).alias("share_url"), F.concat(F.lit("<b>"), F.coalesce("lang", F.lit("")), F.lit("</b> text")).alias("abstract"),
+        F.coalesce("source", F.lit("")).alias("media_name"), F.when(k % 2 == 0, _s(F.lit(1700000000) + k)).otherwise("soon").alias("publish_time"),
+    )
+    docs = table(spark, d, "documents").select((k % n).cast("int").alias("search"), (F.floor(k / n) % 3).cast("int").alias("batch"), F.struct(k.alias("k"), entry.alias("e")).alias("e"))
+    answers = docs.groupBy("search", "batch").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["e"]).alias("data"))).alias("payload"))
+    for batch in rounds:
+        queries_reader.land(answers.where(F.col("batch") == batch), path, batch)
+
+
+def _contract(df: DataFrame) -> DataFrame:
+    return queries_reader.articles(df).select("skill_name", "region_scope", "keyword", "batch", "position", "title", "url", "summary", "source_name", "published_ts")
+
+
+def source_contract(spark: SparkSession, d: str) -> DataFrame:
+    """Every source's searches read through the data source, ten entries an answer at most."""
+    queries_reader.register(spark)
+    path, searches = scratch(spark), _registry_searches(spark)
+    _land_rounds(spark, d, path, len(json.loads(searches)), 0, 1, 2)
+    return _contract(spark.read.format("landed_queries").option("searches", searches).load(path))
+
+
+def source_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same as a stream over rounds that land one after the other, into a table that each micro-batch adds to."""
+    queries_reader.register(spark)
+    path, out, searches = scratch(spark), scratch(spark), _registry_searches(spark)
+
+    def drained() -> None:
+        rows = _contract(spark.readStream.format("landed_queries").option("searches", searches).load(path))
+        rows.writeStream.format("parquet").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+
+    for rounds in ((0,), (1, 2)):
+        _land_rounds(spark, d, path, len(json.loads(searches)), *rounds)
+        drained()  # goes on where the last run of the stream ended
+    return spark.read.parquet(f"{out}/rows")
+
+
+_SEARCHES = [(s.name, s.scope, k, label or k) for s in specs.registry("无锡", True) for k, label in s.searches() if k]
+CONTRACT_SQL = f"""with q as (select unnest({[x[0] for x in _SEARCHES]}) as skill_name, unnest({[x[1] for x in _SEARCHES]}) as region_scope, unnest({[x[2] for x in _SEARCHES]}) as keyword, unnest(range({len(_SEARCHES)})) as n),
+d as (select *, cast(doc_id // {len(_SEARCHES)} % 3 as int) as batch, cast(row_number() over (partition by doc_id % {len(_SEARCHES)}, doc_id // {len(_SEARCHES)} % 3 order by doc_id) - 1 as int) as position from documents)
+select skill_name, region_scope, keyword, batch, position, 'Title' || chr(160) || doc_id as title, 'https://l.example.com/' || doc_id as url, trim(coalesce(lang, '') || ' text') as summary, coalesce(source, '') as source_name, case when doc_id % 2 = 0 then 1700000000.0 + doc_id else 0.0 end as published_ts
+from d join q on q.n = doc_id % {len(_SEARCHES)} where position < 10 and doc_id % 13 <> 0"""
+
 PAIRS = {
+    "source_contract": (source_contract, CONTRACT_SQL),
+    "source_stream": (source_stream, CONTRACT_SQL),
     "news_dates": (news_dates, NEWS_DATES_SQL),
     "page_metadata": (page_metadata, METADATA_SQL),
     "page_documents": (page_documents, DOCUMENTS_SQL),
