@@ -13,7 +13,8 @@ from .operators import budgets, classify, contracts, delivery, diagnostics, eval
 from .plans import news, opportunities
 from .queries import LIMITS, LOCAL_REGIONS, RULES
 from .sources import sinks
-from .streaming import states
+from .streaming import machines, states
+from .tables import scratch
 
 
 def _s(x: str | Column) -> Column:
@@ -286,16 +287,39 @@ with e as ({SIGNALS_SQL}), l as (select key, seq, ts, floor(ts / 86400) * 86400
 select key, seq, cast(threshold as double) as threshold from t where threshold is not null qualify row_number() over (partition by key, x, threshold order by ts, seq) = 1"""
 
 
+def _feed_runs(spark: SparkSession, d: str) -> DataFrame:
+    return signals(spark, d).select(F.col("key").cast("long").alias("key"), "seq", "ts", F.when(F.col("seq") % 400 < 250, 0).otherwise(F.col("seq") % 9).cast("int").alias("n_good"), F.when(F.col("seq") % 97 == 0, 1).otherwise(0).alias("n_failed"), (F.col("ts") - F.when(F.col("seq") % 11 == 0, 200_000).otherwise(10)).alias("newest_ts"))
+
+
 def feed_health(spark: SparkSession, d: str) -> DataFrame:
-    s = signals(spark, d)
-    runs = s.select(F.lit(1).cast("long").alias("key"), "seq", "ts", F.when(F.col("seq") % 400 < 250, 0).otherwise(F.col("seq") % 9).alias("n_good"), F.when(F.col("seq") % 97 == 0, 1).otherwise(0).alias("n_failed"), (F.col("ts") - F.when(F.col("seq") % 11 == 0, 200_000).otherwise(10)).alias("newest_ts"))
-    return states.feed_health(runs, silence=10.0).select("seq", "alert")
+    return states.feed_health(_feed_runs(spark, d), silence=10.0).select("key", "seq", "alert")
 
 
 HEALTH_SQL = f"""
-with e as ({SIGNALS_SQL}), r as (select seq, ts, us, case when seq % 400 < 250 then 0 else seq % 9 end as g, seq % 97 = 0 as f, ts - case when seq % 11 = 0 then 200000 else 10 end as newest from e),
-t as (select *, sum(case when g > 0 then 1 else 0 end) over (order by us, seq) as run, g < 5 and f as word from r), s as (select *, min(case when g = 0 and not word then ts end) over (partition by run) as since from t)
-select seq, case when word then 'keyword' when g = 0 then case when (ts - since) / 3600 >= 10 then 'silence' else '' end when (ts - newest) / 3600 > 10 then 'staleness' else '' end as alert from s"""
+with e as ({SIGNALS_SQL}), r as (select key, seq, ts, us, case when seq % 400 < 250 then 0 else seq % 9 end as g, seq % 97 = 0 as f, ts - case when seq % 11 = 0 then 200000 else 10 end as newest from e),
+t as (select *, sum(case when g > 0 then 1 else 0 end) over (partition by key order by us, seq) as run, g < 5 and f as word from r), s as (select *, min(case when g = 0 and not word then ts end) over (partition by key, run) as since from t)
+select key, seq, case when word then 'keyword' when g = 0 then case when (ts - since) / 3600 >= 10 then 'silence' else '' end when (ts - newest) / 3600 > 10 then 'staleness' else '' end as alert from s"""
+
+
+def _in_parts(df: DataFrame, machine, parts: int = 3) -> DataFrame:  # noqa: ANN001
+    """The rows of a machine over ``df`` as a stream that lands in parts, by time, the state going on from one to the next."""
+    spark, folder = df.sparkSession, scratch(df.sparkSession)
+    cuts = df.approxQuantile("ts", [i / parts for i in range(1, parts)], 0.01)
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = df.where(F.lit(True) if low is None else F.col("ts") >= low).where(F.lit(True) if high is None else F.col("ts") < high)
+        part.write.mode("append").parquet(f"{folder}/landed")
+        rows = machine(spark.readStream.schema(df.schema).parquet(f"{folder}/landed"))
+        rows.writeStream.format("parquet").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+def health_stream(spark: SparkSession, d: str) -> DataFrame:
+    """``feed_health`` on a stream; what timers tell besides is left to tests."""
+    return _in_parts(_feed_runs(spark, d), lambda df: machines.feed_health(df, silence=10.0)).where("seq is not null").select("key", "seq", "alert")
+
+
+def cooldown_stream(spark: SparkSession, d: str) -> DataFrame:
+    return _in_parts(signals(spark, d).select(F.col("key").cast("string"), "seq", "ts"), machines.alert_cooldown)
 
 
 def block_waits(spark: SparkSession, d: str) -> DataFrame:
@@ -554,6 +578,8 @@ PAIRS = {
     "check_intervals": (check_intervals, INTERVAL_SQL),
     "expiry_warnings": (expiry_warnings, WARNINGS_SQL),
     "feed_health": (feed_health, HEALTH_SQL),
+    "health_stream": (health_stream, HEALTH_SQL),
+    "cooldown_stream": (cooldown_stream, COOLDOWN_SQL),
     "block_waits": (block_waits, BLOCK_SQL),
     "alert_cooldown": (alert_cooldown, COOLDOWN_SQL),
     "source_guard": (source_guard, GUARD_SQL),

@@ -60,8 +60,8 @@ def source_guard_stream(attempts: DataFrame, limits: Limits = Limits()) -> DataF
     return folded_stream(attempts, "key", ["ts", "seq"], ["ok", "rows"], _guarded(limits), (0.0, 0, 0, 0.0), "outcome string", state).select("key", "seq", "outcome")
 
 
-def alert_cooldown(alerts: DataFrame, seconds: float = Limits().alert_seconds) -> DataFrame:
-    """(key, seq, ts) to (key, seq, sent): an alert is sent unless one was sent less than ``seconds`` before; waits start at sent ones only."""
+def spaced(seconds: float):  # noqa: ANN201
+    """Fold of times: whether each is let through, ``seconds`` after the last one that was."""
 
     def fold(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
         (last,), out = state, []
@@ -71,7 +71,12 @@ def alert_cooldown(alerts: DataFrame, seconds: float = Limits().alert_seconds) -
             out.append(send)
         return (last,), pd.DataFrame({"sent": out})
 
-    return folded(alerts, "key", ["ts", "seq"], [], fold, (float("-inf"),), "sent boolean").select("key", "seq", "sent")
+    return fold
+
+
+def alert_cooldown(alerts: DataFrame, seconds: float = Limits().alert_seconds) -> DataFrame:
+    """(key, seq, ts) to (key, seq, sent): an alert is sent unless one was sent less than ``seconds`` before; waits start at sent ones only."""
+    return folded(alerts, "key", ["ts", "seq"], [], spaced(seconds), (float("-inf"),), "sent boolean").select("key", "seq", "sent")
 
 
 def marker_changes(df: DataFrame) -> DataFrame:
@@ -149,18 +154,19 @@ def credential_checks(requests: DataFrame, interval: float) -> DataFrame:
     return alert_cooldown(requests, interval).withColumnRenamed("sent", "checked")
 
 
+def flights(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+    """Fold of runs: whether each starts, none while another is under way."""
+    (until,), out = state, []
+    for ts, took in zip(rows["ts"], rows["seconds"]):
+        start = ts >= until
+        until = ts + took if start else until
+        out.append(start)
+    return (until,), pd.DataFrame({"started": out})
+
+
 def single_flight(runs: DataFrame) -> DataFrame:
     """(key, seq, ts, seconds) of asked-for runs to (key, seq, started): none starts while another is under way."""
-
-    def fold(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        (until,), out = state, []
-        for ts, took in zip(rows["ts"], rows["seconds"]):
-            start = ts >= until
-            until = ts + took if start else until
-            out.append(start)
-        return (until,), pd.DataFrame({"started": out})
-
-    return folded(runs, "key", ["ts", "seq"], ["seconds"], fold, (float("-inf"),), "started boolean").select("key", "seq", "started")
+    return folded(runs, "key", ["ts", "seq"], ["seconds"], flights, (float("-inf"),), "started boolean").select("key", "seq", "started")
 
 
 def next_run(ts: Column, hours: Column) -> Column:
