@@ -24,8 +24,8 @@ class Delivery:
     attempts: int = 0
     next_retry: float = 0.0
 
-    def step(self, ts: float, day: str, digest: str, retry: bool, ok: bool, attempts: int = ATTEMPTS, wait: float = RETRY_SECONDS) -> str:
-        """What one request does, if a send would end as told. An empty digest has nothing new to say.
+    def asked(self, ts: float, day: str, digest: str, retry: bool, attempts: int = ATTEMPTS) -> str:
+        """What a request comes to without a send; empty if it is to be sent. An empty digest has nothing new to say.
 
         A retry needs a failed delivery that is due; one of another day has expired, one of other content is superseded.
         """
@@ -41,13 +41,18 @@ class Delivery:
         if retry and not same:
             self.status, self.next_retry = "superseded", 0.0
             return "superseded"
-        before = self.attempts if same else 0
-        if before >= attempts:
-            return "retry_exhausted"
-        self.day, self.digest, self.attempts = day, digest, before + 1
-        self.status = "success" if ok else "failed"
-        self.next_retry = 0.0 if ok or self.attempts >= attempts else ts + wait
-        return self.status
+        return "retry_exhausted" if same and self.attempts >= attempts else ""
+
+    def told(self, ts: float, day: str, digest: str, status: str, attempts: int = ATTEMPTS, wait: float = RETRY_SECONDS) -> str:
+        """Keep the end of a send: success, failed, or unknown, where no answer is known and none may be asked for again."""
+        before = self.attempts if self.day == day and self.digest == digest else 0
+        self.day, self.digest, self.attempts, self.status = day, digest, before + 1, status
+        self.next_retry = ts + wait if status == "failed" and self.attempts < attempts else 0.0
+        return status
+
+    def step(self, ts: float, day: str, digest: str, retry: bool, ok: bool, attempts: int = ATTEMPTS, wait: float = RETRY_SECONDS) -> str:
+        """What one request does, if a send would end as told."""
+        return self.asked(ts, day, digest, retry, attempts) or self.told(ts, day, digest, "success" if ok else "failed", attempts, wait)
 
 
 def deliveries(requests: DataFrame, attempts: int = ATTEMPTS, wait: float = RETRY_SECONDS) -> DataFrame:

@@ -33,16 +33,43 @@ class Stages:
     """Tables of a run in one folder. A stage that is there whole is read; any other is computed and written."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self._spark, self._folder, self.computed = spark, folder, []
+        self._spark, self._folder = spark, folder.rstrip("/")
 
-    def _whole(self, path: str) -> bool:
-        jvm = self._spark._jvm
-        marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        return marker.getFileSystem(self._spark._jsparkSession.sessionState().newHadoopConf()).exists(marker)
+    def _file(self, name: str):  # noqa: ANN202
+        path = self._spark._jvm.org.apache.hadoop.fs.Path(f"{self._folder}/{name}")
+        return path.getFileSystem(self._spark._jsparkSession.sessionState().newHadoopConf()), path
+
+    def whole(self, name: str) -> bool:
+        files, path = self._file(f"{name}/_SUCCESS")
+        return files.exists(path)
 
     def __call__(self, name: str, compute: Callable[[], DataFrame]) -> DataFrame:
         path = f"{self._folder}/{name}"
-        if not self._whole(path):
+        if not self.whole(name):
             compute().write.mode("overwrite").parquet(path)
-            self.computed.append(name)
         return self._spark.read.parquet(path)
+
+    def claim(self, name: str) -> bool:
+        """Make an empty file that nobody has made before; False if somebody has."""
+        files, path = self._file(name)
+        files.mkdirs(path.getParent())
+        return not files.exists(path) and files.createNewFile(path)
+
+    def note(self, name: str, text: str) -> None:
+        """Write a short text whole: under another name first."""
+        files, path = self._file(name)
+        _, draft = self._file(f"{name}.draft")
+        out = files.create(draft, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        files.rename(draft, path)
+
+    def noted(self, name: str) -> str | None:
+        files, path = self._file(name)
+        if not files.exists(path):
+            return None
+        source = files.open(path)
+        try:
+            return self._spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+        finally:
+            source.close()
