@@ -9,13 +9,18 @@ from . import lexicon as L
 from .functions import text as T
 from .plans import news as plans
 from .sources import landed, sinks
+from .sources.versions import Days
 
 NEWS = ", ".join(f"{c} {'double' if c in ('published_ts', 'fetched_at', 'content_quality', 'relevance_score', 'demand_signal_score') else 'boolean' if c == 'is_potential_warehouse_demand' else 'string'}" for c in sinks.SNAPSHOT)
 SCOPES = ("national", "local", "discover", "wechat")
 
 
-def _path(base: str, what: str) -> str:
-    return f"{base.rstrip('/')}/{what}"
+def stored_news(spark: SparkSession, base: str) -> Days:
+    return Days(spark, f"{base.rstrip('/')}/news", f"{NEWS}, page string, day date")
+
+
+def stored_opportunities(spark: SparkSession, base: str) -> Days:
+    return Days(spark, f"{base.rstrip('/')}/opportunities", "project_key string, title string, final_score double, day date")
 
 
 def news(spark: SparkSession, base: str, day: str, scope: str = "national", kind: str = "all") -> DataFrame:
@@ -24,7 +29,7 @@ def news(spark: SparkSession, base: str, day: str, scope: str = "national", kind
     Accounts' rows of the local kind stand on the local page; with ``kind`` the accounts' page shows only them, or none of them.
     """
     scope = scope if scope in SCOPES else "national"
-    rows = landed.snapshot(spark, _path(base, "news"), day, f"{NEWS}, page string, day date")
+    rows = stored_news(spark, base).read(day)
     if scope == "wechat" and kind != "all":
         ours = T.text("region_scope") == "wechat"
         rows = rows.where(ours & (F.col("page") == ("local" if kind == "local" else "wechat")))
@@ -35,35 +40,34 @@ def news(spark: SparkSession, base: str, day: str, scope: str = "national", kind
 
 def opportunities(spark: SparkSession, base: str, day: str) -> DataFrame:
     """A day's projects in order; no rows where the day was not stored."""
-    return landed.snapshot(spark, _path(base, "opportunities"), day, "project_key string, title string, final_score double, day date").orderBy(F.desc("final_score"), "project_key")
+    return stored_opportunities(spark, base).read(day).orderBy(F.desc("final_score"), "project_key")
 
 
 def days(spark: SparkSession, base: str, limit: int = 30) -> DataFrame:
-    return sinks.available_days(landed.snapshot(spark, _path(base, "news")), limit)
+    return sinks.available_days(stored_news(spark, base).read(), limit)
 
 
 def status(spark: SparkSession, base: str) -> DataFrame:
     """Per stored day its rows and when they were taken."""
-    rows = landed.snapshot(spark, _path(base, "news"), schema=f"{NEWS}, page string, day date")
+    rows = stored_news(spark, base).read()
     return rows.groupBy("day").agg(F.count("*").alias("n"), F.max("fetched_at").alias("fetched_at")).orderBy(F.desc("day"))
 
 
 def refresh(spark: SparkSession, articles: DataFrame, base: str, day: str, now: float, scope: str = "", regions: tuple[str, ...] = (), rules: L.NewsRules = L.NewsRules(), limits: L.Limits = L.Limits()) -> DataFrame:
-    """Select the day's news, or one scope's in place of what the day had of it, and store the day. Returns what is stored.
+    """Select the day's news, or one scope's in place of what the day had of it, and store the day's next version. Returns what is stored.
 
-    The new day is written only when all of it has been computed; readers see the old files until then.
+    Readers see the old version whole until the new one is. No rows go through the driver.
     """
     year = int(landed.strict_day(day)[:4])
+    days = stored_news(spark, base)
     if scope:
         fresh = plans.scope_day(articles, scope, now, year, regions, rules, limits).withColumn("page", F.lit(scope))
     else:
         fresh = plans.whole_day(articles, now, year, regions, rules, limits)
     fresh = sinks.snapshot_columns(fresh.withColumn("fetched_at", F.lit(now)), "page")
-    old = landed.snapshot(spark, _path(base, "news"), day, f"{NEWS}, page string, day date").drop("day")
-    rows = fresh if not scope else old.where(F.col("page") != scope).unionByName(fresh, allowMissingColumns=True)
-    rows = spark.createDataFrame(rows.collect(), rows.schema)  # a day holds as many rows as its limits allow; it replaces files that it was read from
-    sinks.write_day(rows, _path(base, "news"), day)
-    return rows
+    rows = days.read(day).drop("day").where(F.col("page") != scope).unionByName(fresh, allowMissingColumns=True) if scope else fresh
+    days.write(rows, day)
+    return days.read(day).drop("day")
 
 
 def views(spark: SparkSession, base: str, day: str) -> None:

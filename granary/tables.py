@@ -73,3 +73,13 @@ class Stages:
             return self._spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
         finally:
             source.close()
+
+    def names(self, pattern: str) -> list[str]:
+        """Paths under the folder that a pattern matches, without the folder."""
+        files, path = self._file(pattern)
+        root = files.makeQualified(self._spark._jvm.org.apache.hadoop.fs.Path(self._folder)).toString().rstrip("/")
+        return [str(s.getPath().toString()).removeprefix(root + "/") for s in files.globStatus(path) or []]
+
+    def drop(self, name: str) -> None:
+        files, path = self._file(name)
+        files.delete(path, True)
