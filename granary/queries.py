@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html.entities import html5
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,6 +105,23 @@ with w as (select doc_id, text, trim(regexp_replace(regexp_replace(text, '<[^>]+
 select doc_id, case when length(t) <= 120 then t else substr(t, 1, 120) || '...' end as summary, case when length(p) > 40 then substr(p, 1, 39) || '…' else p end as plain from w"""
 
 
+_NAMES = sorted(html5)
+
+
+def entity_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Titles that hold a named reference each, of all there are in turn, numbers, and references to references."""
+    k = F.col("doc_id")
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (k % len(_NAMES) + 1).cast("int"))
+    text = F.concat(F.lit("A&"), name, F.lit(" &#"), (k * 37 % 20_000 + 19_968).cast("string"), F.lit("; &#x"), F.lower(F.hex(k % 20_000 + 19_968)), F.lit(" &amp;lt; &none"), k.cast("string"), F.lit(";Z"))
+    return table(spark, d, "documents").select("doc_id", T.unescaped(text).alias("decoded"), T.clean_title(text).alias("title"))
+
+
+_LETTERS = ", ".join("'" + html5[n].replace("'", "''") + "'" for n in _NAMES)
+ENTITY_SQL = f"""with v as (select unnest([{_LETTERS}]) as v, unnest(range({len(_NAMES)})) as i),
+t as (select doc_id, 'A' || v || ' ' || chr(cast(doc_id * 37 % 20000 + 19968 as int)) || ' ' || chr(cast(doc_id % 20000 + 19968 as int)) || ' &lt; &none' || doc_id || ';Z' as t from documents join v on i = doc_id % {len(_NAMES)})
+select doc_id, t as decoded, regexp_replace(regexp_replace(t, '&lt;', '', 'g'), '&none[0-9]+;', '', 'g') as title from t"""
+
+
 def assess_category(spark: SparkSession, d: str) -> DataFrame:
     return classify.assess(articles(spark, d), RULES).select("_ord", "news_category", "relevance_score", "assess_reason")
 
@@ -541,6 +559,7 @@ PAIRS = {
     "normal_urls": (normal_urls, URL_SQL),
     "source_domains": (source_domains, r"select regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^(www|m)[.]', '') as domain, count(*) as n from pages group by 1"),
     "summaries": (summaries, SUMMARY_SQL),
+    "entity_texts": (entity_texts, ENTITY_SQL),
     "assess_category": (assess_category, ASSESS_SQL),
     "article_quality": (article_quality, QUALITY_SQL),
     "national_selection": (national_selection, None),
