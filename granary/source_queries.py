@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .adapters import NOW, table
 from .functions import dates
 from .lexicon import AUTH_FAILURE
-from .operators import filters
+from .operators import filters, research
 from .sources import discovery, landed, pages, queries_reader, specs
 from .tables import scratch
 
@@ -351,6 +351,71 @@ def credential_ends(spark: SparkSession, d: str) -> DataFrame:
 CREDENTIAL_SQL = "select event_id, cast(case event_id % 6 when 0 then event_id when 1 then cast('17000000' || lpad(substr('' || event_id, 1, 5), 5, '0') as double) / 1000 when 2 then 1709251200 when 3 then 1709251200 end as double) as expiry_ts from events"
 
 
+def _links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows whose links take no hop, one to four, or go in circles; the landed hops; and what the accounts' histories say."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("n"))
+    n, kind = F.col("n"), F.col("n") % 7
+    own = lambda c: F.concat(F.lit("https://mp.weixin.qq.com/s?__biz=B"), _s(c), F.lit("&mid="), _s(c), F.lit("&idx=1&scene=27"))
+    loose = F.concat(F.lit("https://mp.weixin.qq.com/s?sn="), _s("n"), F.lit("&scene=27"))
+    link = F.concat(F.lit("https://weixin.sogou.com/link?k="), _s("n"), F.when(kind == 0, F.concat(F.lit("&url="), F.url_encode(own(n)))).otherwise(""))
+    rows = e.select(n.alias("_ord"), F.when(kind == 6, F.concat(F.lit("https://own.example.com/"), _s("n"))).otherwise(link).alias("url"), F.concat(F.lit("Title "), _s("n")).alias("title"), F.lit("src").alias("source_name"))
+    page = lambda j: F.concat(F.lit(f"https://r{j}.example.com/"), _s("n"))
+    meta = lambda to: F.concat(F.lit('<meta property="og:url" content="'), to, F.lit('">'))
+    hop = lambda when, url, location, html: e.where(when).select(url.alias("url"), location.alias("location"), html.alias("html"))
+    none, first = F.lit(""), F.concat(F.lit("https://weixin.sogou.com/link?k="), _s("n"))
+    hops = (
+        hop(kind == 1, first, none, F.when(n % 30 == 1, "请输入验证码").otherwise(meta(own(n))))
+        .union(hop(kind == 2, first, page(1), none)).union(hop(kind == 2, page(1), none, F.concat(F.lit('msg_link = "'), own(n), F.lit('"'))))
+        .union(hop(kind == 3, first, page(1), none)).union(hop(kind == 3, page(1), F.concat(F.lit("//r2.example.com/"), _s("n")), none)).union(hop(kind == 3, page(2), none, F.concat(F.lit("<a href='"), loose, F.lit("'>"))))
+        .union(hop(kind == 4, first, page(1), none)).union(hop(kind == 4, page(1), page(2), none)).union(hop(kind == 4, page(2), page(3), none)).union(hop(kind == 4, page(3), own(n), none))
+        .union(hop(kind == 5, first, page(1), none)).union(hop(kind == 5, page(1), first, none))
+    )
+    history = e.where((kind == 5) & (n % 3 != 0)).select(n.alias("_ord"), F.when(n % 3 == 1, own(n)).otherwise(F.concat(F.lit("https://h.example.com/"), _s("n"))).alias("url"))
+    return rows, hops, history
+
+
+def address_hops(spark: SparkSession, d: str) -> DataFrame:
+    return discovery.resolved_hops(*_links(spark, d)).select("_ord", "resolved_url", "resolved_by", "hops", "looped")
+
+
+_HOPS_SQL = """r as (select event_id as n, event_id % 7 as k, event_id % 30 = 1 as b from events),
+h as (select n as _ord, case when k = 6 then 'https://own.example.com/' || n when k = 3 then 'https://mp.weixin.qq.com/s?sn=' || n when k in (0, 2, 4) or (k = 1 and not b) or (k = 5 and n % 3 = 1) then 'https://mp.weixin.qq.com/s?__biz=B' || n || '&mid=' || n || '&idx=1'
+  when k = 5 and n % 3 = 2 then 'https://h.example.com/' || n else 'https://weixin.sogou.com/weixin?type=2&query=src+Title+' || n || '&ie=utf8' end as resolved_url,
+  case when k = 6 then 'direct' when k = 3 then 'loose' when k in (0, 2, 4) or (k = 1 and not b) or (k = 5 and n % 3 = 1) then 'strict' when k = 5 and n % 3 = 2 then 'history' else 'failed' end as resolved_by,
+  case k when 2 then 1 when 3 then 2 when 4 then 4 when 5 then 1 else 0 end as hops, k = 5 as looped from r)"""
+HOPS_SQL = f"with {_HOPS_SQL} select * from h"
+
+
+def address_counts(spark: SparkSession, d: str) -> DataFrame:
+    return discovery.resolution_counts(discovery.resolved_hops(*_links(spark, d)))
+
+
+COUNTS_SQL = f"with {_HOPS_SQL} select resolved_by, count(*) as n, sum(hops) as hops, count(*) filter (looped) as loops from h group by 1"
+
+
+def history_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Titles matched with an account's history: a common beginning of one alphabet, ends of two others, so that the ratio is plain; times far and near."""
+    k = F.col("doc_id")
+    begin = F.substr(F.translate(F.sha2(_s("doc_id").cast("binary"), 256), "0123456789", "ghijklmnop"), F.lit(1), (k % 9 + 8).cast("int"))
+    end = lambda letters, size: F.substr(F.repeat(F.lit(letters), 6), F.lit(1), size.cast("int"))
+    docs = table(spark, d, "documents").select("doc_id")
+    account, when = F.concat(F.lit("acc"), _s(k % 12)), F.lit(NOW) - k * 10.0
+    targets = docs.select(account.alias("account"), k.alias("_ord"), F.concat(begin, F.lit("，"), end("一二三四", k % 13)).alias("title"), F.when(k % 11 == 0, 0.0).otherwise(when).alias("published_ts"))
+    posted = docs.withColumn("j", F.explode(F.array(F.lit(0), F.lit(1))))
+    history = posted.select(
+        account.alias("account"), (k * 2 + F.col("j")).alias("position"), F.concat(F.upper(begin), F.lit(" "), end("七八九十", k % 7 + F.col("j") * (k % 5))).alias("title"),
+        F.when(F.col("j") == 0, when - (k % 6) * 43_200.0 - 60).otherwise(when - 400_000.0).alias("published_ts"), F.concat(F.lit("https://h.example.com/"), _s("doc_id"), F.lit("-"), _s("j")).alias("url"),
+    )
+    return research.history_titles(targets, history)
+
+
+HISTORY_MATCH_SQL = """
+with d as (select doc_id as k, doc_id % 9 + 8 as b, doc_id % 13 as e, doc_id % 7 as f, doc_id % 5 as g from documents),
+c as (select k, j, cast(2 * b as double) / (2 * b + e + f + j * g) as r, case when k % 11 = 0 then 0.0 when j = 1 then 0.0 when k % 6 * 43200 + 60 <= 86400 then 0.2 when k % 6 * 43200 + 60 <= 259200 then 0.1 else 0.0 end as bonus from d, (select unnest([0, 1]) as j)),
+s as (select *, r + bonus as score from c)
+select k as _ord, 'https://h.example.com/' || k || '-' || j as url from s where score >= 0.62 qualify row_number() over (partition by k order by score desc, j) = 1"""
+
+
 def cover_images(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     n = _s("event_id")
@@ -411,6 +476,9 @@ select skill_name, region_scope, keyword, batch, position, 'Title' || chr(160) |
 from d join q on q.n = doc_id % {len(_SEARCHES)} where position < 10 and doc_id % 13 <> 0"""
 
 PAIRS = {
+    "address_hops": (address_hops, HOPS_SQL),
+    "address_counts": (address_counts, COUNTS_SQL),
+    "history_matches": (history_matches, HISTORY_MATCH_SQL),
     "source_contract": (source_contract, CONTRACT_SQL),
     "source_stream": (source_stream, CONTRACT_SQL),
     "news_dates": (news_dates, NEWS_DATES_SQL),

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls
+from ..tables import scratch, stored
 from .dom import split
 from .pages import _read
 
@@ -260,6 +261,74 @@ def resolved(rows: DataFrame, pages: DataFrame, history: DataFrame | None = None
     return out.withColumns({"resolved_url": F.coalesce(link, F.nullif("_old", F.lit("")), search), "resolved_by": F.when(link.isNotNull(), F.col("_best._form")).when(T.text("_old") != "", "history").otherwise("failed")}).drop("_best", "_old")
 
 
+def followed(rows: DataFrame, hops: DataFrame, most: int = 10) -> DataFrame:
+    """(_ord, first, final, hops, looped): where the landed redirects (url, location, html) lead each row's address.
+
+    One join a hop, of the rows that are still under way; a row ends at a page without a location, at one that has not landed, at an address that it has
+    been to, or after ``most`` hops. ``first`` and ``final`` are structs of url and html; a page that has not landed has a null html.
+    """
+    folder = scratch(rows.sparkSession)
+    known = hops.groupBy("url").agg(F.min(F.struct(T.text("location").alias("location"), T.text("html").alias("html"))).alias("hop"))
+    known = stored(known.select("url", "hop.location", "hop.html"), folder, "hops")
+    absolute = F.when(F.startswith("location", F.lit("//")), F.concat(F.lit("https:"), "location")).otherwise(F.col("location"))
+    at = rows.select("_ord", F.col("url").alias("at"), F.array("url").alias("been"))
+    done = []
+    for n in range(most + 1):
+        met = at.join(known, at["at"] == known["url"], "left").select("_ord", "been", F.struct(F.col("at").alias("url"), "html", "location").alias("page"), absolute.alias("next"), *([] if n == 0 else ["first"]))
+        met = stored(met if n else met.withColumn("first", F.col("page")), folder, f"at-{n}")
+        again = F.array_contains("been", F.col("next"))
+        onward = (T.text("next") != "") & ~F.coalesce(again, F.lit(False)) & F.lit(n < most)
+        done.append(met.where(~onward).select("_ord", "first", F.col("page").alias("final"), F.lit(n).alias("hops"), F.coalesce(again, F.lit(False)).alias("looped")))
+        at = met.where(onward).select("_ord", F.col("next").alias("at"), F.array_append("been", F.col("next")).alias("been"), "first")
+        if not at.take(1):
+            break
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def resolved_hops(rows: DataFrame, hops: DataFrame, history: DataFrame | None = None, most: int = 10) -> DataFrame:
+    """Rows (_ord, url, title, source_name) whose address is a search engine's link, with resolved_url, resolved_by, hops and looped.
+
+    In turn: the address that the link names; the first page's redirect, script, metas and links; the page that the redirects end at; the account's
+    history (``research.history_titles``); a search for source and title. A page that asks for a robot ends the matter. Other addresses stay (``direct``).
+    """
+
+    def read(url: str | None, first: str | None, location: str | None, final_url: str | None, final: str | None) -> list[tuple[str, str]]:
+        parts = split(url or "")
+        inner = [plain_address(unquote(x)) for x in (parse_qs(parts.query).get("url", []) if parts else [])]
+        ways = [inner, [plain_address(location), script_target(first), *_meta_target(first), *account_links(first or "")], [final_url or "", *_meta_target(final), *account_links(final or "")]]
+        for n in range(1, len(ways) + 1):  # what is known so far, before more is looked at
+            best = best_address([c for way in ways[:n] for c in way])
+            if best[0]:
+                return [best]
+        return [("", "none")]
+
+    link = F.contains(T.text("url"), F.lit("sogou.com/link"))
+    ways = followed(rows.where(link), hops, most)
+    ends = lambda c: blocked_page(F.col(f"{c}.html"), F.col(f"{c}.url"))
+    told = stored(ways.withColumn("blocked", ends("first") | ends("final")), scratch(rows.sparkSession), "told")
+    open_page = lambda c: F.when(~F.col("blocked"), c)  # noqa: E731  the link itself is read before any page
+    seen = told.select("_ord", F.col("first.url").alias("u"), open_page(F.col("first.html")).alias("f"), open_page(F.col("first.location")).alias("l"), open_page(F.col("final.url")).alias("fu"), open_page(F.when(F.col("hops") > 0, F.col("final.html"))).alias("fh"))
+    found = _read(seen, ["_ord", "u", "f", "l", "fu", "fh"], read, "link string, form string")
+    out = rows.join(told.select("_ord", "hops", "looped", "blocked"), "_ord", "left").join(found, "_ord", "left")
+    out = out.join(history.select("_ord", F.col("url").alias("_old")), "_ord", "left") if history is not None else out.withColumn("_old", F.lit(None).cast("string"))
+    strict = urls.account_article("_old")
+    query = F.trim(F.concat_ws(" ", F.trim(T.text("source_name")), F.trim(T.text("title"))))
+    search = F.concat(F.lit(f"{SEARCH_SITE}/weixin?type=2&query="), F.replace(F.replace(F.url_encode(query), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~")), F.lit("&ie=utf8"))
+    old = (T.text("_old") != "") & ~F.coalesce("blocked", F.lit(False))
+    hit = T.text("link") != ""
+    by = F.when(~link, "direct").when(hit, F.col("form")).when(old & (strict != ""), "strict").when(old, "history").otherwise("failed")
+    to = F.when(~link, F.col("url")).when(hit, F.col("link")).when(old & (strict != ""), strict).when(old, F.col("_old")).otherwise(search)
+    return out.withColumns({"resolved_url": to, "resolved_by": by, "hops": F.coalesce("hops", F.lit(0)), "looped": F.coalesce("looped", F.lit(False))}).drop("link", "form", "blocked", "_old")
+
+
+def resolution_counts(resolved_rows: DataFrame) -> DataFrame:
+    """(resolved_by, n, hops, loops): how addresses were resolved."""
+    return resolved_rows.groupBy("resolved_by").agg(F.count("*").alias("n"), F.sum("hops").alias("hops"), F.count_if("looped").alias("loops"))
+
+
 def history_rows(html: str | None) -> list[tuple[int, str, str, float]]:
     """(position, title, url, time) of the messages on an account's page, each followed by the items sent with it."""
     if m := re.search(r"var\s+msgList\s*=\s*'(.+?)';", html or "", re.S):

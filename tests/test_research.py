@@ -60,3 +60,32 @@ def test_account_articles(spark):
     cases = [("https://mp.weixin.qq.com/s?__biz=M%3D&mid=2&idx=1&sn=ab&scene=1#x", "https://mp.weixin.qq.com/s?__biz=M%3D&mid=2&idx=1&sn=ab"), ("https://mp.weixin.qq.com/s?mid=2", ""), ("https://x.cn/s?__biz=1&mid=2", ""), (None, "")]
     df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(cases)], "i int, u string")
     assert [r.y for r in df.orderBy("i").select(urls.account_article("u").alias("y")).collect()] == [y for _, y in cases]
+
+
+def test_history_titles_equal_the_plain_loop(spark):
+    import random
+    import re
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    title = lambda: "".join(rng.choice(["仓储", "AGV", "agv", "，", " ", "物流", "系统", "发布", "-", "a", "b"]) for _ in range(rng.randint(0, 9)))
+    targets = [(rng.choice("xy"), i, title(), rng.choice([0.0, 1e6 + rng.randint(0, 9) * 43_200.0])) for i in range(60)]
+    history = [(rng.choice("xy"), i, title(), rng.choice([0.0, 1e6 + rng.randint(0, 9) * 43_200.0]), f"u{i}") for i in range(80)]
+    plain = lambda t: re.sub(R.TITLE_MARKS.removeprefix("(?U)"), "", t.strip().lower())
+    want = []
+    for account, o, t, ts in targets:
+        best, url = 0.0, ""
+        for other, _, h, hts, u in history:
+            if other != account:
+                continue
+            a, b = plain(t), plain(h)
+            score = SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+            if ts > 0 and hts > 0:
+                score += 0.2 if abs(ts - hts) <= 86400 else 0.1 if abs(ts - hts) <= 3 * 86400 else 0.0
+            if score > best:
+                best, url = score, u
+        if best >= 0.62:
+            want.append((o, url))
+    t = spark.createDataFrame(targets, "account string, _ord long, title string, published_ts double")
+    h = spark.createDataFrame(history, "account string, position int, title string, published_ts double, url string").repartition(3)
+    assert sorted(map(tuple, R.history_titles(t, h).collect())) == sorted(want) and 10 < len(want) < 60
