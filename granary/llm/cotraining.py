@@ -9,8 +9,11 @@ logistic of both is fitted there, and its output scores every document.
 
 Views are computed once, from whole texts, and stored as sparse rows. A round is a rule (a view's weights and the
 odds from which it is confident), so rows keep no state. Confidence is counted in bins of 0.01 of log-odds, and
-rows of one bin are given together. Only the matrix of a fit is bounded: at most ``LABELLED`` labelled rows and
-``FITTED`` pseudo-labelled ones, the first by a hash of their ids. Scoring covers all rows and whole texts.
+rows of one bin are given together. All given rows enter the fit, however many: they are written with their labels, and each step of the
+fit is a pass over them that gives sums of losses and gradients, one number a feature. Both views step together, from the
+weights of the round before, by limited-memory quasi-Newton steps. Given rows weigh ``PSEUDO`` times the labelled rows in all, whatever the
+size of the corpus. Only the labelled rows are a sample: at most ``LABELLED``, the first by a hash of their ids. Scoring covers all rows and
+whole texts.
 
 Nulls: a null text is an empty text; null language and source are values of their own; null labels do not train.
 Without both kinds of labels every score is the share of good labels, or 1 without labels. Repeated rows score
@@ -33,8 +36,10 @@ from .common import shared_folder, stored, table
 from .tokens import slices
 from .toxicity import calibrated
 
-LABELLED, FITTED = 6_000, 12_000
+LABELLED = 6_000
 ROUNDS, GIVEN, SHARE = 4, 400, 1 / 15
+#: Weight of all given rows beside all labelled ones; passes over the given rows in a round; steps that a fit remembers.
+PSEUDO, PASSES, MEMORY = 1.5, 12, 6
 #: Log-odds are held within BOUND and counted in bins; the outer ones are confident (chance below 0.1 or above 0.9).
 BOUND, BIN = 30, 0.01
 BINS = round(2 * BOUND / BIN) + 1
@@ -146,6 +151,31 @@ def confidence(odds, n: int, rules: list[Rule], weights: list[np.ndarray]) -> np
     return np.stack([np.bincount(_bins(odds(v, weights[v]))[labels[1 - v] < 0], minlength=BINS) for v in (0, 1)])
 
 
+def _pass(odds, back, labels: list[np.ndarray], weights: list[np.ndarray] | None) -> np.ndarray:  # noqa: ANN001
+    """Sums over rows that have a label, view after view: their number, then losses and gradients, or squares of the features.
+
+    ``odds(view, weights)`` gives log-odds, ``back(view, c, square)`` the sums of the rows' features, or of their squares, times ``c``.
+    """
+    out = []
+    for v in (0, 1):
+        given = labels[v] >= 0
+        if weights is None:
+            out += [[given.sum(), 0.0], back(v, given.astype(float), True)]
+            continue
+        x, y = odds(v, weights[v]), np.maximum(labels[v], 0)
+        out += [[given.sum(), np.logaddexp(0, np.where(y > 0, -x, x))[given].sum()], back(v, np.where(given, 1 / (1 + np.exp(-np.clip(x, -30, 30))) - y, 0.0), False)]
+    return np.concatenate(out)
+
+
+def _parted(sums: np.ndarray, sizes: list[int]) -> list[tuple[float, float, np.ndarray]]:
+    """(number, loss, features) of each view."""
+    out, at = [], 0
+    for n in sizes:
+        out.append((float(sums[at]), float(sums[at + 1]), sums[at + 2 : at + 2 + n]))
+        at += 2 + n
+    return out
+
+
 class _Held:
     """Unlabelled rows held in memory."""
 
@@ -155,20 +185,23 @@ class _Held:
     def _odds(self, view: int, weights: np.ndarray) -> np.ndarray:
         return self.views[view] @ weights
 
+    def _back(self, view: int, c: np.ndarray, square: bool) -> np.ndarray:
+        return c @ (self.views[view].astype(np.float64) ** (2 if square else 1))
+
     def confidence(self, rules: list[Rule], weights: list[np.ndarray]) -> np.ndarray:
         return confidence(self._odds, len(self.views[0]), rules, weights)
 
-    def sample(self, rules: list[Rule]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def teach(self, rules: list[Rule]):  # noqa: ANN201
+        """A function of both views' weights that gives the sums over all rows that the rules have labelled."""
         labels = taught(self._odds, len(self.views[0]), rules)
-        rows = np.flatnonzero((labels[0] >= 0) | (labels[1] >= 0))[:FITTED]
-        return self.views[0][rows], self.views[1][rows], labels[0][rows], labels[1][rows]
+        return lambda weights=None: _pass(self._odds, self._back, list(labels), weights)
 
 
 class _Stored:
     """Unlabelled rows in a table of sparse views (doc_id, at, value)."""
 
-    def __init__(self, rows: DataFrame):
-        self.rows = rows
+    def __init__(self, rows: DataFrame, folder: str = ""):
+        self.rows, self.folder, self.rounds = rows, folder, 0
 
     def confidence(self, rules: list[Rule], weights: list[np.ndarray]) -> np.ndarray:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,16 +216,95 @@ class _Stored:
         out[found["view"].to_numpy(), found["bin"].to_numpy()] = found["n"].to_numpy()
         return out
 
-    def sample(self, rules: list[Rule]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def teach(self, rules: list[Rule]):  # noqa: ANN201
+        """``_Held.teach`` over a table: the labelled rows are written once, each call is a pass over them."""
+
+        def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in batches:
                 y = taught(_sparse_odds(part), part.num_rows, rules)
-                out = pa.RecordBatch.from_arrays([part["doc_id"], part["at"], part["value"], *(pa.array(x.astype(np.int32)) for x in y)], ["doc_id", "at", "value", "y0", "y1"])
+                out = pa.RecordBatch.from_arrays([part["at"], part["value"], *(pa.array(x.astype(np.int32)) for x in y)], ["at", "value", "y0", "y1"])
                 yield out.filter(pa.array((y[0] >= 0) | (y[1] >= 0)))
 
-        found = self.rows.mapInArrow(teach, "doc_id long, at array<int>, value array<float>, y0 int, y1 int")
-        found = found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FITTED).toArrow().sort_by("doc_id")
-        return *_dense(found), found["y0"].to_numpy().astype(np.int64), found["y1"].to_numpy().astype(np.int64)
+        self.rounds += 1
+        given = stored(self.rows.mapInArrow(label, "at array<int>, value array<float>, y0 int, y1 int"), self.folder or shared_folder(self.rows.sparkSession), f"given-{self.rounds}")
+
+        def sums(weights: list[np.ndarray] | None = None) -> np.ndarray:
+            def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total = np.zeros(4 + CONTENT + METADATA)
+                for part in batches:
+                    total += _pass(_sparse_odds(part), _sparse_back(part), [part[c].to_numpy() for c in ("y0", "y1")], weights)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["i", "x"])
+
+            found = given.mapInArrow(add, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+            out = np.zeros(4 + CONTENT + METADATA)
+            out[found["i"].to_numpy()] = found["x"].to_numpy()
+            return out
+
+        return sums
+
+
+def _sparse_back(part: pa.RecordBatch):  # noqa: ANN202
+    at, value = part["at"].flatten().to_numpy(), part["value"].flatten().to_numpy().astype(np.float64)
+    row = np.repeat(np.arange(part.num_rows), part["at"].value_lengths().to_numpy())
+
+    def back(view: int, c: np.ndarray, square: bool) -> np.ndarray:
+        whole = np.bincount(at, c[row] * (value**2 if square else value), CONTENT + METADATA)
+        return whole[:CONTENT] if view == 0 else whole[CONTENT:]
+
+    return back
+
+
+class _Descent:
+    """Limited-memory quasi-Newton steps toward a minimum: ``at`` is where to look next, ``tell`` takes what was found there."""
+
+    def __init__(self, start: np.ndarray, curvature: float):
+        self.at = self.best = start
+        self.loss, self.slope, self.step, self.size = np.inf, None, None, 1.0
+        self.known: list[tuple[np.ndarray, np.ndarray]] = []
+        self.curvature = curvature
+
+    def _direction(self) -> np.ndarray:
+        q, parts = self.slope.copy(), []
+        for s, y in reversed(self.known):
+            a = (s @ q) / (y @ s)
+            parts.append(a)
+            q -= a * y
+        q *= (self.known[-1][0] @ self.known[-1][1]) / (self.known[-1][1] @ self.known[-1][1]) if self.known else 1 / self.curvature
+        for (s, y), a in zip(self.known, reversed(parts)):
+            q += s * (a - (y @ q) / (y @ s))
+        return -q
+
+    def tell(self, loss: float, slope: np.ndarray) -> None:
+        if self.slope is not None and loss > self.loss + 1e-4 * self.size * (self.slope @ self.step):
+            self.size /= 4  # too far
+        else:
+            if self.slope is not None:
+                s, y = self.at - self.best, slope - self.slope
+                if s @ y > 1e-12:
+                    self.known = [*self.known, (s, y)][-MEMORY:]
+            self.best, self.loss, self.slope, self.size = self.at, loss, slope, 1.0
+            self.step = self._direction()
+        self.at = self.best + self.size * self.step
+
+
+def refitted(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, given, weights: list[np.ndarray], shrink: float = 1e-3) -> list[np.ndarray]:  # noqa: ANN001
+    """Both views' weights, fitted to the labelled rows and to all given ones, from ``weights`` on."""
+    sizes = [x.shape[1] for x in views]
+    squares = _parted(given(), sizes)
+    n = len(y)
+    share = [PSEUDO * n / k if k else 0.0 for k, _, _ in squares]
+    whole = [n + w * k for w, (k, _, _) in zip(share, squares)]
+    scales = [np.sqrt(((x.astype(np.float64) ** 2).sum(0) + w * q) / t) + 1e-2 for x, w, (_, _, q), t in zip(views, share, squares, whole)]
+    runs = [_Descent(w * s, 0.25 * len(w)) for w, s in zip(weights, scales)]
+    for _ in range(PASSES):
+        tried = [r.at / s for r, s in zip(runs, scales)]
+        for v, (_, loss, slope) in enumerate(_parted(given(tried), sizes)):
+            x = views[v].astype(np.float64) @ tried[v]
+            own = np.logaddexp(0, np.where(y > 0, -x, x)).sum()
+            back = (1 / (1 + np.exp(-np.clip(x, -30, 30))) - y) @ views[v].astype(np.float64)
+            at = runs[v].at
+            runs[v].tell((own + share[v] * loss) / whole[v] + shrink / 2 * (at @ at), (back + share[v] * slope) / whole[v] / scales[v] + shrink * at)
+    return [r.best / s for r, s in zip(runs, scales)]
 
 
 def _sparse_odds(part: pa.RecordBatch):  # noqa: ANN202
@@ -227,18 +339,8 @@ def cotrain(a: np.ndarray, b: np.ndarray, labels: np.ndarray, pool: _Held | _Sto
         held = first = known
     views = (a, b)
     rules: list[Rule] = []
-    more = None
-    weights = [np.zeros(a.shape[1]), np.zeros(b.shape[1])]
-    for turn in range(ROUNDS + 1):
-        for v in (0, 1):
-            x, y, weight = views[v][first], labels[first], np.ones(len(first))
-            if more is not None:
-                given = more[2 + v] >= 0
-                x, y = np.concatenate([x, more[v][given]]), np.concatenate([y, more[2 + v][given]])
-                weight = np.concatenate([weight, np.full(given.sum(), 0.5)])
-            weights[v] = logistic(x, y, weight)
-        if turn == ROUNDS:
-            break
+    weights = [logistic(x[first], labels[first], np.ones(len(first))) for x in views]
+    for turn in range(ROUNDS):
         counts = pool.confidence(rules, weights)
         if not turn:
             give = max(GIVEN, round(SHARE * int(counts[0].sum())))
@@ -250,7 +352,7 @@ def cotrain(a: np.ndarray, b: np.ndarray, labels: np.ndarray, pool: _Held | _Sto
             low = min(int(np.searchsorted(up, bad)), _LOW) if bad else -1
             high = max(BINS - 1 - int(np.searchsorted(down, good)), _HIGH) if good else BINS
             rules.append(Rule(v, weights[v].copy(), low, high))
-        more = pool.sample(rules)
+        weights = refitted((a[first], b[first]), labels[first].astype(np.float64), pool.teach(rules), weights)
     y, even = labels[held].astype(float), np.ones(len(held))
     odds = [np.clip(views[v][held] @ weights[v], -30, 30) for v in (0, 1)]
     fitted = tuple(calibrated(o, y, even) for o in odds)
@@ -284,9 +386,10 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model
             yield pa.RecordBatch.from_arrays([part["doc_id"], *lists], ["doc_id", "at", "value"])
 
     sparse = _documents(docs).where("doc_id is not null").mapInArrow(views, "doc_id long, at array<int>, value array<float>")
-    rows = stored(sparse.join(known, "doc_id", "left"), shared_folder(docs.sparkSession), "views")
+    folder = shared_folder(docs.sparkSession)
+    rows = stored(sparse.join(known, "doc_id", "left"), folder, "views")
     chosen = rows.where("quality is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).toArrow().sort_by("doc_id")
-    pool = _Stored(rows.where("quality is null").select("doc_id", "at", "value"))
+    pool = _Stored(rows.where("quality is null").select("doc_id", "at", "value"), folder)
     return cotrain(*_dense(chosen), chosen["quality"].to_numpy().astype(np.int64), pool)
 
 

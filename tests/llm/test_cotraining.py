@@ -65,18 +65,20 @@ def test_nothing(spark, nothing):
 
 
 def test_rounds_reach_every_unlabelled_row(spark, monkeypatch):
-    """What is given grows with the corpus, comes from all of it, and is the same in Spark as in memory."""
+    """What is given grows with the corpus, comes from all of it, enters the fit whole, and is the same in Spark as in memory."""
     seen = []
-    sample = C._Stored.sample
+    teach = C._Stored.teach
 
     def watched(self, rules):
-        ids = {r.doc_id for r in self.rows.select("doc_id").collect()}
-        found = sample(self, rules)
-        mine = C._Held(*C._dense(self.rows.orderBy("doc_id").toArrow())).sample(rules)
-        seen.append((len(ids), len(found[0]), all(np.array_equal(x, y) for x, y in zip(found, mine))))
-        return found
-
-    monkeypatch.setattr(C._Stored, "sample", watched)
+        sums = teach(self, rules)
+        held = C._Held(*C._dense(self.rows.toArrow()))
+        mine, labels = held.teach(rules), C.taught(held._odds, len(held.views[0]), rules)
+        weights = [np.full(C.CONTENT, 0.01), np.full(C.METADATA, -0.02)]
+        seen.append((len(held.views[0]), [int((x >= 0).sum()) for x in labels], sums()[[0, 2 + C.CONTENT]].tolist(), np.allclose(sums(), mine()) and np.allclose(sums(weights), mine(weights), rtol=1e-4, atol=1e-2)))
+        return sums
+
+    monkeypatch.setattr(C._Stored, "teach", watched)
+    monkeypatch.setattr(C, "PASSES", 3)
     rng = random.Random(7)
     rows = []
     for i in range(9000):
@@ -85,5 +87,43 @@ def test_rounds_reach_every_unlabelled_row(spark, monkeypatch):
         rows.append((i, " ".join(w.upper() + "!!" if bad else w for w in words), "en", "spam" if bad else f"s{i % 4}", int(not bad)))
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, quality int")
     model = C.train(df.drop("quality"), df.where("doc_id < 300").select("doc_id", "quality"))
-    assert len(seen) == C.ROUNDS and all(n == 8700 and same for n, _, same in seen)
-    assert seen[-1][1] > 1600 and model.content.any()
+    assert len(seen) == C.ROUNDS and all(n == 8700 and same for n, _, _, same in seen)
+    assert all(given == counted for _, given, counted, _ in seen)  # no row that was given is left out of the sums
+    assert min(seen[-1][1]) > 1600 and model.content.any()
+
+
+def test_the_fit_is_the_one_of_all_rows_together():
+    """Passes over given rows end where a fit of one matrix ends, given rows weighing as much as they are to."""
+    rng = np.random.default_rng(5)
+    y = (rng.random(3000) < 0.6).astype(int)
+    a = np.concatenate([rng.standard_normal((3000, 5)) * [1, 3, 0.2, 1, 1] + (2 * y[:, None] - 1), np.ones((3000, 1))], 1)
+    b = np.concatenate([rng.standard_normal((3000, 8)) + 0.4 * (2 * y[:, None] - 1), np.ones((3000, 1))], 1)
+    rules = [C.Rule(0, np.ones(6), C._LOW, C._HIGH), C.Rule(1, np.ones(9), C._LOW, C._HIGH)]
+    held = C._Held(a[200:], b[200:])
+    labels = C.taught(held._odds, 2800, rules)
+    weights = [np.zeros(6), np.zeros(9)]
+    for _ in range(5):
+        weights = C.refitted((a[:200], b[:200]), y[:200].astype(float), held.teach(rules), weights)
+    for v, (x, w) in enumerate(zip((a, b), weights)):
+        rows = labels[v] >= 0
+        weight = np.concatenate([np.ones(200), np.full(rows.sum(), C.PSEUDO * 200 / rows.sum())])
+        one = C.logistic(np.concatenate([x[:200], x[200:][rows]]), np.concatenate([y[:200], labels[v][rows]]), weight, steps=3000)
+        assert np.abs((x @ one) - (x @ w)).mean() < 0.12 * np.abs(x @ one).mean()
+
+
+def test_held_out_labels_of_the_test_tables(spark):
+    """Trained on two thirds of the labels, by a hash, held against the rest."""
+    import os
+    import zlib
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("test tables are not here")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").where("quality is not null")
+    rows = {r.doc_id: r.quality for r in labels.collect()}
+    held = {i for i in rows if zlib.crc32(str(i).encode()) % 3 == 1}
+    model = C.train(docs, labels.where(~labels.doc_id.isin(list(held))))
+    score = {r.doc_id: r.score for r in C.scored(docs, model).collect()}
+    good, bad = [score[i] for i in held if rows[i]], [score[i] for i in held if not rows[i]]
+    assert np.mean([(g > x) + 0.5 * (g == x) for g in good for x in bad]) >= 0.8  # labels are noisy, and few are bad here
+    assert np.mean([g >= 0.5 for g in good] + [x < 0.5 for x in bad]) >= 0.9
