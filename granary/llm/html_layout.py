@@ -8,11 +8,12 @@ under ``visibility:hidden`` neither, unless a descendant turns it visible again.
 White space collapses outside ``pre``. Paragraph-like blocks are set off by an empty line, others by a line end.
 List items are marked and indented by depth; ordered lists count from ``start`` and take ``value``. Table
 cells become columns padded to the widest cell, over as many lines as the highest cell of a row has; column and row
-spans are honoured. Columns are parted by `` | ``. Lines longer than ``WIDE`` are whole but widen no column, so that
-padding stays in proportion to the page.
+spans are honoured. Columns are parted by `` | ``. A table is set unaligned, the cells of a row parted but not padded, if its aligned text
+would hold more than ``PAD`` times the characters of its cells and separators and ``FREE`` besides, or if its rows pass that many columns that cells
+from above reach into: text and time stay in proportion to the page.
 
 Nulls: a null page gives null text, an empty one an empty text. Elements nested deeper than ``DEPTH`` hide what they
-hide and break lines where they would, but are not indented or aligned. A page is scanned once from front to end, whatever
+hide and break lines where they would, but are not indented or aligned: an indent a level would make the text grow with the square of the depth. A page is scanned once from front to end, whatever
 it holds: unclosed tags and quotes cost no second look. Very long pages are rendered whole. Repeated rows are rendered
 each. An empty table gives no rows. Other columns are ignored, whatever their names.
 """
@@ -23,6 +24,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import table
 from .tokens import slices
 
-#: Depth of the tree, and the longest line that a table column is widened to.
-DEPTH, WIDE = 200, 400
+#: Depth of the tree; what alignment may add to a table, in proportion to it and besides.
+DEPTH, PAD, FREE = 200, 16, 20_000
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -90,13 +92,26 @@ def parse(html: str) -> Element:
     """The element tree: children are elements and strings."""
     root = Element("html")
     stack = [root]
+    places: dict[str, list[int]] = {}  # of open elements by tag, the root left out
     deep: list[tuple[str, bool]] = []  # open elements beyond DEPTH: tag, and whether they hide their content
+    below: dict[str, int] = {}  # how many of them have a tag
     hiding = 0
 
+    def push(element: Element) -> None:
+        places.setdefault(element.tag, []).append(len(stack))
+        stack.append(element)
+
+    def pop() -> None:
+        places[stack.pop().tag].pop()
+
+    def nearest(tags: set[str] | frozenset[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def leave(tag: str) -> None:
         nonlocal hiding
         while deep:
             name, hides = deep.pop()
+            below[name] -= 1
             hiding -= hides
             if name in BLOCK and not hiding:
                 stack[-1].children.append(Element("div"))
@@ -105,13 +120,12 @@ def parse(html: str) -> Element:
 
     def close(tags: set[str] | frozenset[str], walls: set[str] | frozenset[str]) -> bool:
         """End the nearest open element of ``tags`` that lies above every wall."""
-        for at in range(len(stack) - 1, 0, -1):
-            if stack[at].tag in tags:
-                del stack[at:]
-                return True
-            if stack[at].tag in walls:
-                return False
-        return False
+        at = nearest(tags)
+        if not at or at < nearest(walls):
+            return False
+        while len(stack) > at:
+            pop()
+        return True
 
     at, lower, n, last = 0, None, len(html), html.rfind(">")
     while at < n:
@@ -119,7 +133,7 @@ def parse(html: str) -> Element:
         text = html[at : found.start()] if found else html[at:]
         if text and not hiding:
             if stack[-1].tag == "head" and not text.isspace():
-                stack.pop()
+                pop()
             stack[-1].children.append(unescape(text) if "&" in text else text)
         if not found:
             break
@@ -134,13 +148,13 @@ def parse(html: str) -> Element:
             if tag in ("html", "body"):
                 continue
             if deep:
-                if any(name == tag for name, _ in reversed(deep)):
+                if below.get(tag):
                     leave(tag)
                     continue
-                if hiding or not any(e.tag == tag for e in stack):
+                if hiding or not places.get(tag):
                     continue
                 leave("")
-            if tag == "p" and not any(e.tag == "p" for e in stack):
+            if tag == "p" and not places.get("p"):
                 stack[-1].children.append(Element("p"))
             elif tag == "br":
                 stack[-1].children.append(Element("br"))
@@ -149,16 +163,17 @@ def parse(html: str) -> Element:
             continue
         if tag in ("html", "body"):
             if stack[-1].tag == "head":
-                stack.pop()
+                pop()
             continue
         if stack[-1].tag == "head" and tag not in HEAD:
-            stack.pop()
+            pop()
         element = Element(tag, found[3])
         if deep and tag not in RAW and tag not in VOID:
             hides = not _seen(element, True)[0]
             if tag in BLOCK and not hiding:
                 stack[-1].children.append(Element("div"))
             deep.append((tag, hides))
+            below[tag] = below.get(tag, 0) + 1
             hiding += hides
             continue
         if not deep and tag in CLOSES_P:
@@ -167,7 +182,7 @@ def parse(html: str) -> Element:
             while close(*ENDS[tag]) and tag not in ("li", "dt", "dd", "option"):
                 pass
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            stack.pop()
+            pop()
         if not hiding:
             stack[-1].children.append(element)
         if tag in RAW:
@@ -180,10 +195,11 @@ def parse(html: str) -> Element:
             at = n if after < 0 else after + 1
         elif tag not in VOID:
             if len(stack) < DEPTH:
-                stack.append(element)
+                push(element)
             else:
                 stack[-1].children[-1] = Element("div" if tag in BLOCK else "wbr")
                 deep.append((tag, not _seen(element, True)[0]))
+                below[tag] = below.get(tag, 0) + 1
                 hiding += deep[-1][1]
     return root
 
@@ -375,9 +391,12 @@ def _wrapped(children: list) -> Element:
 def _table(node: Element, visible: bool, pre: bool) -> list[str]:
     grid: list[dict[int, tuple[list[str], int]]] = []
     taken: list[tuple[int, int, int]] = []  # first column, end and rows left of cells that reach down
+    aligned, passed, size = True, 0, 0  # columns passed that cells from above reach into; characters of cells and separators
     for row, row_visible in _rows(node, visible):
-        cells, column, blocked = {}, 0, sorted(taken)
-        taken = [(a, b, left - 1) for a, b, left in taken if left > 1]
+        cells, column = {}, 0
+        blocked = sorted(taken) if aligned else []
+        passed += len(blocked)
+        taken = [(a, b, left - 1) for a, b, left in taken if left > 1] if aligned else []
         groups = [x if isinstance(x, Element) and x.tag in ("td", "th") else _cell(x) for x in row.children if not (isinstance(x, str) and not x.strip())]
         for cell in groups:
             shown, seen = _seen(cell, row_visible)
@@ -388,15 +407,19 @@ def _table(node: Element, visible: bool, pre: bool) -> list[str]:
             width = max(1, _number(cell.attribute("colspan"), 1, 1000))
             height = max(1, _number(cell.attribute("rowspan"), 1, 65534))
             cells[column] = (_rendered(cell, seen, pre), width)
-            if height > 1:
+            size += 3 + sum(map(len, cells[column][0]))
+            aligned &= passed <= PAD * size + FREE
+            if height > 1 and aligned:
                 taken.append((column, column + width, height - 1))
             column += width
         if cells:
             grid.append(cells)
 
     def widest(lines: list[str]) -> int:
-        return max((n for n in map(len, lines) if n <= WIDE), default=0)
+        return max(map(len, lines), default=0)
 
+    if not aligned:
+        return _unaligned(grid)
     widths: dict[int, int] = {}
     for cells in grid:
         for c, (lines, span) in cells.items():
@@ -408,6 +431,9 @@ def _table(node: Element, visible: bool, pre: bool) -> list[str]:
                 have = sum(widths.get(x, 0) for x in range(c, c + span)) + 3 * (span - 1)
                 widths[c + span - 1] = widths.get(c + span - 1, 0) + max(0, widest(lines) - have)
     used = sorted({c for cells in grid for c in cells} | {c for c, n in widths.items() if n})
+    ends = list(accumulate(widths.get(c, 0) + 3 for c in used))
+    if sum(ends[bisect_left(used, max(cells))] * max(len(lines) for lines, _ in cells.values()) for cells in grid) > PAD * size + FREE:
+        return _unaligned(grid)
     out = []
     for cells in grid:
         row, end = [], -1  # (lines, width) of each column or run of columns, up to the row's last cell
@@ -427,6 +453,17 @@ def _table(node: Element, visible: bool, pre: bool) -> list[str]:
     return [x for x in out if x.strip(" |")]
 
 
+def _unaligned(grid: list[dict[int, tuple[list[str], int]]]) -> list[str]:
+    """Rows as they come, their cells parted."""
+    out = []
+    for cells in grid:
+        columns = [cells[c][0] for c in sorted(cells)]
+        for i in range(max(map(len, columns))):
+            text = " | ".join(lines[i] if i < len(lines) else "" for lines in columns)
+            out.append(text.rstrip().removesuffix(" |").rstrip() if text.strip(" |") else "")
+    return [x for x in out if x.strip(" |")]
+
+
 def _cell(child: Element | str) -> Element:
     cell = Element("td")
     cell.children = [child]

@@ -54,7 +54,7 @@ def test_beyond_the_depth_hidden_stays_hidden_and_blocks_break():
     assert layout(f"<div>{deep}a</div>b") == "a\nb"
 
 
-@pytest.mark.parametrize("page", ["<a " * 350_000, '<a href="' * 120_000, "<a href='" * 120_000 + ">", "<" * 1_000_000, "<!--" * 250_000, '<a "><b \'>' * 100_000, "</p" * 300_000])
+@pytest.mark.parametrize("page", ["<a " * 350_000, '<a href="' * 120_000, "<a href='" * 120_000 + ">", "<" * 1_000_000, "<!--" * 250_000, '<a "><b \'>' * 100_000, "</p" * 300_000, "<b>" * 150_000 + "</i>" * 150_000, "<i><table>" + "<b>" * 190 + "</i>" * 250_000, "<table>" + "<tr><td rowspan=65534>x" * 45_000, "<table>" + "<tr><td rowspan=2>x<td>y" * 40_000, "<li>" * 250_000, "<p><b>" * 170_000, "<table><tr>" + "<td>x" * 200_000, "<ul>" * 250_000 + "x"])
 def test_hostile_pages_take_no_second_look(page):
     began = time.perf_counter()
     layout(page)
@@ -69,6 +69,15 @@ def test_padding_stays_in_proportion():
     assert layout(wide).count("a") == 800 and time.perf_counter() - began < 5
 
 
+def test_wide_cells_widen_their_column_and_hostile_tables_are_set_unaligned():
+    long = "w" * 450
+    assert layout(f"<table><tr><td>{long}<td>b<tr><td>a<td>c</table>") == f"{long} | b\n{'a'.ljust(450)} | c"
+    page = "<table>" + "<tr><td rowspan=65534>x" * 3000 + "</table>"
+    text = layout(page)
+    assert text.count("x") == 3000 and len(text) < len(page)
+    assert layout("<table><tr><td rowspan=3>a<td>b<tr><td>c<tr><td>d</table>") == "a | b\n  | c\n  | d"
+
+
 class Plain:
     """A plain reference: random pages, written beside the text that they must give, without parsing anything."""
 
