@@ -167,6 +167,28 @@ def ordered_sources(documents: DataFrame, most: int = 8) -> DataFrame:
     return documents.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
+def rescue_searches(queue: DataFrame, strategies: DataFrame, settings: Settings = Settings(), least: float = 75.0, searches: int = 3, query_cost: int = 1) -> DataFrame:
+    """(run, page, position, strategy, outcome) of searches for more sources, for well rated candidates that no document names.
+
+    ``queue``: run, page, rank, triage_score, related (a document of its own names it). ``strategies``: run, page, position, strategy, finds (whether what the
+    search brings names it). A candidate's searches end with the first find, and at ``searches`` less the one by title. The searches of a run, in order
+    of rank, may take what the verification budget holds above one lookup for each place of the hard limit; later ones are not made.
+    """
+    reserve = max(0, settings.verification - settings.hard * query_cost) // query_cost
+    open_ = queue.where(~F.col("related") & (F.col("triage_score") >= least) & (F.col("rank") <= settings.hard)).select("run", "page", "rank")
+    place = Window.partitionBy("run", "page").orderBy("position")
+    asked = strategies.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= searches - 1).join(open_, ["run", "page"])
+    found = F.coalesce(F.max(F.col("finds").cast("int")).over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = asked.withColumn("_found", found).where("_found = 0")
+    turn = F.row_number().over(Window.partitionBy("run").orderBy("rank", "page", "position"))
+    told = wanted.withColumn("_turn", turn)
+    # a candidate whose first search past the reserve is told so asks for no other
+    over = F.col("_turn") > reserve
+    first_over = F.sum(over.cast("int")).over(place)
+    outcome = F.when(over, "verification_budget_reserved_or_exhausted").otherwise("searched")
+    return told.withColumn("_over", first_over).where("_over <= 1").select("run", "page", "position", "strategy", outcome.alias("outcome"))
+
+
 def rescue(candidates: DataFrame, documents: DataFrame, least: float = 75.0, remaining: int = 1) -> DataFrame:
     """Candidates (project_key, title, triage_score) worth a search for more sources: well rated, and no document names their title."""
     from .verify import related_documents

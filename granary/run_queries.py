@@ -237,6 +237,23 @@ def research_waves(spark: SparkSession, d: str) -> DataFrame:
 WAVES_SQL = "with r as (select row_number() over (order by o_orderkey) as rank from orders), w as (select rank, cast((rank - 1) // 60 as int) as wave, rank % 2 = 0 and rank % 3 <> 0 as good from r), g as (select wave, sum(cast(good as int)) as g from w where rank <= 600 group by wave), b as (select wave, coalesce(sum(g) over (order by wave rows between unbounded preceding and 1 preceding), 0) as before from g) select rank, w.wave, coalesce(rank <= 600 and before < 55, false) as researched from w left join b on b.wave = w.wave"
 
 
+def rescue_searches(spark: SparkSession, d: str) -> DataFrame:
+    """Searches for more sources in runs of forty candidates, two strategies and a spare each."""
+    e = table(spark, d, "events").select(F.floor(F.col("event_id") / 40).alias("run"), F.col("event_id").alias("page"), (F.col("event_id") % 40 + 1).cast("int").alias("rank"))
+    k = F.col("page")
+    queue = e.select("run", "page", "rank", (k * 7 % 100).cast("double").alias("triage_score"), (k % 3 == 0).alias("related"))
+    strategies = e.select("run", "page", F.posexplode(F.array(*map(F.lit, ("owner_equipment", "region_equipment", "project_core")))).alias("position", "strategy")).withColumn("finds", (k + F.col("position")) % 4 == 1)
+    return budgets.rescue_searches(queue, strategies, budgets.Settings(verification=28, hard=24), 40.0)
+
+
+RESCUE_SQL = """
+with e as (select event_id // 40 as run, event_id as page, event_id % 40 + 1 as rank from events where event_id % 3 <> 0 and event_id * 7 % 100 >= 40 and event_id % 40 < 24),
+s as (select run, page, rank, p as position, ['owner_equipment', 'region_equipment'][p + 1] as strategy from e, (select unnest([0, 1]) as p) where p = 0 or page % 4 <> 1),
+t as (select *, row_number() over (partition by run order by rank, position) as turn from s),
+o as (select *, sum(case when turn > 4 then 1 else 0 end) over (partition by run, page order by position) as over from t)
+select run, page, cast(position as int) as position, strategy, case when turn > 4 then 'verification_budget_reserved_or_exhausted' else 'searched' end as outcome from o where over <= 1"""
+
+
 def source_order(spark: SparkSession, d: str) -> DataFrame:
     line = table(spark, d, "lineitem")
     rows = line.select(_s(F.col("l_orderkey") % 900).alias("project_key"), F.concat(_s("l_orderkey"), F.lit("-"), _s("l_linenumber")).alias("url"), (F.col("l_partkey") % 9 == 0).alias("original"), (F.col("l_suppkey") % 3 + 1).cast("int").alias("source_tier"), F.col("l_linenumber").alias("position"))
@@ -573,6 +590,7 @@ PAIRS = {
     "metered_requests": (metered_requests, METERED_SQL),
     "search_plan": (search_plan, PLAN_SQL),
     "research_waves": (research_waves, WAVES_SQL),
+    "rescue_searches": (rescue_searches, RESCUE_SQL),
     "source_order": (source_order, SOURCE_ORDER_SQL),
     "delivery_attempts": (delivery_attempts, DELIVERY_SQL),
     "check_intervals": (check_intervals, INTERVAL_SQL),

@@ -11,6 +11,7 @@ from .adapters import NOW, table
 from .functions import dates
 from .lexicon import AUTH_FAILURE
 from .operators import filters, research
+from .plans import candidates
 from .sources import discovery, landed, pages, queries_reader, specs
 from .tables import scratch
 
@@ -416,6 +417,73 @@ s as (select *, r + bonus as score from c)
 select k as _ord, 'https://h.example.com/' || k || '-' || j as url from s where score >= 0.62 qualify row_number() over (partition by k order by score desc, j) = 1"""
 
 
+def candidate_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Official lists, searches and stored days as one run's candidates, read where they are plausible."""
+    n = lambda c: F.col(c).cast("string")
+    part = table(spark, d, "part").where("p_partkey % 2 = 0")
+    official = part.select(F.floor(F.col("p_partkey") / 50).alias("page_id"), F.col("p_partkey").alias("position"), F.concat(F.lit("采购 WMS 系统 "), n("p_partkey")).alias("title"), F.concat(F.lit("https://www.ccgp.gov.cn/o/"), n("p_partkey")).alias("url"), F.lit("官方").alias("source_name"))
+    c = table(spark, d, "customer").withColumn("query_no", F.floor(F.col("c_custkey") / 20))
+    item = F.struct(
+        F.concat(F.when(F.col("c_custkey") % 5 == 0, " ").otherwise(F.concat(F.lit(" AGV 招标公告 "), n("c_custkey")))).alias("title"), F.when(F.col("c_custkey") % 4 == 0, F.lit(None)).otherwise(F.concat(F.lit("https://t.example.com/"), n("c_custkey"))).alias("share_url"),
+        F.concat(F.lit(" https://s.example.com/"), n("c_custkey"), F.lit(" ")).alias("source_url"), F.lit(" 摘要 ").alias("abstract"), F.when(F.col("c_custkey") % 3 == 0, " ").otherwise(" 报 ").alias("media_name"), F.lit("2024-02-05 10:00:00").alias("datetime"), F.lit("1707000000").alias("publish_time"),
+    )
+    news = c.groupBy("query_no").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", item.alias("i")))), lambda x: x["i"]).alias("data"))).alias("payload"))
+    host = F.when(F.col("c_custkey") % 3 == 0, "www.ggzy.gov.cn").when(F.col("c_custkey") % 3 == 1, "cebpubservice.com").otherwise("xggzy.gov.cn.example.com")
+    block = F.concat(F.lit('<li class="b_algo"><h2><a href="https://'), host, F.lit("/e/"), n("c_custkey"), F.lit('?a=1&amp;b=2">堆垛机 <b>采购公告</b> '), n("c_custkey"), F.lit("</a></h2><p>大 &amp; 小</p></li>"))
+    engine = c.groupBy("query_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", block.alias("b")))), lambda x: x["b"]), "\n").alias("html"))
+    o = table(spark, d, "orders").where("o_orderkey % 10 = 0")
+    days = o.select(F.date_add(F.lit("2024-02-01").cast("date"), (F.col("o_orderkey") / 10 % 5).cast("int")).alias("day"), F.concat(F.lit("立体库 改造 "), n("o_orderkey")).alias("title"), F.when(F.col("o_orderkey") % 70 == 0, "").otherwise(F.concat(F.lit("https://d.example.com/"), n("o_orderkey"))).alias("url"), F.lit("旧").alias("summary"), F.lit("旧报").alias("source_name"), F.lit("2024-02-01").alias("published"), F.lit(1706700000.0).alias("published_ts"))
+    pages_of = lambda df, base, key: df.select(F.concat(F.lit(base), n(key)).alias("url"), F.concat(F.lit("正文 "), n(key), F.when(F.col(key) % 4 == 0, " 发布时间：2024-02-09").otherwise("")).alias("text"), F.when(F.col(key) % 6 == 0, F.array(F.lit("https://a/1.pdf"))).otherwise(F.array().cast("array<string>")).alias("attachment_urls"), F.array().cast("array<string>").alias("risk_flags"))
+    read = pages_of(part, "https://www.ccgp.gov.cn/o/", "p_partkey").unionByName(pages_of(o, "https://d.example.com/", "o_orderkey"))
+    out = candidates.gathered(official, news, engine, days, read, most=10_000_000)
+    return out.select("title", "url", "summary", "source_name", "published", "published_ts", "content", "verified_url", "snippet_origin", (F.col("content_hash") != "").alias("hashed"), "discovery_method")
+
+
+CANDIDATE_SQL = """
+with read as (select 'https://www.ccgp.gov.cn/o/' || p_partkey as u, p_partkey as k from part where p_partkey % 2 = 0 union all select 'https://d.example.com/' || o_orderkey, o_orderkey from orders where o_orderkey % 10 = 0),
+c as (select c_custkey as k, row_number() over (partition by c_custkey // 20 order by c_custkey) as n from customer),
+e as (select k, row_number() over (partition by k // 20 order by k) as n from c where k % 3 <> 2),
+dd as (select o_orderkey as k, cast(o_orderkey / 10 as int) % 5 as day from orders where o_orderkey % 10 = 0),
+r as (
+  select '采购 WMS 系统 ' || p_partkey as title, 'https://www.ccgp.gov.cn/o/' || p_partkey as url, '' as summary, '官方' as source_name, '' as published, 0.0 as ts, '' as origin, 'existing' as method from part where p_partkey % 2 = 0
+  union all select 'AGV 招标公告 ' || k, case when k % 4 = 0 then 'https://s.example.com/' else 'https://t.example.com/' end || k, '摘要', case when k % 3 = 0 then '搜索发现' else '搜索发现/报' end, '2024-02-05 10:00', 1707000000.0, '', 'existing' from c where n <= 15 and k % 5 <> 0
+  union all select '堆垛机 采购公告 ' || k, 'https://' || case k % 3 when 0 then 'www.ggzy.gov.cn' else 'cebpubservice.com' end || '/e/' || k || '?a=1&b=2', '大 & 小', '搜索发现/官方公告', '', 0.0, 'existing_search', 'existing' from e where n <= 10
+  union all select '立体库 改造 ' || k, 'https://d.example.com/' || k, '旧', '旧报', '2024-02-01', 1706700000.0, '', 'existing' from dd where day >= 2 and k % 70 <> 0)
+select title, url, case when summary = '' and read.k is not null then '正文 ' || read.k || case when read.k % 4 = 0 then ' 发布时间：2024-02-09' else '' end else summary end as summary, source_name, case when read.k % 4 = 0 then '2024-02-09' else published end as published, cast(case when read.k % 4 = 0 then 1707408000.0 else ts end as double) as published_ts,
+  case when read.k is null then '' else '正文 ' || read.k || case when read.k % 4 = 0 then ' 发布时间：2024-02-09' else '' end end as content, case when read.k is null then '' else url end as verified_url, origin as snippet_origin, coalesce(read.k % 6 <> 0, false) as hashed, method as discovery_method
+from r left join read on read.u = r.url"""
+
+
+def native_search(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of a searching model: what it lists, and its tool's sources at no listed address."""
+    e = table(spark, d, "events")
+    n, at = _s("event_id"), lambda host, tail="": F.concat(F.lit(f"https://{host}.example.com/"), _s("event_id"), F.lit(tail))
+    listed = F.array(F.struct(F.concat(F.lit("项目 "), n).alias("title"), at("a", "?utm_source=x").alias("url"), F.lit("要点").alias("summary")), F.struct(F.lit("二").alias("title"), at("b").alias("url"), F.lit(None).cast("string").alias("summary")))
+    source = lambda url, title: F.struct(url.alias("url"), F.lit(title).alias("title"), F.lit("片段").alias("snippet"), F.lit("openai_web_search").alias("origin"))
+    sources = F.when(F.col("event_id") % 3 == 0, F.array(source(at("a"), "同"), source(at("c"), ""), source(at("b", "?x"), "三"))).otherwise(F.array(source(at("c"), "四")))
+    rows = candidates.native_candidates(e.select(F.col("event_id").alias("answer"), F.when(F.col("event_id") % 7 == 0, F.slice(listed, 1, 0)).otherwise(listed).alias("candidates"), sources.alias("sources")))
+    return rows.select("answer", "position", "title", "url", "summary", F.size("search_sources").alias("n_sources"), "discovery_method")
+
+
+NATIVE_SQL = """
+with e as (select event_id as n, event_id % 7 = 0 as bare, event_id % 3 = 0 as many from events),
+l as (select n, 0 as o, '项目 ' || n as title, 'https://a.example.com/' || n || '?utm_source=x' as url, '要点' as summary, case when many then 3 else 1 end as ns from e where not bare union all select n, 1, '二', 'https://b.example.com/' || n, '', case when many then 3 else 1 end from e where not bare
+ union all select n, 2, '同', 'https://a.example.com/' || n, '', 1 from e where many and bare union all select n, 3, 'https://c.example.com/' || n, 'https://c.example.com/' || n, '', 1 from e where many union all select n, 4, '三', 'https://b.example.com/' || n || '?x', '', 1 from e where many
+ union all select n, 5, '四', 'https://c.example.com/' || n, '', 1 from e where not many)
+select n as answer, cast(row_number() over (partition by n order by o) - 1 as int) as position, title, url, summary, ns as n_sources, 'ai_search' as discovery_method from l"""
+
+
+def source_lookups(spark: SparkSession, d: str) -> DataFrame:
+    """The first five results of each candidate's quoted-title query, one an address."""
+    c = table(spark, d, "customer").select(F.concat(F.lit("https://p.example.com/"), _s("c_custkey")).alias("page"), F.concat(F.lit("立体库 "), _s("c_custkey")).alias("title"), F.col("c_custkey").alias("k"))
+    found = c.withColumn("position", F.explode(F.sequence(F.lit(0), (F.col("k") % 9).cast("int"))))
+    results = found.select(F.concat(F.lit('"'), "title", F.lit('" 官方 招标 采购 公告 企业采购平台 企业官网 最新公告')).alias("query"), "position", F.concat(F.lit("https://r.example.com/"), _s("k"), F.lit("/"), _s(F.floor(F.col("position") / 2)), F.when(F.col("position") % 2 == 1, "/").otherwise("")).alias("url"), F.concat(F.lit("r"), _s("position")).alias("title"))
+    return candidates.source_lookups(c, results).select("page", "position", "url", "title")
+
+
+LOOKUP_SQL = "with c as (select c_custkey as k, unnest(range(c_custkey % 9 + 1)) as p from customer) select 'https://p.example.com/' || k as page, cast(p as int) as position, 'https://r.example.com/' || k || '/' || (p // 2) as url, 'r' || p as title from c where p % 2 = 0 and p < 10"
+
+
 def cover_images(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     n = _s("event_id")
@@ -479,6 +547,9 @@ PAIRS = {
     "address_hops": (address_hops, HOPS_SQL),
     "address_counts": (address_counts, COUNTS_SQL),
     "history_matches": (history_matches, HISTORY_MATCH_SQL),
+    "candidate_plan": (candidate_plan, CANDIDATE_SQL),
+    "native_search": (native_search, NATIVE_SQL),
+    "source_lookups": (source_lookups, LOOKUP_SQL),
     "source_contract": (source_contract, CONTRACT_SQL),
     "source_stream": (source_stream, CONTRACT_SQL),
     "news_dates": (news_dates, NEWS_DATES_SQL),

@@ -203,17 +203,6 @@ def recent_candidates(snapshots: DataFrame, days: int = 3) -> DataFrame:
     return rows.select("day", *[T.text(c).alias(c) for c in ("title", "url", "summary", "source_name", "published")], F.coalesce("published_ts", F.lit(0.0)).alias("published_ts"), F.lit("existing").alias("discovery_method"), F.array(F.lit("existing_source")).alias("discovery_channels"))
 
 
-def search_candidates(landed: DataFrame, engine: DataFrame | None = None, most: int = 15, official: tuple[str, ...] = ("gov.cn", "ggzy.gov.cn", "cebpubservice.com")) -> DataFrame:
-    """Candidates of landed news searches (query, payload), ``most`` a query, and of an engine's rows (query, position, title, url, summary) under official hosts, ten a query."""
-    news = search_results(landed).where(F.col("_i") < most).select("query", F.col("_i").alias("position"), "title", "url", "summary", "source_name", "published_ts", F.lit("search").alias("origin"))
-    if engine is None:
-        return news
-    h = urls.host("url")
-    under = reduce(lambda a, b: a | b, [(h == d) | F.endswith(h, F.lit("." + d)) for d in official])
-    more = engine.where(under & (F.col("position") < 10)).select("query", "position", "title", "url", "summary", F.lit("").alias("source_name"), F.lit(0.0).alias("published_ts"), F.lit("engine").alias("origin"))
-    return news.unionByName(more)
-
-
 def enriched_candidates(candidates: DataFrame, documents: DataFrame, most: int = 60, least: float = 25.0) -> DataFrame:
     """Candidates (_ord, title, url, summary, published, ...) with the text of their page, for the first ``most`` that are relevant enough.
 
@@ -226,18 +215,21 @@ def enriched_candidates(candidates: DataFrame, documents: DataFrame, most: int =
     docs = docs.groupBy("_page").agg(F.min(F.struct("_text", "_odd")).alias("_doc"))
     rows = candidates.join(F.broadcast(chosen), "_ord", "left").withColumn("_page", F.when(F.col("_chosen"), urls.fetch_url("url"))).join(docs, "_page", "left")
     body = F.col("_doc._text")
-    stated = dates.body_publication(body)
-    meta = F.when(F.contains(T.text(body), F.lit("[网页发布元数据]")), F.regexp_extract(F.substring(body, 1, 600), "(20\\d{2}[-/.]\\d{1,2}[-/.]\\d{1,2})", 1)).otherwise("")
-    published = F.when(stated != "", stated).otherwise(meta)
-    read = body.isNotNull()
+
+    def dated(text: Column) -> Column:
+        meta = F.when(F.contains(T.text(text), F.lit("[网页发布元数据]")), F.regexp_extract(F.substring(text, 1, 600), "(20\\d{2}[-/.]\\d{1,2}[-/.]\\d{1,2})", 1)).otherwise("")
+        found = T._let(dates.body_publication(text), lambda s: F.when(s != "", s).otherwise(meta))
+        return T._let(found, lambda p: F.struct(p.alias("published"), facts.date_ts(p).alias("ts")))
+
+    told = rows.withColumns({"_told": dated(body), "_read": body.isNotNull()})
+    read, new = F.col("_read"), F.col("_read") & (F.col("_told.ts") != 0)
     old = lambda c, v: F.col(c) if c in candidates.columns else F.lit(v)
-    return rows.withColumns({
+    return told.withColumns({
         "content": F.when(read, F.substring(body, 1, 8000)).otherwise(old("content", "")), "verified_url": F.when(read, F.col("_page")).otherwise(old("verified_url", "")),
         "content_hash": F.when(read & (F.col("_doc._odd") == 0), T.signature(body)).when(read, "").otherwise(old("content_hash", "")),
-        "published": F.when(read & (published != "") & (facts.date_ts(published) != 0), published).otherwise(F.col("published")),
-        "published_ts": F.when(read & (published != "") & (facts.date_ts(published) != 0), facts.date_ts(published)).otherwise(F.col("published_ts")),
+        "published": F.when(new, F.col("_told.published")).otherwise(F.col("published")), "published_ts": F.when(new, F.col("_told.ts")).otherwise(F.col("published_ts")),
         "summary": F.when(read & (T.text("summary") == ""), F.concat(F.substring(body, 1, 260), F.when(F.length(body) > 260, "…").otherwise(""))).otherwise(F.col("summary")),
-    }).drop("_chosen", "_page", "_doc")
+    }).drop("_chosen", "_page", "_doc", "_told", "_read")
 
 
 def page_links(html_pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id", pattern: str = "") -> DataFrame:
