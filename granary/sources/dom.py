@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
@@ -12,6 +13,9 @@ SIBLINGS = {"li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": (
 WALLS = frozenset("ul ol table dl div section article body html".split())
 
 
+_SPACE = re.compile(r"\s+")
+
+
 class Node:
     __slots__ = ("tag", "attributes", "parent", "children", "raw")
 
@@ -89,6 +93,39 @@ def parse(html: str | None) -> Node:
     return builder.root
 
 
+def short_texts(root: Node, most: int) -> dict[int, str | None]:
+    """For each element below, by ``id``, its text with white space collapsed if that has fewer than ``most`` characters, else None.
+
+    Texts are put together from the leaves up, so that a page costs its size, however deep it is.
+    """
+    held: dict[int, str | None] = {}  # with a space at an end where white space stands there
+    order = [root]
+    for node in order:
+        order.extend(c for c in node.children if isinstance(c, Node))
+    for node in reversed(order):
+        parts, size = [], 0
+        for child in node.children:
+            text = _SPACE.sub(" ", child) if isinstance(child, str) else held[id(child)]
+            size += most + 2 if text is None else len(text) - text.count(" ")
+            if size >= most:
+                break
+            parts.append(text)
+        held[id(node)] = None if size >= most else _SPACE.sub(" ", "".join(parts))
+    return {k: v.strip(" ") if v is not None and len(v.strip(" ")) < most else None for k, v in held.items()}
+
+
+def below(root: Node, *tags: str) -> set[int]:
+    """The ``id`` of all nodes that lie in an element of ``tags``."""
+    found, todo = set(), [(root, False)]
+    while todo:
+        node, inside = todo.pop()
+        if inside:
+            found.add(id(node))
+        inside = inside or node.tag in tags
+        todo.extend((c, inside) for c in node.children if isinstance(c, Node))
+    return found
+
+
 def joined(base: str, href: str) -> str:
     """Absolute address of a link; empty if either is no address."""
     try:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, facts, urls
 from ..functions import text as T
-from .dom import Node, joined, parse, split
+from .dom import Node, below, joined, parse, short_texts, split
 
 # Names under which pages publish their dates, and the words and limits of the readers.
 DATE_META = ("article:published_time", "datepublished", "publishdate", "pubdate")
@@ -76,12 +76,13 @@ def metadata(html: str | None, url: str) -> tuple[str, str, str, list[str]]:
     title = _flat(" ".join(named("og:title"))) or _flat(" ".join(n.text() for n in root.nodes("h1")))
     found = [v for k, v in metas if k.lower() in DATE_META] + [d for n in root.nodes("script") if _is_json_ld(n) for d in linked_dates(_raw_text(n))]
     if not found:
-        found = [n.get("datetime") for n in root.nodes("time") if n.get("datetime") and not n.inside("a")]
+        linked, texts = below(root, "a"), short_texts(root, 80)
+        found = [n.get("datetime") for n in root.nodes("time") if n.get("datetime") and id(n) not in linked]
         for n in root.nodes():
             classes = n.get("class")
-            if ("time" in classes.lower() or "date" in classes.lower() or "publish" in classes) and n.tag not in ("script", "style") and not n.inside("a"):
-                value = n.text()
-                if len(value) < 80 and FULL.search(value):
+            if ("time" in classes.lower() or "date" in classes.lower() or "publish" in classes) and n.tag not in ("script", "style") and id(n) not in linked:
+                value = texts[id(n)]
+                if value is not None and FULL.search(value):
                     found.append(value)
     summary = body_text(root)
     if title and summary.startswith(title):
@@ -127,20 +128,37 @@ def pdf_links(base: str, html: str | None) -> list[str]:
     return list(dict.fromkeys(u for u in found if (p := split(u)) and p.path.lower().endswith(".pdf")))
 
 
-def _card(anchor: Node, base: str, url: str) -> Node:
-    """The largest element around a link, up to four levels, that holds no other titled link and little text."""
-    card = anchor
-    for _ in range(4):
-        around = card.parent
-        if around is None or around.tag in ("body", "html", "main", "nav"):
-            break
-        others = {joined(base, a.get("href")) for a in around.nodes("a") if a.get("href") and "tags" not in a.get("href") and len(_flat(a.get("title")) or a.text()) >= 8}
-        if others - {url} or len(around.text()) > 1800:
-            break
-        card = around
-        if card.tag in ("li", "article"):
-            break
-    return card
+class _Cards:
+    """The elements around a page's links. What is known of an element is kept, so that a block of many links is looked at once."""
+
+    def __init__(self, root: Node, base: str):
+        self._base, self._short, self._links = base, short_texts(root, 1801), {}
+
+    def _titled(self, around: Node) -> set[str]:
+        """Up to two addresses of titled links below."""
+        if id(around) not in self._links:
+            found: set[str] = set()
+            for a in around.nodes("a"):
+                if a.get("href") and "tags" not in a.get("href") and len(_flat(a.get("title")) or a.text()) >= 8:
+                    found.add(joined(self._base, a.get("href")))
+                    if len(found) == 2:
+                        break
+            self._links[id(around)] = found
+        return self._links[id(around)]
+
+    def of(self, anchor: Node, url: str) -> Node:
+        """The largest element around a link, up to four levels, that holds no other titled link and little text."""
+        card = anchor
+        for _ in range(4):
+            around = card.parent
+            if around is None or around.tag in ("body", "html", "main", "nav"):
+                break
+            if self._titled(around) - {url} or self._short[id(around)] is None:
+                break
+            card = around
+            if card.tag in ("li", "article"):
+                break
+        return card
 
 
 def _card_dates(card: Node) -> list[str]:
@@ -164,7 +182,7 @@ def listing(base: str, html: str | None, pattern: str = "", most: int = 120) ->
     for n in list(root.nodes("script", "style", "nav", "footer")):
         n.children, n.tag = [], "gone"
     wanted = re.compile(pattern, re.I) if pattern else None
-    seen, out = set(), []
+    seen, out, cards = set(), [], _Cards(root, base)
     for a in root.nodes("a"):
         href = a.get("href")
         url = joined(base, href) if href else ""
@@ -180,7 +198,7 @@ def listing(base: str, html: str | None, pattern: str = "", most: int = 120) ->
         if not 8 <= len(title) <= 180 or "{{" in title:
             continue
         seen.add(url)
-        card = _card(a, base, url)
+        card = cards.of(a, url)
         summary = next((n.text() for n in card.nodes() if any(x in n.get("class") for x in SUMMARY_CLASSES)), "")
         if not summary and title == a.text():
             title = re.sub(r"^20\d{2}[-/年]\d{1,2}[-/月]\d{1,2}(?:日)?\s*", "", title)
