@@ -189,6 +189,30 @@ def near_leaders(spark: SparkSession, d: str) -> DataFrame:
     return dedup.leaders_national(a).select("_ord", "_place")
 
 
+def event_leaders(spark: SparkSession, d: str) -> DataFrame:
+    """Award stories under pages of their own: one stays of each event, told by subject, amount, version, three days, regions and identifiers. Decided in rounds."""
+    k, day = F.col("o_orderkey"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).cast("double")
+    pick = lambda n, *words: F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
+    a = table(spark, d, "orders").select(
+        k.alias("_ord"), F.concat(F.lit("甲"), (F.col("o_custkey") % 60).cast("string"), F.lit("公司中标"), pick(k, "100", "1,00", "0.01"), pick(k, "万元", "万元", "亿元"), pick(k, "", "江苏", "广东", "江苏"), pick(F.floor(k / 5), "项目", "项目", "项目二次")).alias("title"),
+        F.concat(F.lit("摘要 "), pick(F.floor(k / 3), "", "项目编号：AB-1001", "项目编号：CD-2002", "")).alias("summary"), F.concat(F.lit("https://n.example.com/"), k.cast("string")).alias("url"), pick(k, "official", "", "aggregator").alias("source_kind"), F.lit("n.example.com").alias("source_domain"),
+        (F.floor(day / 86_400 / 30) * 86_400 + k % 86_400 + 1.7e9).alias("published_ts"), ((k % 7) / 10).alias("quality_score"),
+    )
+    return dedup.leaders_national(a, finish=4000).select("_ord", "title")
+
+
+EVENT_SQL = """
+with recursive e as (select o_orderkey as k, '甲' || (o_custkey % 60) || '公司' as subject, o_orderkey // 5 % 3 = 2 as again, ['', '江苏', '广东', '江苏'][o_orderkey % 4 + 1] as region, ['', 'AB-1001', 'CD-2002', ''][o_orderkey // 3 % 4 + 1] as id, floor(epoch(o_orderdate) / 86400 / 30) * 86400 + o_orderkey % 86400 + 1.7e9 as ts,
+  ['100', '1,00', '0.01'][o_orderkey % 3 + 1] || ['万元', '万元', '亿元'][o_orderkey % 3 + 1] as money from orders),
+o as (select *, row_number() over (partition by subject, again order by k % 3 <> 0, (k % 7) desc, k) as n from e),
+walk as (select subject, again, cast(0 as bigint) as n, cast([] as struct(t double, r varchar, i varchar)[]) as kept, cast(null as bigint) as k, false as stays from (select distinct subject, again from e)
+  union all
+  select o.subject, o.again, o.n, case when g.goes then w.kept else list_append(w.kept, {'t': cast(o.ts as double), 'r': o.region, 'i': o.id}) end, o.k, not g.goes
+  from walk w join o on o.subject = w.subject and o.again = w.again and o.n = w.n + 1,
+  lateral (select len(list_filter(w.kept, lambda x: abs(x.t - o.ts) <= 259200 and (x.r = '' or o.region = '' or x.r = o.region) and (x.i = '' or o.id = '' or x.i = o.id))) > 0 as goes) g)
+select walk.k as _ord, e.subject || '中标' || e.money || e.region || case when e.again then '项目二次' else '项目' end as title from walk join e on e.k = walk.k where stays"""
+
+
 def overlap_leaders(spark: SparkSession, d: str) -> DataFrame:
     return dedup.leaders_overlap(articles(spark, d)).select("_ord", "title")
 
@@ -565,6 +589,7 @@ PAIRS = {
     "national_selection": (national_selection, None),
     "national_by_page": (national_by_page, NATIONAL_SQL),
     "near_leaders": (near_leaders, None),
+    "event_leaders": (event_leaders, EVENT_SQL),
     "overlap_leaders": (overlap_leaders, OVERLAP_SQL),
     "scope_reasons": (scope_reasons, SCOPE_SQL),
     "dedup_url_first": (dedup_url_first, f"with a as ({ARTICLES_SQL}) select _ord, url, title from a qualify row_number() over (partition by url order by _ord) = 1"),
