@@ -24,16 +24,24 @@ def match(items: DataFrame, index: DataFrame) -> DataFrame:
     """(_ord, index_ord): an equal project_key wins, else the first index row with a page or title in common.
 
     Both sides have project_key, title, owner, city and pages (array); index rows are ordered by index_ord. Rows whose
-    known owners or cities differ do not match by page or title. Three equi-joins replace the disjunction.
+    known owners or cities differ do not match by page or title. An index row is posted under its key, pages and title, with its owner and city and
+    for any; of the rows at one place only the first counts, so an item meets as many rows as it has places and not all that share a page with it.
     """
-    i = items.select("_ord", "project_key", T.identity("title").alias("tid"), T.text("owner").alias("owner"), T.text("city").alias("city"), "pages")
-    x = index.select("index_ord", F.col("project_key").alias("xkey"), T.identity("title").alias("xtid"), T.text("owner").alias("xowner"), T.text("city").alias("xcity"), F.col("pages").alias("xpages"))
-    by_key = i.join(x, F.col("project_key") == F.col("xkey")).select("_ord", "index_ord", F.lit(0).alias("rank"))
-    clash = lambda a, b: (F.col(a) != "") & (F.col(b) != "") & (F.col(a) != F.col(b))
-    fits = ~clash("owner", "xowner") & ~clash("city", "xcity")
-    by_page = i.withColumn("page", F.explode("pages")).join(x.withColumn("xpage", F.explode("xpages")), F.col("page") == F.col("xpage")).where(fits).select("_ord", "index_ord", F.lit(1).alias("rank"))
-    by_title = i.join(x, F.col("tid") == F.col("xtid")).where(fits).select("_ord", "index_ord", F.lit(1).alias("rank"))
-    found = by_key.unionByName(by_page).unionByName(by_title)
+    everyone = F.lit("*")
+    named = lambda c: F.concat(F.lit("="), T.text(c))
+    near = F.concat(F.array(F.concat(F.lit("title "), T.identity("title"))), F.transform(F.coalesce("pages", F.array().cast("array<string>")), lambda p: F.concat(F.lit("page "), p)))
+
+    def places(rows: DataFrame, ordinal: str, who) -> DataFrame:  # noqa: ANN001
+        """Places of rows: rank, token, owner and city; ``who`` gives the owners or cities that a row stands for."""
+        by_key = rows.select(ordinal, F.lit(0).alias("rank"), F.concat(F.lit("key "), F.col("project_key")).alias("token"), everyone.alias("o"), everyone.alias("c"))
+        others = rows.select(ordinal, F.lit(1).alias("rank"), F.array_distinct(near).alias("tokens"), who("owner").alias("os"), who("city").alias("cs"))
+        others = others.select(ordinal, "rank", "os", "cs", F.explode("tokens").alias("token")).select(ordinal, "rank", "token", "cs", F.explode("os").alias("o")).select(ordinal, "rank", "token", "o", F.explode("cs").alias("c"))
+        return by_key.unionByName(others).where("token is not null")
+
+    asked = places(items, "_ord", lambda c: F.when(T.text(c) == "", F.array(everyone)).otherwise(F.array(F.lit("="), named(c))))
+    posted = places(index, "index_ord", lambda c: F.array(everyone, named(c)))
+    first = posted.groupBy("token", "o", "c").agg(F.min("index_ord").alias("index_ord"))
+    found = asked.join(first, ["token", "o", "c"])
     best = found.groupBy("_ord").agg(F.min(F.struct("rank", "index_ord")).alias("m"))
     return best.select("_ord", "m.index_ord")
 
