@@ -23,7 +23,8 @@ EXPIRY_KEYS = ("expiry", "expire", "expires_at", "expiry_time", "expire_time", "
 
 
 def day(ts: Column) -> Column:
-    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor((ts + ZONE) / 86400).cast("int")).cast("string")
+    """yyyy-MM-dd in UTC+8; years of five digits have no sign."""
+    return F.ltrim(F.date_add(F.lit("1970-01-01").cast("date"), F.floor((ts + ZONE) / 86400).cast("int")).cast("string"), F.lit("+"))
 
 
 def _epoch(year: Column, month: Column, date: Column, hour: Column | None = None, minute: Column | None = None, second: Column | None = None) -> Column:
