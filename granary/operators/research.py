@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -115,55 +114,92 @@ TITLE_MARKS = "(?U)[\\s，。、“”‘’！？：；,.!?;:·\\-_/（）()\\[
 NEAR_TIMES = ((86400.0, 0.2), (3 * 86400.0, 0.1))
 
 
-def title_letters(title: str, frequent: dict[str, int], least: float) -> tuple[list[str], list[str]]:
-    """(some, all): a title's numbered characters, and those of which two titles of ratio ``least`` share one.
-
-    They match in r (a + b) / 2 characters at least, b being r / (2 - r) a at least; so the first a - c + 1 of a's characters, in one order for all, meet.
-    """
-    seen: Counter = Counter()
-    every = []
-    for c in title:
-        seen[c] += 1
-        every.append(f"{c}{seen[c]}")
-    a = len(title)
-    need = max(1, int(np.ceil(least * (a + np.ceil(a * least / (2 - least) - 1e-9)) / 2 - 1e-9)))
-    every.sort(key=lambda t: (frequent.get(t[0], -1), t))
-    return every[: max(0, a - need + 1)], every
+#: Rows of a target block and of a history block; cells of a matrix of titles.
+TARGETS, POSTS, CELLS = 4096, 8192, 1 << 22
+
+
+class _Letters:
+    """Titles as matrices of letters, those of like length together, for an upper bound of what another title shares with each of them."""
+
+    def __init__(self, titles: list[str]):
+        self.lengths = np.array([len(t) for t in titles], np.int64)
+        self.parts, order, at = [], np.argsort(self.lengths, kind="stable"), 0
+        while at < len(order):
+            n = max(1, CELLS // max(1, int(self.lengths[order[min(at + CELLS // max(1, int(self.lengths[order[at]])), len(order)) - 1]])))
+            rows = order[at : at + n]
+            width = max(1, int(self.lengths[rows].max()))
+            codes = np.frombuffer("".join(titles[i].ljust(width, "\0") for i in rows).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(rows), width)
+            letters, ids = np.unique(codes, return_inverse=True)
+            self.parts.append((rows, {chr(c): i for i, c in enumerate(letters)}, np.ascontiguousarray(ids.reshape(codes.shape).T)))
+            at += len(rows)
+
+    def shared(self, title: str) -> np.ndarray:
+        """Length of the longest common subsequence with each title, at least; of more than 64 characters the parts' sum. Blocks that match are one."""
+        out = np.zeros(len(self.lengths), np.int64)
+        for rows, letters, ids in self.parts:
+            for i in range(0, len(title), 64):
+                piece = title[i : i + 64]
+                masks = np.zeros(len(letters), np.uint64)
+                for k, c in enumerate(piece):
+                    if c in letters:
+                        masks[letters[c]] |= np.uint64(1 << k)
+                free = np.full(len(rows), (1 << 64) - 1, np.uint64)
+                for column in ids:
+                    met = free & masks[column]
+                    free = (free + met) | (free - met)
+                out[rows] += np.bitwise_count(~free & np.uint64((1 << len(piece)) - 1))
+        return np.minimum(out, np.minimum(self.lengths, len(title)))
+
+
+def _closest(targets: pd.DataFrame, posts: pd.DataFrame, least: float) -> Iterator[tuple]:
+    """(_ord, score, position, url) of the best post of each target that has one; posts are compared from the highest bound down, as long as one can win."""
+    if not len(posts):
+        return
+    posts = posts.sort_values("position", kind="stable")
+    titles, places, addresses, times = posts["h"].tolist(), posts["position"].tolist(), posts["url"].tolist(), posts["hts"].to_numpy(np.float64)
+    letters = _Letters(titles)
+    for o, t, ts in zip(targets["_ord"].tolist(), targets["t"].tolist(), targets["ts"].to_numpy(np.float64)):
+        bonus = np.zeros(len(titles))
+        if ts > 0:
+            for seconds, x in reversed(NEAR_TIMES):
+                bonus[(times > 0) & (np.abs(times - ts) <= seconds)] = x
+        bound = 2 * letters.shared(t) / (len(t) + letters.lengths) + bonus
+        able = np.flatnonzero(bound >= least - 1e-9)
+        best, at = least, -1
+        for i in able[np.argsort(-bound[able], kind="stable")].tolist():
+            if bound[i] < best - 1e-9:
+                break
+            score = SequenceMatcher(None, t, titles[i]).ratio() + float(bonus[i])
+            if score > best or (score == best and (at < 0 or i < at)):
+                best, at = score, i
+        if at >= 0:
+            yield o, best, places[at], addresses[at]
 
 
 def history_titles(targets: DataFrame, history: DataFrame, least: float = 0.62) -> DataFrame:
     """(_ord, url): the account's article whose title is most like the target's, with a bonus for near times; the first of equals wins.
 
-    Targets (account, _ord, title, published_ts) and history (account, position, title, published_ts, url) meet by rare characters of their titles:
-    a score of ``least`` needs a ratio that leaves only so many characters unshared, bonus deducted. Pairs are then held against the exact bound by all
-    characters and the times, and only what passes is compared. No account's titles are put in one group.
+    Targets (account, _ord, title, published_ts) and history (account, position, title, published_ts, url). A loose ratio leaves nearly all pairs of an
+    account possible, so pairs are never rows: an account's targets and history are dealt into blocks by a hash, each block of targets meets each block of
+    history in a task, and what leaves it is one row a target. There a bound over the whole block tells whom to compare. Rows travel once for each
+    block of the other side; an account's comparisons, by the bound, grow with targets times history.
     """
     plain = F.regexp_replace(F.lower(F.trim(T.text("title"))), TITLE_MARKS, "")
-    a = targets.select("account", "_ord", plain.alias("t"), F.col("published_ts").alias("ts")).where("t <> ''")
-    b = history.select("account", "position", plain.alias("h"), F.col("published_ts").alias("hts"), "url").where("h <> ''")
-    letters = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substr(c, i, F.lit(1)))
-    top = b.select(F.explode(letters(F.col("h"))).alias("c")).groupBy("c").count().orderBy(F.desc("count"), "c").limit(4096).collect()  # bounded; order decides speed only
-    frequent = {r["c"]: i for i, r in enumerate(reversed(top))}
-    ratio = least - max(bonus for _, bonus in NEAR_TIMES)
-
-    @F.pandas_udf("struct<some:array<string>,every:array<string>>")
-    def lettered(titles: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([title_letters(t, frequent, ratio) for t in titles], columns=["some", "every"])
-
-    @F.pandas_udf("double")
-    def likeness(old: pd.Series, title: pd.Series, bonus: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, t, o).ratio() + x for o, t, x in zip(old, title, bonus)], dtype="float64")
-
-    asks = a.withColumn("l", lettered("t")).select("account", "_ord", "t", "ts", F.col("l.every").alias("te"), F.explode("l.some").alias("token"))
-    posts = b.withColumn("l", lettered("h")).select("account", "position", "h", "hts", "url", F.col("l.every").alias("he"), F.explode("l.some").alias("token"))
-    met = asks.join(posts, ["account", "token"]).select("_ord", "t", "ts", "te", "position", "h", "hts", "he", "url").dropDuplicates(["_ord", "position", "url"])
-    apart = F.when((F.col("ts") > 0) & (F.col("hts") > 0), F.abs(F.col("ts") - F.col("hts")))
-    bonus = F.coalesce(*[F.when(apart <= seconds, F.lit(x)) for seconds, x in NEAR_TIMES], F.lit(0.0))
-    sizes = F.length("t") + F.length("h")
-    reach = lambda shared: 2 * shared / sizes + F.col("bonus") >= least - 1e-9
-    near = met.withColumn("bonus", bonus).where(reach(F.least(F.length("t"), F.length("h")))).where(reach(F.size(F.array_intersect("te", "he"))))
-    scored = near.withColumn("score", likeness("h", "t", "bonus")).where(F.col("score") >= least)
-    best = scored.groupBy("_ord").agg(F.max_by(F.struct("url"), F.struct("score", -F.col("position"))).alias("m"))
+    a = targets.select("account", "_ord", plain.alias("t"), F.col("published_ts").cast("double").alias("ts")).where("t <> '' and account is not null")
+    b = history.select("account", "position", plain.alias("h"), F.col("published_ts").cast("double").alias("hts"), "url").where("h <> '' and account is not null")
+    blocks = lambda df, size, name: df.groupBy("account").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    sizes = blocks(a, TARGETS, "na").join(blocks(b, POSTS, "nb"), "account")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = a.join(sizes, "account").withColumn("x", F.pmod(F.xxhash64("_ord"), "na").cast("int")).withColumn("y", every("nb")).select("account", "x", "y", "_ord", "t", "ts")
+    posts = b.join(sizes, "account").withColumn("y", F.pmod(F.xxhash64("position", "url"), "nb").cast("int")).withColumn("x", every("na")).select("account", "x", "y", "position", "h", "hts", "url")
+    kinds = dict(asks.dtypes) | dict(posts.dtypes)
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(list(_closest(left, right, least)), columns=["_ord", "score", "position", "url"])
+
+    keys = ["account", "x", "y"]
+    found = asks.groupBy(*keys).cogroup(posts.groupBy(*keys)).applyInPandas(compare, f"_ord {kinds['_ord']}, score double, position {kinds['position']}, url string")
+    best = found.groupBy("_ord").agg(F.max_by(F.struct("url"), F.struct("score", -F.col("position"))).alias("m"))
     return best.select("_ord", "m.url")
 
 
