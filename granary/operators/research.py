@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import facts, urls
 from ..functions import text as T
 from ..functions.urls import host
+from ..tables import dealt
 
 # Words that make a page worth reading first, and the terms a search is built from.
 PAGE_TERMS = ("预算", "截止", "采购人", "技术规格", "堆垛机", "WMS", "澄清")
@@ -246,10 +247,13 @@ def lookup_query(title: Column | str) -> Column:
 
 
 def found_sources(results: DataFrame, most: int = 5) -> DataFrame:
-    """The first ``most`` results of each candidate's search (project_key, position, url, ...), one an address but for a closing slash."""
+    """The first ``most`` results of each candidate's search (project_key, position, url, ...), one an address but for a closing slash.
+
+    Both windows run on one deal of the rows by project_key, in tasks of a bounded number of rows.
+    """
     page = F.regexp_replace(F.trim(T.text("url")), "/+$", "")
     first = Window.partitionBy("project_key", "_page").orderBy("position")
-    rows = results.withColumn("_page", page).where("_page <> ''").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_page")
+    rows = dealt(results, "project_key").withColumn("_page", page).where("_page <> ''").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_page")
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy("project_key").orderBy("position"))).where(F.col("_n") <= most).drop("_n")
 
 

@@ -103,6 +103,6 @@ def source_lookups(candidates: DataFrame, results: DataFrame, most: int = 5) ->
     title) of its quoted-title query, one an address but for a closing slash."""
     from ..operators import research
 
-    asked = candidates.select("page", research.lookup_query("title").alias("query"))
+    asked = candidates.select("page", research.lookup_query("title").alias("query")).hint("merge")  # like texts make small files, which look fit for a broadcast
     found = research.found_sources(results.withColumnRenamed("query", "project_key"), most).withColumnRenamed("project_key", "query")
     return asked.join(found, "query").select("page", "query", "position", "url", "title")
