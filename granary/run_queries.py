@@ -14,7 +14,7 @@ from .plans import news, opportunities
 from .queries import LIMITS, LOCAL_REGIONS, RULES
 from .sources import sinks
 from .streaming import machines, states
-from .tables import scratch
+from .tables import numbered, scratch
 
 
 def _s(x: str | Column) -> Column:
@@ -230,7 +230,7 @@ select cast(position as int) as position, channel, status, cast(length(q || ' 
 
 def research_waves(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
-    rows = o.withColumn("rank", F.row_number().over(Window.orderBy("o_orderkey"))).select("rank", _pick(F.col("rank"), "A", "WATCH").alias("priority"), (F.col("rank") % 3 != 0).alias("verified"))
+    rows = numbered(o.select("o_orderkey"), "rank", "o_orderkey").select(F.col("rank").cast("int").alias("rank"), _pick(F.col("rank"), "A", "WATCH").alias("priority"), (F.col("rank") % 3 != 0).alias("verified"))
     return budgets.waves(rows, budgets.Settings(hard=600, wave=60, target=55)).select("rank", "wave", "researched")
 
 

@@ -23,3 +23,12 @@ def test_lookups_are_dealt_by_rows_and_never_broadcast(spark, monkeypatch):
     assert sorted((r.page, r.position) for r in out.collect()) == sorted((f"p{i}", p) for i in range(40) for p in (0, 2))
     plan = _plan(out)
     assert "BroadcastHashJoin" not in plan and re.search(r"hashpartitioning\([^)]*, 13\), REPARTITION_BY_NUM", plan)
+
+
+def test_rows_are_numbered_without_a_task_that_holds_all(spark, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS", 10)
+    rows = spark.range(95).select((F.col("id") * 37 % 95).alias("k"))
+    out = tables.numbered(rows, "rank", "k")
+    assert [(r.k, r["rank"]) for r in out.orderBy("rank").collect()] == [(k, k + 1) for k in range(95)]
+    assert out.inputFiles() and len(out.inputFiles()) > 5
+    assert tables.numbered(rows.where("k < 0"), "rank", "k").count() == 0
