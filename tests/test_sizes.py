@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from granary import tables
 from granary.plans import candidates
+from granary.sources import pages
 
 
 def _plan(df) -> str:  # noqa: ANN001
@@ -32,3 +33,11 @@ def test_rows_are_numbered_without_a_task_that_holds_all(spark, monkeypatch):
     assert [(r.k, r["rank"]) for r in out.orderBy("rank").collect()] == [(k, k + 1) for k in range(95)]
     assert out.inputFiles() and len(out.inputFiles()) > 5
     assert tables.numbered(rows.where("k < 0"), "rank", "k").count() == 0
+
+
+def test_cover_cuts_a_page_once(spark):
+    late = "x" * 49_990 + '<meta property="og:image" content="late"/>'
+    html = [None, "", '<meta property="og:image" content=" "/>var msg_cdn_url = "c"', '<meta property="og:image"  content="i"/>', late, "é" * 49_900 + '<meta property="og:image" content="in"/>' + "é" * 99, 'var msg_cdn_url="d"' + late]
+    out = spark.createDataFrame([(i, h) for i, h in enumerate(html)], "i int, html string").select("i", pages.cover("html").alias("c"))
+    assert [r.c for r in out.orderBy("i").collect()] == ["", "", "c", "i", "", "in", "d"]
+    assert _plan(out).count("substring(") <= 2  # once in the tree, once in the list of nodes
