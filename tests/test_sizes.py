@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from granary import tables
+from granary.operators import verify
 from granary.plans import candidates
 from granary.sources import pages
 
@@ -41,3 +42,13 @@ def test_cover_cuts_a_page_once(spark):
     out = spark.createDataFrame([(i, h) for i, h in enumerate(html)], "i int, html string").select("i", pages.cover("html").alias("c"))
     assert [r.c for r in out.orderBy("i").collect()] == ["", "", "c", "i", "", "in", "d"]
     assert _plan(out).count("substring(") <= 2  # once in the tree, once in the list of nodes
+
+
+def test_attachments_are_matched_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(verify, "stored", lambda df, folder, name: kept.append(name) or tables.stored(df, folder, name))
+    parents = spark.createDataFrame([("https://a.example.com/1", ["https://A.example.com/x.pdf#p", "https://a.example.com/y.pdf", "https://a.example.com/z.pdf"], ["old"])], "url string, attachment_urls array<string>, risk_flags array<string>")
+    fetched = spark.createDataFrame([("https://a.example.com/x.pdf", "text", "")], "url string, text string, failure string")
+    read, told = verify.attachments(parents, fetched)
+    assert [(r.url, r.parent_url, r.text) for r in read.collect()] == [("https://a.example.com/x.pdf", "https://a.example.com/1", "text")]
+    assert [r.risk_flags for r in told.collect()] == [["old", "attachment_unavailable"]] and kept == ["attachments"]
