@@ -75,7 +75,7 @@ def ranked(items: DataFrame, now: float, year: int, limit: int = 5, profile: L.C
     drop = F.when(F.col("_reason") != "", F.col("_reason")).when(F.col("priority") == "DROP", "low_priority").otherwise("")
     latest = latest.withColumns({"_reason": drop, "final_score": score.capped(F.col("final_score"), F.col("_preview"), undated), "risk_flags": flagged(undated, "published_date_not_verified")})
     latest = latest.withColumn("priority", F.when(undated & (F.col("_reason") == ""), "WATCH").otherwise(F.col("priority")))
-    judged = latest.withColumn("needs_report", filters.needs_report()).drop("_preview", "_tier")
+    judged = stored(latest.withColumn("needs_report", filters.needs_report()).drop("_preview", "_tier"), scratch(items.sparkSession), "judged")  # judged once, for what is shown and what is not
     shown = select.final_ranking(judged.where("_reason = ''"), limit, by)
     out = judged.where("_reason <> ''").withColumns({"place": F.lit(None).cast("int"), "drop_reason": F.col("_reason")})
     return shown.unionByName(out).drop("_reason", "_turn")

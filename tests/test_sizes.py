@@ -6,9 +6,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from granary import tables
+from granary import run_queries, tables
 from granary.operators import verify
-from granary.plans import candidates
+from granary.plans import candidates, opportunities
 from granary.sources import pages
 
 
@@ -52,3 +52,11 @@ def test_attachments_are_matched_once(spark, monkeypatch):
     read, told = verify.attachments(parents, fetched)
     assert [(r.url, r.parent_url, r.text) for r in read.collect()] == [("https://a.example.com/x.pdf", "https://a.example.com/1", "text")]
     assert [r.risk_flags for r in told.collect()] == [["old", "attachment_unavailable"]] and kept == ["attachments"]
+
+
+def test_projects_are_judged_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(opportunities, "stored", lambda df, folder, name: kept.append(name) or tables.stored(df, folder, name))
+    out = run_queries.opportunity_ranking(spark, "/root/testdata/sf0.001")
+    assert kept == ["judged"]
+    assert out.groupBy("project_key").count().where("count > 1").count() == 0
