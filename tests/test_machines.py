@@ -106,3 +106,24 @@ def test_warnings_fall_due_between_checks(spark, tmp_path):
     assert sorted(r for r in got if r[1] is not None) == batch
     rest = sorted((r[0], r[2]) for r in got if r[1] is None)
     assert rest == [("a", 3.0), ("b", 3.0), ("c", 3.0), ("c", 12.0)]
+
+
+def test_many_keys_share_the_state_of_a_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(machines, "BUCKETS", 4)
+    rng = random.Random(9)
+    rows = [(rng.choice([None, *range(200)]), i, 1_000_000.0 + i * HOUR / 7, rng.choice([0, 0, 3]), rng.choice([0, 0, 1]), 1_000_000.0 + (i - rng.choice([1, 500])) * HOUR / 7) for i in range(2_000)]
+    schema = "key long, seq long, ts double, n_good int, n_failed int, newest_ts double"
+    calls = spark.sparkContext.accumulator(0)
+    plain = machines._Processor.handleInputRows
+
+    class Counted(machines._Processor):
+        def handleInputRows(self, key, rows, timerValues):  # noqa: ANN001, ANN202, N802, N803
+            calls.add(1)
+            yield from plain(self, key, rows, timerValues)
+
+    monkeypatch.setattr(machines, "_Processor", Counted)
+    got = streamed(spark, rows, schema, lambda df: machines.feed_health(df, silence=12.0), tmp_path, batches=2)
+    want = [(r.key, r.seq, r.ts, r.alert) for r in states.feed_health(spark.createDataFrame(rows, schema), silence=12.0).collect()]
+    order = lambda r: r[1]
+    assert sorted((r for r in got if r[1] is not None), key=order) == sorted(want, key=order) and len({r[3] for r in want}) == 4
+    assert 0 < calls.value <= 2 * 5  # two micro-batches, four buckets and that of null keys; before, once a key
