@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions import urls
 from ..operators import classify, dedup, filters, score, select
 from ..sources import discovery
+from ..tables import scratch, stored
 
 
 def national(articles: DataFrame, now: float, year: int, rules: L.NewsRules = L.NewsRules(), limits: L.Limits = L.Limits(), near: bool = True, scope: list[str] | None = None) -> DataFrame:
@@ -34,10 +35,16 @@ def _scored(kept: DataFrame, now: float, regions: tuple[str, ...]) -> DataFrame:
     return marked.withColumn("score", score.article_score(now, F.col("demand_signal"), F.col("vendor_hit"), F.col("bidding_hit"), T.any_of(T.text("source_name"), L.TRUSTED))).drop("bidding_hit")
 
 
+def _others(rows: DataFrame, now: float, regions: tuple[str, ...]) -> DataFrame:
+    """Rows outside the national scope that filters and near titles leave, scored. Both tables are written: titles and texts are looked at once, however often rows are asked for."""
+    folder = scratch(rows.sparkSession)
+    kept = dedup.leaders_overlap(filters.filter_relevant(stored(rows, folder, "articles"), regions))
+    return stored(_scored(kept, now, regions), folder, "scored")
+
+
 def other_scope(articles: DataFrame, now: float, count: int, regions: tuple[str, ...] = ()) -> DataFrame:
     """Filter, drop near titles, score with the demand signal, and take turns between sources."""
-    kept = dedup.leaders_overlap(filters.filter_relevant(articles, regions))
-    return select.round_robin(_scored(kept, now, regions), count, now)
+    return select.round_robin(_others(articles, now, regions), count, now)
 
 
 def pool(df: DataFrame, scope: str) -> DataFrame:
@@ -64,8 +71,7 @@ def _selected(scored: DataFrame, scope: str, now: float, limits: L.Limits, fallb
 def whole_day(articles: DataFrame, now: float, year: int, regions: tuple[str, ...] = (), rules: L.NewsRules = L.NewsRules(), limits: L.Limits = L.Limits()) -> DataFrame:
     """The day's four selections together, newest first: national, local, discover and accounts. Column ``page`` tells which."""
     first = national(by_scope(articles, "national"), now, year, rules, limits)
-    kept = dedup.leaders_overlap(filters.filter_relevant(articles.where(~classify.is_national("region_scope")), regions))
-    scored = _scored(kept, now, regions)
+    scored = _others(articles.where(~classify.is_national("region_scope")), now, regions)
     parts = [first.withColumn("page", F.lit("national"))] + [_selected(scored, s, now, limits, False).withColumn("page", F.lit(s)) for s in ("local", "discover", "wechat")]
     out = parts[0]
     for part in parts[1:]:
@@ -77,8 +83,8 @@ def scope_day(articles: DataFrame, scope: str, now: float, year: int, regions: t
     """A partial refresh: one scope's selection. An empty local page shows the best three rows of its pool."""
     if scope == "national":
         return national(by_scope(articles, scope), now, year, rules, limits)
-    kept = dedup.leaders_overlap(filters.filter_relevant(articles.where(~classify.is_national("region_scope")), regions))
-    return _selected(_scored(kept, now, regions), scope, now, limits, True)
+    scored = _others(articles.where(~classify.is_national("region_scope")), now, regions)
+    return _selected(scored, scope, now, limits, True)
 
 
 def by_scope(df: DataFrame, scope: str) -> DataFrame:

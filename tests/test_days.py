@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from granary.adapters import NOW, YEAR
-from granary.operators import diagnostics
+from granary.operators import dedup, diagnostics
 from granary.plans import news
 from granary.queries import LIMITS, LOCAL_REGIONS
 
@@ -70,3 +72,23 @@ def test_refresh_stores_a_day_and_replaces_one_scope(spark, tmp_path):
     assert [(str(r.day), r.fetched_at) for r in api.status(spark, base).collect()] == [("2024-03-01", NOW + 60)] and api.days(spark, base).count() == 1
     api.views(spark, base, "2024-03-01")
     assert spark.sql("select count(*) from news_wechat").first()[0] == pages["wechat"] and spark.sql("select * from opportunities").count() == 0
+
+
+def test_a_day_looks_at_each_article_once(spark):
+    looks = spark.sparkContext.accumulator(0)
+
+    def told(text):
+        looks.add(1)
+        return text
+
+    rows = day_rows()
+    df = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    seen = df.withColumn("summary", F.udf(told, "string")("summary"))
+    got = news.scope_day(seen, "local", NOW, YEAR, LOCAL_REGIONS).select("_ord", "summary").collect()
+    assert sorted(r._ord for r in got) == sorted(r._ord for r in news.scope_day(df, "local", NOW, YEAR, LOCAL_REGIONS).collect()) and got
+    assert looks.value == sum(r[8] != "" for r in rows)
+
+
+def test_frequent_characters_are_code_points(spark):
+    rows = spark.createDataFrame([("仓a😀é仓",), ("a" * 3,)], "t string").select(F.struct(F.col("t").alias("_title")).alias("row"))
+    assert set(dedup._frequent(rows, dedup.characters)) == set("仓a😀é") and list(dedup._frequent(rows, dedup.characters))[-1] == "a"
