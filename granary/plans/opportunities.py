@@ -223,7 +223,9 @@ def research_day(
         texts = pool.select(F.col("verified_url").alias("source_url"), F.col("content").alias("verified_text")).where(T.text("source_url") != "")
         kept = _as_items(_scored(kept, texts.join(kept.select("source_url"), "source_url", "left_semi"), "source_url", now, profile), "_ord")
         researched = _as_items(found.join(selected.where("outcome = 'item'").select("page"), "page", "left_semi"), "_ord")
-        lost = pool.join(selected.where("outcome = 'unavailable' and why <> 'verifier_reject'").select("_ord"), "_ord", "left_semi").where(filters.can_rule_fallback())
+        gone = selected.where("outcome = 'unavailable' and why <> 'verifier_reject'").select("_ord")
+        # written first: else the rule is pushed below the join and looks at the texts of the whole pool
+        lost = run("lost", lambda: pool.join(F.broadcast(gone), "_ord", "left_semi")).where(filters.can_rule_fallback())
         out = kept.unionByName(researched).unionByName(_fallback(build(lost.select(*candidates.columns), now, include_inactive=True), "research_unavailable"))
         answered = selected.where("outcome in ('item', 'rejected') or why = 'verifier_reject'").take(1)
         nothing_to_do = (not waves.take(1) or reused.take(1)) and not search_failed
