@@ -115,8 +115,8 @@ TITLE_MARKS = "(?U)[\\s，。、“”‘’！？：；,.!?;:·\\-_/（）()\\[
 NEAR_TIMES = ((86400.0, 0.2), (3 * 86400.0, 0.1))
 
 
-#: Rows of a target block and of a history block; cells of a matrix of titles.
-TARGETS, POSTS, CELLS = 4096, 8192, 1 << 22
+#: Rows of a target block and of a history block; cells of a matrix of titles; pairs of characters looked up at once, and in a block at most.
+TARGETS, POSTS, CELLS, PAIRS, MOST = 65_536, 131_072, 1 << 22, 1 << 22, 1 << 25
 
 
 class _Letters:
@@ -152,29 +152,158 @@ class _Letters:
         return np.minimum(out, np.minimum(self.lengths, len(title)))
 
 
+def _tokens(titles: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, token) of every character, numbered within its title: the n-th of a kind is one token. Ordered by row."""
+    sizes = np.array([len(t) for t in titles], np.int64)
+    codes = np.frombuffer("".join(titles).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    rows = np.repeat(np.arange(len(titles)), sizes)
+    order = np.lexsort((codes, rows))
+    rows, codes = rows[order], codes[order]
+    fresh = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (codes[1:] != codes[:-1])]) if len(rows) else np.zeros(0, np.int64)
+    nth = np.arange(len(rows)) - np.repeat(fresh, np.diff(np.r_[fresh, len(rows)]))
+    return rows, codes << 32 | nth
+
+
+def _heads(rows: np.ndarray, ranks: np.ndarray, least: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix of their ranks) by size: of each row's ranks, in order, all but the last ``least`` - 2, so that of ``least`` common ones two are among them."""
+    order = np.lexsort((ranks, rows))
+    rows, ranks = rows[order], ranks[order]
+    count = np.bincount(rows, minlength=len(least))
+    start, size = np.cumsum(count) - count, np.where((count >= least) & (least >= 2), count - least + 2, 0)
+    return [(at, ranks[start[at][:, None] + np.arange(n)]) for n in np.unique(size[size > 0]).tolist() for at in [np.flatnonzero(size == n)]]
+
+
+def _pieces(heads: list, base: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(key, row) of every two ranks of a head, in pieces of about ``PAIRS``."""
+    keys, owners, held = [], [], 0
+    for at, ranks in heads:
+        i, j = np.triu_indices(ranks.shape[1], 1)
+        step = max(1, PAIRS // len(i))
+        for x in range(0, len(at), step):
+            keys.append((ranks[x : x + step, i] * base + ranks[x : x + step, j]).ravel())
+            owners.append(np.repeat(at[x : x + step], len(i)))
+            held += len(keys[-1])
+            if held >= PAIRS:
+                yield np.concatenate(keys), np.concatenate(owners)
+                keys, owners, held = [], [], 0
+    if held:
+        yield np.concatenate(keys), np.concatenate(owners)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def _wide(rows: np.ndarray, ranks: np.ndarray, n: int, nothing: int) -> np.ndarray:
+    """A matrix of each row's ranks, filled up with ``nothing``."""
+    order = np.argsort(rows, kind="stable")
+    rows, ranks = rows[order], ranks[order]
+    count = np.bincount(rows, minlength=n)
+    out = np.full((n, max(1, int(count.max(initial=0)))), nothing, np.int32)
+    out[rows, np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)] = ranks
+    return out
+
+
+def _meeting(asked: list[str], titles: list[str], share: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(who, whom, common characters) of asked titles and those that may be like them, and which asked ones must be compared with all.
+
+    ``share`` and ``held``: the part of both lengths' sum that two must have in common, for each asked one and each title. Who has n characters in common
+    at least shares two of those that come first in an order for all, the last n - 2 left out; characters that one side lacks are none.
+    Titles are looked up by these twos; where that gives more than comparing with all would take, all are compared.
+    """
+    (r, a), (q, b) = _tokens(asked), _tokens(titles)
+    known, count = np.unique(b, return_counts=True)
+    rank = np.empty(len(known), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(known))
+    place = np.minimum(np.searchsorted(known, a), len(known) - 1)
+    live = known[place] == a
+    r, a, b = r[live], rank[place[live]], rank[np.searchsorted(known, b)]
+    mine = np.isin(b, a)
+    q, b = q[mine], b[mine]
+
+    def fewest(lengths: np.ndarray, part: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """What a title of this length has in common at least with one that is like it, which is no shorter than that."""
+        least = np.maximum(lengths * part / (1 - part), others.min())
+        return np.maximum(1, np.ceil(part * (lengths + np.ceil(least - 1e-6)) - 1e-6)).astype(np.int64)
+
+    na, nb = np.array([len(t) for t in asked], np.int64), np.array([len(t) for t in titles], np.int64)
+    least_a, least_b, most = fewest(na, share, nb), fewest(nb, held, na), len(titles) // 256 + 64
+    few, every, none = np.flatnonzero(least_b < 2), least_a < 2, np.zeros(0, np.int64)  # some are too short for twos
+    left, right = _heads(r, a, least_a), _heads(q, b, least_b)
+    size = lambda heads: sum(len(at) * m.shape[1] * (m.shape[1] - 1) // 2 for at, m in heads)
+    if max(size(left), size(right)) > MOST or len(few) > most:
+        return none, none, none, np.ones(len(asked), bool)
+    ordered = lambda keys, owners, o: (keys[o], owners[o])
+    posted = [ordered(keys, owners.astype(np.int32), np.argsort(keys, kind="stable")) for keys, owners in _pieces(right, max(1, len(known)))]
+    found = [(np.repeat(np.flatnonzero(~every), len(few)), np.tile(few, int((~every).sum())))]
+    for wanted, who in _pieces(left, max(1, len(known))):
+        wanted, who = ordered(wanted, who, np.argsort(wanted, kind="stable"))
+        at = [(np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")) for keys, _ in posted]
+        every |= np.bincount(who, sum((hi - lo for lo, hi in at), np.zeros(len(who), np.int64)), minlength=len(asked)) > most
+        pairs = []
+        for (lo, hi), (_, owners) in zip(at, posted):
+            fits = np.flatnonzero((hi > lo) & ~every[who])
+            n = (hi - lo)[fits]
+            part = np.cumsum(n) // PAIRS
+            for y in np.split(np.arange(len(fits)), np.flatnonzero(np.diff(part)) + 1):
+                spread = np.repeat(lo[fits[y]] - (np.cumsum(n[y]) - n[y]), n[y]) + np.arange(n[y].sum())
+                pairs.append(_distinct(np.repeat(who[fits[y]], n[y]) * len(titles) + owners[spread]))
+        if pairs:
+            found.append(np.divmod(_distinct(np.concatenate(pairs)), len(titles)))
+    who, whom = (np.concatenate(x).astype(np.int64) for x in zip(*found))
+    who, whom = who[~every[who]], whom[~every[who]]
+    theirs, ours = _wide(r, a, len(asked), -1), _wide(q, b, len(titles), -2)
+    common, step = np.zeros(len(who), np.int64), max(1, PAIRS // ours.shape[1])
+    for x in range(0, len(who), step):
+        mine, other = theirs[who[x : x + step]], ours[whom[x : x + step]]
+        for k in range(mine.shape[1]):
+            common[x : x + step] += (other == mine[:, k, None]).any(1)
+    return who, whom, common, every
+
+
 def _closest(targets: pd.DataFrame, posts: pd.DataFrame, least: float) -> Iterator[tuple]:
-    """(_ord, score, position, url) of the best post of each target that has one; posts are compared from the highest bound down, as long as one can win."""
-    if not len(posts):
+    """(_ord, score, position, url) of the best post of each target that has one; posts that may be like it are compared from the highest bound down, as long as one can win."""
+    if not len(posts) or not len(targets):
         return
     posts = posts.sort_values("position", kind="stable")
-    titles, places, addresses, times = posts["h"].tolist(), posts["position"].tolist(), posts["url"].tolist(), posts["hts"].to_numpy(np.float64)
-    letters = _Letters(titles)
-    for o, t, ts in zip(targets["_ord"].tolist(), targets["t"].tolist(), targets["ts"].to_numpy(np.float64)):
-        bonus = np.zeros(len(titles))
-        if ts > 0:
-            for seconds, x in reversed(NEAR_TIMES):
-                bonus[(times > 0) & (np.abs(times - ts) <= seconds)] = x
-        bound = 2 * letters.shared(t) / (len(t) + letters.lengths) + bonus
-        able = np.flatnonzero(bound >= least - 1e-9)
-        best, at = least, -1
-        for i in able[np.argsort(-bound[able], kind="stable")].tolist():
-            if bound[i] < best - 1e-9:
+    titles, places, addresses, times = posts["h"].tolist(), posts["position"].tolist(), posts["url"].tolist(), posts["hts"].fillna(0.0).to_numpy(np.float64)
+    asked, since, ords = targets["t"].tolist(), targets["ts"].fillna(0.0).to_numpy(np.float64), targets["_ord"].tolist()
+    lengths, sizes = np.array([len(t) for t in titles], np.int64), np.array([len(t) for t in asked], np.int64)
+    needed = lambda when, others: (least - np.where((when > 0) & (others > 0).any(), NEAR_TIMES[0][1], 0.0)) / 2
+    who, whom, common, every = _meeting(asked, titles, needed(since, times), needed(times, since))
+
+    def near(ts: np.ndarray, hts: np.ndarray) -> np.ndarray:
+        bonus = np.zeros(len(hts))
+        for seconds, x in reversed(NEAR_TIMES):
+            bonus[(ts > 0) & (hts > 0) & (np.abs(hts - ts) <= seconds)] = x
+        return bonus
+
+    def best(k: int, able: np.ndarray, bound: np.ndarray, bonus: np.ndarray) -> Iterator[tuple]:
+        high, at = least, -1
+        for x in np.argsort(-bound, kind="stable").tolist():
+            if bound[x] < high - 1e-9:
                 break
-            score = SequenceMatcher(None, t, titles[i]).ratio() + float(bonus[i])
-            if score > best or (score == best and (at < 0 or i < at)):
-                best, at = score, i
+            i = int(able[x])
+            score = SequenceMatcher(None, asked[k], titles[i]).ratio() + float(bonus[x])
+            if score > high or (score == high and (at < 0 or i < at)):
+                high, at = score, i
         if at >= 0:
-            yield o, best, places[at], addresses[at]
+            yield ords[k], high, places[at], addresses[at]
+
+    bonus = near(since[who], times[whom])
+    bound = 2 * common / (sizes[who] + lengths[whom]) + bonus
+    able = np.flatnonzero(bound >= least - 1e-9)
+    able = able[np.argsort(who[able], kind="stable")]
+    for part in np.split(able, np.flatnonzero(np.diff(who[able])) + 1):
+        if len(part):
+            yield from best(int(who[part[0]]), whom[part], bound[part], bonus[part])
+    letters = _Letters(titles) if every.any() else None
+    for k in np.flatnonzero(every).tolist():
+        bonus = near(np.broadcast_to(since[k], len(times)), times)
+        bound = 2 * letters.shared(asked[k]) / (sizes[k] + lengths) + bonus
+        able = np.flatnonzero(bound >= least - 1e-9)
+        yield from best(k, able, bound[able], bonus[able])
 
 
 def history_titles(targets: DataFrame, history: DataFrame, least: float = 0.62) -> DataFrame:
@@ -182,8 +311,9 @@ def history_titles(targets: DataFrame, history: DataFrame, least: float = 0.62)
 
     Targets (account, _ord, title, published_ts) and history (account, position, title, published_ts, url). A loose ratio leaves nearly all pairs of an
     account possible, so pairs are never rows: an account's targets and history are dealt into blocks by a hash, each block of targets meets each block of
-    history in a task, and what leaves it is one row a target. There a bound over the whole block tells whom to compare. Rows travel once for each
-    block of the other side; an account's comparisons, by the bound, grow with targets times history.
+    history in a task, and what leaves it is one row a target. There titles are looked up by two of their rarer characters, and where those are common (few
+    letters, titles of hundreds of characters) a bound over the whole block tells whom to compare: that grows with targets times history.
+    Rows travel once for each block of the other side.
     """
     plain = F.regexp_replace(F.lower(F.trim(T.text("title"))), TITLE_MARKS, "")
     a = targets.select("account", "_ord", plain.alias("t"), F.col("published_ts").cast("double").alias("ts")).where("t <> '' and account is not null")
@@ -193,13 +323,13 @@ def history_titles(targets: DataFrame, history: DataFrame, least: float = 0.62)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asks = a.join(sizes, "account").withColumn("x", F.pmod(F.xxhash64("_ord"), "na").cast("int")).withColumn("y", every("nb")).select("account", "x", "y", "_ord", "t", "ts")
     posts = b.join(sizes, "account").withColumn("y", F.pmod(F.xxhash64("position", "url"), "nb").cast("int")).withColumn("x", every("na")).select("account", "x", "y", "position", "h", "hts", "url")
-    kinds = dict(asks.dtypes) | dict(posts.dtypes)
+    kinds, keys = dict(asks.dtypes) | dict(posts.dtypes), ["account", "x", "y"]
+    parts = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: Spark would merge blocks into a task
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(list(_closest(left, right, least)), columns=["_ord", "score", "position", "url"])
 
-    keys = ["account", "x", "y"]
-    found = asks.groupBy(*keys).cogroup(posts.groupBy(*keys)).applyInPandas(compare, f"_ord {kinds['_ord']}, score double, position {kinds['position']}, url string")
+    found = asks.repartition(parts, *keys).groupBy(*keys).cogroup(posts.repartition(parts, *keys).groupBy(*keys)).applyInPandas(compare, f"_ord {kinds['_ord']}, score double, position {kinds['position']}, url string")
     best = found.groupBy("_ord").agg(F.max_by(F.struct("url"), F.struct("score", -F.col("position"))).alias("m"))
     return best.select("_ord", "m.url")
 
